@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, media, mixing, quality, warc
+from weftline.llm import bpe, chat, media, mixing, quality, warc, wavelet
 from weftline.llm.common import shared_folder, stored, table
 
 
+def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return wavelet.read_documents(wavelet.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = stored(quality.with_signals(docs).select("doc_id", "lang", "source", "_q_signals"), "op3-signals")
@@ -40,6 +46,13 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(held, shared_folder(spark, "op8-tiles")).withColumnRenamed("key", "doc_id").drop("tile_file", "tile_row")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.id_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -58,9 +71,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_wavelet": op1_wavelet,
         "op3_quality": op3_quality,
         "op6_mixing": op6_mixing,
         "op7_warc": op7_warc,
         "op8_media": op8_media,
+        "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
     }
