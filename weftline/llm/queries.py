@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, media, mixing, quality, warc, wavelet
+from weftline.llm import bpe, chat, jaccard, media, mixing, quality, suffixes, warc, wavelet
 from weftline.llm.common import shared_folder, stored, table
 
 
@@ -17,6 +17,10 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = stored(quality.with_signals(docs).select("doc_id", "lang", "source", "_q_signals"), "op3-signals")
@@ -27,6 +31,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs).select(
@@ -72,7 +80,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wavelet": op1_wavelet,
+        "op2_jaccard": op2_jaccard,
         "op3_quality": op3_quality,
+        "op5_suffixes": op5_suffixes,
         "op6_mixing": op6_mixing,
         "op7_warc": op7_warc,
         "op8_media": op8_media,
