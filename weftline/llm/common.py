@@ -6,6 +6,7 @@ runs twice leaves two files of which only the returned one is ever read.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -56,6 +57,13 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished, stored steps: it does so once the driver has collected
+    the plans that made them, which may otherwise be long after the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df``, a stored table, has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

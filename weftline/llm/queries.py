@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, jaccard, media, mixing, quality, suffixes, warc, wavelet
+from weftline.llm import bpe, chat, jaccard, lm, media, mixing, quality, suffixes, warc, wavelet
 from weftline.llm.common import shared_folder, stored, table
 
 
@@ -31,6 +31,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_wavelet": op1_wavelet,
         "op2_jaccard": op2_jaccard,
         "op3_quality": op3_quality,
+        "op4_lm": op4_lm,
         "op5_suffixes": op5_suffixes,
         "op6_mixing": op6_mixing,
         "op7_warc": op7_warc,
