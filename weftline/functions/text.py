@@ -77,7 +77,7 @@ def find_all(term: Column, text: Column) -> Column:
     found = F.aggregate(
         pieces,
         F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(F.startswith(p, term), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out")),
+        lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when((s["at"] > 0) | F.startswith(text, term), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out")),
     )["out"]
     return F.when(F.length(term) > 0, F.nullif(found, none))
 
