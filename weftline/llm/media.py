@@ -149,7 +149,7 @@ def difference_hash(gray: np.ndarray) -> str:
 
 
 def tile_array(gray: np.ndarray, size: tuple[int, int] = TILE) -> np.ndarray:
-    return np.clip(np.round(area_resize(gray, *size)), 0, 65535).astype(np.uint8 if gray.max(initial=0) < 256 else np.uint16)
+    return np.ascontiguousarray(np.clip(np.round(area_resize(gray, *size)), 0, 65535), np.uint8 if gray.max(initial=0) < 256 else np.uint16)
 
 
 def tile_bytes(tile: np.ndarray) -> bytes:
