@@ -5,24 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What cleaning deletes, in the order in which it is deleted. The entry of two characters stands
-# between two runs of single ones, so deletions before it can bring it about and those after it cannot.
+# What cleaning deletes. The entry of two characters stands between two groups of single ones, so deletions
+# before it can bring it about and those after it cannot. Runs of code points are given by their ends.
 REMOVE_FIRST = "』。！，：、（）；？〉〈」「『“”!\"#$%&'()*+,-./0123456789:;<=>?@[\\]_"
 REMOVE_PAIR = "`{"
-REMOVE_REST = (
-    "|}~¤±·×àáèéêìíò"
-    "ó÷ùúüāīńňōūǎǐǔǖǘǚǜǹɑɡ"
-    "αβγεζηθικλμνξοπρστυφχψω"
-    "абвгдекопрстуфхцчшщъыьэюяё"
-    "—‖‘’…※ⅰⅲ∈∏∑√∠∥∧∩∪∫∮∶∷∽≈≌≡⊙⊥⌒"
-    "①②③④⑤⑥⑦⑧⑨⑩⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽⑾⑿⒀⒁⒂⒃⒄⒅⒆"
-    "⒈⒉⒊⒋⒌⒍⒎⒏⒐⒑⒒⒓⒔⒕⒖⒗⒘⒙⒚⒛"
-    "─┅┋┌┍┎┏┐┑┒┓└┕┘┙┚┛├┝┞┠┡┢┣┤┥┦┧┩┪┫┬┭┮┯┰┱┲┳"
-    "■□▲△◆◇○◎●★︶﹑﹔﹖＂＃％＆＊．／０１２３４５６７８９＜＝＞＠［＼］＿｀"
-    "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｝～￥"
-    "abcdefghijklmnopqrstuvwxyz《》〔〕【】ABCDEFGHIJKLMNOPQRSTUV"
-    "ＷＸＹＺ＾｜￠￡¶　"
-)
+REMOVE_SINGLE = "|}~¤±·×àáèéêìíòó÷ùúüāīńňōūǎǐǔǖǘǚǜǹɑɡё—‖‘’…※ⅰⅲ∈∏∑√∠∥∧∩∪∫∮∶∷∽≈≌≡⊙⊥⌒─┅┋■□▲△◆◇○◎●★︶﹑﹔﹖＂＃％＆＊．／＜＝＞＠［＼］＿｀｛｝～￥《》〔〕【】＾｜￠￡¶　"
+REMOVE_RUNS = (("a", "z"), ("A", "V"), ("ａ", "ｚ"), ("Ｗ", "Ｚ"), ("０", "９"), ("①", "⑩"), ("⑴", "⒆"), ("⒈", "⒛"), ("α", "ω"), ("а", "я"), ("┌", "┳"))
+NOT_REMOVED = "δςжзийлмн┖┗┟┨"
+REMOVE_REST = REMOVE_SINGLE + "".join(chr(c) for x, y in REMOVE_RUNS for c in range(ord(x), ord(y) + 1) if chr(c) not in NOT_REMOVED)
 KEEP_PUNCTUATION = "，。、？！「」《》"
 QUERY_PUNCTUATION = "：。，」「；、 ？！『』"
 MARKER = "~BREAK~"
