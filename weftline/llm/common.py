@@ -27,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, since texts differ in length by five orders of magnitude."""
+def small_batches(spark: SparkSession, records: int = 256) -> None:
+    """Bound Arrow batches by rows and bytes, since texts differ in length by five orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
