@@ -39,7 +39,7 @@ from weftline.llm.common import bounded_broadcast, shared_folder, small_batches,
 
 WIDTH, K = 50, 20
 #: Bytes of text hashed at once, anchors in a block, bytes a bucket of anchors and occurrences a bucket of segments should get.
-SLICE_BYTES, BLOCK_ANCHORS, ANCHOR_BUCKET, SEGMENT_BUCKET = 256 << 10, 1_000_000, 16 << 20, 40_000
+SLICE_BYTES, BLOCK_ANCHORS, ANCHOR_BUCKET, SEGMENT_BUCKET = 256 << 10, 1_000_000, 8 << 20, 16_000
 #: Rows of the transform in a chunk.
 CHUNK_ROWS = 8_000_000
 
@@ -69,12 +69,12 @@ def _doubled(x: np.ndarray, n: int, join) -> np.ndarray:
         size *= 2
 
 
-def anchors(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, first window, windows, hash) of each anchor of the documents that lie in ``text``; windows don't
-    cross documents. ``text`` is below 16 MB or one document, which is cut by the caller."""
+def anchors(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(owner, first window, windows, place, hash) of each anchor of the documents that lie in ``text``; windows don't
+    cross documents. ``text`` is below 16 MB: longer documents are cut by the caller."""
     none = np.empty(0, np.int64)
     if len(text) < WIDTH:
-        return none, none, none, np.empty(0, U64)
+        return none, none, none, none, np.empty(0, U64)
     with np.errstate(over="ignore"):
         h = _doubled(_mix(np.frombuffer(text, np.uint8).astype(U64) + U64(1)), K, lambda a, b: _mix(a * _C[0] + b))
         placed = (h & ~U64(0xFFFFFF)) | np.arange(len(h), dtype=U64)
@@ -88,10 +88,12 @@ def anchors(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     owner = np.repeat(np.arange(len(lengths)), room)
     window = np.arange(len(owner)) - np.repeat(np.cumsum(room) - room, room) + np.repeat(starts, room)
     if not len(window):
-        return none, none, none, np.empty(0, U64)
+        return none, none, none, none, np.empty(0, U64)
     at = (least[window] & U64(0xFFFFFF)).astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
-    return owner[head], window[head], np.diff(np.append(head, len(window))), h[at[head]]
+    with np.errstate(over="ignore"):
+        own = _mix(h[at[head]] * _C[2])  # the least of many hashes are small; these are even again
+    return owner[head], window[head], np.diff(np.append(head, len(window))), at[head], own
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[list[int], bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,6 +121,9 @@ def _joined(group: list[int], texts: list[bytes]):
     return group, b"".join(texts[i] for i in group), np.cumsum(lengths) - lengths, lengths, np.zeros(len(group), np.int64)
 
 
+_ONE = [bytes([i]) for i in range(256)]
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U64(48)) * U64(n) >> U64(16)).astype(np.int32)
 
@@ -156,7 +161,7 @@ def _send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist())
             for group, text, starts, lengths, _ in _slices(texts):
-                owner, _, _, h = anchors(text, starts, lengths)
+                owner, _, _, _, h = anchors(text, starts, lengths)
                 base = len(keys)
                 keys += [ids[i] for i in group]
                 packed.append(h & ~U64(0xFFFF) | (owner + base).astype(U64))
@@ -220,7 +225,7 @@ def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist())
             wanted = [np.sort(np.frombuffer(b"".join(x), U64)) for x in batch.column(2).to_pylist()]
             for group, text, starts, lengths, offsets in _slices(texts):
-                owner, first, windows, h = anchors(text, starts, lengths)
+                owner, first, windows, where, h = anchors(text, starts, lengths)
                 if not len(h):
                     continue
                 mark = h & ~U64(0xFFFF)
@@ -233,11 +238,11 @@ def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
                 at = np.flatnonzero(hit)
                 bucket = _bucket(mark[at], buckets).tolist()
                 place = (first[at] - starts[owner[at]] + offsets[owner[at]]).tolist()
-                for b, g, s, n, p in zip(bucket, owner[at].tolist(), first[at].tolist(), windows[at].tolist(), place):
+                for b, g, s, n, p, a in zip(bucket, owner[at].tolist(), first[at].tolist(), windows[at].tolist(), place, (where[at] - first[at]).tolist()):
                     if b not in held:
                         held[b] = ({}, [], [], [])
                     known, which, keys, places = held[b]
-                    segment = text[s : s + n + WIDTH - 1]
+                    segment = text[s : s + n + WIDTH - 1] + _ONE[a]  # the anchor's offset is the last byte
                     which.append(known.setdefault(segment, len(known)))
                     keys.append(ids[group[g]])
                     places.append(p)
@@ -451,44 +456,74 @@ def repeated(strings: list[bytes], smallest: np.ndarray, width: int = WIDTH, fol
     return out
 
 
+def sharing(segments: list[bytes], smallest: np.ndarray, largest: np.ndarray) -> np.ndarray:
+    """Which segments can hold a window of another document's. A window has WIDTH - K bytes besides its anchor, so
+    equal windows agree in half of that on the anchor's left, or on its right; a segment of which neither side is met
+    in a second document stays out of the transform."""
+    half = (WIDTH - K) // 2
+    out = np.zeros(len(segments), bool)
+    for side in (0, 1):
+        known: dict[bytes, int] = {}
+        owner = np.full(len(segments), -1)
+        for i, s in enumerate(segments):
+            a, n = s[-1], len(s) - 1
+            lo, hi = (a - half, a + K) if side == 0 else (a, a + K + half)
+            if lo >= 0 and hi <= n:
+                owner[i] = known.setdefault(s[lo:hi], len(known))
+        has = owner >= 0
+        low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(low, owner[has], smallest[has])
+        np.maximum.at(high, owner[has], largest[has])
+        out[has] |= (low != high)[owner[has]]
+    return out
+
+
+def bucket_spans(table: pa.Table, scratch: str) -> pa.Table:
+    """(key, begin, stop) of a bucket's rows from _send_segments."""
+    rows = table.to_pydict()
+    known: dict[bytes, int] = {}
+    which, keys, starts = [], [], []
+    for raw, lengths, w, k, s in zip(rows["segments"], rows["lengths"], rows["which"], rows["keys"], rows["starts"]):
+        ends = np.cumsum(np.frombuffer(lengths, np.uint8).astype(np.int64))
+        own = [known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        which.append(np.array(own, np.int64)[np.frombuffer(w, np.int32)])
+        keys.append(np.frombuffer(k, np.int64))
+        starts.append(np.frombuffer(s, np.int64))
+    at, key, start = np.concatenate(which), np.concatenate(keys), np.concatenate(starts)
+    smallest, largest = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+    np.minimum.at(smallest, at, key)
+    np.maximum.at(largest, at, key)
+    keep = sharing(list(known), smallest, largest)
+    strings = [x[:-1] for x, k in zip(known, keep.tolist()) if k]
+    if not strings:
+        return pa.table([np.empty(0, np.int64)] * 3, names=["key", "begin", "stop"])
+    place = np.cumsum(keep) - 1
+    on = keep[at]
+    at, key, start, smallest = place[at[on]], key[on], start[on], smallest[keep]
+    least = repeated(strings, smallest, folder=f"{scratch}/{uuid.uuid4().hex}")
+    room = np.array([len(s) - WIDTH + 1 for s in strings])
+    first = np.cumsum(room) - room
+    # an occurrence can lose something only if some window of its segment has a smaller document
+    can = np.minimum.reduceat(least, first)[at] < key
+    at, key, start = at[can], key[can], start[can]
+    out: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(at), 1 << 17):
+        a, k, s = at[lo : lo + (1 << 17)], key[lo : lo + (1 << 17)], start[lo : lo + (1 << 17)]
+        n = room[a]
+        owner = np.repeat(np.arange(len(a)), n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        gone = least[first[a][owner] + step] < k[owner]
+        owner, step = owner[gone], step[gone]
+        head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (step[1:] != step[:-1] + 1)])) if len(owner) else np.empty(0, np.int64)
+        last = np.append(head[1:], len(owner)) - 1
+        out.append((k[owner[head]], s[owner[head]] + step[head], s[owner[last if len(head) else head]] + step[last if len(head) else head] + WIDTH))
+    cols = [np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in range(3)]
+    return pa.table(cols, names=["key", "begin", "stop"])
+
+
 def _spans(segments: DataFrame, scratch: str) -> DataFrame:
     """(key, begin, stop): runs of bytes to remove, by segment."""
-
-    def gather(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        known: dict[bytes, int] = {}
-        which, keys, starts = [], [], []
-        for raw, lengths, w, k, s in zip(rows["segments"], rows["lengths"], rows["which"], rows["keys"], rows["starts"]):
-            ends = np.cumsum(np.frombuffer(lengths, np.uint8).astype(np.int64))
-            own = [known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            which.append(np.array(own, np.int64)[np.frombuffer(w, np.int32)])
-            keys.append(np.frombuffer(k, np.int64))
-            starts.append(np.frombuffer(s, np.int64))
-        strings = list(known)
-        at, key, start = np.concatenate(which), np.concatenate(keys), np.concatenate(starts)
-        smallest = np.full(len(strings), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, at, key)
-        least = repeated(strings, smallest, folder=f"{scratch}/{uuid.uuid4().hex}")
-        room = np.array([len(s) - WIDTH + 1 for s in strings])
-        first = np.cumsum(room) - room
-        # an occurrence can lose something only if some window of its segment has a smaller document
-        can = np.minimum.reduceat(least, first)[at] < key
-        at, key, start = at[can], key[can], start[can]
-        out: list[tuple[np.ndarray, ...]] = []
-        for lo in range(0, len(at), 1 << 17):
-            a, k, s = at[lo : lo + (1 << 17)], key[lo : lo + (1 << 17)], start[lo : lo + (1 << 17)]
-            n = room[a]
-            owner = np.repeat(np.arange(len(a)), n)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            gone = least[first[a][owner] + step] < k[owner]
-            owner, step = owner[gone], step[gone]
-            head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (step[1:] != step[:-1] + 1)])) if len(owner) else np.empty(0, np.int64)
-            last = np.append(head[1:], len(owner)) - 1
-            out.append((k[owner[head]], s[owner[head]] + step[head], s[owner[last if len(head) else head]] + step[last if len(head) else head] + WIDTH))
-        cols = [np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in range(3)]
-        return pa.table(cols, names=["key", "begin", "stop"])
-
-    return segments.groupBy("bucket").applyInArrow(gather, "key long, begin long, stop long")
+    return segments.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, scratch), "key long, begin long, stop long")
 
 
 def spans_to_remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
