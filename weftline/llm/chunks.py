@@ -1,24 +1,28 @@
 """Texts cut into chunks that a byte-level BPE encodes independently, so that repeated chunks are encoded once.
 
-The pre-tokenizing pattern never joins what stands in two chunks: a chunk is a run of non-space characters with one
-space before it, or white space as the pattern itself would take it. So a text's ids are its chunks' ids in order.
+The pre-tokenizing pattern never joins what stands in two chunks: a chunk is a word of Latin letters with one space
+before it, as the pattern itself would take it, any other run of non-space characters up to white space, or white
+space as the pattern would take it. So a text's ids are its chunks' ids in order.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 #: White space as Unicode's White_Space property has it; Python's own \s has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Letters up to U+00FF; a word of them that ends before a stop or white space is one match of the pattern.
+LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+CHUNK = re.compile(f" ?[{LETTERS}]+(?=[,.;:!?|{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class ChunkCache:
     """Encoded chunks, at most ``most`` of them; a full cache starts anew. Chunks over ``longest`` characters
     aren't kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 800_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_200_000, longest: int = 64):
         self.encode, self.most, self.longest, self.known = encode, most, longest, {}
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
@@ -27,7 +31,7 @@ class ChunkCache:
         known = self.known
         missing: set[str] = set()
         for chunks in cut:
-            missing.update(c for c in chunks if c not in known)
+            missing.update(filterfalse(known.__contains__, chunks))
         extra: dict[str, bytes] = {}
         if missing:
             if len(known) + len(missing) > self.most and known:

@@ -20,6 +20,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from weftline.llm.common import attempt_name, open_file, shared_folder, small_ba
 
 MAGIC = b"WFWAVE01"
 BLOCK = 1 << 18
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
 END_ID = 0
 
 
@@ -194,10 +195,25 @@ def library_ids(path: str) -> ChunkCache:
         own.encode_special_tokens = True
         many = getattr(own, "encode_batch_fast", own.encode_batch)
 
+        width = np.array([len(own.id_to_token(i) or "") for i in range(own.get_vocab_size())])  # a character a byte
+
         def encode(chunks: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for lo in range(0, len(chunks), 4096):
-                out += [np.array(x.ids, np.uint32).tobytes() for x in many(chunks[lo : lo + 4096], add_special_tokens=False)]
+            """Words with a space before them are encoded side by side, as one text, which the library would cut into
+            just these; ids are parted where their bytes are. Other chunks are texts of their own."""
+            out: list[bytes] = [b""] * len(chunks)
+            words = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+            for lo in range(0, len(words), 1024):
+                part = words[lo : lo + 1024]
+                ids = np.array(many(["".join(chunks[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(chunks[i].encode("utf-8", "surrogatepass")) for i in part])) + 1
+                raw = ids.tobytes()
+                for i, x, y in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
+                    out[i] = raw[4 * x : 4 * y]
+            rest = sorted(set(range(len(chunks))).difference(words))
+            for lo in range(0, len(rest), 4096):
+                part = rest[lo : lo + 4096]
+                for i, x in zip(part, many([chunks[i] for i in part], add_special_tokens=False)):
+                    out[i] = array("I", x.ids).tobytes()
             return out
 
         _TOKENIZERS[path] = ChunkCache(encode)
@@ -268,8 +284,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     keys = pa.array(w.keys, pa.int64(), mask=w.keys == NULL_KEY)
                     yield pa.RecordBatch.from_arrays([keys, pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row per file: dealt out so that each task opens its own files
-    return placed.select("path", "base").repartition("path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    files = max(1, manifest.count())  # each task opens its own files
+    return placed.select("path", "base").repartition(min(files, 4096), "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_corpus(df: DataFrame, path: str, folder: str | None = None) -> DataFrame:
