@@ -175,7 +175,8 @@ def _send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _shared_anchors(packed: DataFrame) -> DataFrame:
-    """(key, anchors): of each document, packed by bucket, the hashes (48 bits) that another document has too."""
+    """(key, anchor): of each document the hashes (48 bits) that another document has too, a row each, so rows follow the
+    text that is shared, whatever the number of buckets."""
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
@@ -197,11 +198,9 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
         h, doc = h[order], doc[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.empty(0, bool)
         h, doc = h[fresh], doc[fresh]
-        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(h) else np.empty(0, np.int64)
-        ends = np.append(head[1:], len(h))
-        return pa.table([pa.array(doc[head]), pa.array([h[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()), pa.array(ends - head)], names=["key", "anchors", "n"])
+        return pa.table([doc, h.view(np.int64)], names=["key", "anchor"])
 
-    return packed.groupBy("bucket").applyInArrow(gather, "key long, anchors binary, n long")
+    return packed.groupBy("bucket").applyInArrow(gather, "key long, anchor long")
 
 
 def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
@@ -223,7 +222,7 @@ def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist())
-            wanted = [np.sort(np.frombuffer(b"".join(x), U64)) for x in batch.column(2).to_pylist()]
+            wanted = [np.sort(x.values.to_numpy().view(U64)) for x in batch.column(2)]
             for group, text, starts, lengths, offsets in _slices(texts):
                 owner, first, windows, where, h = anchors(text, starts, lengths)
                 if not len(h):
@@ -544,8 +543,8 @@ def spans_to_remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> t
     anchor_bytes = int(n_bytes) * 8 // 12
     packed = _send_anchors(single, min(1 << 15, max(8, -(-anchor_bytes // ANCHOR_BUCKET))))
     shared = stored(_shared_anchors(packed), "suffix-anchors")
-    occurrences = shared.agg(F.sum("n")).first()[0] or 0
-    per_doc = shared.groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    occurrences = shared.count()
+    per_doc = shared.groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
     segments = _send_segments(single.join(per_doc, "key"), min(1 << 15, max(8, -(-int(occurrences) // SEGMENT_BUCKET))))
     found = stored(_spans(segments, shared_folder(spark, "suffix-scratch")), "suffix-spans")
     spans = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans"))
