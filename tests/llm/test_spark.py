@@ -111,6 +111,20 @@ def test_near_copies_without_a_common_member(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_near_copies_of_which_one_has_many_empty_partitions(spark):
+    """5 and 6 shingles: in some pairs only one set has need 0, in some both, in some none."""
+    rows, kinds = [], set()
+    for i in range(200):
+        long = words(10, 1000 + i)
+        rows += [(2 * i, long.rsplit(" ", 1)[0]), (2 * i + 1, long)]
+        a, b = (jaccard.shingle_set(t) for _, t in rows[-2:])
+        for band in set(jaccard.bands_of(len(a))) & set(jaccard.bands_of(len(b))):
+            kinds.add(tuple((jaccard.band_signatures([a, b], band)[2] > 0).tolist()))
+    assert len(kinds) == 3  # never the longer one alone, which has all features of the other
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(400)}
+
+
 def test_suffixes(docs, none):
     rows = texts()
     got = suffixes.removal_digests(docs).collect()

@@ -8,8 +8,9 @@ the domain of features is partitioned, and subsets of the partitions are enumera
 * larger k: groups of two partitions, subsets of one, k + m partitions in all. At most k differ, so m or more are equal.
 
 A signature is a hash of a set's features within a subset. Equal but empty projections say nothing and aren't sent: a
-set that has so many of them that it could be linked through them only (a partner then has them too) also sends the
-features of a prefix filter, which only such sets do. So no link is lost, at any size.
+set that has so many of them that it could be linked through them only has need 0 and also sends the features of a
+prefix filter, which only such sets do: two of them meet there. A partner with a need shares as many signatures that
+aren't empty, so both kinds keep their memberships. So no link is lost, at any size.
 
 Signatures travel as packed arrays: 8 bytes each, one row per block of documents and bucket. What comes back are the
 memberships in runs of equal signatures. A set with fewer of them than any link must share leaves (the counting
@@ -262,10 +263,11 @@ def _runs(packed: DataFrame) -> DataFrame:
 
 
 def _enough(m: DataFrame) -> DataFrame:
-    """Memberships of keys that have as many as a link needs; then runs of two and more."""
+    """Memberships of keys that have as many as a link needs; then runs of two and more, one of which has a need: keys
+    without one meet by their prefixes."""
     counts = m.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least"))
-    m = m.join(counts.where("n >= least and least > 0").select("key", "name"), ["key", "name"], "left_semi")
-    alive = m.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
+    m = m.join(counts.where("n >= least").select("key", "name"), ["key", "name"], "left_semi")
+    alive = m.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("most")).where("n > 1 and most > 0").select("run")
     return m.join(alive, "run", "left_semi")
 
 
@@ -319,7 +321,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rest = stored(_enough(_enough(named.join(mixed, "run", "left_semi"))), "near-rest")
     left = rest.select("run", "name", F.col("key").alias("a"), F.col("label").alias("la"), F.col("need").alias("na"))
     right = rest.select(F.col("run").alias("r"), F.col("key").alias("b"), F.col("label").alias("lb"), F.col("need").alias("nb"))
-    cross = left.join(right, (F.col("run") == F.col("r")) & (F.col("la") < F.col("lb")))
+    cross = left.join(right, (F.col("run") == F.col("r")) & (F.col("la") < F.col("lb")) & (F.greatest("na", "nb") > 0))
     more = cross.groupBy("a", "b", "name").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least")
     more = more.select("a", "b").distinct()
     extra = _verified(more, sets)
