@@ -236,6 +236,17 @@ def test_poisson_counts_have_the_mean(spark):
         assert abs(r.m - r.rate) < 0.05 * r.rate + 0.01 and abs(r.v - r.rate) < 0.1 * r.rate
 
 
+def test_small_sources_reach_their_share(spark):
+    """A source of 1/101 of the characters needs rate 50.5, above one inversion's 16."""
+    df = spark.range(40_400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 101 == 0, "small").otherwise("large").alias("source"), F.lit("x").alias("text"))
+    rates = mixing.source_rates(df)
+    assert {r.src: round(r.rate, 6) for r in rates.collect()} == {"small": 50.5, "large": 0.505}
+    small = mixing.replicate(df, rates, 7).where("source = 'small'").groupBy("doc_id").agg(F.max("_copies").alias("n"), F.count("*").alias("rows"))
+    r = small.agg(F.avg("n").alias("m"), F.var_pop("n").alias("v"), F.max(F.abs(F.col("n") - F.col("rows"))).alias("off")).first()
+    assert abs(r.m - 50.5) < 1.5 and abs(r.v - 50.5) < 15 and r.off == 0
+    assert mixing.source_rates(df, max_rate=16).agg(F.max("rate")).first()[0] == 16
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, "http://b", "same"), (5, None, "same"), (3, "http://c", None), (4, "u\nv", ""), (6, "http://d", "x" * 700_000), (7, "http://e", "é"), (7, "http://e", "é"), (None, "http://n", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -2,7 +2,8 @@
 
 Every source gets a mean repetition rate, its target share of the characters over its real share. A row's number
 of copies inverts a Poisson distribution of that rate at a uniform number that md5 makes from the row's id and the
-seed, so any task, on any day, gives a row the same count. Rows are exploded by their counts and shuffled globally:
+seed, so any task, on any day, gives a row the same count; a large rate is the sum of smaller ones, each with its own
+number. Rows are exploded by their counts and shuffled globally:
 a hash of id, copy and seed deals them out to partitions and orders them there.
 
 Defined results: a null source is the source ''; a source without a target weight, with a weight of 0 or without
@@ -20,10 +21,10 @@ from weftline.llm.common import bounded_broadcast, stored
 
 #: 2^52: hash digits as a fraction below 1 that a double holds exactly.
 SPAN = float(1 << 52)
-#: A source is repeated MAX_RATE times at most, a parameter of the mix: more would only teach a tiny source by heart.
-#: P(more than MAX_COPIES | MAX_RATE) is below 1e-17, less than the hash resolves.
-MAX_RATE = 16.0
-MAX_COPIES = 64
+#: Larger rates are split into equal parts of PART_RATE at most, whose Poisson counts add up.
+#: P(more than PART_COPIES | PART_RATE) is below 1e-17, less than the hash resolves.
+PART_RATE = 16.0
+PART_COPIES = 64
 
 
 def hashed(seed: int, *parts: Column) -> Column:
@@ -32,9 +33,9 @@ def hashed(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
-def source_rates(df: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
+def source_rates(df: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, max_rate: float | None = None) -> DataFrame:
     """(src, chars, rate): ``total`` is the size of the mix over that of the input. Without weights all sources
-    that have characters get the same."""
+    that have characters get the same. With ``max_rate`` no source is repeated more often, and the mix misses its target."""
     sizes = df.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
     sizes = stored(sizes, "mix-sizes")
     if weights is None:
@@ -45,25 +46,35 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, total:
     sums = both.agg(F.sum("chars").alias("chars"), F.sum(F.when(F.col("chars") > 0, F.col("weight"))).alias("weight")).first()  # one row
     chars, weight = float(sums["chars"] or 0), float(sums["weight"] or 0)
     rate = F.when((F.col("chars") > 0) & (F.col("weight") > 0), F.col("weight") * F.lit(chars * total) / (F.col("chars") * F.lit(weight or 1.0))).otherwise(F.lit(0.0))
-    return stored(both.select("src", "chars", F.least(rate, F.lit(MAX_RATE)).alias("rate")), "mix-rates")
+    if max_rate is not None:
+        rate = F.least(rate, F.lit(float(max_rate)))
+    return stored(both.select("src", "chars", rate.alias("rate")), "mix-rates")
 
 
 def poisson_count(u: Column, rate: Column) -> Column:
-    """The smallest k with P(X <= k) > u."""
+    """The smallest k with P(X <= k) > u, for rates up to PART_RATE."""
     start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
     end = F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_COPIES)),
+        F.sequence(F.lit(1), F.lit(PART_COPIES)),
         start,
         lambda s, i: F.when(s["cdf"] > u, s).otherwise(F.struct(i.alias("k"), (s["p"] * rate / i).alias("p"), (s["cdf"] + s["p"] * rate / i).alias("cdf"))),
     )
     return F.when(F.exp(-rate) > u, F.lit(0)).otherwise(end["k"])
 
 
+def copies(seed: int, key: str, rate: Column) -> Column:
+    """A row's Poisson count at any rate."""
+    parts = F.greatest(F.ceil(rate / F.lit(PART_RATE)), F.lit(1)).cast("int")
+    first = poisson_count(hashed(seed, F.col(key)) / F.lit(SPAN), rate / parts)
+    rest = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda n, i: n + poisson_count(hashed(seed, F.col(key), i) / F.lit(SPAN), rate / parts))
+    return F.when(parts > 1, first + rest).otherwise(first)
+
+
 def replicate(df: DataFrame, rates: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
     """``df`` with _copies, _copy and _order: each row as often as its count says."""
     r = bounded_broadcast(rates).select(F.col("src").alias("_src"), F.col("rate").alias("_rate"))
     rows = df.join(r, F.coalesce(df["source"], F.lit("")) == F.col("_src"), "left")
-    rows = rows.withColumn("_copies", poisson_count(hashed(seed, F.col(key)) / F.lit(SPAN), F.coalesce("_rate", F.lit(0.0))))
+    rows = rows.withColumn("_copies", copies(seed, key, F.coalesce("_rate", F.lit(0.0))))
     rows = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.withColumn("_order", hashed(seed + 1, F.col(key), F.col("_copy"))).drop("_src", "_rate")
 
@@ -74,6 +85,6 @@ def shuffled(df: DataFrame, parts: int | None = None) -> DataFrame:
     return df.repartition(n, "_order").sortWithinPartitions("_order", "_copy")
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: int = 20_11, key: str = "doc_id") -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: int = 20_11, key: str = "doc_id", max_rate: float | None = None) -> DataFrame:
     """The whole operator: rates, counts, copies, order. Keeps all columns and adds _copies, _copy and _order."""
-    return shuffled(replicate(df, source_rates(df, weights, total), seed, key))
+    return shuffled(replicate(df, source_rates(df, weights, total, max_rate), seed, key))
