@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import pytest
 
@@ -35,6 +36,25 @@ def test_query(spark, name):
     assert norm(map(tuple, df.select(*cols).collect())) == norm(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_extend_match_tries_every_place(spark, tmp_path):
+    """A document has two parts of an item, the second of them twice."""
+    r = random.Random(3)
+    w = ["".join(r.choices("abcdefghij", k=6)) for _ in range(400)]
+    one, two = w[:20], w[40:60]
+    item = " ".join([*one, *w[100:130], *two])
+    doc = " ".join([*w[200:240], *two, *w[240:280], *one, *w[280:320], *two, *w[320:360]])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(2, doc)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    os.symlink(f"{SF}/embeddings.parquet", f"{tmp_path}/embeddings.parquet")
+    got = queries.queries()["extend_match"](spark, str(tmp_path)).collect()
+    for a, b in ((0, 100), (50, 40), (50, 160)):
+        assert any(r.start_a - r.start_b == a - b and r.start_a < a + 20 and r.start_a + r.length_a > a for r in got), (a, b, got)
+    for k, r in enumerate(sorted(got, key=lambda r: (r.i, r.j))):
+        earlier = sorted(got, key=lambda r: (r.i, r.j))[:k]
+        assert not any(e.start_a - e.start_b == r.i - r.j and e.start_a <= r.i < e.start_a + e.length_a for e in earlier)
+
+
 def test_entry_names():
     import __spark_entry__ as e
 

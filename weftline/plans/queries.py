@@ -303,16 +303,16 @@ def optimize_start(spark, sf_dir):
 
 def extend_match(spark, sf_dir):
     rows, a, b, s = _gated(spark, sf_dir)
-    first = rows.groupBy("item_id", "doc_id").agg(F.min(F.struct("i", "j")).alias("p")).select(F.col("item_id").alias("key_a"), F.col("doc_id").alias("key_b"), F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+    places = rows.groupBy(F.col("item_id").alias("key_a"), F.col("doc_id").alias("key_b")).agg(F.collect_set(F.struct("i", "j")).alias("at"))
 
     def vecs(tokens, key, need, name):
         t = vectors.lookup(tokens.join(need, key, "left_semi"), s, keep=True)
         zero = F.array_repeat(F.lit(0.0), 64)
         return t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("vec", zero).alias("v")))).alias("x")).select(key, F.transform("x", lambda y: y["v"]).alias(name))
 
-    va = vecs(a, "item_id", first.select(F.col("key_a").alias("item_id")), "va").withColumnRenamed("item_id", "key_a")
-    vb = vecs(b, "doc_id", first.select(F.col("key_b").alias("doc_id")), "vb").withColumnRenamed("doc_id", "key_b")
-    return reuse.extend_matches(first.join(va, "key_a").join(vb, "key_b"))
+    va = vecs(a, "item_id", places.select(F.col("key_a").alias("item_id")), "va").withColumnRenamed("item_id", "key_a")
+    vb = vecs(b, "doc_id", places.select(F.col("key_b").alias("doc_id")), "vb").withColumnRenamed("doc_id", "key_b")
+    return reuse.extend_all(places.join(va, "key_a").join(vb, "key_b"))
 
 
 def align_sequences(spark, sf_dir):
