@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
@@ -74,6 +76,19 @@ def parts_for(spark: SparkSession, n_bytes: int, each: int, least: int = 1) -> i
     return max(least, -(-int(n_bytes) // each))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def buffers(table: pa.Table, column: str) -> list[memoryview]:
+    """The values of a binary column without copying them."""
+    return [memoryview(x.as_buffer()) for chunk in table.column(column).chunks for x in chunk]
+
+
 def write_file(uri: str, data: bytes) -> None:
     """Write one file; its folder is made where needed."""
     store, path = fs.FileSystem.from_uri(uri)

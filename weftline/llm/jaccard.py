@@ -12,15 +12,22 @@ set that has so many of them that it could be linked through them only has need
 prefix filter, which only such sets do: two of them meet there. A partner with a need shares as many signatures that
 aren't empty, so both kinds keep their memberships. So no link is lost, at any size.
 
-Signatures travel as packed arrays: 8 bytes each, one row per block of documents and bucket. What comes back are the
-memberships in runs of equal signatures. A set with fewer of them than any link must share leaves (the counting
-bound), and each run's members are compared with its smallest member. Components of these links label the sets; only
-runs that still hold different labels are looked at again, and there only sets that share enough signatures with
-other labels, pair by pair. Equal texts are one set from the start and get their class's result.
+Nodes are distinct texts, not ids. Signatures travel packed, one row per block of texts and bucket. What a block meets
+twice becomes memberships there, and one of them goes on for all, so a signature that a third of all texts have reaches
+its bucket once a block. What comes back are memberships in runs of equal signatures. A set with fewer of them than any
+link must share leaves (the counting bound). Then, on what is still in runs of different labels:
+
+1. each run's members are compared with its smallest member; components of the links label the sets;
+2. shingles that no other set left has can't be in an intersection: a set of which more than a fifth are such leaves, and
+   each run's members are compared with the one that shares most of its shingles, the centre of its copies;
+3. the rest are compared pair by pair, where sizes and shared shingles allow a link.
+
+Sets are compared on 64-bit hashes of their shingles.
 
 Defined results: null or empty texts, and texts of white space, have no shingles and are linked with nothing; fewer
-than five words are one shingle; rows that share an id are one node; a null id has no component; an empty table
-gives no rows.
+than five words are one shingle; rows that share an id but not a text are nodes of their own; a null id belongs to its
+text's group, whose component is the smallest id that isn't null (null if there is none); a row without shingles has
+its own id as component; an empty table gives no rows. No column of the table but key and text is read.
 """
 
 from __future__ import annotations
@@ -30,10 +37,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, small_batches, stored
+from weftline.llm.common import bounded_broadcast, buffers, fresh, small_batches, stored
 from weftline.llm.components import components
 
 WORDS = 5
@@ -41,8 +48,8 @@ WORDS = 5
 WHOLE = 6
 #: Sizes in a band lie within this factor.
 RATIO = 1.8
-#: Signatures in a block before it is sent, and bytes a bucket should get.
-BLOCK_SIGNATURES, BUCKET_BYTES = 2_000_000, 24 << 20
+#: Signatures in a block (more where buckets are many, so that rows don't become tiny), and bytes a bucket should get.
+BLOCK_SIGNATURES, MOST_SIGNATURES, BUCKET_BYTES = 500_000, 4_000_000, 8 << 20
 
 U64 = np.uint64
 _MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
@@ -138,13 +145,33 @@ def prefix_signatures(s: np.ndarray, band: int) -> np.ndarray:
 
 
 PACKED = "bucket int, signatures binary, keys binary, needs binary, names binary"
+#: A packed entry's low 16 bits: the owner's place in the row's tables, and whether it stands for a run of its block.
+PLACE, STANDS = U64(0x7FFF), U64(0x8000)
+
+
+def _run_of(own: np.ndarray) -> np.ndarray:
+    return (own & ~(PLACE | STANDS)).view(np.int64)
+
+
+def _cut(own: np.ndarray, who: np.ndarray, buckets: int):
+    """Sort entries by signature. Gives the order, which of them are in a run of two or more, and per bucket with
+    something to send (bucket, places in the order): of each run its first entry alone."""
+    order = np.argsort(own, kind="stable")
+    s = own[order] & ~(PLACE | STANDS)
+    head = np.concatenate([[True], s[1:] != s[:-1]])
+    tail = np.append(head[1:], True)
+    send = np.flatnonzero(head)
+    bucket = (s[send] >> U64(32)) * U64(buckets) >> U64(32)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    return order, ~(head & tail), [(int(bucket[a]), send[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 class Block:
-    """Signatures of some documents, cut into buckets. The owner's place takes 16 bits of each, its hash 48."""
+    """Signatures of some documents, cut into buckets, which follow the high bits. An entry has 48 bits of its signature."""
 
     def __init__(self, buckets: int):
         self.buckets, self.keys, self.needs, self.names, self.parts, self.n = buckets, [], [], [], [], 0
+        self.most = min(MOST_SIGNATURES, max(BLOCK_SIGNATURES, 32 * buckets))
 
     def add(self, keys: list[int], sets: list[np.ndarray]) -> None:
         groups: dict[int, list[int]] = {}
@@ -168,34 +195,29 @@ class Block:
         self.n += len(own)
 
     def full(self) -> bool:
-        return self.n >= BLOCK_SIGNATURES or len(self.keys) >= 40_000
+        return self.n >= self.most or len(self.keys) >= 30_000
 
     def rows(self):
+        """Rows of PACKED: for buckets, and with bucket -2 the memberships of runs met here."""
         if not self.n:
             return
-        who = np.concatenate([a for a, _ in self.parts]).astype(U64)
+        who = np.concatenate([a for a, _ in self.parts])
         own = np.concatenate([b for _, b in self.parts])
-        bucket = ((own >> U64(48)) * U64(self.buckets) >> U64(16)).astype(np.int32)
-        packed = own << U64(16) | who
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        tables = [np.array(self.keys, np.int64).tobytes(), np.array(self.needs, np.int32).tobytes(), np.array(self.names, np.int16).tobytes()]
-        for b in np.flatnonzero(np.diff(cuts)):
-            yield int(b), packed[order[cuts[b] : cuts[b + 1]]].tobytes(), *tables
-
-
-def five_bytes(s: np.ndarray) -> bytes:
-    """A set for comparing: 40 bits of each hash, sorted."""
-    return np.sort(s >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(U64).reshape(-1)
+        self.parts = []
+        keys, needs, names = np.array(self.keys, np.int64), np.array(self.needs, np.int32), np.array(self.names, np.int16)
+        order, runs, cuts = _cut(own, who, self.buckets)
+        if runs.any():
+            at = order[runs]
+            yield -2, _run_of(own[at]).tobytes(), *(x[who[at]].tobytes() for x in (keys, needs, names))
+        stands = np.where(runs, STANDS, U64(0))
+        for b, at in cuts:
+            own_, places = np.unique(who[order[at]], return_inverse=True)
+            packed = own[order[at]] & ~(PLACE | STANDS) | stands[at] | places.astype(U64)
+            yield b, packed.tobytes(), *(x[own_].tobytes() for x in (keys, needs, names))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Sorted sets of distinct hashes."""
     if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)) or not len(a):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -203,7 +225,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _send(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed signatures by bucket; bucket -1 has (key, size) of every document."""
+    """Packed signatures by bucket; bucket -1 has (key, size) of every document, -2 memberships."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -232,34 +254,51 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
 RUNS = "run long, key long, need int, name int"
 
 
+def _met(packed: DataFrame) -> DataFrame:
+    """Rows of RUNS that the blocks have made already; a null run: key and, as need, its size."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, runs, keys, needs, names in zip(*(c.to_pylist() for c in batch.columns)):
+                key, need = np.frombuffer(keys, np.int64), np.frombuffer(needs, np.int32)
+                n = len(key)
+                known = bucket == -2
+                own = pa.array(np.frombuffer(runs, np.int64)) if known else pa.nulls(n, pa.int64())
+                name = pa.array(np.frombuffer(names, np.int16).astype(np.int32)) if known else pa.nulls(n, pa.int32())
+                yield pa.RecordBatch.from_arrays([own, pa.array(key), pa.array(need), name], ["run", "key", "need", "name"])
+
+    return packed.where("bucket < 0").mapInArrow(run, RUNS)
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures with their marks, sorted; places in the joined tables) of a bucket's rows."""
+    counts = [len(b) // 8 for b in buffers(table, "keys")]
+    own = np.concatenate([np.frombuffer(b, U64) for b in buffers(table, "signatures")])
+    lengths = [len(b) // 8 for b in buffers(table, "signatures")]
+    at = (own & PLACE).astype(np.int64) + np.repeat(np.cumsum(counts) - counts, lengths)
+    own &= ~PLACE
+    order = np.argsort(own & ~STANDS, kind="stable")
+    return own[order], at[order]
+
+
+def _shared(own: np.ndarray) -> np.ndarray:
+    """Which sorted entries are in a run of two or more and don't stand for one that its block has made known."""
+    s = own & ~STANDS
+    head = np.concatenate([[True], s[1:] != s[:-1]])
+    return ~(head & np.append(head[1:], True)) & (own & STANDS == 0)
+
+
 def _runs(packed: DataFrame) -> DataFrame:
-    """(run, key, need, name) of signatures that two or more keys have; a null run: key and, as need, its size."""
+    """(run, key, need, name) of signatures that two or more keys have, where the blocks don't know it."""
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        bucket = rows["bucket"][0]
-        keys = [np.frombuffer(x, np.int64) for x in rows["keys"]]
-        needs = [np.frombuffer(x, np.int32) for x in rows["needs"]]
-        if bucket < 0:
-            n = sum(map(len, keys))
-            return pa.table([pa.nulls(n, pa.int64()), np.concatenate(keys), np.concatenate(needs), pa.nulls(n, pa.int32())], names=["run", "key", "need", "name"])
-        names = [np.frombuffer(x, np.int16) for x in rows["names"]]
-        signature, place, base = [], [], 0
-        for raw, k in zip(rows["signatures"], keys):
-            own = np.frombuffer(raw, U64)
-            signature.append(own >> U64(16))
-            place.append((own & U64(0xFFFF)).astype(np.int64) + base)
-            base += len(k)
-        s, at = np.concatenate(signature), np.concatenate(place)
-        order = np.argsort(s, kind="stable")
-        s, at = s[order], at[order]
-        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        size = np.diff(np.append(head, len(s)))
-        keep = np.repeat(size > 1, size)
-        at, run = at[keep], (s[keep] | U64(bucket & 0x7FFF) << U64(48)).view(np.int64)
-        return pa.table([run, np.concatenate(keys)[at], np.concatenate(needs)[at], np.concatenate(names)[at].astype(np.int32)], names=["run", "key", "need", "name"])
-
-    return packed.groupBy("bucket").applyInArrow(gather, RUNS)
+        own, at = _entries(table)
+        keep = _shared(own)
+        own, at = own[keep], at[keep]
+        key, need, name = (np.concatenate([np.frombuffer(b, k) for b in buffers(table, c)])[at] for c, k in (("keys", np.int64), ("needs", np.int32), ("names", np.int16)))
+        return pa.table([_run_of(own), key, need, name.astype(np.int32)], names=["run", "key", "need", "name"])
+
+    return packed.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, RUNS)
 
 
 def _enough(m: DataFrame) -> DataFrame:
@@ -276,11 +315,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def link(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, last, held = [], None, None
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            if x is not last and x != last:
-                last, held = x, from_five(x)
-            out.append(linked(held, from_five(y)))
+        out = [linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(a, b)]
         return pa.array(out, pa.bool_())
 
     x = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
@@ -291,48 +326,160 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row of ``df``."""
-    spark = df.sparkSession
-    # Equal texts are one document from here on.
-    rows = df.select(F.col(key).cast("long").alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_digest"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("_bytes"))
-    classes = rows.groupBy("_digest").agg(F.min("key").alias("rep"), F.max("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
-    member = stored(rows.select("key", "_digest").join(classes.select("_digest", "rep", "_n"), "_digest").select("key", "rep", "_n"), "near-classes")
-    n_bytes = classes.agg(F.sum("_bytes")).first()[0] or 0
-    copies = member.where("key <> rep").select("key").distinct()
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
-    single = docs.join(bounded_broadcast(copies, 1_000_000), "key", "left_anti")
-
-    buckets = max(8, -(-int(n_bytes * 3 // 4) // BUCKET_BYTES))
-    found = stored(_runs(_send(single, min(buckets, 1 << 15))), "near-runs")
-    sizes = found.where("run is null").select("key", F.col("need").alias("n_shingles")).groupBy("key").agg(F.max("n_shingles").alias("n_shingles"))
+def _support(sets: DataFrame, buckets: int) -> DataFrame:
+    """(key, shared): of each set's shingles how many some other set has too. A collision of hashes can only add."""
+    kinds, names = [pa.int32(), pa.binary(), pa.binary()], ["bucket", "signatures", "keys"]
+
+    def send(batches):
+        keys: list[int] = []
+        parts: list[np.ndarray] = []
+        n = 0
+
+        def flush():
+            nonlocal keys, parts, n
+            if n:
+                own, who = np.concatenate(parts), np.repeat(np.arange(len(keys)), [len(x) for x in parts])
+                key = np.array(keys, np.int64)
+                order, runs, cuts = _cut(mix(own), who, buckets)
+                own = mix(own)
+                here = np.bincount(who[order[runs]], minlength=len(keys))
+                rows = [(-1, here.astype(np.int64).tobytes(), key.tobytes())]
+                stands = np.where(runs, STANDS, U64(0))
+                for b, at in cuts:
+                    own_, places = np.unique(who[order[at]], return_inverse=True)
+                    rows.append((b, (own[order[at]] & ~(PLACE | STANDS) | stands[at] | places.astype(U64)).tobytes(), key[own_].tobytes()))
+                for row in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+            keys, parts, n = [], [], 0
+
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys.append(key)
+                parts.append(np.frombuffer(raw.as_buffer(), U64))
+                n += len(parts[-1])
+                if n >= BLOCK_SIGNATURES or len(keys) >= 30_000:
+                    parts = [x.copy() for x in parts]
+                    yield from flush()
+            parts = [x.copy() for x in parts]
+        yield from flush()
+
+    def met(batches):
+        for batch in batches:
+            for counts, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["key", "n"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        own, at = _entries(table)
+        keys = np.concatenate([np.frombuffer(b, np.int64) for b in buffers(table, "keys")])
+        key, n = np.unique(keys[at[_shared(own)]], return_counts=True)
+        return pa.table([key, n.astype(np.int64)], names=["key", "n"])
+
+    packed = stored(sets.select("key", "hashes").mapInArrow(send, "bucket int, signatures binary, keys binary"), "near-support", "snappy")
+    known = packed.where("bucket < 0").select("signatures", "keys").mapInArrow(met, "key long, n long")
+    found = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, "key long, n long")
+    return known.unionByName(found).groupBy("key").agg(F.sum("n").alias("shared"))
+
+
+def _still_mixed(m: DataFrame, labels: DataFrame) -> DataFrame:
+    """Memberships with the label of their set, in runs of more than one label; only these can hold further links."""
+    named = m.drop("label").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+    mixed = named.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
+    return named.join(mixed, "run", "left_semi")
+
+
+def _possible(a: str = "a", b: str = "b"):
+    """Sizes and shared shingles of two sets allow a link: the intersection is at most what the poorer one shares."""
+    size, shared = (F.col(f"size_{a}"), F.col(f"size_{b}")), (F.col(f"shared_{a}"), F.col(f"shared_{b}"))
+    return (5 * F.least(*size) >= 4 * F.greatest(*size)) & (9 * F.least(*shared) >= 4 * (size[0] + size[1]))
+
+
+def _nodes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """Stored (key, digest, node, rep, n) of every row; (node, text) with one row a text, but for repeated rows; stored
+    (node, rep) of nodes that aren't their text's smallest id, None if there are none; the texts' bytes.
+
+    A node is its text's smallest id; texts that share this one, or have none, get numbers below all ids."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    digest = F.unhex(F.sha2(body, 256)).alias("digest")
+    rows = df.select(F.col(key).cast("long").alias("key"), digest, F.octet_length(body).alias("bytes"))
+    classes = stored(rows.groupBy("digest").agg(F.min("key").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "near-classes")
+    n_bytes, lowest = classes.agg(F.sum("bytes"), F.min("rep")).first()
+    twice = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("times")).where("times > 1 or rep is null").select("rep")
+    odd = classes.join(twice, classes["rep"].eqNullSafe(twice["rep"]), "left_semi")
+    odd = stored(odd.select("digest", (F.lit((lowest or 0) - 1) - F.monotonically_increasing_id()).alias("node"), "rep"), "near-odd")
+    any_odd = not odd.isEmpty()
+    nodes = classes.join(odd.select("digest", "node"), "digest", "left").withColumn("node", F.coalesce("node", "rep")) if any_odd else classes.withColumn("node", F.col("rep"))
+    member = stored(rows.select("key", "digest").join(nodes.select("digest", "node", "rep", "n"), "digest"), "near-nodes")
+    copies = stored(member.where(~F.col("key").eqNullSafe(F.col("rep"))).select("key", "digest").distinct(), "near-copies")
+    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), digest)
+    c = bounded_broadcast(copies, 300_000).select(F.col("key").alias("k"), F.col("digest").alias("d"))
+    docs = docs.join(c, docs["key"].eqNullSafe(c["k"]) & (docs["digest"] == c["d"]), "left_anti")
+    if any_odd:
+        docs = docs.join(bounded_broadcast(odd.select("digest", "node"), 300_000), "digest", "left").select(F.coalesce("node", "key").alias("key"), "text")
+    return member, docs.select("key", "text"), odd.select("node", "rep") if any_odd else None, int(n_bytes or 0)
+
+
+def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(key, n_shingles) of each node and (id, component) of those that have links."""
+    packed = stored(_send(docs, max(8, -(-n_bytes * 3 // 4 // BUCKET_BYTES))), "near-packed", "snappy")
+    found = stored(_met(packed).unionByName(_runs(packed)), "near-runs")
+    sizes = stored(found.where("run is null").select("key", F.col("need").alias("size")).distinct(), "near-sizes")
     m = stored(_enough(_enough(found.where("run is not null"))), "near-members")
 
     least = m.groupBy("run").agg(F.min("key").alias("a"))
     pairs = m.join(least, "run").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    wanted = m.select("key").distinct()
-    sets = stored(_sets(docs.join(bounded_broadcast(stored(wanted, "near-wanted"), 1_000_000), "key", "left_semi")), "near-sets")
+    wanted = stored(m.select("key").distinct(), "near-wanted")
+    sets = stored(_sets(docs.join(bounded_broadcast(wanted, 1_000_000), "key", "left_semi")), "near-sets", "snappy")
     edges = _verified(pairs, sets)
     labels = components(edges)
 
-    # Runs of more than one label may hold links that no smallest member has.
-    named = m.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
-    mixed = named.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
-    rest = stored(_enough(_enough(named.join(mixed, "run", "left_semi"))), "near-rest")
-    left = rest.select("run", "name", F.col("key").alias("a"), F.col("label").alias("la"), F.col("need").alias("na"))
-    right = rest.select(F.col("run").alias("r"), F.col("key").alias("b"), F.col("label").alias("lb"), F.col("need").alias("nb"))
-    cross = left.join(right, (F.col("run") == F.col("r")) & (F.col("la") < F.col("lb")) & (F.greatest("na", "nb") > 0))
-    more = cross.groupBy("a", "b", "name").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least")
-    more = more.select("a", "b").distinct()
-    extra = _verified(more, sets)
-    if not extra.isEmpty():
-        labels = components(edges.unionByName(extra))
-
-    labels = labels.select(F.col("id").alias("rep"), "component")
-    done = member.join(sizes.select(F.col("key").alias("rep"), "n_shingles"), "rep", "left").join(labels, "rep", "left")
-    linked_ = F.col("n_shingles") > 0
-    component = F.when(linked_, F.coalesce("component", "rep")).otherwise(F.col("key"))
-    return done.select(F.col("key").alias(key), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.when(linked_, F.col("_n")).otherwise(F.lit(1)).alias("n_equal_texts"))
+    # What only shingles of its own hold apart from its run can't link; copies meet at their centre.
+    rest = stored(_enough(_enough(_still_mixed(m, labels))), "near-rest")
+    left = stored(rest.select("key").distinct(), "near-left")
+    own = sets.join(bounded_broadcast(left, 1_000_000), "key", "left_semi")
+    n_elements = left.join(sizes, "key").agg(F.sum("size")).first()[0] or 0
+    support = _support(own, max(4, -(-int(n_elements) * 8 // BUCKET_BYTES)))
+    support = support.join(sizes, "key").select("key", "size", F.least("shared", F.col("size").cast("long")).alias("shared")).where("5 * shared >= 4 * size")
+    rest = _enough(_enough(rest.join(stored(support, "near-shared"), "key")))
+    rest = stored(_still_mixed(rest, labels), "near-rest")
+    center = rest.groupBy("run").agg(F.max(F.struct((F.col("shared") / F.col("size")).alias("part"), (-F.col("key")).alias("minus"), "key", "label", "size", "shared")).alias("c"))
+    center = center.select("run", F.col("c.key").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("size_a"), F.col("c.shared").alias("shared_a"))
+    near = rest.select("run", F.col("key").alias("b"), "label", F.col("size").alias("size_b"), F.col("shared").alias("shared_b"))
+    near = near.join(center, "run").where((F.col("la") != F.col("label")) & _possible()).select("a", "b").distinct()
+    more = _verified(near, sets)
+    if not more.isEmpty():
+        edges = stored(edges.unionByName(more), "near-edges")
+        labels = components(edges)
+        rest = stored(_enough(_still_mixed(rest, labels)), "near-rest")
+
+    side = lambda x: rest.select(F.col("run").alias(f"run_{x}"), "name", *(F.col(c).alias(f"{d}_{x}") for c, d in (("key", "key"), ("label", "label"), ("need", "need"), ("size", "size"), ("shared", "shared"))))
+    where = (F.col("run_a") == F.col("run_b")) & (F.col("label_a") < F.col("label_b")) & (F.greatest("need_a", "need_b") > 0) & _possible()
+    cross = side("a").join(side("b").drop("name"), where)
+    last = cross.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "name").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("need_a", "need_b")).alias("least")).where("n >= least")
+    last = _verified(last.select("a", "b").distinct(), sets)
+    if not last.isEmpty():
+        labels = components(edges.unionByName(last))
+    return sizes.withColumnRenamed("size", "n_shingles"), labels
+
+
+def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored (key, digest, n, n_shingles, group, component) of every row; group is null without shingles."""
+    member, docs, odd, n_bytes = _nodes(df, key, text)
+    sizes, labels = _links(docs, n_bytes)
+    if odd is not None:
+        named = labels.join(odd.withColumnRenamed("node", "id").withColumn("is_odd", F.lit(True)), "id", "left").withColumn("rep", F.when(F.col("is_odd"), F.col("rep")).otherwise(F.col("id")))
+        labels = labels.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component")
+    else:
+        labels = labels.withColumn("least", F.col("component"))
+    done = member.join(sizes.withColumnRenamed("key", "node"), "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    some = F.col("n_shingles") > 0
+    least = F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least"))
+    return stored(done.select("key", "digest", "n", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(some, F.coalesce("component", "node")).alias("group"), F.when(some, least).otherwise(F.col("key")).alias("component")), "near-groups")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, n_equal_texts) of every row of ``df``."""
+    some = F.col("n_shingles") > 0
+    return _grouped(df, key, text).select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.when(some, F.col("n")).otherwise(F.lit(1)).alias("n_equal_texts"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -340,15 +487,21 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            packed = [five_bytes(shingle_set(t)) for t in batch.column(1).to_pylist()]
+            packed = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["key", "hashes"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, hashes binary")
 
 
 def one_per_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the smallest id of their group; of rows that share it, and of rows without an id, one text each stays."""
-    groups = near_duplicates(df, key, text)
-    gone = stored(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "near-gone")
-    kept = df.join(bounded_broadcast(gone, 1_000_000), df[key] == F.col("_gone"), "left_anti")
-    return kept
+    """The rows of ``df`` that have the smallest id of their group (a group without ids keeps one text's rows; of an id
+    with several texts in the group the least digest stays). Rows that repeat id and text of the kept one are the same
+    document: all stay, or all go. Texts without shingles stay. Columns are those of ``df``, whatever their names."""
+    rows = _grouped(df, key, text)
+    best = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest")).alias("b"))
+    best = best.select("group", F.col("b.key").alias("best_key"), F.col("b.digest").alias("best_digest"))
+    gone = rows.join(best, "group").where(~(F.col("key").eqNullSafe(F.col("best_key")) & (F.col("digest") == F.col("best_digest")))).select("key", "digest").distinct()
+    k, d = fresh(df, "key"), fresh(df, "digest")
+    gone = bounded_broadcast(stored(gone.withColumnsRenamed({"key": k, "digest": d}), "near-gone"), 300_000)
+    same = F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)) == F.col(d))
+    return df.join(gone, same, "left_anti")
