@@ -151,7 +151,13 @@ def test_suffixes(docs, none):
     assert suffixes.removal_digests(none).count() == 0
 
 
-def test_long_texts_are_cut_into_slices(spark, monkeypatch):
+def test_windows_of_hot_anchors(docs, monkeypatch):
+    want = sorted(map(tuple, suffixes.removal_digests(docs).collect()), key=repr)
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    assert sorted(map(tuple, suffixes.removal_digests(docs).collect()), key=repr) == want
+
+
+def test_long_texts_are_cut_into_slices(spark):
     shared = words(40, 21)
     rows = [(1, words(30_000, 22) + shared + words(30_000, 23)), (2, words(20_000, 24) + shared + words(25_000, 25))]
     got = {r.doc_id: r for r in suffixes.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -176,21 +182,56 @@ def test_language_model(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """One id on two texts, ids that are null, and columns with the names that joins could have used."""
+    a, b = words(60, 51), words(40, 52)
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (None, a), (None, b), (None, words(50, 53)), (9, None), (9, ""), (11, words(45, 54)), (11, words(45, 55)), (11, words(45, 54))]
+    schema = "doc_id long, text string, spans int, _spans int, _key long, key long, digest string, _digest string, _gone int, _src int, _rate int, source string, node int, rep int, n int"
+    df = spark.createDataFrame([(k, t, 1, 2, 3, 4, "x", "y", 5, 6, 7, "s", 8, 9, 10) for k, t in rows], schema)
+    got = jaccard.near_duplicates(df).collect()
+    sets = [jaccard.shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if jaccard.linked(x, y):
+                    label[i] = label[j] = min(label[i], label[j])
+    ids = lambda i: [k for (k, _), own in zip(rows, label) if own == label[i] and k is not None]
+    want = [(k, len(s), (min(ids(i)) if ids(i) else None) if len(s) else k) for i, ((k, _), s) in enumerate(zip(rows, sets))]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+    kept = jaccard.one_per_group(df)
+    assert kept.columns == df.columns
+    have = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert have == sorted([(3, a), (5, b), (None, words(50, 53)), (9, None), (9, ""), *[(11, words(45, 54))] * 2, (11, words(45, 55))], key=repr)
+
+    p, y = words(30, 61), words(40, 62)
+    rows = [(3, p), (5, p + " " + words(5, 63)), (5, y), (6, y[:90]), (5, p), (None, p), (2, words(20, 64))]
+    df = spark.createDataFrame([(k, t, 1, 2, 3, 4, "x", "y", 5, 6, 7, "s", 8, 9, 10) for k, t in rows], schema)
+    cut = suffixes.without_repeats(df)
+    assert cut.columns == df.columns
+    want = [(3, p), (5, (p + " " + words(5, 63))[len(p) :]), (5, y), (6, ""), (5, ""), (None, p), (2, words(20, 64))]
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == sorted(want, key=repr)
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "_copies", "_copy", "_order"]
+    assert bpe.with_ids(df, __import__("public_tokenizers").path("byte_bpe_multi_50k.tiktoken"), __import__("public_tokenizers").PATTERN).count() == 7
+
+
 def test_wavelet_shards(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    rows = sorted(texts(), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    special = [(100, "before <|endoftext|> after!", "en", "a", 1, 9, "r", 1, 2, 3), (101, "!<|endoftext|>", "en", "a", 1, 9, "r", 1, 2, 3)]
+    rows = sorted([*texts(), *((r[0], r[1]) for r in special)], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(special, SCHEMA))
     manifest = wavelet.write_shards(docs, path, common.shared_folder(docs.sparkSession, "t"), shard_tokens=1000)
     assert manifest.count() >= 3
     got = sorted(map(tuple, wavelet.read_documents(manifest).collect()), key=lambda r: r[1])
     start, want = 0, []
     for key, text in rows:
         ids = own.encode(text, add_special_tokens=False).ids + [0]
-        want.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        want.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids.count(0)))
         start += len(ids)
     assert got == want
     assert wavelet.read_documents(wavelet.encode_corpus(none, path)).count() == 0

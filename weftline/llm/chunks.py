@@ -20,13 +20,24 @@ CHUNK = re.compile(f" ?[{LETTERS}]+(?=[,.;:!?|{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+
 
 class ChunkCache:
     """Encoded chunks, at most ``most`` of them; a full cache starts anew. Chunks over ``longest`` characters
-    aren't kept."""
+    aren't kept. Texts that hold one of ``added`` are encoded by ``whole``."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_200_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, added: Iterable[str] = (), most: int = 1_200_000, longest: int = 64):
         self.encode, self.most, self.longest, self.known = encode, most, longest, {}
+        self.whole, self.added = whole, [x for x in added if x]
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         """The joined encoded chunks of each text."""
+        texts = list(texts)
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not odd:
+            return self._by_chunks(texts)
+        out = self._by_chunks(["" if any(x in t for x in self.added) else t for t in texts])
+        for i in odd:
+            out[i] = self.whole(texts[i])
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         cut = [CHUNK.findall(t) for t in texts]
         known = self.known
         missing: set[str] = set()

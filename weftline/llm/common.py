@@ -6,6 +6,7 @@ runs twice leaves two files of which only the returned one is ever read.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -84,6 +85,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system: the worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
+
+
 def buffers(table: pa.Table, column: str) -> list[memoryview]:
     """The values of a binary column without copying them."""
     return [memoryview(x.as_buffer()) for chunk in table.column(column).chunks for x in chunk]

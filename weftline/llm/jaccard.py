@@ -40,8 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, buffers, fresh, small_batches, stored
+from weftline.llm.common import bounded_broadcast, buffers, fresh, release, small_batches, stored
 from weftline.llm.components import components
+from weftline.llm.nodes import SMALL_ROWS, digest_of, nodes_of
 
 WORDS = 5
 #: Up to this k all subsets of two partitions are enumerated.
@@ -247,6 +248,7 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
                     yield from out(block.rows())
                     block = Block(buckets)
         yield from out(block.rows())
+        release()
 
     return docs.select("key", "text").mapInArrow(run, PACKED)
 
@@ -292,6 +294,7 @@ def _runs(packed: DataFrame) -> DataFrame:
     """(run, key, need, name) of signatures that two or more keys have, where the blocks don't know it."""
 
     def gather(table: pa.Table) -> pa.Table:
+        release()
         own, at = _entries(table)
         keep = _shared(own)
         own, at = own[keep], at[keep]
@@ -393,31 +396,6 @@ def _possible(a: str = "a", b: str = "b"):
     return (5 * F.least(*size) >= 4 * F.greatest(*size)) & (9 * F.least(*shared) >= 4 * (size[0] + size[1]))
 
 
-def _nodes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
-    """Stored (key, digest, node, rep, n) of every row; (node, text) with one row a text, but for repeated rows; stored
-    (node, rep) of nodes that aren't their text's smallest id, None if there are none; the texts' bytes.
-
-    A node is its text's smallest id; texts that share this one, or have none, get numbers below all ids."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    digest = F.unhex(F.sha2(body, 256)).alias("digest")
-    rows = df.select(F.col(key).cast("long").alias("key"), digest, F.octet_length(body).alias("bytes"))
-    classes = stored(rows.groupBy("digest").agg(F.min("key").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "near-classes")
-    n_bytes, lowest = classes.agg(F.sum("bytes"), F.min("rep")).first()
-    twice = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("times")).where("times > 1 or rep is null").select("rep")
-    odd = classes.join(twice, classes["rep"].eqNullSafe(twice["rep"]), "left_semi")
-    odd = stored(odd.select("digest", (F.lit((lowest or 0) - 1) - F.monotonically_increasing_id()).alias("node"), "rep"), "near-odd")
-    any_odd = not odd.isEmpty()
-    nodes = classes.join(odd.select("digest", "node"), "digest", "left").withColumn("node", F.coalesce("node", "rep")) if any_odd else classes.withColumn("node", F.col("rep"))
-    member = stored(rows.select("key", "digest").join(nodes.select("digest", "node", "rep", "n"), "digest"), "near-nodes")
-    copies = stored(member.where(~F.col("key").eqNullSafe(F.col("rep"))).select("key", "digest").distinct(), "near-copies")
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), digest)
-    c = bounded_broadcast(copies, 300_000).select(F.col("key").alias("k"), F.col("digest").alias("d"))
-    docs = docs.join(c, docs["key"].eqNullSafe(c["k"]) & (docs["digest"] == c["d"]), "left_anti")
-    if any_odd:
-        docs = docs.join(bounded_broadcast(odd.select("digest", "node"), 300_000), "digest", "left").select(F.coalesce("node", "key").alias("key"), "text")
-    return member, docs.select("key", "text"), odd.select("node", "rep") if any_odd else None, int(n_bytes or 0)
-
-
 def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(key, n_shingles) of each node and (id, component) of those that have links."""
     packed = stored(_send(docs, max(8, -(-n_bytes * 3 // 4 // BUCKET_BYTES))), "near-packed", "snappy")
@@ -463,10 +441,11 @@ def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
 
 def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     """Stored (key, digest, n, n_shingles, group, component) of every row; group is null without shingles."""
-    member, docs, odd, n_bytes = _nodes(df, key, text)
-    sizes, labels = _links(docs, n_bytes)
-    if odd is not None:
-        named = labels.join(odd.withColumnRenamed("node", "id").withColumn("is_odd", F.lit(True)), "id", "left").withColumn("rep", F.when(F.col("is_odd"), F.col("rep")).otherwise(F.col("id")))
+    nodes = nodes_of(df, key, text, "near")
+    sizes, labels = _links(nodes.docs, nodes.n_bytes)
+    member = nodes.member
+    if nodes.any_odd:
+        named = labels.join(nodes.odd.select(F.col("node").alias("id"), "rep", F.lit(True).alias("is_odd")), "id", "left").withColumn("rep", F.when(F.col("is_odd"), F.col("rep")).otherwise(F.col("id")))
         labels = labels.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component")
     else:
         labels = labels.withColumn("least", F.col("component"))
@@ -502,6 +481,6 @@ def one_per_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     best = best.select("group", F.col("b.key").alias("best_key"), F.col("b.digest").alias("best_digest"))
     gone = rows.join(best, "group").where(~(F.col("key").eqNullSafe(F.col("best_key")) & (F.col("digest") == F.col("best_digest")))).select("key", "digest").distinct()
     k, d = fresh(df, "key"), fresh(df, "digest")
-    gone = bounded_broadcast(stored(gone.withColumnsRenamed({"key": k, "digest": d}), "near-gone"), 300_000)
-    same = F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)) == F.col(d))
+    gone = bounded_broadcast(stored(gone.withColumnsRenamed({"key": k, "digest": d}), "near-gone"), SMALL_ROWS)
+    same = F.col(key).cast("long").eqNullSafe(F.col(k)) & (digest_of(text) == F.col(d))
     return df.join(gone, same, "left_anti")

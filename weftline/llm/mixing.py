@@ -6,7 +6,8 @@ seed, so any task, on any day, gives a row the same count; a large rate is the s
 number. Rows are exploded by their counts and shuffled globally:
 a hash of id, copy and seed deals them out to partitions and orders them there.
 
-Defined results: a null source is the source ''; a source without a target weight, with a weight of 0 or without
+Defined results: columns _copies, _copy and _order are the result's, and replace columns of ``df`` of these names; other
+names don't matter; a null source is the source ''; a source without a target weight, with a weight of 0 or without
 characters gets rate 0; a null text has no characters; a null id hashes as the empty text; repeated rows get the
 same count each; an empty table gives no rows. Sources are few next to rows: their table is broadcast up to
 BROADCAST_ROWS rows and joined by shuffle, with Spark's own splitting of skewed keys, beyond.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, stored
+from weftline.llm.common import bounded_broadcast, fresh, stored
 
 #: 2^52: hash digits as a fraction below 1 that a double holds exactly.
 SPAN = float(1 << 52)
@@ -72,11 +73,12 @@ def copies(seed: int, key: str, rate: Column) -> Column:
 
 def replicate(df: DataFrame, rates: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
     """``df`` with _copies, _copy and _order: each row as often as its count says."""
-    r = bounded_broadcast(rates).select(F.col("src").alias("_src"), F.col("rate").alias("_rate"))
-    rows = df.join(r, F.coalesce(df["source"], F.lit("")) == F.col("_src"), "left")
-    rows = rows.withColumn("_copies", copies(seed, key, F.coalesce("_rate", F.lit(0.0))))
+    src, rate = fresh(df, "_src"), fresh(df, "_rate")
+    r = bounded_broadcast(rates).select(F.col("src").alias(src), F.col("rate").alias(rate))
+    rows = df.join(r, F.coalesce(df["source"], F.lit("")) == F.col(src), "left")
+    rows = rows.withColumn("_copies", copies(seed, key, F.coalesce(rate, F.lit(0.0))))
     rows = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.withColumn("_order", hashed(seed + 1, F.col(key), F.col("_copy"))).drop("_src", "_rate")
+    return rows.withColumn("_order", hashed(seed + 1, F.col(key), F.col("_copy"))).drop(src, rate)
 
 
 def shuffled(df: DataFrame, parts: int | None = None) -> DataFrame:

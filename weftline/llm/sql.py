@@ -58,17 +58,20 @@ def _quality() -> str:
 MIXING = """
 with s as (select coalesce(source, '') as src, sum(coalesce(length(text), 0))::double as chars from documents group by 1),
 t as (select sum(chars) as chars, count(*) filter (where chars > 0)::double as weight from s),
-r as (select src, case when s.chars > 0 then least(1.0::double * t.chars / (s.chars * t.weight), 16.0) else 0 end as rate from s, t),
+r as (select src, case when s.chars > 0 then 1.0::double * t.chars / (s.chars * t.weight) else 0 end as rate from s, t),
+q as (select src, rate / greatest(ceil(rate / 16), 1) as rate, greatest(ceil(rate / 16), 1)::bigint as parts from r),
 d as (
-    select doc_id, source, md5(coalesce(text, '')) as text_md5, rate,
-        (('0x' || substr(md5('2011:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint) / 4503599627370496.0::double as u
-    from documents join r on src = coalesce(source, '')),
+    select doc_id, source, md5(coalesce(text, '')) as text_md5, src, part,
+        (('0x' || substr(md5('2011:' || coalesce(doc_id::varchar, '') || case when part > 1 then ':' || part::varchar else '' end), 1, 13))::bigint) / 4503599627370496.0::double as u
+    from (select *, unnest(range(1, parts + 1)) as part from documents join q on src = coalesce(source, ''))),
 cdf as (
     with recursive c as (
-        select src, rate, 0 as k, exp(-rate) as p, exp(-rate) as cdf from r
+        select src, rate, 0 as k, exp(-rate) as p, exp(-rate) as cdf from q
         union all select src, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) from c where k < 64)
     select src, k, cdf from c),
-n as (select doc_id, source, text_md5, (select min(k) from cdf where cdf.src = coalesce(d.source, '') and cdf.cdf > d.u)::int as n_copies from d),
+n as (
+    select doc_id, source, text_md5, sum(k)::int as n_copies from (select doc_id, source, text_md5, (select min(k) from cdf where cdf.src = d.src and cdf.cdf > d.u) as k from d)
+    group by all),
 e as (select *, unnest(range(1, n_copies + 1))::int as copy_no from n where n_copies > 0)
 select doc_id, source, n_copies, copy_no, ('0x' || substr(md5('2012:' || coalesce(doc_id::varchar, '') || ':' || copy_no::varchar), 1, 13))::bigint as order_key, text_md5 from e
 """

@@ -6,21 +6,24 @@ occur in one document only never need sorting, so the work comes in three steps:
 1. Anchors. Of the K-byte strings in a window of WIDTH bytes the one with the least hash is the window's anchor (the
    leftmost on ties), which depends on the window's bytes only. So equal windows have equal anchors at equal
    places, every window belongs to one anchor, and windows of one anchor are a run of starts. Anchor hashes travel
-   packed, 8 bytes each; those met in two or more documents come back per document.
+   packed, 8 bytes each; those met in two or more documents come back per document. What a block of documents meets
+   twice it knows at once, and sends one of them on for all.
 2. Segments. The bytes under such an anchor's run of windows, WIDTH + WIDTH - K at most, are cut out and dealt to
-   buckets by the anchor's hash; equal segments are sent once per block, with their places.
+   buckets by the anchor's hash. In a block, of equal segments only those of the smallest document are sent: the others
+   go whole. The windows of an anchor that more than HOT documents hold are dealt one by one, by their own hashes.
 3. Columns. A bucket's distinct segments are a collection of strings. Round t inserts the suffix of length t of each:
    one symbol per string into the BWT, at the place that last-to-first mapping gives, with the common prefix of each
    row and the row before, from the least common prefix since the symbol's last occurrence. Rows are read and
-   written front to back once per round, chunk by chunk (``Rows``): in memory while they fit in one chunk, else in
-   files in the shared folder. Rows whose common prefix is WIDTH or more hold one string; its smallest document
-   decides which occurrences go.
+   written front to back once per round, chunk by chunk (``Rows``): in sequential files in the shared folder, but for
+   collections of one chunk, which stay in memory. Rows whose common prefix is WIDTH or more hold one string; its
+   smallest document decides which occurrences go.
 
 Rounds are bounded by the segment length, not by the documents', however long these are. Equal texts are one document
 from the start: of a copy everything goes if it has WIDTH bytes.
 
-Defined results: null is the empty text; documents that share an id never remove anything from one another; a null id
-is kept whole and removes nothing; texts shorter than WIDTH are kept; an empty table gives no rows.
+Defined results: null is the empty text; documents that share an id never remove anything from one another, and each
+loses only what stands in it; a null id is kept whole and removes nothing; texts shorter than WIDTH are kept; an empty
+table gives no rows. Only the columns key and text are read, and no name of another column matters.
 """
 
 from __future__ import annotations
@@ -31,17 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, shared_folder, small_batches, stored
+from weftline.llm.common import bounded_broadcast, buffers, fresh, release, shared_folder, small_batches, stored
+from weftline.llm.nodes import SMALL_ROWS, digest_of, nodes_of
 
 WIDTH, K = 50, 20
-#: Bytes of text hashed at once, anchors in a block, bytes a bucket of anchors and occurrences a bucket of segments should get.
-SLICE_BYTES, BLOCK_ANCHORS, ANCHOR_BUCKET, SEGMENT_BUCKET = 256 << 10, 1_000_000, 8 << 20, 16_000
+#: Bytes of text hashed at once, anchors in a block, segments in a block, bytes a bucket of anchors should get, and
+#: segments that a bucket of segments should get.
+SLICE_BYTES, BLOCK_ANCHORS, BLOCK_SEGMENTS, ANCHOR_BUCKET, SEGMENT_BUCKET = 256 << 10, 500_000, 200_000, 4 << 20, 32_000
+#: Holders of an anchor above which its windows are dealt one by one.
+HOT = 100_000
 #: Rows of the transform in a chunk.
-CHUNK_ROWS = 8_000_000
+CHUNK_ROWS = 1 << 19
 
 U64 = np.uint64
 _C = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
@@ -125,38 +133,49 @@ _ONE = [bytes([i]) for i in range(256)]
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> U64(48)) * U64(n) >> U64(16)).astype(np.int32)
+    return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
 
 
 def _bytes_of(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
+#: A packed anchor has 48 bits of its hash, and in the low 16 the holder's place in the row's table of nodes and whether
+#: it stands for more holders, who know already.
+PLACE, STANDS = U64(0x7FFF), U64(0x8000)
+
+
 def _send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, anchors, keys): packed, hash in the high 48 bits and the place in keys in the low 16."""
+    """(bucket, anchors, keys), packed; bucket -1 has anchors that a block met in two documents, with a key for each."""
     small_batches(docs.sparkSession)
     names, kinds = ["bucket", "anchors", "keys"], [pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches):
         keys: list[int] = []
         packed: list[np.ndarray] = []
-        hashes: list[np.ndarray] = []
         held = 0
 
         def flush():
-            nonlocal keys, packed, hashes, held
+            nonlocal keys, packed, held
             if held:
-                own, h = np.concatenate(packed), np.concatenate(hashes)
-                bucket = _bucket(h, buckets)
-                order = np.lexsort((own, bucket))
-                own, bucket = own[order], bucket[order]
-                fresh = np.concatenate([[True], own[1:] != own[:-1]])  # a document's anchor counts once
-                own, bucket = own[fresh], bucket[fresh]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                table = np.array(keys, np.int64).tobytes()
-                for b in np.flatnonzero(np.diff(cuts)):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((int(b), own[cuts[b] : cuts[b + 1]].tobytes(), table), kinds)], names)
-            keys, packed, hashes, held = [], [], [], 0
+                table = np.array(keys, np.int64)
+                own = np.sort(np.concatenate(packed))
+                packed = []
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]  # a document's anchor counts once
+                mark = own & ~U64(0xFFFF)
+                head = np.concatenate([[True], mark[1:] != mark[:-1]])
+                met = ~(head & np.append(head[1:], True))
+                rows = []
+                if met.any():
+                    rows.append((-1, mark[met].tobytes(), table[(own[met] & PLACE).astype(np.int64)].tobytes()))
+                own = np.where(met, own | STANDS, own)[head]
+                bucket = _bucket(own, buckets)
+                for part in np.split(np.arange(len(own)), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1):
+                    who, place = np.unique((own[part] & PLACE).astype(np.int64), return_inverse=True)
+                    rows.append((int(bucket[part[0]]), (own[part] & ~PLACE | place.astype(U64)).tobytes(), table[who].tobytes()))
+                for row in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+            keys, packed, held = [], [], 0
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist())
@@ -165,11 +184,11 @@ def _send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 base = len(keys)
                 keys += [ids[i] for i in group]
                 packed.append(h & ~U64(0xFFFF) | (owner + base).astype(U64))
-                hashes.append(h)
                 held += len(h)
-                if held >= BLOCK_ANCHORS or len(keys) > 40_000:
+                if held >= BLOCK_ANCHORS or len(keys) > 30_000:
                     yield from flush()
         yield from flush()
+        release()
 
     return docs.select("key", "text").mapInArrow(run, "bucket int, anchors binary, keys binary")
 
@@ -178,79 +197,101 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
     """(key, anchor): of each document the hashes (48 bits) that another document has too, a row each, so rows follow the
     text that is shared, whatever the number of buckets."""
 
+    def met(batches):
+        for batch in batches:
+            for own, keys in zip(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), np.int64)), pa.array(np.frombuffer(own.as_buffer(), np.int64))], ["key", "anchor"])
+
     def gather(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        own, who, base = [], [], 0
-        tables = [np.frombuffer(x, np.int64) for x in rows["keys"]]
-        for raw, k in zip(rows["anchors"], tables):
-            a = np.frombuffer(raw, U64)
-            own.append(a & ~U64(0xFFFF))
-            who.append((a & U64(0xFFFF)).astype(np.int64) + base)
-            base += len(k)
-        h, doc = np.concatenate(own), np.concatenate(tables)[np.concatenate(who)]
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-        keep = np.repeat(lo != hi, np.diff(np.append(head, len(h))))
-        h, doc = h[keep], doc[keep]
-        order = np.lexsort((h, doc))
+        release()
+        tables = [np.frombuffer(x, np.int64) for x in buffers(table, "keys")]
+        own = [np.frombuffer(x, U64) for x in buffers(table, "anchors")]
+        base = np.cumsum([0, *map(len, tables[:-1])])
+        doc = np.concatenate([t[(a & PLACE).astype(np.int64)] for t, a in zip(tables, own)]) if len(base) else np.empty(0, np.int64)
+        h = np.concatenate(own)
+        order = np.argsort(h & ~U64(0xFFFF), kind="stable")
         h, doc = h[order], doc[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.empty(0, bool)
-        h, doc = h[fresh], doc[fresh]
-        return pa.table([doc, h.view(np.int64)], names=["key", "anchor"])
+        mark = h & ~U64(0xFFFF)
+        head = np.concatenate([[True], mark[1:] != mark[:-1]])
+        keep = ~(head & np.append(head[1:], True)) & (h & STANDS == 0)
+        return pa.table([doc[keep], mark[keep].view(np.int64)], names=["key", "anchor"])
+
+    known = packed.where("bucket < 0").select("anchors", "keys").mapInArrow(met, "key long, anchor long")
+    return known.unionByName(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, "key long, anchor long"))
 
-    return packed.groupBy("bucket").applyInArrow(gather, "key long, anchor long")
+
+SEGMENTS = ("segments", "lengths", "which", "keys", "ids", "starts")
 
 
 def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, segments, lengths, which, keys, starts): a block's distinct segments and where they stand."""
+    """Rows (bucket, segments, lengths, which, keys, ids, starts): a block's distinct segments, each with where it stands
+    in its smallest document. Other documents' go whole: bucket -1 has these as (keys, begins as ids, ends as starts)."""
     small_batches(docs.sparkSession)
-    names = ["bucket", "segments", "lengths", "which", "keys", "starts"]
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+    names, kinds = ["bucket", *SEGMENTS], [pa.int32(), *[pa.binary()] * 6]
 
     def run(batches):
-        held: dict[int, tuple[dict, list, list, list]] = {}
+        held: dict[bytes, list[tuple[int, int, int]]] = {}
+        where: dict[bytes, int] = {}
         count = 0
 
         def flush():
-            nonlocal held, count
-            for b, (known, which, keys, starts) in held.items():
-                row = (b, b"".join(known), np.array([len(x) for x in known], np.uint8).tobytes(), np.array(which, np.int32).tobytes(), np.array(keys, np.int64).tobytes(), np.array(starts, np.int64).tobytes())
+            nonlocal held, where, count
+            whole: list[tuple[int, int, int]] = []
+            rows: dict[int, tuple[list, list, list]] = {}
+            for segment, seen in held.items():
+                least = min(x[0] for x in seen)
+                n = len(segment) - 1
+                whole += [(key, start, start + n) for own, key, start in seen if own != least]
+                known, which, places = rows.setdefault(where[segment], ([], [], []))
+                places += (x for x in seen if x[0] == least)
+                which += [len(known)] * (len(places) - len(which))
+                known.append(segment)
+            held, where, count = {}, {}, 0
+            as_bytes = lambda x: np.array(x, np.int64).tobytes()
+            out = []
+            if whole:
+                key, begin, stop = zip(*whole)
+                out.append((-1, b"", b"", b"", as_bytes(key), as_bytes(begin), as_bytes(stop)))
+            for b, (known, which, places) in rows.items():
+                own, key, start = zip(*places)
+                out.append((b, b"".join(known), np.array([len(x) for x in known], np.uint8).tobytes(), np.array(which, np.int32).tobytes(), as_bytes(key), as_bytes(own), as_bytes(start)))
+            for row in out:
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
-            held, count = {}, 0
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist())
-            wanted = [np.sort(x.values.to_numpy().view(U64)) for x in batch.column(2)]
+            nodes, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2).to_pylist())
+            wanted = [np.sort(x.values.to_numpy().view(U64)) for x in batch.column(3)]
             for group, text, starts, lengths, offsets in _slices(texts):
-                owner, first, windows, where, h = anchors(text, starts, lengths)
+                owner, first, windows, anchor, h = anchors(text, starts, lengths)
                 if not len(h):
                     continue
                 mark = h & ~U64(0xFFFF)
-                hit = np.zeros(len(h), bool)
+                hit, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
                 edges = np.searchsorted(owner, np.arange(len(group) + 1))
                 for g, i in enumerate(group):
                     if (lo := edges[g]) < (hi := edges[g + 1]) and len(wanted[i]):
-                        near = np.minimum(np.searchsorted(wanted[i], mark[lo:hi]), len(wanted[i]) - 1)
-                        hit[lo:hi] = wanted[i][near] == mark[lo:hi]
+                        near = wanted[i][np.minimum(np.searchsorted(wanted[i], mark[lo:hi]), len(wanted[i]) - 1)]
+                        hit[lo:hi] = near & ~U64(0xFFFF) == mark[lo:hi]
+                        hot[lo:hi] = near & U64(1) == U64(1)
                 at = np.flatnonzero(hit)
                 bucket = _bucket(mark[at], buckets).tolist()
                 place = (first[at] - starts[owner[at]] + offsets[owner[at]]).tolist()
-                for b, g, s, n, p, a in zip(bucket, owner[at].tolist(), first[at].tolist(), windows[at].tolist(), place, (where[at] - first[at]).tolist()):
-                    if b not in held:
-                        held[b] = ({}, [], [], [])
-                    known, which, keys, places = held[b]
-                    segment = text[s : s + n + WIDTH - 1] + _ONE[a]  # the anchor's offset is the last byte
-                    which.append(known.setdefault(segment, len(known)))
-                    keys.append(ids[group[g]])
-                    places.append(p)
-                count += len(at)
-                if count >= BLOCK_ANCHORS:
+                for b, g, s, n, p, a, alone in zip(bucket, owner[at].tolist(), first[at].tolist(), windows[at].tolist(), place, (anchor[at] - first[at]).tolist(), hot[at].tolist()):
+                    i = group[g]
+                    for w in range(n) if alone else (0,):
+                        segment = text[s + w : s + w + WIDTH] + _ONE[a - w] if alone else text[s : s + n + WIDTH - 1] + _ONE[a]  # the anchor's offset is the last byte
+                        if segment in held:
+                            held[segment].append((ids[i], nodes[i], p + w))
+                        else:
+                            held[segment] = [(ids[i], nodes[i], p + w)]
+                            where[segment] = (xxhash.xxh3_64_intdigest(segment[:-1]) >> 16) * buckets >> 48 if alone else b
+                        count += 1
+                if count >= BLOCK_SEGMENTS:
                     yield from flush()
         yield from flush()
+        release()
 
-    return docs.select("key", "text", "anchors").mapInArrow(run, ", ".join(f"{n} {'int' if n == 'bucket' else 'binary'}" for n in names))
+    return docs.select("key", "id", "text", "anchors").mapInArrow(run, "bucket int, " + ", ".join(f"{n} binary" for n in SEGMENTS))
 
 
 class Rows:
@@ -479,16 +520,15 @@ def sharing(segments: list[bytes], smallest: np.ndarray, largest: np.ndarray) ->
 
 def bucket_spans(table: pa.Table, scratch: str) -> pa.Table:
     """(key, begin, stop) of a bucket's rows from _send_segments."""
-    rows = table.to_pydict()
+    release()
     known: dict[bytes, int] = {}
-    which, keys, starts = [], [], []
-    for raw, lengths, w, k, s in zip(rows["segments"], rows["lengths"], rows["which"], rows["keys"], rows["starts"]):
-        ends = np.cumsum(np.frombuffer(lengths, np.uint8).astype(np.int64))
+    which = []
+    for raw, lengths, w in zip(*(buffers(table, c) for c in ("segments", "lengths", "which"))):
+        raw, ends = bytes(raw), np.cumsum(np.frombuffer(lengths, np.uint8).astype(np.int64))
         own = [known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         which.append(np.array(own, np.int64)[np.frombuffer(w, np.int32)])
-        keys.append(np.frombuffer(k, np.int64))
-        starts.append(np.frombuffer(s, np.int64))
-    at, key, start = np.concatenate(which), np.concatenate(keys), np.concatenate(starts)
+    at = np.concatenate(which)
+    node, key, start = (np.concatenate([np.frombuffer(x, np.int64) for x in buffers(table, c)]) for c in ("keys", "ids", "starts"))
     smallest, largest = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
     np.minimum.at(smallest, at, key)
     np.maximum.at(largest, at, key)
@@ -498,16 +538,16 @@ def bucket_spans(table: pa.Table, scratch: str) -> pa.Table:
         return pa.table([np.empty(0, np.int64)] * 3, names=["key", "begin", "stop"])
     place = np.cumsum(keep) - 1
     on = keep[at]
-    at, key, start, smallest = place[at[on]], key[on], start[on], smallest[keep]
+    at, node, key, start, smallest = place[at[on]], node[on], key[on], start[on], smallest[keep]
     least = repeated(strings, smallest, folder=f"{scratch}/{uuid.uuid4().hex}")
     room = np.array([len(s) - WIDTH + 1 for s in strings])
     first = np.cumsum(room) - room
     # an occurrence can lose something only if some window of its segment has a smaller document
     can = np.minimum.reduceat(least, first)[at] < key
-    at, key, start = at[can], key[can], start[can]
+    at, node, key, start = at[can], node[can], key[can], start[can]
     out: list[tuple[np.ndarray, ...]] = []
     for lo in range(0, len(at), 1 << 17):
-        a, k, s = at[lo : lo + (1 << 17)], key[lo : lo + (1 << 17)], start[lo : lo + (1 << 17)]
+        a, d, k, s = (x[lo : lo + (1 << 17)] for x in (at, node, key, start))
         n = room[a]
         owner = np.repeat(np.arange(len(a)), n)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -515,40 +555,40 @@ def bucket_spans(table: pa.Table, scratch: str) -> pa.Table:
         owner, step = owner[gone], step[gone]
         head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (step[1:] != step[:-1] + 1)])) if len(owner) else np.empty(0, np.int64)
         last = np.append(head[1:], len(owner)) - 1
-        out.append((k[owner[head]], s[owner[head]] + step[head], s[owner[last if len(head) else head]] + step[last if len(head) else head] + WIDTH))
+        out.append((d[owner[head]], s[owner[head]] + step[head], s[owner[last if len(head) else head]] + step[last if len(head) else head] + WIDTH))
     cols = [np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in range(3)]
     return pa.table(cols, names=["key", "begin", "stop"])
 
 
-def _spans(segments: DataFrame, scratch: str) -> DataFrame:
+def _spans(packed: DataFrame, scratch: str) -> DataFrame:
     """(key, begin, stop): runs of bytes to remove, by segment."""
-    return segments.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, scratch), "key long, begin long, stop long")
+
+    def whole(batches):
+        for batch in batches:
+            for row in zip(*batch.columns):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in row], ["key", "begin", "stop"])
+
+    kind = "key long, begin long, stop long"
+    known = packed.where("bucket < 0").select("keys", "ids", "starts").mapInArrow(whole, kind)
+    return known.unionByName(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, scratch), kind))
 
 
-def spans_to_remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, spans: array<struct<begin, stop>>) of documents that lose part of their bytes, and (key) of copies that
-    lose everything."""
+def spans_to_remove(df: DataFrame, key: str = "doc_id", text: str = "text"):
+    """((key, spans: array<struct<begin, stop>>) of nodes that lose part of their bytes, the nodes)."""
     spark = df.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.sha2(body, 256).alias("_digest"), F.octet_length(body).alias("_bytes"))
-    rows = rows.where(F.col("_bytes") >= WIDTH)
-    classes = rows.groupBy("_digest").agg(F.min("key").alias("rep"), F.max("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
-    classes = stored(classes, "suffix-classes")
-    n_bytes = classes.agg(F.sum("_bytes")).first()[0] or 0
-    copies = rows.join(classes.where("_n > 1").select("_digest", "rep"), "_digest").where("key <> rep").select("key", "_digest").distinct()
-    copies = stored(copies, "suffix-copies")
-    docs = df.where(F.col(key).isNotNull() & (F.octet_length(body) >= WIDTH)).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.sha2(body, 256).alias("_digest"))
-    single = docs.join(bounded_broadcast(copies, 300_000), ["key", "_digest"], "left_anti").drop("_digest")
-
-    anchor_bytes = int(n_bytes) * 8 // 12
-    packed = _send_anchors(single, min(1 << 15, max(8, -(-anchor_bytes // ANCHOR_BUCKET))))
+    nodes = nodes_of(df.select(key, text).where(F.col(key).isNotNull() & (F.octet_length(text) >= WIDTH)), key, text, "suffix")
+
+    anchor_bytes = nodes.n_bytes * 8 // 12
+    packed = stored(_send_anchors(nodes.docs, max(8, -(-anchor_bytes // ANCHOR_BUCKET))), "suffix-packed", "snappy")
     shared = stored(_shared_anchors(packed), "suffix-anchors")
     occurrences = shared.count()
-    per_doc = shared.groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
-    segments = _send_segments(single.join(per_doc, "key"), min(1 << 15, max(8, -(-int(occurrences) // SEGMENT_BUCKET))))
+    hot = stored(shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "suffix-hot")
+    if not hot.isEmpty():
+        shared = shared.join(bounded_broadcast(hot.withColumn("hot", F.lit(1))), "anchor", "left").select("key", (F.col("anchor").bitwiseOR(F.coalesce("hot", F.lit(0)))).alias("anchor"))
+    per_doc = shared.groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    segments = stored(_send_segments(nodes.docs.join(per_doc, "key"), max(8, -(-int(occurrences) // SEGMENT_BUCKET))), "suffix-segments", "snappy")
     found = stored(_spans(segments, shared_folder(spark, "suffix-scratch")), "suffix-spans")
-    spans = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans"))
-    return spans, copies
+    return found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans")), nodes
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -570,16 +610,18 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _placed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` with _spans, what each row loses: array<struct<begin, stop>>, not yet merged."""
-    spans, copies = spans_to_remove(df, key, text)
-    body = F.coalesce(F.col(text), F.lit(""))
-    gone = bounded_broadcast(copies, 300_000).select(F.col("key").alias("_ck"), F.col("_digest").alias("_cd"))
-    rows = df.withColumn("_key", F.col(key).cast("long"))
-    rows = rows.join(gone, (F.col("_key") == F.col("_ck")) & (F.sha2(body, 256) == F.col("_cd")), "left")
-    rows = rows.join(spans.select(F.col("key").alias("_sk"), "spans"), F.col("_key") == F.col("_sk"), "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length(body).cast("long").alias("stop")))
-    return rows.withColumn("_spans", F.when(F.col("_ck").isNotNull(), whole).otherwise(F.col("spans"))).drop("_key", "_ck", "_cd", "_sk", "spans")
+def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``df`` with what each row loses, array<struct<begin, stop>>, not yet merged, and that column's name."""
+    spans, nodes = spans_to_remove(df, key, text)
+    out, node, ck, cd, sk, own = (fresh(df, x) for x in ("lost", "node", "copy_key", "copy_digest", "span_key", "spans"))
+    gone = bounded_broadcast(nodes.copies, SMALL_ROWS).select(F.col("key").alias(ck), F.col("digest").alias(cd))
+    long = F.coalesce(F.octet_length(text), F.lit(0)) >= WIDTH
+    rows = nodes.place(df, key, text, node)
+    rows = rows.join(gone, (F.col(key).cast("long") == F.col(ck)) & (digest_of(text) == F.col(cd)) & long, "left")
+    rows = rows.withColumn(node, F.when(long & F.col(ck).isNull() & F.col(key).isNotNull(), F.col(node)))
+    rows = rows.join(spans.select(F.col("key").alias(sk), F.col("spans").alias(own)), F.col(node) == F.col(sk), "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length(text).cast("long").alias("stop")))
+    return rows.withColumn(out, F.when(F.col(ck).isNotNull(), whole).otherwise(F.col(own))).drop(node, ck, cd, sk, own), out
 
 
 def removal_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -596,14 +638,15 @@ def removal_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = _placed(df.select(key, text), key, text).select(F.col(key).alias("key"), text, "_spans")
+    out, lost = _placed(df.select(key, text), key, text)
+    out = out.select(F.col(key).alias("key"), text, lost)
     return out.mapInArrow(run, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("key", key)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with repeated bytes taken out of its texts. Characters that are cut in part go too; a null text stays null."""
     small_batches(df.sparkSession)
-    placed = _placed(df, key, text)
+    placed, lost = _placed(df, key, text)
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -616,4 +659,4 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 out.append(cut(raw, merged([(x["begin"], x["stop"]) for x in s])).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    return placed.withColumn(text, kept(F.col(text), F.col("_spans"))).select(*(F.col(f"`{c}`") for c in df.columns))
+    return placed.withColumn(text, kept(F.col(text), F.col(lost))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -189,6 +189,9 @@ def write_bundles(df: DataFrame, folder: str, level: int = 3, frame_bytes: int =
     return stored(df.select("page_id", "url", "html", "_refers_to").mapInArrow(run, INDEX), "warc-index")
 
 
+#: Frames of FRAME_BYTES that one task reads at a time.
+FRAMES_A_TASK = 32
+
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
 
 
@@ -216,9 +219,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
                         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    # the same frame can stand in many index rows
-    frames = index.groupBy("bundle", (F.col("frame") / 64).cast("long").alias("run")).agg(F.collect_set("frame").alias("frames"))
-    return frames.select("bundle", "frames").mapInArrow(run, RECORDS)
+    # the same frame can stand in many index rows; the rows are few next to what they name, so their number says nothing
+    frames = index.groupBy("bundle", (F.col("frame") / FRAMES_A_TASK).cast("long").alias("run")).agg(F.collect_set("frame").alias("frames"))
+    tasks = index.select("bundle", (F.col("frame") / FRAMES_A_TASK).cast("long")).distinct().count()
+    return frames.select("bundle", "run", "frames").repartition(max(1, min(tasks, 20_000)), "bundle", "run").select("bundle", "frames").mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:

@@ -3,10 +3,15 @@
 A file holds bit-planes from the highest bit down; at each plane the sequence is partitioned stably, zeros first, so
 rank on the planes leads from a position to its symbol (access), from a symbol to its count before a position
 (rank), and back from the k-th occurrence to its position (select). Planes are cut into blocks of BLOCK bits, each
-compressed by itself unless that doesn't shorten it; a directory holds the ones before each block and its place.
+compressed by itself unless that doesn't shorten it. The directory has two levels: ones before each block, and inside
+it before each STEP bits; so a rank unpacks one block of 4 KB and counts less than STEP bits of it.
 
 Layout, all little-endian: magic, length of the head, head (JSON), doc ids (int64), ends (int64, ids up to and with
-each document), then per plane ones before each block (int64), block places (int64), blocks.
+each document), then per plane ones before each block (int64), block places (int64), ones in a block before each of its
+steps (uint16), blocks.
+
+The end id is also a token's id in some vocabularies, so ends are stored, not selected. Strings of the tokenizer's added
+tokens get those tokens' ids, as the library gives them: a text that holds one is encoded by the library whole.
 
 Shards follow the ids' order: rows are dealt out by ranges of the key and sorted, and each task closes a shard after
 SHARD_TOKENS ids, so the files in order of (partition, number) are the ascending sequence. Defined results: null is
@@ -16,6 +21,7 @@ in no fixed order among themselves unless their texts differ (they are sorted by
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -33,7 +39,7 @@ from weftline.llm.chunks import ChunkCache
 from weftline.llm.common import attempt_name, open_file, shared_folder, small_batches, stored, write_file
 
 MAGIC = b"WFWAVE01"
-BLOCK = 1 << 18
+BLOCK, STEP = 1 << 15, 512
 SHARD_TOKENS = 1_500_000
 END_ID = 0
 
@@ -49,16 +55,20 @@ def build(ids: np.ndarray, keys: np.ndarray, ends: np.ndarray, level: int = 1) -
         zeros.append(int(len(plane) - np.count_nonzero(plane)))
         seq = np.concatenate([seq[~plane], seq[plane]])
         packed = np.packbits(plane)
-        blocks, before = [], [0]
-        for at in range(0, len(packed), BLOCK // 8):
-            raw = packed[at : at + BLOCK // 8]
-            before.append(before[-1] + int(np.bitwise_count(raw).sum()))
-            raw = raw.tobytes()
+        blocks = []
+        whole = packed.tobytes()
+        for at in range(0, len(whole), BLOCK // 8):
+            raw = whole[at : at + BLOCK // 8]
             small = packer.compress(raw)
             blocks.append(small if len(small) < len(raw) else raw)
         places = np.cumsum([0, *map(len, blocks)])
-        sections.append((np.array(before, "<i8").tobytes(), places.astype("<i8").tobytes(), b"".join(blocks)))
-    head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "block": BLOCK, "docs": len(keys), "null_keys": 0, "body": [len(s[2]) for s in sections]}).encode()
+        words = np.zeros((len(blocks), BLOCK // 64), np.uint64)
+        words.view(np.uint8).reshape(-1)[: len(packed)] = packed
+        steps = np.bitwise_count(words).reshape(len(blocks), BLOCK // STEP, STEP // 64).sum(axis=2, dtype=np.int64)
+        before = np.concatenate([[0], np.cumsum(steps.sum(axis=1))])
+        inner = (np.cumsum(steps, axis=1) - steps).astype("<u2")
+        sections.append((before.astype("<i8").tobytes(), places.astype("<i8").tobytes(), inner.tobytes(), b"".join(blocks)))
+    head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "block": BLOCK, "docs": len(keys), "null_keys": 0, "body": [len(s[3]) for s in sections]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, keys.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), *(x for s in sections for x in s)])
 
 
@@ -77,11 +87,13 @@ class WaveletFile:
         self.ends = np.frombuffer(self._at(at + 8 * docs, 8 * docs), "<i8")
         at += 16 * docs
         blocks = -(-self.n // self.block)
-        self.before, self.places, self.body = [], [], []
+        self.before, self.places, self.inner, self.body = [], [], [], []
         for length in head["body"]:
             self.before.append(np.frombuffer(self._at(at, 8 * (blocks + 1)), "<i8"))
             self.places.append(np.frombuffer(self._at(at + 8 * (blocks + 1), 8 * (blocks + 1)), "<i8"))
-            self.body.append(at + 16 * (blocks + 1))
+            at += 16 * (blocks + 1)
+            self.inner.append(np.frombuffer(self._at(at, 2 * blocks * (self.block // STEP)), "<u2").reshape(blocks, self.block // STEP))
+            self.body.append(at + 2 * blocks * (self.block // STEP))
             at = self.body[-1] + length
 
     def _at(self, at: int, n: int) -> bytes:
@@ -105,7 +117,10 @@ class WaveletFile:
         """Ones before position i of a plane."""
         k, rest = divmod(i, self.block)
         out = int(self.before[plane][k])
-        return out + int(np.count_nonzero(self._bits(plane, k)[:rest])) if rest else out
+        if not rest:
+            return out
+        step = rest // STEP
+        return out + int(self.inner[plane][k][step]) + int(np.count_nonzero(self._bits(plane, k)[step * STEP : rest]))
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -134,6 +149,27 @@ class WaveletFile:
     def rank(self, symbol: int, i: int) -> int:
         return self.count(symbol, 0, i)
 
+    def ranks(self, symbol: int, places: np.ndarray) -> np.ndarray:
+        """Occurrences of a symbol before each of ascending places: one pass over the planes' directories, in which only
+        the blocks that hold a place are unpacked."""
+        if symbol < 0 or symbol >> self.bits:
+            return np.zeros(len(places), np.int64)
+        at = np.concatenate([[0], places]).astype(np.int64)  # the first is where the symbol's range begins
+        for p in range(self.bits):
+            ones = self.before[p][at // self.block].copy()
+            k, rest = at // self.block, at % self.block
+            inside = np.flatnonzero(rest)
+            step = rest[inside] // STEP
+            ones[inside] += self.inner[p][k[inside], step]
+            order = inside[np.argsort(k[inside], kind="stable")]
+            for part in np.split(order, np.flatnonzero(np.diff(k[order])) + 1) if len(order) else ():
+                bits = self._bits(p, int(k[part[0]]))
+                low = rest[part] // STEP * STEP
+                sums = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+                ones[part] += sums[rest[part]] - sums[low]
+            at = self.zeros[p] + ones if symbol >> (self.bits - 1 - p) & 1 else at - ones
+        return at[1:] - at[0]
+
     def _select_bit(self, plane: int, bit: int, k: int) -> int:
         """The position of the k-th, from 0, bit of that value."""
         ones = self.before[plane]
@@ -186,13 +222,13 @@ _TOKENIZERS: dict[str, ChunkCache] = {}
 
 
 def library_ids(path: str) -> ChunkCache:
-    """The tokenizers library's ids of chunks as uint32 bytes; strings of special tokens are ordinary text."""
+    """The tokenizers library's ids as uint32 bytes, by chunks; texts with an added token's string are encoded whole."""
     if path not in _TOKENIZERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        added = [t.content for t in own.get_added_tokens_decoder().values()]
         many = getattr(own, "encode_batch_fast", own.encode_batch)
 
         width = np.array([len(own.id_to_token(i) or "") for i in range(own.get_vocab_size())])  # a character a byte
@@ -216,7 +252,10 @@ def library_ids(path: str) -> ChunkCache:
                     out[i] = array("I", x.ids).tobytes()
             return out
 
-        _TOKENIZERS[path] = ChunkCache(encode)
+        def whole(text: str) -> bytes:
+            return array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
+
+        _TOKENIZERS[path] = ChunkCache(encode, whole, added)
     return _TOKENIZERS[path]
 
 
@@ -269,9 +308,14 @@ NULL_KEY = -(1 << 63)
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    before = F.sum("tokens").over(Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.withColumn("base", F.coalesce(before, F.lit(0)))  # a row per shard
+    """(doc_id, start, n_tokens, ids_crc32, n_end_ids) of every document, from the files; n_end_ids by rank: the end id,
+    and the text's own tokens of this id."""
+    spark = manifest.sparkSession
+    sums = manifest.groupBy("partition").agg(F.sum("tokens").alias("n")).orderBy("partition").collect()  # a row per task of the writer
+    bases = list(zip((r["partition"] for r in sums), itertools.accumulate([0, *(r["n"] for r in sums[:-1])])))
+    before = F.sum("tokens").over(Window.partitionBy("partition").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    placed = manifest.withColumn("own", F.coalesce(before, F.lit(0))).join(F.broadcast(spark.createDataFrame(bases, "partition int, first bigint")), "partition")
+    placed = placed.select("path", (F.col("first") + F.col("own")).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -282,10 +326,12 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                     crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
                     keys = pa.array(w.keys, pa.int64(), mask=w.keys == NULL_KEY)
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    upto = w.ranks(END_ID, ends.astype(np.int64))
+                    cols = [keys, pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(np.diff(upto, prepend=0))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids"])
 
     files = max(1, manifest.count())  # each task opens its own files
-    return placed.select("path", "base").repartition(min(files, 4096), "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.select("path", "base").repartition(min(files, 4096), "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_end_ids bigint")
 
 
 def encode_corpus(df: DataFrame, path: str, folder: str | None = None) -> DataFrame:
