@@ -20,7 +20,11 @@ link must share leaves (the counting bound). Then, on what is still in runs of d
 1. each run's members are compared with its smallest member; components of the links label the sets;
 2. shingles that no other set left has can't be in an intersection: a set of which more than a fifth are such leaves, and
    each run's members are compared with the one that shares most of its shingles, the centre of its copies;
-3. the rest are compared pair by pair, where sizes and shared shingles allow a link.
+3. of what is left, sets of different labels that share one of their rarest shingles, as many of each as must hold a
+   common one if the intersection is large enough for their sizes, are compared pair by pair.
+
+Two copies of one text that were changed apart share the text's shingles, which are the most frequent ones; so they don't
+become a pair in step 3, however many they are, and each meets the text itself in steps 1 and 2.
 
 Sets are compared on 64-bit hashes of their shingles.
 
@@ -33,11 +37,12 @@ its own id as component; an empty table gives no rows. No column of the table bu
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_broadcast, buffers, fresh, release, small_batches, stored
@@ -329,58 +334,88 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def _support(sets: DataFrame, buckets: int) -> DataFrame:
-    """(key, shared): of each set's shingles how many some other set has too. A collision of hashes can only add."""
-    kinds, names = [pa.int32(), pa.binary(), pa.binary()], ["bucket", "signatures", "keys"]
+COUNTED = "bucket int, block string, elements binary, counts binary"
+
+
+def _rarest(sets: DataFrame, buckets: int) -> DataFrame:
+    """(key, size, shared, element, place): shared is how many of a set's shingles some other set has too (a collision of
+    hashes can only add); the elements are the rarest of these, in one order for all sets, of which a partner of any size
+    that links has one. Sets of which less than four fifths are shared have no row.
+
+    Counts are summed by block of sets, then by bucket, and go back to the blocks, so no group is larger than these."""
+    names = [x.split()[0] for x in COUNTED.split(", ")]
 
-    def send(batches):
+    def pack(batches):
         keys: list[int] = []
         parts: list[np.ndarray] = []
-        n = 0
 
         def flush():
-            nonlocal keys, parts, n
-            if n:
-                own, who = np.concatenate(parts), np.repeat(np.arange(len(keys)), [len(x) for x in parts])
-                key = np.array(keys, np.int64)
-                order, runs, cuts = _cut(mix(own), who, buckets)
-                own = mix(own)
-                here = np.bincount(who[order[runs]], minlength=len(keys))
-                rows = [(-1, here.astype(np.int64).tobytes(), key.tobytes())]
-                stands = np.where(runs, STANDS, U64(0))
-                for b, at in cuts:
-                    own_, places = np.unique(who[order[at]], return_inverse=True)
-                    rows.append((b, (own[order[at]] & ~(PLACE | STANDS) | stands[at] | places.astype(U64)).tobytes(), key[own_].tobytes()))
-                for row in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
-            keys, parts, n = [], [], 0
+            nonlocal keys, parts
+            if keys:
+                cols = [pa.array([uuid.uuid4().hex]), pa.array([np.array(keys, np.int64).tobytes()], pa.binary()), pa.array([np.array([len(x) for x in parts], np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "keys", "sizes", "hashes"])
+            keys, parts = [], []
 
+        n = 0
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
-                parts.append(np.frombuffer(raw.as_buffer(), U64))
+                parts.append(np.frombuffer(raw, U64))
                 n += len(parts[-1])
-                if n >= BLOCK_SIGNATURES or len(keys) >= 30_000:
-                    parts = [x.copy() for x in parts]
+                if n >= BLOCK_SIGNATURES:
                     yield from flush()
-            parts = [x.copy() for x in parts]
+                    n = 0
         yield from flush()
 
-    def met(batches):
+    def count(batches):
         for batch in batches:
-            for counts, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["key", "n"])
-
-    def gather(table: pa.Table) -> pa.Table:
-        own, at = _entries(table)
-        keys = np.concatenate([np.frombuffer(b, np.int64) for b in buffers(table, "keys")])
-        key, n = np.unique(keys[at[_shared(own)]], return_counts=True)
-        return pa.table([key, n.astype(np.int64)], names=["key", "n"])
-
-    packed = stored(sets.select("key", "hashes").mapInArrow(send, "bucket int, signatures binary, keys binary"), "near-support", "snappy")
-    known = packed.where("bucket < 0").select("signatures", "keys").mapInArrow(met, "key long, n long")
-    found = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, "key long, n long")
-    return known.unionByName(found).groupBy("key").agg(F.sum("n").alias("shared"))
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own, n = np.unique(mix(np.frombuffer(raw.as_buffer(), U64)), return_counts=True)
+                bucket = (own >> U64(32)) * U64(buckets) >> U64(32)
+                for part in np.split(np.arange(len(own)), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1):
+                    row = int(bucket[part[0]]), block, own[part].tobytes(), n[part].astype(np.int32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names)
+
+    def add(table: pa.Table) -> pa.Table:
+        release()
+        own = [np.frombuffer(x, U64) for x in buffers(table, "elements")]
+        flat, back = np.unique(np.concatenate(own), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([np.frombuffer(x, np.int32) for x in buffers(table, "counts")])).astype(np.int64)[back]
+        rows, at = [], 0
+        for block, e in zip(table.column("block").to_pylist(), own):
+            m = n[at : at + len(e)]
+            rows.append((0, block, e[m > 1].tobytes(), np.minimum(m[m > 1], 1 << 30).astype(np.int32).tobytes()))
+            at += len(e)
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=names)
+
+    def choose(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        release()
+        out = [[np.empty(0, np.int64)] for _ in range(5)]
+        elements = np.concatenate([np.frombuffer(x, U64) for x in buffers(counts, "elements")]) if counts.num_rows else np.empty(0, U64)
+        n = np.concatenate([np.frombuffer(x, np.int32) for x in buffers(counts, "counts")]) if counts.num_rows else np.empty(0, np.int32)
+        order = np.argsort(elements)
+        elements, n = elements[order], n[order]
+        for keys, sizes, raw in zip(*(buffers(blocks, c) for c in ("keys", "sizes", "hashes"))):
+            sizes, at = np.frombuffer(sizes, np.int64), 0
+            flat = mix(np.frombuffer(raw, U64))
+            near = np.searchsorted(elements, flat)
+            near[near == len(elements)] = 0
+            shared = elements[near] == flat if len(elements) else np.zeros(len(flat), bool)
+            for key, size in zip(np.frombuffer(keys, np.int64).tolist(), sizes.tolist()):
+                own = np.flatnonzero(shared[at : at + size]) + at
+                at += size
+                most = len(own) - -(-4 * size // 5) + 1
+                if most > 0:
+                    first = own[np.lexsort((flat[own], n[near[own]]))[:most]]
+                    for col, x in zip(out, (key, size, len(own), flat[first].view(np.int64), np.arange(len(first)))):
+                        col.append(np.full(len(first), x, np.int64) if isinstance(x, int) else x)
+        return pa.table([np.concatenate(x) for x in out], names=["key", "size", "shared", "element", "place"])
+
+    small_batches(sets.sparkSession)
+    blocks = stored(sets.select("key", "hashes").mapInArrow(pack, "block string, keys binary, sizes binary, hashes binary"), "near-blocks", "snappy")
+    counts = blocks.select("block", "hashes").mapInArrow(count, COUNTED).groupBy("bucket").applyInArrow(add, COUNTED)
+    kind = "key long, size long, shared long, element long, place long"
+    return stored(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(choose, kind), "near-rarest")
 
 
 def _still_mixed(m: DataFrame, labels: DataFrame) -> DataFrame:
@@ -390,10 +425,26 @@ def _still_mixed(m: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "run", "left_semi")
 
 
-def _possible(a: str = "a", b: str = "b"):
+def _least(a: str, b: str) -> Column:
+    """The least intersection with which sets of these sizes link."""
+    return F.ceil(4 * (F.col(f"size_{a}") + F.col(f"size_{b}")) / 9)
+
+
+def _possible(a: str = "a", b: str = "b") -> Column:
     """Sizes and shared shingles of two sets allow a link: the intersection is at most what the poorer one shares."""
-    size, shared = (F.col(f"size_{a}"), F.col(f"size_{b}")), (F.col(f"shared_{a}"), F.col(f"shared_{b}"))
-    return (5 * F.least(*size) >= 4 * F.greatest(*size)) & (9 * F.least(*shared) >= 4 * (size[0] + size[1]))
+    size = F.col(f"size_{a}"), F.col(f"size_{b}")
+    return (5 * F.least(*size) >= 4 * F.greatest(*size)) & (F.least(f"shared_{a}", f"shared_{b}") >= _least(a, b))
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links (a, b): components of the graph of labels."""
+    x, y = (labels.select(F.col("id").alias(c), F.col("component").alias(f"l{c}")) for c in "ab")
+    ends = more.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    up = components(ends).select(F.col("id").alias("component"), F.col("component").alias("up"))
+    up = bounded_broadcast(stored(up, "near-up"))
+    old = labels.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    new = up.select(F.col("component").alias("id"), F.col("up").alias("component")).join(labels, "id", "left_anti")
+    return stored(old.unionByName(new), "near-labels")
 
 
 def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -413,29 +464,29 @@ def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     # What only shingles of its own hold apart from its run can't link; copies meet at their centre.
     rest = stored(_enough(_enough(_still_mixed(m, labels))), "near-rest")
     left = stored(rest.select("key").distinct(), "near-left")
-    own = sets.join(bounded_broadcast(left, 1_000_000), "key", "left_semi")
     n_elements = left.join(sizes, "key").agg(F.sum("size")).first()[0] or 0
-    support = _support(own, max(4, -(-int(n_elements) * 8 // BUCKET_BYTES)))
-    support = support.join(sizes, "key").select("key", "size", F.least("shared", F.col("size").cast("long")).alias("shared")).where("5 * shared >= 4 * size")
-    rest = _enough(_enough(rest.join(stored(support, "near-shared"), "key")))
-    rest = stored(_still_mixed(rest, labels), "near-rest")
+    rarest = _rarest(sets.join(bounded_broadcast(left, 1_000_000), "key", "left_semi"), max(4, -(-int(n_elements) * 12 // BUCKET_BYTES)))
+    support = rarest.where("place = 0").select("key", "size", "shared").distinct()
+    rest = stored(_still_mixed(_enough(_enough(rest.join(support, "key"))), labels), "near-rest")
     center = rest.groupBy("run").agg(F.max(F.struct((F.col("shared") / F.col("size")).alias("part"), (-F.col("key")).alias("minus"), "key", "label", "size", "shared")).alias("c"))
     center = center.select("run", F.col("c.key").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("size_a"), F.col("c.shared").alias("shared_a"))
     near = rest.select("run", F.col("key").alias("b"), "label", F.col("size").alias("size_b"), F.col("shared").alias("shared_b"))
     near = near.join(center, "run").where((F.col("la") != F.col("label")) & _possible()).select("a", "b").distinct()
     more = _verified(near, sets)
     if not more.isEmpty():
-        edges = stored(edges.unionByName(more), "near-edges")
-        labels = components(edges)
-        rest = stored(_enough(_still_mixed(rest, labels)), "near-rest")
-
-    side = lambda x: rest.select(F.col("run").alias(f"run_{x}"), "name", *(F.col(c).alias(f"{d}_{x}") for c, d in (("key", "key"), ("label", "label"), ("need", "need"), ("size", "size"), ("shared", "shared"))))
-    where = (F.col("run_a") == F.col("run_b")) & (F.col("label_a") < F.col("label_b")) & (F.greatest("need_a", "need_b") > 0) & _possible()
-    cross = side("a").join(side("b").drop("name"), where)
-    last = cross.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "name").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("need_a", "need_b")).alias("least")).where("n >= least")
-    last = _verified(last.select("a", "b").distinct(), sets)
+        labels = _joined(labels, more)
+        rest = _still_mixed(_enough(_enough(_still_mixed(rest, labels))), labels)
+
+    rows = stored(rarest.drop("size", "shared").join(rest.select("key", "label", "size", "shared").distinct(), "key"), "near-rows")
+    by_label = rows.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = by_label.groupBy("element").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major")).where("labels > 1").drop("labels")
+    rows = rows.join(major, "element")
+    side = lambda df, x: df.select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "label", "size", "shared", "place")))
+    early = lambda x: F.col(f"place_{x}") <= F.col(f"shared_{x}") - _least("a", "b")
+    cross = side(rows.where("label <> major"), "a").join(side(rows, "b").withColumnRenamed("element", "e"), (F.col("element") == F.col("e")) & (F.col("label_a") != F.col("label_b")) & _possible() & early("a") & early("b"))
+    last = _verified(cross.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct(), sets)
     if not last.isEmpty():
-        labels = components(edges.unionByName(last))
+        labels = _joined(labels, last)
     return sizes.withColumnRenamed("size", "n_shingles"), labels
 
 
