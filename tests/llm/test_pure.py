@@ -131,23 +131,56 @@ def test_anchors_cover_every_window_once():
     assert ((place >= first + windows - 1) & (place <= first + suffixes.WIDTH - suffixes.K)).all()
 
 
-def test_gru_gradient_and_lanes():
+def small_vocabulary():
+    return lm.Vocabulary([(str(i).encode(), 100 - i) for i in range(70)], {0: (40, 20), 5: (300, 110)}, 4955, 200)
+
+
+def test_gru_lanes():
     rng = np.random.default_rng(0)
-    v = lm.Vocabulary([(str(i).encode(), 100 - i) for i in range(70)], 5000, 200)
+    v = small_vocabulary()
     m = lm.Gru(v)
-    streams = [rng.integers(0, 71, n) for n in (5, 1, 200, 33)]
-    lanes, alone = m.log10_tokens(streams), [m.log10_tokens([s])[0] for s in streams]
+    codes, inputs = np.arange(70 + lm.TAIL), np.concatenate([np.arange(70), 70 + np.arange(lm.TAIL) * 7])
+    streams = [rng.integers(0, len(codes), n) for n in (5, 1, 200, 33)]
+    lanes, alone = m.log10_tokens(streams, codes, inputs), [m.log10_tokens([s], codes, inputs)[0] for s in streams]
     assert max(np.abs(a - b).max() for a, b in zip(lanes, alone)) < 1e-5
     h = rng.normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    every, _ = m.output(np.repeat(h, 71, axis=0), np.arange(71))
-    assert math.isclose(np.exp(every).sum(), 1, rel_tol=1e-4)  # the last class as a whole is one outcome
-    before = sum(x.sum() for x in m.log10_tokens([np.arange(70)] * 20))
+    every, _ = m.output(np.repeat(h, len(codes), axis=0), codes)
+    assert math.isclose(np.exp(every).sum(), 1, rel_tol=1e-4)  # a tail class as a whole is one outcome
+    # inside a tail class, seen words and one unseen share all
+    share = v.inside(np.full(3, 75), np.array([0, 150, 148]))
+    assert np.allclose(10**share, np.array([1, 151, 149]) / 411)
+    once = [np.arange(70)] * 20
+    before = sum(x.sum() for x in m.log10_tokens(once, codes, inputs))
     memory = np.zeros(1 + 2 * len(m.flat), np.float32)
     starts = np.zeros(1400, bool)
     starts[::70] = True
     for _ in range(10):
-        m.train(np.tile(np.arange(70), 20), starts, memory)
-    assert sum(x.sum() for x in m.log10_tokens([np.arange(70)] * 20)) > before
+        m.train(np.tile(np.arange(70), 20), np.tile(np.arange(70), 20), starts, memory)
+    assert sum(x.sum() for x in m.log10_tokens(once, codes, inputs)) > before
+
+
+def test_gru_gradient():
+    """Against central differences, with a document that begins inside the window and a state that is carried in."""
+    rng = np.random.default_rng(1)
+    m = lm.Gru(small_vocabulary())
+    m.flat[:] = rng.normal(0, 0.3, len(m.flat))
+    codes, inputs = rng.integers(0, 70 + lm.TAIL, (4, 3)), rng.integers(0, 90, (4, 3))
+    fresh = np.zeros((4, 3), bool)
+    fresh[2, 1] = True
+    state = rng.normal(0, 0.5, (3, lm.HIDDEN)).astype(np.float32)
+    grad, _, _ = m.gradient(codes, inputs, fresh, state)
+    at = 0
+    for name, shape in m.shapes.items():
+        own = grad.flat[at : at + math.prod(shape)]
+        for i in np.argsort(-np.abs(own))[:4]:
+            k, held, step = at + int(i), float(m.flat[at + i]), 1e-2
+            sides = []
+            for d in (step, -step):
+                m.flat[k] = held + d
+                sides.append(m.gradient(codes, inputs, fresh, state)[2])
+            m.flat[k] = held
+            assert math.isclose(-(sides[0] - sides[1]) / (2 * step), grad.flat[k], rel_tol=0.02, abs_tol=0.01), name
+        at += math.prod(shape)
 
 
 def test_images():

@@ -182,6 +182,48 @@ def test_language_model(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_language_model_scores_are_those_of_a_plain_forward_pass(spark, monkeypatch):
+    """The query's own weights, word by word in float64; and the same scores whatever the splits."""
+    import math
+
+    rows = [(i, words(30 + 5 * i, 300 + i) + " the end") for i in range(12)] + [(12, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    plain = lm.scored
+    monkeypatch.setattr(lm, "scored", lambda docs, codes, v, w: seen.update(v=v, w=w) or plain(docs, codes, v, w))
+    monkeypatch.setattr(lm, "HEAD", 40)
+    monkeypatch.setattr(lm, "PART_BYTES", 1000)
+    got = {r.doc_id: r.score for r in lm.score_documents(df).collect()}
+    again = {r.doc_id: r.score for r in lm.score_documents(df.repartition(5)).collect()}
+    assert all(math.isclose(got[k], again[k], rel_tol=1e-9) for k in got)
+    v, m = seen["v"], lm.Gru(seen["v"], seen["w"])
+    counts = {}
+    for k, t in rows:
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            for w in (t or "").encode().split() + [b""]:
+                counts[w] = counts.get(w, 0) + 1
+    assert v.tokens == sum(counts.values()) and v.n == 40
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    n = lm.HIDDEN
+    for k, t in rows:
+        h, total = np.zeros(n), 0.0
+        for w in (t or "").encode().split() + [b""]:
+            p = soft(h @ m.wc.astype(float) + m.bc)
+            if w in v.ids:
+                c, i = divmod(v.ids[w], lm.CLASS)
+                total += math.log10(p[c] * soft(h @ m.wo[c].astype(float) + m.bo[c])[i])
+                x = m.wx[v.ids[w]]
+            else:
+                c = lm.tail_class(w)
+                own = [a for a in counts if a not in v.ids and lm.tail_class(a) == c]
+                total += math.log10(p[v.head_classes + c] * (counts.get(w, 0) + 1) / (sum(counts[a] for a in own) + len(own) + 1))
+                x = m.wx[v.n + lm.tail_row(w)]
+            a = h @ m.u.astype(float)
+            z, r = 1 / (1 + np.exp(-(x[:n] + a[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + a[n : 2 * n])))
+            h = (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :]) + z * h
+        assert math.isclose(got[k], total, rel_tol=1e-4), k
+
+
 def test_repeated_ids_with_different_texts(spark):
     """One id on two texts, ids that are null, and columns with the names that joins could have used."""
     a, b = words(60, 51), words(40, 52)
