@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What cleaning deletes. The entry of two characters stands between two groups of single ones, so deletions
-# before it can bring it about and those after it cannot. Runs of code points are given by their ends.
+# What cleaning deletes, in the order in which it is deleted. The entry of two characters stands
+# between two runs of single ones, so deletions before it can bring it about and those after it cannot.
 REMOVE_FIRST = "』。！，：、（）；？〉〈」「『“”!\"#$%&'()*+,-./0123456789:;<=>?@[\\]_"
 REMOVE_PAIR = "`{"
-REMOVE_SINGLE = "|}~¤±·×àáèéêìíòó÷ùúüāīńňōūǎǐǔǖǘǚǜǹɑɡё—‖‘’…※ⅰⅲ∈∏∑√∠∥∧∩∪∫∮∶∷∽≈≌≡⊙⊥⌒─┅┋■□▲△◆◇○◎●★︶﹑﹔﹖＂＃％＆＊．／＜＝＞＠［＼］＿｀｛｝～￥《》〔〕【】＾｜￠￡¶　"
-REMOVE_RUNS = (("a", "z"), ("A", "V"), ("ａ", "ｚ"), ("Ｗ", "Ｚ"), ("０", "９"), ("①", "⑩"), ("⑴", "⒆"), ("⒈", "⒛"), ("α", "ω"), ("а", "я"), ("┌", "┳"))
-NOT_REMOVED = "δςжзийлмн┖┗┟┨"
-REMOVE_REST = REMOVE_SINGLE + "".join(chr(c) for x, y in REMOVE_RUNS for c in range(ord(x), ord(y) + 1) if chr(c) not in NOT_REMOVED)
+REMOVE_REST = (
+    "|}~¤±·×àáèéêìíò"
+    "ó÷ùúüāīńňōūǎǐǔǖǘǚǜǹɑɡ"
+    "αβγεζηθικλμνξοπρστυφχψω"
+    "абвгдекопрстуфхцчшщъыьэюяё"
+    "—‖‘’…※ⅰⅲ∈∏∑√∠∥∧∩∪∫∮∶∷∽≈≌≡⊙⊥⌒"
+    "①②③④⑤⑥⑦⑧⑨⑩⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽⑾⑿⒀⒁⒂⒃⒄⒅⒆"
+    "⒈⒉⒊⒋⒌⒍⒎⒏⒐⒑⒒⒓⒔⒕⒖⒗⒘⒙⒚⒛"
+    "─┅┋┌┍┎┏┐┑┒┓└┕┘┙┚┛├┝┞┠┡┢┣┤┥┦┧┩┪┫┬┭┮┯┰┱┲┳"
+    "■□▲△◆◇○◎●★︶﹑﹔﹖＂＃％＆＊．／０１２３４５６７８９＜＝＞＠［＼］＿｀"
+    "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｝～￥"
+    "abcdefghijklmnopqrstuvwxyz《》〔〕【】ABCDEFGHIJKLMNOPQRSTUV"
+    "ＷＸＹＺ＾｜￠￡¶　"
+)
 KEEP_PUNCTUATION = "，。、？！「」《》"
 QUERY_PUNCTUATION = "：。，」「；、 ？！『』"
 MARKER = "~BREAK~"
@@ -59,28 +70,52 @@ def target_tokens(c: Column, drop_empty: bool = True) -> Column:
     return F.filter(words, lambda w: w != "") if drop_empty else words
 
 
+#: Pieces whose lengths are summed in one fold; folds append, so long ones would take quadratic time.
+FOLD = 256
+
+
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array of numbers: by folds of FOLD numbers, moved by the sums of the folds before."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def running(x: Column, first: Column) -> Column:
+        return F.aggregate(x, F.struct(first.alias("sum"), none.alias("out")), lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["out"], F.array(s["sum"] + n)).alias("out")))["out"]
+
+    folds = F.ceil(F.size(lengths) / F.lit(FOLD)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(folds, F.lit(1)) - 1), lambda k: F.slice(lengths, k * FOLD + 1, F.lit(FOLD)))
+    whole = running(F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)), F.lit(0))
+    first = F.concat(F.array(F.lit(0)), whole)
+    return F.flatten(F.zip_with(parts, F.slice(first, F.lit(1), F.size(parts)), lambda x, at: running(x, at)))
+
+
 def find_all(term: Column, text: Column) -> Column:
     """Start offsets, overlaps too; null if there are none or the term is empty. The text is cut once before each
-    occurrence, so the work follows its length."""
+    occurrence; an occurrence stands where a piece ends, and at 0 if the text begins with the term."""
     pieces = F.split(text, F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
     none = F.expr("cast(array() as array<int>)")
-    found = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when((s["at"] > 0) | F.startswith(text, term), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out")),
-    )["out"]
+    ends = _ends(F.transform(pieces, lambda p: F.length(p)))
+    found = F.concat(F.when(F.startswith(text, term), F.array(F.lit(0))).otherwise(none), F.filter(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda at: at > 0))
     return F.when(F.length(term) > 0, F.nullif(found, none))
 
 
 def remove_repeatedly(c: Column, what: str) -> Column:
-    """``what`` becomes a space until none is left; ``what`` may not be part of what it becomes."""
-    if not what or what in f" {what[1:]}" and what.strip() == "":
+    """``what`` becomes a space, again and again until none is left. Only a ``what`` with a space in it can come about anew;
+    each round then shortens the text, so it ends."""
+    if what in ("", " "):
         raise ValueError("this would never end")
-    return F.regexp_replace(c, f"(?:{_quoted(what)})", " ")
-
-
-def _quoted(literal: str) -> str:
-    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    if " " not in what:
+        return F.replace(c, F.lit(what), F.lit(" "))
+
+    @F.arrow_udf("string")
+    def removed(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            while t is not None and what in t:
+                t = t.replace(what, " ")
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return removed(c)
 
 
 def category(term: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,11 +49,11 @@ def seed_vectors(tokens: DataFrame, space: DataFrame, key: str, size: int) -> Da
 
 
 def similar_seeds(queries: DataFrame, rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of seeds with cosine above the threshold: a small query side against all rows."""
-    q = queries.select(F.col("seed").alias("a"), F.col("vec").alias("va"))
-    r = rows.select(F.col("seed").alias("b"), F.col("vec").alias("vb"))
-    sim = V.cosine(F.col("va"), F.col("vb"))
-    return r.join(F.broadcast(q), F.lit(True)).select("a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
+    """(a, b, similarity) of seeds with cosine above the threshold: a stated query set against all rows, in blocks."""
+    from weftline.operators.vectors import compare_all
+
+    every = compare_all(queries, rows, "seed", above=threshold, digits=6)
+    return every.select("a", "b", F.col("value").alias("similarity"))
 
 
 def locations(a: DataFrame, b: DataFrame, shared: DataFrame | None = None) -> DataFrame:
@@ -76,33 +78,53 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b) / n if n else 0.0
 
 
+def _prefix(vectors: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0)])
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row; 0 where a vector has no length."""
+    n = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    return np.divide(np.einsum("ij,ij->i", a, b), n, out=np.zeros(len(n)), where=n > 0)
+
+
 def optimize_start(source: np.ndarray, target: np.ndarray, i: int, j: int, min_length: int = 10) -> tuple[int, int, float]:
-    """The most similar pair of windows that begin up to min_length - 2 before i and j; the first on ties."""
-    best = None
-    for a in range(max(0, i - min_length + 2), i + 1):
-        x = source[a : a + min_length].mean(axis=0)
-        for b in range(max(0, j - min_length + 2), j + 1):
-            s = _cosine(x, target[b : b + min_length].mean(axis=0))
-            if best is None or s > best[2]:
-                best = (a, b, s)
-    return best
+    """The most similar pair of windows that begin up to min_length - 2 before i and j; the first on ties. A window that
+    a text's end cuts is the mean of what is left."""
+
+    def windows(vectors: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.arange(max(0, at - min_length + 2), at + 1)
+        sums = _prefix(vectors[begin[0] : at + min_length])
+        return begin, sums[np.minimum(begin - begin[0] + min_length, len(sums) - 1)] - sums[begin - begin[0]]
+
+    (a, x), (b, y) = windows(source, i), windows(target, j)
+    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+    scores = np.round(np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm > 0), 12)
+    k, m = np.unravel_index(np.argmax(scores), scores.shape)
+    return int(a[k]), int(b[m]), float(scores[k, m])
 
 
 def extend(source: np.ndarray, target: np.ndarray, i: int, j: int, length: int, similarity: float, threshold: float = 0.9, patience: int = 10) -> tuple[int, int, float]:
-    """Both ends grow while the means stay similar and fewer than ``patience`` drops have come since the last rise;
-    the state of the last rise that was seen by a later step is returned. Growth stops where either text ends."""
-    n, before, drops, state, sim = length, similarity, 0, (length, length, similarity), similarity
-    while sim > threshold and drops < patience:
-        if sim < before:
-            drops += 1
-        elif sim > before:
-            drops, state = 0, (n, n, sim)
-        before = sim
-        if i + n >= len(source) or j + n >= len(target):
-            break
-        n += 1
-        sim = _cosine(source[i : i + n].mean(axis=0), target[j : j + n].mean(axis=0))
-    return state
+    """The length to which both sides grow from i and j: with s(n) the similarity of their means over n, growth goes on
+    while s(n) is above the threshold and fewer than ``patience`` drops have come since the last rise, to where either
+    text ends; the last rise before that counts, or the beginning. Similarities come from prefix sums, for twice as many
+    lengths each time."""
+    room = max(0, min(len(source) - i, len(target) - j) - length)
+    tried = min(64, room)
+    while True:
+        ends = length + np.arange(1, tried + 1)
+        a, b = _prefix(source[i : i + length + tried]), _prefix(target[j : j + length + tried])
+        s = np.concatenate([[similarity], _cosines(a[ends], b[ends])])
+        step = np.sign(np.diff(s))
+        rise = np.concatenate([[0], np.where(step > 0, np.arange(1, len(s)), 0)])
+        last = np.maximum.accumulate(rise)  # the last rise up to each length
+        drops = np.concatenate([[0], np.cumsum(step < 0)])
+        ended = (s <= threshold) | np.concatenate([[False], (drops - drops[last])[:-1] >= patience])
+        if ended.any() or tried == room:
+            stop = int(np.argmax(ended)) if ended.any() else len(s)
+            n = int(last[stop - 1]) if stop else 0
+            return length + n, length + n, float(s[n])
+        tried = min(2 * tried, room)
 
 
 def compare_chunks(source: np.ndarray, target: np.ndarray, i: int, j: int, threshold: float = 0.9, min_length: int = 10):
@@ -156,35 +178,55 @@ def uncovered(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     return pairs.join(m, c, "left_anti")
 
 
+@dataclass(frozen=True)
+class Scoring:
+    """What an alignment's cells gain: a step along both sequences gains the pair's score; a step along one loses ``gap``, or
+    gains the score too (``free_steps``). The first row falls by ``gap`` a column, or has the last row's loss
+    throughout (``level_row``). An alignment reaches both beginnings, or ends at either (``open_end``)."""
+
+    gap: float = 0.7
+    free_steps: bool = False
+    level_row: bool = False
+    open_end: bool = False
+
+
+def scoring(mode: str, gap: float) -> Scoring:
+    if mode == "needleman_wunsch":
+        return Scoring(gap)
+    if mode == "reference":
+        return Scoring(gap, free_steps=True, level_row=True, open_end=True)
+    raise ValueError(f"{mode} not known")
+
+
+#: What a cell remembers of where its best score comes from; the first wins ties.
+BOTH, ALONG_SECOND, ALONG_FIRST = 0, 1, 2
+
+
 def align(scores: np.ndarray, gap: float = 0.7, mode: str = "needleman_wunsch") -> list[tuple[int, int]]:
-    """Index pairs of an alignment, -1 for a gap. Mode "reference" scores steps aside like the diagonal, fills the first
-    row with the last row's gaps, follows the largest neighbour and ends at either border."""
+    """Index pairs of an alignment, -1 for a gap: one dynamic programme, a whole anti-diagonal at a time, whose cells keep
+    the step that led there. ``mode`` names a Scoring."""
+    rule = scoring(mode, gap)
     n, m = scores.shape
-    t = np.zeros((n + 1, m + 1))
-    t[:, 0] = -np.arange(n + 1) * gap
-    if mode == "reference":
-        t[0, :] = -n * gap
-    elif mode == "needleman_wunsch":
-        t[0, :] = -np.arange(m + 1) * gap
-    else:
-        raise ValueError(f"{mode} not known")
-    for i in range(n):
-        for j in range(m):
-            aside = scores[i, j] if mode == "reference" else -gap
-            t[i + 1, j + 1] = max(t[i, j] + scores[i, j], t[i, j + 1] + aside, t[i + 1, j] + aside)
+    best = np.zeros((n + 1, m + 1))
+    came = np.zeros((n + 1, m + 1), np.uint8)
+    best[:, 0] = -gap * np.arange(n + 1)
+    best[0] = -gap * n if rule.level_row else -gap * np.arange(m + 1)
+    came[0], came[1:, 0] = ALONG_SECOND, ALONG_FIRST
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        own = scores[i - 1, j - 1]
+        aside = own if rule.free_steps else -gap
+        from_ = np.stack([best[i - 1, j - 1], best[i, j - 1], best[i - 1, j]])
+        total = from_ + np.stack([own, np.broadcast_to(aside, own.shape), np.broadcast_to(aside, own.shape)])
+        came[i, j] = np.argmax(from_ if rule.free_steps else np.round(total, 9), axis=0)  # equal gains don't decide
+        best[i, j] = total.max(axis=0)
     out: list[tuple[int, int]] = []
     i, j = n, m
-    while i > 0 and j > 0:
-        if mode == "reference":
-            up, left, diagonal = t[i, j - 1], t[i - 1, j], t[i - 1, j - 1]
-            best = max(up, left, diagonal)
-            step = "d" if best == diagonal else "j" if best == up else "i"
-        else:
-            step = "d" if np.isclose(t[i, j], t[i - 1, j - 1] + scores[i - 1, j - 1]) else "j" if np.isclose(t[i, j], t[i, j - 1] - gap) else "i"
-        i, j = i - (step in "di"), j - (step in "dj")
-        out.append((i if step in "di" else -1, j if step in "dj" else -1))
-    if mode != "reference":
-        out += [(k, -1) for k in range(i - 1, -1, -1)] + [(-1, k) for k in range(j - 1, -1, -1)]
+    while (i and j) if rule.open_end else (i or j):
+        step = came[i, j]
+        i, j = i - (step != ALONG_SECOND), j - (step != ALONG_FIRST)
+        out.append((-1 if step == ALONG_SECOND else int(i), -1 if step == ALONG_FIRST else int(j)))
     return out[::-1]
 
 

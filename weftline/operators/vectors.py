@@ -5,22 +5,39 @@ A space is (token, vec). Tokens meet it by equi-join; a side is broadcast by Spa
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import vector as V
 
 
-def mean_vectors(df: DataFrame, by: list[str], vec: str = "vec", weight: str | None = None) -> DataFrame:
-    """(by, vec, n): weighted element-wise mean. Equal vectors of a group should be counted before, so the arrays that
-    meet in a task are distinct tokens, not occurrences."""
-    w = F.col(weight) if weight else F.lit(1)
-    parts = df.groupBy(*by).agg(F.collect_list(V.scaled(F.col(vec), w.cast("double"))).alias("_v"), F.sum(w).alias("n"))
-    return parts.select(*by, V.scaled(V.sum_of(F.col("_v")), F.lit(1.0) / F.col("n")).alias("vec"), "n")
+def dims_of(df: DataFrame, vec: str = "vec") -> int:
+    """The length of the first vector; 0 if there is none. Costs a row of ``df``."""
+    row = df.select(F.size(vec).alias("n")).where("n > 0").first()
+    return row["n"] if row else 0
 
 
-def sum_vectors(df: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
-    return df.groupBy(*by).agg(F.collect_list(vec).alias("_v")).select(*by, V.sum_of(F.col("_v")).alias("vec"))
+def _sums(df: DataFrame, by: list[str], vec: str, weight: Column | None, dims: int | None) -> DataFrame:
+    """(by, _sum, _weight): element-wise sums as plain aggregates, so that each task sends one row a group."""
+    dims = dims_of(df, vec) if dims is None else dims
+    w = F.lit(1) if weight is None else weight
+    of = lambda i: F.get(vec, F.lit(i)).cast("double") if weight is None else F.get(vec, F.lit(i)).cast("double") * w
+    cells = [F.sum(of(i)).alias(f"_s{i}") for i in range(dims)]
+    none = F.expr("cast(null as array<double>)")
+    out = df.groupBy(*by).agg(*cells, F.sum(w).alias("_weight"))
+    return out.select(*by, (F.array(*[F.col(f"_s{i}") for i in range(dims)]) if dims else none).alias("_sum"), "_weight")
+
+
+def mean_vectors(df: DataFrame, by: list[str], vec: str = "vec", weight: str | None = None, dims: int | None = None) -> DataFrame:
+    """(by, vec, n): weighted element-wise mean. ``dims``: the vectors' length, else taken from the first."""
+    parts = _sums(df, by, vec, F.col(weight) if weight else None, dims)
+    return parts.select(*by, V.scaled(F.col("_sum"), F.lit(1.0) / F.col("_weight")).alias("vec"), F.col("_weight").alias("n"))
+
+
+def sum_vectors(df: DataFrame, by: list[str], vec: str = "vec", dims: int | None = None) -> DataFrame:
+    return _sums(df, by, vec, None, dims).select(*by, F.col("_sum").alias("vec"))
 
 
 def lookup(tokens: DataFrame, space: DataFrame, keep: bool = False) -> DataFrame:
@@ -28,21 +45,21 @@ def lookup(tokens: DataFrame, space: DataFrame, keep: bool = False) -> DataFrame
     return tokens.join(space, "token", "left" if keep else "inner")
 
 
-def centered(space: DataFrame) -> DataFrame:
+def centered(space: DataFrame, dims: int | None = None) -> DataFrame:
     """``space`` less its mean vector."""
-    mean = space.agg(V.mean_of(F.collect_list("vec")).alias("m")) if False else mean_vectors(space.withColumn("_g", F.lit(1)), ["_g"]).select(F.col("vec").alias("_m"), "_g")
-    return space.withColumn("_g", F.lit(1)).join(F.broadcast(mean), "_g").withColumn("vec", F.zip_with("vec", "_m", lambda a, b: a - b)).drop("_m", "_g")  # one row
+    mean = mean_vectors(space, [], dims=dims).select(F.col("vec").alias("_m"))
+    return space.join(F.broadcast(mean), F.lit(True)).withColumn("vec", F.zip_with("vec", "_m", lambda a, b: a - b)).drop("_m")  # one row
 
 
-def phrase_vectors(phrases: DataFrame, space: DataFrame, by: list[str], whole: Column | None = None) -> DataFrame:
+def phrase_vectors(phrases: DataFrame, space: DataFrame, by: list[str], whole: Column | None = None, dims: int | None = None) -> DataFrame:
     """(by, vec) from (by, pos, token). A token without vector but with several characters stands for the mean of its
     characters' vectors, as one unit. ``whole``: a phrase that is a key itself takes that vector."""
     own = lookup(phrases, space, keep=True)
     chars = phrases.where(F.length("token") > 1).join(space.select("token"), "token", "left_anti")
     chars = chars.withColumn("c", F.explode(F.split("token", ""))).where("c <> ''").join(space.select(F.col("token").alias("c"), F.col("vec").alias("cv")), "c")
-    parts = mean_vectors(chars, [*by, "pos"], "cv").select(*by, "pos", F.col("vec").alias("part"))
+    parts = mean_vectors(chars, [*by, "pos"], "cv", dims=dims).select(*by, "pos", F.col("vec").alias("part"))
     rows = own.join(parts, [*by, "pos"], "left").withColumn("vec", F.coalesce("vec", "part")).where("vec is not null")
-    out = mean_vectors(rows, by)
+    out = mean_vectors(rows, by, dims=dims)
     if whole is not None:
         key = phrases.select(*by, whole.alias("token")).distinct().join(space, "token").select(*by, F.col("vec").alias("_whole"))
         out = out.join(key, by, "full").withColumn("vec", F.coalesce("_whole", "vec")).drop("_whole")
@@ -68,23 +85,79 @@ def document_tokens(df: DataFrame, key: str, text: str, remove: str | None = Non
     return s.select(key, "sent", F.posexplode(F.split("_s", " ")).alias("pos", "token")).where("token <> ''")
 
 
-def sentence_vectors(tokens: DataFrame, space: DataFrame, key: str) -> DataFrame:
+def sentence_vectors(tokens: DataFrame, space: DataFrame, key: str, dims: int | None = None) -> DataFrame:
     counts = tokens.groupBy(key, "sent", "token").agg(F.count(F.lit(1)).alias("c"))
-    return mean_vectors(lookup(counts, space), [key, "sent"], weight="c")
+    return mean_vectors(lookup(counts, space), [key, "sent"], weight="c", dims=dims)
 
 
-def document_vectors(tokens: DataFrame, space: DataFrame, key: str, method: str = "sentences") -> DataFrame:
+def document_vectors(tokens: DataFrame, space: DataFrame, key: str, method: str = "sentences", dims: int | None = None) -> DataFrame:
     """Mean of the sentences' means, or of all words."""
     if method == "sentences":
-        return mean_vectors(sentence_vectors(tokens, space, key), [key])
+        return mean_vectors(sentence_vectors(tokens, space, key, dims), [key], dims=dims)
     if method != "words":
         raise ValueError(f"{method} not known")
     counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
-    return mean_vectors(lookup(counts, space), [key], weight="c")
-
-
-def compare_all(queries: DataFrame, rows: DataFrame, key: str, method: str = "cosine similarity", vec: str = "vec") -> DataFrame:
-    """A stated query set against all rows: (a, b, value). The query set is broadcast, so it must be small."""
-    q = queries.select(F.col(key).alias("a"), F.col(vec).alias("_qa"))
-    r = rows.select(F.col(key).alias("b"), F.col(vec).alias("_rb"))
-    return r.join(F.broadcast(q), F.lit(True)).select("a", "b", V.compare(F.col("_qa"), F.col("_rb"), method).alias("value"))
+    return mean_vectors(lookup(counts, space), [key], weight="c", dims=dims)
+
+
+#: Bytes of query vectors that travel with a pass over the rows, and passes at most.
+QUERY_BYTES, PASSES = 64 << 20, 16
+
+
+def _values(q: np.ndarray, r: np.ndarray, method: str) -> np.ndarray:
+    """rows x queries"""
+    product = r @ q.T
+    if method == "linear kernel":
+        return product
+    if method == "euclidean distance":
+        squares = (r * r).sum(axis=1)[:, None] + (q * q).sum(axis=1)
+        out = np.sqrt(np.maximum(squares - 2 * product, 0))
+        for i, k in np.argwhere(out * out < 1e-6 * squares):  # differences that the formula would lose
+            out[i, k] = np.linalg.norm(r[i] - q[k])
+        return out
+    norms = np.linalg.norm(r, axis=1)[:, None] * np.linalg.norm(q, axis=1)
+    cosine = np.divide(product, norms, out=np.zeros_like(product), where=norms > 0)
+    if method == "cosine similarity":
+        return cosine
+    if method == "cosine distance":
+        return 1 - cosine
+    raise ValueError(f"{method} not known")
+
+
+def compare_all(queries: DataFrame, rows: DataFrame, key: str, method: str = "cosine similarity", vec: str = "vec", above: float | None = None, digits: int | None = None) -> DataFrame:
+    """A stated query set against all rows: (a, b, value), as products of blocks. The query set's size is checked: QUERY_BYTES
+    of it travel with one pass over the rows, and it may need PASSES of these at most. ``digits`` rounds values, of
+    which only those ``above`` a bound are returned."""
+    spark = rows.sparkSession
+    dims = dims_of(queries, vec)
+    n = queries.count() if dims else 0
+    each = max(1, QUERY_BYTES // (8 * max(dims, 1)))
+    if n > each * PASSES:
+        raise ValueError(f"{n} queries are too many to compare with every row")
+    own = queries.select(F.col(key).alias("a"), F.transform(vec, lambda x: x.cast("double")).alias("v")).toArrow()  # checked above
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}[key]
+    schema = f"a {kind}, b {kind}, value double"
+
+    def matrix(column) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+    def against(part: pa.Table):
+        ids, q = part.column("a").combine_chunks(), matrix(part.column("v"))
+
+        def run(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step := max(1, (1 << 20) // max(1, len(q)))):
+                    piece = batch.slice(lo, step)
+                    value = _values(q, matrix(piece.column(1)), method)
+                    value = value if digits is None else np.round(value, digits)
+                    i, k = np.indices(value.shape).reshape(2, -1) if above is None else np.nonzero(value > above)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), piece.column(0).take(pa.array(i)), pa.array(value[i, k])], ["a", "b", "value"])
+
+        return rows.select(F.col(key).alias("b"), F.transform(vec, lambda x: x.cast("double")).alias("v")).where("v is not null").mapInArrow(run, schema)
+
+    out = None
+    for lo in range(0, own.num_rows, each):
+        part = against(own.slice(lo, each))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
