@@ -57,28 +57,90 @@ def test_overlap_and_flags(spark):
     assert odd[1].any_full and odd[1].near_full and odd[1].best_overlap_rank == 10
 
 
-def test_scan_against_direct_sums(spark):
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_scan_against_direct_sums(spark, metric):
     rng = np.random.default_rng(0)
     vectors = np.vstack([np.zeros(4), rng.normal(size=(9, 4))])
     docs = [(0, rng.integers(0, 10, 37)), (1, np.array([], int)), (2, rng.integers(0, 10, 5)), (3, rng.integers(0, 10, 60))]
     flat = np.concatenate([d for _, d in docs])
-    df = spark.createDataFrame([(k, [int(x) for x in d], [int(x) for x in d], len(d)) for k, d in docs], "doc_id long, tokens array<int>, marks array<long>, size int")
-    gold = flat[30:36]
-    q = pd.DataFrame({"query_id": [5, 6], "vector": [rng.normal(size=4), rng.normal(size=4)], "search_len": [7, 3], "marks": [gold, []], "size": [6, 0]})
+    df = spark.createDataFrame([(k, [int(x) for x in d], len(d)) for k, d in docs], "doc_id long, tokens array<int>, size int")
+    q = pd.DataFrame({"variant": [0, 0, 1], "query_id": [5, 6, 5], "vector": [rng.normal(size=4) for _ in range(3)], "search_len": [7, 3, 5], "top_n": [4, 4, 2], "gold_start": [-1, -1, 30], "gold_similarity": [np.nan, np.nan, 0.1]})
     placed = search.global_offsets(df, "doc_id", "size")
-    found = search.scan(search.blocks(placed, 6, 16), vectors, q, len(flat), 4, block=16)
-    got = search.ranked(found, 4).orderBy("query_id", "rank").collect()
-    want = []
-    for _, r in q.iterrows():
+    pieces = search.blocks(placed, 6, 16)
+    found = search.scan(pieces, vectors, q, len(flat), block=16, metric=metric).collect()
+    for r in q.itertuples():
         sims = []
         for s in range(len(flat) - r.search_len + 1):
-            w = vectors[flat[s : s + r.search_len]].sum(axis=0)
-            if np.count_nonzero(flat[s : s + r.search_len]):
-                sims.append((-round(float(w @ r.vector / np.linalg.norm(w) / np.linalg.norm(r.vector)), 6), s))
-        want += [(r.query_id, s, -v) for v, s in sorted(sims)[:4]]
-    assert [(r.query_id, r.start, r.similarity) for r in got] == want
-    at = [s for s in range(len(flat) - 5) if (flat[s : s + 6] == gold).all()][0]
-    assert [(r.query_id, r.gold_start) for r in search.located(found).collect()] == [(5, at)]
+            own = flat[s : s + r.search_len]
+            if np.count_nonzero(own):
+                w = vectors[own].sum(axis=0) / np.count_nonzero(own)
+                v = w @ r.vector / np.linalg.norm(w) / np.linalg.norm(r.vector) if metric == "cosine" else 1 - np.linalg.norm(w - r.vector)
+                sims.append((-round(float(v), 6), s))
+        own = [x for x in found if (x.variant, x.query_id) == (r.variant, r.query_id)]
+        hits = sorted((-x.similarity, x.start) for x in own if x.kind == "hit")[: r.top_n]
+        assert np.allclose(hits, sorted(sims)[: r.top_n], atol=2e-6)
+        assert sum(x.n for x in own if x.kind == "stat") == len(sims)
+        if r.variant:
+            assert sum(x.n for x in own if x.kind == "before") == sum((v, s) < (-0.1, 30) for v, s in sims)
+            there = search.scan(pieces, vectors, q[q.variant == 1], len(flat), block=16, metric=metric, only_gold=True).collect()
+            assert [x.start for x in there] == [30] and abs(there[0].similarity + dict((s, v) for v, s in sims)[30]) < 2e-6
+
+
+def test_located(spark):
+    """Phrases within a document, across documents and empty ones, of one word, at both ends, and in part only."""
+    docs = [(1, "a b c a b d".split()), (2, []), (3, "e f g".split()), (4, ["h"]), (5, "a b d a b c x".split())]
+    flat = [w for _, ws in docs for w in ws]
+    df = spark.createDataFrame([(k, w) for k, w in docs], "doc_id long, words array<string>")
+    phrases = {0: "a b d".split(), 1: "d e f".split(), 2: "g h a".split(), 3: ["x"], 4: ["a"], 5: "b c x y".split(), 6: "b c x".split(), 7: "f h".split(), 8: [], 9: "b d e f g h a b d".split()}
+    want = {}
+    for k, p in phrases.items():
+        at = [i for i in range(len(flat) - len(p) + 1) if flat[i : i + len(p)] == p] if p else []
+        if at:
+            want[k] = at[0]
+    assert {r.query_id: r.gold_start for r in search.located(df, "doc_id", "words", phrases).collect()} == want
+
+
+@pytest.mark.parametrize("method", ["char", "term"])
+def test_other_tokenizers_against_direct_sums(spark, tmp_path, method):
+    import hashlib
+    import re
+
+    from weftline.plans import passage_search as P
+
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(40, 4))
+    texts = ["the brother, doubled; there", "x。y the other", "nothing"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "the ther 。xouble")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cut = (lambda t: list(t)) if method == "char" else (lambda t: re.findall("|".join(sorted(P.TERMS, key=len, reverse=True)) + "|.", t))
+    strip = lambda t: t.translate(str.maketrans("", "", "：。，」「；、 ？！『』"))
+
+    def vec(t):
+        k = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 40
+        return vecs[k] if k % 10 else None
+
+    parts = []
+    for t in cut(strip("the ther 。xouble")):
+        v = vec(t)
+        if v is None and len(t) > 1:
+            own = [x for c in t if (x := vec(c)) is not None]
+            v = np.mean(own, axis=0) if own and method == "term" else None
+        if v is not None:
+            parts.append(v)
+    q = np.mean(parts, axis=0)
+    flat = [w for t in texts for w in cut(strip(t))]
+    config = SearchConfig(long_adjust=0.0, short_adjust=0.3, method=method)
+    n = config.search_length(len(cut(strip("the ther 。xouble"))))
+    sims = []
+    for s in range(len(flat) - n + 1):
+        own = [v for w in flat[s : s + n] if (v := vec(w)) is not None]
+        if own:
+            w = np.mean(own, axis=0)
+            sims.append((-round(float(w @ q / np.linalg.norm(w) / np.linalg.norm(q)), 6), s))
+    s = P.run(spark, str(tmp_path), config)
+    got = [(-r.similarity, r.start) for r in search.ranked(s.found, 10).orderBy("rank").collect()]
+    assert np.allclose(got, sorted(sims)[:10], atol=2e-6)
 
 
 def test_alignment_modes():

@@ -126,6 +126,14 @@ def category(term: Column) -> Column:
     return out.otherwise("other")
 
 
+def gloss(first: Column, second: Column, glosses: dict[str, str]) -> tuple[Column, Column]:
+    """Labels of a pair of terms: each with its gloss behind it, the second with the first's where it has none of its own;
+    both are empty where the first has no gloss."""
+    known = F.create_map(*[F.lit(x) for kv in glosses.items() for x in kv]) if glosses else F.expr("cast(map() as map<string, string>)")
+    one, two = F.try_element_at(known, first), F.try_element_at(known, second)
+    return F.when(one.isNull(), F.lit("")).otherwise(F.concat(first, one)), F.when(one.isNull(), F.lit("")).otherwise(F.concat(second, F.coalesce(two, one)))
+
+
 def simplify(c: Column, mapping: dict[str, str]) -> Column:
     """Traditional to simplified by a given mapping of single characters."""
     return F.translate(c, "".join(mapping), "".join(mapping.values()))

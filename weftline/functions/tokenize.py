@@ -8,10 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import collected
+
 SENTENCE_END = r"[\n。？！．]"
 PHRASE_END = r"[。？！；：、，「」『』《》 *()○]"
-#: Terms up to which one alternation is compiled; beyond it words are found by ``tokenize_with_trie``.
+#: Terms up to which one alternation is compiled; beyond it ``with_words`` takes a trie.
 REGEX_TERMS = 10_000
+#: Terms that the driver holds.
+MOST_TERMS = 5_000_000
 
 
 def characters(c: Column) -> Column:
@@ -56,12 +60,41 @@ def dictionary(terms: list[str]) -> Callable[[Column], Column]:
     return lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
-def sentences_of_words(c: Column, terms: list[str]) -> Column:
+def sentences_of_words(c: Column, terms: list[str], segment: Callable[[Column], Column] | None = None) -> Column:
     """Paragraphs, sentences, phrases, words: an array of words for each sentence that has some. A word of the
-    dictionary that holds the end of a phrase or sentence is cut there, as its marks would be."""
+    dictionary that holds the end of a phrase or sentence is cut there, as its marks would be. What follows a phrase's
+    last dictionary word, if it has two characters or more, is cut by ``segment``, a segmenter from text to words; without
+    one it falls into characters, as what stands before dictionary words does."""
     cut = dictionary(terms)
+    known = F.array(*[F.lit(t) for t in clean_terms(terms)]) if terms else F.expr("cast(array() as array<string>)")
+
+    def words_in(phrase: Column) -> Column:
+        found = cut(phrase)
+        if segment is None:
+            return found
+        last = F.coalesce(F.array_max(F.transform(found, lambda w, i: F.when(F.array_contains(known, w), i + 1))), F.lit(0))
+        tail = F.array_join(F.slice(found, last + 1, F.size(found) - last), "")
+        return F.when(F.length(tail) > 1, F.concat(F.slice(found, F.lit(1), last), segment(tail))).otherwise(found)
+
     whole = flatten(F.transform(paragraphs(c), sentences))
-    return F.filter(F.transform(whole, lambda s: flatten(F.transform(phrases(s), lambda p: cut(p)))), lambda ws: F.size(ws) > 0)
+    return F.filter(F.transform(whole, lambda s: flatten(F.transform(phrases(s), words_in))), lambda ws: F.size(ws) > 0)
+
+
+def as_string(sentences: Column, between: str) -> Column:
+    """Sentences of words as text: words by spaces, sentences by ``between``."""
+    return F.array_join(F.transform(sentences, lambda ws: F.array_join(ws, " ")), between)
+
+
+def reparsed(words: Column, terms: list[str]) -> Column:
+    """A sentence's words, joined and cut anew by a dictionary."""
+    return dictionary(terms)(F.array_join(words, ""))
+
+
+def with_words(df: DataFrame, text: str, terms: list[str], out: str = "tokens") -> DataFrame:
+    """``df`` with dictionary words: by one pattern, or by a trie where that would be too large. Results are the same."""
+    if len(clean_terms(terms)) > REGEX_TERMS:
+        return tokenize_with_trie(df, text, terms, out)
+    return df.withColumn(out, dictionary(terms)(F.col(text)))
 
 
 def tokenize_with_trie(df: DataFrame, text: str, terms: list[str], out: str = "tokens") -> DataFrame:
@@ -97,5 +130,5 @@ def tokenize_with_trie(df: DataFrame, text: str, terms: list[str], out: str = "t
 
 
 def read_terms(spark: SparkSession, path: str) -> list[str]:
-    """A term list, one per line. Term lists are dictionaries of a language and fit the driver."""
-    return [r[0] for r in spark.read.text(path).distinct().collect()]
+    """A term list, one per line. Term lists are dictionaries of a language; one of more than MOST_TERMS lines is refused."""
+    return collected(spark.read.text(path).distinct(), MOST_TERMS, path)["value"].tolist()

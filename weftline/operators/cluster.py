@@ -85,11 +85,12 @@ def flags(found: DataFrame, config: SearchConfig) -> DataFrame:
 def summary(per_query: DataFrame, marks: DataFrame, ranks: DataFrame) -> DataFrame:
     """One row: counts of flags, cluster ranks, global ranks and their ratios to all queries."""
     n = per_query.agg(F.count(F.lit(1)).alias("total_phrases"))
-    c = marks.agg(*(F.count_if(x).alias(x) for x in ("top_full", "near_full", "any_full", "top_some", "near_some", "any_some")), F.median("best_overlap_rank").alias("clustered_median"), F.avg("best_overlap_rank").alias("clustered_mean"), F.count("best_overlap_rank").alias("_full"))
+    c = marks.agg(*(F.count_if(x).alias(x) for x in ("top_full", "near_full", "any_full", "top_some", "near_some", "any_some")), F.median("best_overlap_rank").alias("clustered_median"), F.avg("best_overlap_rank").alias("clustered_mean"), F.count("best_overlap_rank").alias("_full"),
+        F.median("best_partial_rank").alias("partial_median"), F.avg("best_partial_rank").alias("partial_mean"), F.count("best_partial_rank").alias("_part"))
     r = ranks.agg(F.median("predicted_rank").alias("rank_median"), F.avg("predicted_rank").alias("rank_mean"), F.stddev_pop("predicted_rank").alias("rank_pstdev"))
     one = F.lit(1)
     rows = n.withColumn("_k", one).join(c.withColumn("_k", one), "_k").join(r.withColumn("_k", one), "_k").drop("_k")  # three rows of one
-    rows = rows.withColumn("missing_full", F.col("total_phrases") - F.col("_full")).drop("_full")
+    rows = rows.withColumn("missing_full", F.col("total_phrases") - F.col("_full")).withColumn("missing_partial", F.col("total_phrases") - F.col("_part")).drop("_full", "_part")
     for x in ("top_full", "any_full", "any_some"):
         rows = rows.withColumn(f"{x}_ratio", F.try_divide(F.col(x).cast("double"), F.col("total_phrases")))
     return rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +48,15 @@ def similarity_statistics(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.max(s).alias("max"), F.min(s).alias("min"), F.median(s).alias("median"))
 
 
+#: Groups among which ``shuffled_pairs`` deals out firsts.
+SHUFFLE_GROUPS = 64
+
+
 def shuffled_pairs(pairs: DataFrame, seed: int = 0) -> DataFrame:
-    """A random partner for each first: seconds dealt out in the order of a seeded hash, by rank within hash ranges."""
-    order = Window.partitionBy("_b").orderBy(F.xxhash64("second", F.lit(seed)), "second")
+    """A random partner for each first: seconds dealt out in the order of a seeded md5, by rank, within groups of firsts."""
+    order = Window.partitionBy("_b").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "second")), "second")
     own = Window.partitionBy("_b").orderBy("first", "second")
-    rows = pairs.select("first", "second").withColumn("_b", F.pmod(F.xxhash64("first"), F.lit(64)))
+    rows = pairs.select("first", "second").withColumn("_b", F.conv(F.substring(F.md5("first"), 1, 4), 16, 10).cast("int") % SHUFFLE_GROUPS)
     left = rows.select("first", "_b", F.row_number().over(own).alias("_n"))
     right = rows.select("second", "_b", F.row_number().over(order).alias("_n"))
     return left.join(right, ["_b", "_n"]).select("first", "second")
@@ -72,25 +77,50 @@ def translation_matrix(pairs: DataFrame, source: DataFrame, target: DataFrame) -
 
 
 def project(space: DataFrame, w: np.ndarray) -> DataFrame:
-    """Vectors times W, whose size is that of a vector squared."""
-    columns = [F.array(*[F.lit(float(v)) for v in w[:, j]]) for j in range(w.shape[1])]
-    return space.withColumn("vec", F.array(*[V.dot(F.col("vec"), c) for c in columns]))
+    """Vectors times W, whose size is that of a vector squared, batch by batch. A null vector stays null."""
 
+    @F.arrow_udf("array<double>")
+    def times(v: pa.Array) -> pa.Array:
+        known = v.drop_null()
+        out = np.asarray(known.flatten(), np.float64).reshape(len(known), w.shape[0]) @ w
+        sizes = np.where(np.asarray(v.is_valid()), w.shape[1], 0)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1)), mask=pa.array(~np.asarray(v.is_valid())))
 
-def train_words(sentences: DataFrame, size: int = 64, ngrams: tuple[int, int] | None = None, seed: int = 7, window: int = 5) -> DataFrame:
-    """(token, vec) from (words: array<string>); with ``ngrams`` a word also stands for its character n-grams."""
+    return space.withColumn("vec", times(F.transform("vec", lambda x: x.cast("double"))))
+
+
+def fit_words(sentences: DataFrame, size: int = 64, ngrams: tuple[int, int] | None = None, seed: int = 7, window: int = 5):
+    """A Word2Vec model of (words: array<string>); with ``ngrams`` a word also stands for its character n-grams. The model has
+    save(path)."""
     from pyspark.ml.feature import Word2Vec
 
     if ngrams:
         lo, hi = ngrams
         grams = lambda w: F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda n: F.when(F.length(w) > n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.expr("cast(array() as array<string>)"))))
         sentences = sentences.select(F.flatten(F.transform("words", lambda w: F.concat(F.array(w), grams(w)))).alias("words"))
-    model = Word2Vec(vectorSize=size, minCount=1, inputCol="words", outputCol="v", seed=seed, windowSize=window, maxIter=1).fit(sentences)
+    return Word2Vec(vectorSize=size, minCount=1, inputCol="words", outputCol="v", seed=seed, windowSize=window, maxIter=1).fit(sentences)
+
+
+def words_of(model) -> DataFrame:
+    """(token, vec) of a fitted or loaded model."""
     from pyspark.ml.functions import vector_to_array
 
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
 
 
+def train_words(sentences: DataFrame, size: int = 64, ngrams: tuple[int, int] | None = None, seed: int = 7, window: int = 5) -> DataFrame:
+    """(token, vec) of ``fit_words``."""
+    return words_of(fit_words(sentences, size, ngrams, seed, window))
+
+
+def load_words(path: str) -> DataFrame:
+    """(token, vec) of a saved model."""
+    from pyspark.ml.feature import Word2VecModel
+
+    return words_of(Word2VecModel.load(path))
+
+
 def plane(space: DataFrame, k: int = 2) -> DataFrame:
     """``space`` with its first k principal components."""
     from pyspark.ml.feature import PCA

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.config import SearchConfig
 from weftline.functions.text import with_stars
 
 
@@ -36,14 +37,27 @@ def query_report(clusters: DataFrame, queries: DataFrame, found: DataFrame, stat
     return rows.select("query_id", text.alias("report"))
 
 
-def run_report(summary: DataFrame, name: str) -> DataFrame:
-    """(report): the summary row as prose."""
+def _ranks(kind: str, median: str, mean: str, missing: str) -> Column:
+    return F.when(F.col(median).isNull(), F.lit(f"No {kind} results")).otherwise(
+        F.format_string(f"The median clustered {kind} passage appears at rank %s, average is %.2f, with %d phrases with no {kind} results", F.col(median).cast("string"), mean, missing)
+    )
+
+
+def run_report(summary: DataFrame, name: str, config: SearchConfig, windows: Column | None = None) -> DataFrame:
+    """(report): parameters and the summary row as prose. ``windows``: how many places were ranked."""
+    near = "in the top %d results" if config.topk_mode == "le" else "from result %d on"
+    near = near % config.top_k
     lines = [
         F.lit(f"Results for {name}\n"),
-        F.format_string("The median clustered full passage appears at rank %s, average is %.2f, with %d phrases with no full results", F.col("clustered_median").cast("string"), "clustered_mean", "missing_full"),
-        F.format_string("The median predicted global rank is %s, the average %.2f, the standard deviation %.2f\n", F.col("rank_median").cast("string"), "rank_mean", "rank_pstdev"),
+        F.lit(f"The top {config.top_n} results are displayed, clustering when the start of another result is within {'full' if config.window is None else config.window} tokens"),
+        F.lit(f"Search window is adjusted by a factor of {config.long_adjust + 1}"),
+        F.lit(f"Phrases of up to {config.short_length} tokens are adjusted by {config.short_adjust + 1}"),
+        F.lit(f"Tokens are of kind {config.method}\nThe distance metric used is {config.metric}\n"),
+        _ranks("full", "clustered_median", "clustered_mean", "missing_full"),
+        _ranks("partial", "partial_median", "partial_mean", "missing_partial"),
+        F.format_string("The median predicted global rank is %s%s, the average %.2f, the standard deviation %.2f\n", F.col("rank_median").cast("string"), F.lit("") if windows is None else F.format_string(" of %d", windows), "rank_mean", "rank_pstdev"),
         F.format_string("A total of %d phrases were searched", "total_phrases"),
-        F.format_string("The full passage was found in the top result %d times, in the top results %d times, in any %d times", "top_full", "near_full", "any_full"),
-        F.format_string("Some of it was found in the top result %d times, in the top results %d times, in any %d times", "top_some", "near_some", "any_some"),
+        F.format_string(f"The full passage was found in the top result %d times, {near} %d times, in any %d times", "top_full", "near_full", "any_full"),
+        F.format_string(f"Some of it was found in the top result %d times, {near} %d times, in any %d times", "top_some", "near_some", "any_some"),
     ]
     return summary.select(F.concat_ws("\n", *lines).alias("report"))

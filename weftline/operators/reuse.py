@@ -30,8 +30,9 @@ def word_seeds(tokens: DataFrame, key: str, size: int) -> DataFrame:
     return rows.where(F.col("n") == size).select(key, "seed", "pos")
 
 
-def seed_index(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("seed").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def seed_index(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, seed, positions); with ``by`` an index a text."""
+    return rows.groupBy(*by, "seed").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def shared_seeds(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -78,6 +79,19 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b) / n if n else 0.0
 
 
+def best_starts(rows: DataFrame, one: DataFrame, two: DataFrame, key_a: str, key_b: str, min_length: int = 10) -> DataFrame:
+    """Of places ``rows`` (key_a, i, key_b, j) the most similar pair of windows that begin up to min_length - 2 before i and
+    j: (key_a, i, key_b, j, start_a, start_b, similarity); ties to the smaller start_a, then start_b. ``one`` and ``two``
+    have the texts' windows of min_length, (key_a, start, vec) and (key_b, start, vec)."""
+    places = rows.select(key_a, "i", key_b, "j").distinct()
+    back = lambda at: F.explode(F.sequence(F.greatest(F.col(at) - min_length + 2, F.lit(0)), F.col(at)))
+    a = places.withColumn("start_a", back("i")).join(one.select(key_a, F.col("start").alias("start_a"), F.col("vec").alias("va")), [key_a, "start_a"])
+    both = a.withColumn("start_b", back("j")).join(two.select(key_b, F.col("start").alias("start_b"), F.col("vec").alias("vb")), [key_b, "start_b"])
+    both = both.withColumn("similarity", F.round(V.cosine(F.col("va"), F.col("vb")), 6))
+    best = F.max_by(F.struct("start_a", "start_b", "similarity"), F.struct("similarity", -F.col("start_a"), -F.col("start_b")))
+    return both.where("va is not null and vb is not null").groupBy(key_a, "i", key_b, "j").agg(best.alias("_b")).select(key_a, "i", key_b, "j", "_b.*")
+
+
 def _prefix(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0)])
 
@@ -171,13 +185,6 @@ def extend_all(pairs: DataFrame, threshold: float = 0.9, min_length: int = 10) -
     return pairs.mapInPandas(run, "key_a long, key_b long, i long, j long, start_a long, start_b long, length_a long, length_b long, similarity double")
 
 
-def uncovered(pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Pairs that no extended match of the same texts covers on its diagonal."""
-    m = matches.select("key_a", "key_b", "start_a", "start_b", "length_a")
-    c = (pairs["key_a"] == m["key_a"]) & (pairs["key_b"] == m["key_b"]) & (pairs["i"] - pairs["j"] == m["start_a"] - m["start_b"]) & (pairs["i"] >= m["start_a"]) & (pairs["i"] < m["start_a"] + m["length_a"])
-    return pairs.join(m, c, "left_anti")
-
-
 @dataclass(frozen=True)
 class Scoring:
     """What an alignment's cells gain: a step along both sequences gains the pair's score; a step along one loses ``gap``, or

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import stored
+
 #: Positions in a block.
 BLOCK = 16_384
 #: Similarities are ranked at this many decimals, ties by start.
@@ -25,9 +27,9 @@ def search_length(n: Column, long_adjust: float, short_adjust: float, short_leng
 
 
 def global_offsets(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """``rows`` (key, size, ...) with ``offset``: the sizes of all rows before, in order of key. Ranges of keys are
+    """``rows`` (key, size, ...), stored, with ``offset``: the sizes of all rows before, in order of key. Ranges of keys are
     summed apart; only one number a range passes the driver."""
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = stored(rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "search-ranges")
     sums = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.sum(size).alias("n")).collect()}
     before, total = {}, 0
     for part in sorted(sums):
@@ -39,33 +41,87 @@ def global_offsets(rows: DataFrame, key: str, size: str) -> DataFrame:
 
 
 def blocks(docs: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
-    """(block, start, tokens, marks) pieces from documents (offset, tokens, marks): each piece lies in one block or in
-    the ``halo`` positions behind it."""
+    """(block, start, tokens) pieces from documents (offset, tokens): each piece lies in one block or in the ``halo``
+    positions behind it."""
     n = F.size("tokens")
     first = F.floor(F.greatest(F.col("offset") - halo, F.lit(0)) / block).cast("long")
     last = F.floor((F.col("offset") + n - 1) / block).cast("long")
     rows = docs.where(n > 0).withColumn("block", F.explode(F.sequence(first, last)))
     lo = F.greatest(F.col("block") * block - F.col("offset"), F.lit(0)).cast("int")
     hi = F.least((F.col("block") + 1) * block + halo - F.col("offset"), n.cast("long")).cast("int")
-    return rows.where(hi > lo).select("block", (F.col("offset") + lo).alias("start"), *(F.slice(c, lo + 1, hi - lo).alias(c) for c in ("tokens", "marks")))
-
+    return rows.where(hi > lo).select("block", (F.col("offset") + lo).alias("start"), F.slice("tokens", lo + 1, hi - lo).alias("tokens"))
 
-SCAN = "query_id long, kind string, start long, similarity double, n long, total double, squares double"
 
+def located(docs: DataFrame, key: str, words: str, phrases: dict[int, list[str]]) -> DataFrame:
+    """(query_id, gold_start): the first place in the whole sequence where a phrase's words follow one another. ``phrases``
+    is the query set.
 
-def scan(pieces: DataFrame, vectors: np.ndarray, queries: pd.DataFrame, length: int, top_n: int, block: int = BLOCK, gold: dict | None = None) -> DataFrame:
-    """Per block and query: its best hits (kind hit), sums (stat), the first exact match (gold), and, where ``gold``
-    has (similarity, start), how many windows rank before it (before).
-
-    ``vectors``: row 0 is zeros and means no vector; ``tokens`` are rows. ``queries``: query_id, vector, search_len, marks.
-    Both are small: a dictionary of vectors and a query set. ``length`` is the length of the whole sequence.
+    Words are met in pairs of neighbours, which are far rarer than words; what a document's end or beginning cuts is
+    met alone. A phrase's rarest word gives its candidates, and these are checked word by word, by joins on positions.
+    """
+    spark = docs.sparkSession
+    schema = "query_id long, gold_start long"
+    phrases = {k: w for k, w in phrases.items() if w}
+    if not phrases:
+        return spark.createDataFrame([], schema)
+    whole = spark.createDataFrame([(k, i, w, len(ws)) for k, ws in phrases.items() for i, w in enumerate(ws)], "query_id long, at int, word string, n int")
+    pairs = spark.createDataFrame(sorted({(a, b) for ws in phrases.values() for a, b in zip(ws, ws[1:])} or {("", "")}), "word string, next string").withColumn("pair", F.lit(True))
+    alone = spark.createDataFrame(sorted({(w,) for ws in phrases.values() for w in ws}), "word string").withColumn("met", F.lit(True))
+    single = spark.createDataFrame(sorted({(ws[0],) for ws in phrases.values() if len(ws) == 1} or {("",)}), "word string").withColumn("single", F.lit(True))
+    placed = global_offsets(docs.select(key, F.size(words).alias("size")), key, "size").select(key, "offset")
+    rows = docs.select(key, F.size(words).alias("size"), F.posexplode(F.transform(F.col(words), lambda w, i: F.struct(w.alias("word"), F.get(F.col(words), i + 1).alias("next")))).alias("pos", "w"))
+    rows = rows.select(key, "size", "pos", "w.word", "w.next").join(F.broadcast(alone), "word").join(F.broadcast(pairs), ["word", "next"], "left").join(F.broadcast(single), "word", "left")
+    rows = rows.where("pair or single or pos = 0 or pos = size - 1").join(placed, key)
+    mine = F.struct((F.col("offset") + F.col("pos")).alias("g"), F.col("word").alias("word"))
+    other = F.struct((F.col("offset") + F.col("pos") + 1).alias("g"), F.col("next").alias("word"))
+    seen = stored(rows.select(F.explode(F.when(F.col("pair"), F.array(mine, other)).otherwise(F.array(mine))).alias("x")).select("x.g", "x.word").distinct(), "search-seen")
+    counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    rare = whole.join(counts, "word").groupBy("query_id").agg(F.min_by(F.struct("at", "word", "n"), F.struct("c", "at")).alias("r")).select("query_id", "r.*")
+    cand = seen.join(F.broadcast(rare), "word").select("query_id", "n", (F.col("g") - F.col("at")).alias("start")).where("start >= 0")
+    steps = cand.join(F.broadcast(whole.select("query_id", "at", "word")), "query_id").select("query_id", "n", "start", (F.col("start") + F.col("at")).alias("g"), "word")
+    full = steps.join(seen, ["g", "word"]).groupBy("query_id", "start", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n")
+    return full.groupBy("query_id").agg(F.min("start").alias("gold_start"))
+
+
+SCAN = "variant int, query_id long, kind string, start long, similarity double, n long, total double, squares double"
+
+
+def _best(similarity: np.ndarray, ok: np.ndarray, top_n: int) -> np.ndarray:
+    """The places of the ``top_n`` largest among ``ok``, ties by place."""
+    s = similarity[ok]
+    if top_n < len(s):
+        floor = np.partition(s, len(s) - top_n)[len(s) - top_n]
+        ok, s = ok[s >= floor], s[s >= floor]
+    return ok[np.lexsort((ok, -s))[:top_n]]
+
+
+def scan(pieces: DataFrame, vectors: np.ndarray, queries: pd.DataFrame, length: int, block: int = BLOCK, metric: str = "cosine", only_gold: bool = False) -> DataFrame:
+    """Per block, variant and query: its best ``top_n`` hits (kind hit), sums over all windows (stat), and, where a query has
+    gold_similarity and gold_start, how many windows rank before that place (before). With ``only_gold`` nothing but
+    the similarity of the windows at gold_start (gold).
+
+    ``vectors``: row 0 is zeros and means no vector; ``tokens`` are rows. ``queries``: variant, query_id, vector, search_len,
+    top_n, gold_start, gold_similarity; variants are runs with other parameters, which share the pass. Both are
+    small: a dictionary of vectors and a query set. ``length`` is the length of the whole sequence. Similarity is one
+    less the distance, cosine or euclidean, between a query's vector and a window's mean.
     """
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"{metric} not known")
     has = (np.arange(len(vectors)) > 0).astype(np.float64)
+    names = [x.split()[0] for x in SCAN.split(", ")]
+
+    def similar(window: np.ndarray, counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if metric == "cosine":
+                norms = np.sqrt(np.einsum("ij,ij->i", window, window))
+                return np.round((window @ q.T) / (norms[:, None] * np.linalg.norm(q, axis=1)), DIGITS)
+            mean = window / counts[:, None]
+            squares = np.einsum("ij,ij->i", mean, mean)[:, None] + np.einsum("ij,ij->i", q, q) - 2 * (mean @ q.T)
+            return np.round(1 - np.sqrt(np.maximum(squares, 0)), DIGITS)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
         token = np.concatenate([np.asarray(x, np.int64) for x in pdf["tokens"]])
-        mark = np.concatenate([np.asarray(x, np.int64) for x in pdf["marks"]])
         begin, own = int(pdf["start"].iloc[0]), int(key[0]) * block
         sums = np.zeros((len(token) + 1, vectors.shape[1]))
         np.cumsum(vectors[token], axis=0, out=sums[1:])
@@ -76,33 +132,29 @@ def scan(pieces: DataFrame, vectors: np.ndarray, queries: pd.DataFrame, length:
             n = min(own + block - begin, len(token) - size + 1, length - size + 1 - begin)
             if size < 1 or n < 1:
                 continue
-            window = sums[size : size + n] - sums[:n]
-            known = counts[size : size + n] - counts[:n] > 0
-            norms = np.sqrt(np.einsum("ij,ij->i", window, window))
-            q = np.stack(group["vector"].to_numpy())
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = np.round((window @ q.T) / (norms[:, None] * np.linalg.norm(q, axis=1)), DIGITS)
-            for k, (_, row) in enumerate(group.iterrows()):
-                s = sims[:, k]
-                ok = np.flatnonzero(known & np.isfinite(s))
-                best = ok[np.lexsort((ok, -s[ok]))[:top_n]] if top_n else ok[:0]
-                qid = int(row["query_id"])
-                out += [(qid, "hit", begin + int(i), float(s[i]), 1, None, None) for i in best]
+            if only_gold:
+                for row in group.itertuples():
+                    i = int(row.gold_start) - begin
+                    if 0 <= i < n and counts[i + size] > counts[i]:
+                        s = similar(sums[i + size : i + size + 1] - sums[i : i + 1], counts[i + size : i + size + 1] - counts[i : i + 1], np.stack([row.vector]))[0, 0]
+                        out.append((int(row.variant), int(row.query_id), "gold", begin + i, float(s) if np.isfinite(s) else None, 1, None, None))
+                continue
+            window, many = sums[size : size + n] - sums[:n], counts[size : size + n] - counts[:n]
+            distinct = {v.tobytes(): v for v in group["vector"]}  # variants share vectors
+            place = {k: i for i, k in enumerate(distinct)}
+            sims = similar(window, many, np.stack(list(distinct.values())))
+            for row in group.itertuples():
+                s = sims[:, place[row.vector.tobytes()]]
+                ok = np.flatnonzero((many > 0) & np.isfinite(s))
+                ids = int(row.variant), int(row.query_id)
+                best = _best(s, ok, int(row.top_n)) if row.top_n else ok[:0]
+                out += [(*ids, "hit", begin + int(i), float(s[i]), 1, None, None) for i in best]
                 v = s[ok]
-                out.append((qid, "stat", -1, None, len(v), float(v.sum()), float((v * v).sum())))
-                m = np.asarray(row["marks"], np.int64)
-                if len(m):
-                    at = np.flatnonzero(mark[: own + block - begin] == m[0])
-                    at = at[at + len(m) <= len(mark)]
-                    for j in range(1, len(m)):
-                        at = at[mark[at + j] == m[j]]
-                    if len(at):
-                        i = int(at[0])
-                        out.append((qid, "gold", begin + i, float(s[i]) if i < n and known[i] and np.isfinite(s[i]) else None, 1, None, None))
-                if gold and qid in gold:
-                    g, start = gold[qid]
-                    out.append((qid, "before", -1, None, int(np.count_nonzero((v > g) | ((v == g) & (begin + ok < start)))), None, None))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in SCAN.split(", ")])
+                out.append((*ids, "stat", -1, None, len(v), float(v.sum()), float((v * v).sum())))
+                if row.gold_start >= 0 and np.isfinite(row.gold_similarity):
+                    before = np.count_nonzero((v > row.gold_similarity) | ((v == row.gold_similarity) & (begin + ok < row.gold_start)))
+                    out.append((*ids, "before", -1, None, int(before), None, None))
+        return pd.DataFrame(out, columns=names)
 
     return pieces.groupBy("block").applyInPandas(run, SCAN)
 
@@ -119,8 +171,3 @@ def statistics(found: DataFrame) -> DataFrame:
     s = found.where("kind = 'stat'").groupBy("query_id").agg(F.sum("n").alias("n_windows"), F.sum("total").alias("t"), F.sum("squares").alias("q"))
     mean = F.col("t") / F.col("n_windows")
     return s.select("query_id", "n_windows", mean.alias("mean_sim"), F.sqrt(F.greatest(F.col("q") / F.col("n_windows") - mean * mean, F.lit(0.0))).alias("std_sim"))
-
-
-def located(found: DataFrame) -> DataFrame:
-    """(query_id, gold_start, gold_similarity): the first exact match of the gold tokens in the whole sequence."""
-    return found.where("kind = 'gold'").groupBy("query_id").agg(F.min_by(F.struct("start", "similarity"), "start").alias("g")).select("query_id", F.col("g.start").alias("gold_start"), F.col("g.similarity").alias("gold_similarity"))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.config import SearchConfig, grid
+from weftline.config import grid
 from weftline.functions import text as T
 from weftline.functions import tokenize as N
 from weftline.functions import vector as V
 from weftline.operators import cluster, embedding, report, reuse, search, vectors
 from weftline.plans import passage_search as P
+from weftline.sources.shared import stored
 
-TERMS = ["tion", "ther", "the", "th", "ing", "er", "ouble"]
+TERMS = P.TERMS
 
 
 def _embeddings(spark, sf_dir):
@@ -65,7 +67,7 @@ def find_all(spark, sf_dir):
 
 def seed_index(spark, sf_dir):
     s = reuse.seeds(P.table(spark, sf_dir, "benchmark"), "item_id", "text", 2)
-    return s.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return reuse.seed_index(s, "item_id").select("item_id", "seed", F.array_join("positions", ",").alias("positions"))
 
 
 def term_category(spark, sf_dir):
@@ -74,7 +76,8 @@ def term_category(spark, sf_dir):
 
 
 def group_rows(spark, sf_dir):
-    return P.table(spark, sf_dir, "conversations").groupBy("role").agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn"))).alias("v")).select("role", F.size("v").alias("n"), F.col("v")[0]["conv_id"].alias("first_conv"))
+    rows = P.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("v"))
+    return rows.select("conv_id", F.size("v").alias("n"), F.array_join(F.transform("v", lambda x: x["role"]), ",").alias("roles"))
 
 
 def _doc_counts(spark, sf_dir):
@@ -83,7 +86,7 @@ def _doc_counts(spark, sf_dir):
 
 def _doc_vectors(spark, sf_dir):
     counts = _doc_counts(spark, sf_dir)
-    return vectors.mean_vectors(vectors.lookup(counts, P.hashed_space(spark, sf_dir, counts)), ["doc_id"], weight="c")
+    return vectors.mean_vectors(vectors.lookup(counts, P.hashed_space(spark, sf_dir, counts)), ["doc_id"], weight="c", dims=P.dims(spark, sf_dir))
 
 
 def doc_vectors(spark, sf_dir):
@@ -97,13 +100,13 @@ def _sentences(spark, sf_dir):
 
 def sent_vectors(spark, sf_dir):
     t = _sentences(spark, sf_dir)
-    v = vectors.sentence_vectors(t, P.hashed_space(spark, sf_dir, t), "doc_id")
+    v = vectors.sentence_vectors(t, P.hashed_space(spark, sf_dir, t), "doc_id", P.dims(spark, sf_dir))
     return v.select("doc_id", "sent", "n", F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.col("vec")[0], 6).alias("v0"))
 
 
 def doc_sentence_means(spark, sf_dir):
     t = _sentences(spark, sf_dir)
-    v = vectors.document_vectors(t, P.hashed_space(spark, sf_dir, t), "doc_id", "sentences")
+    v = vectors.document_vectors(t, P.hashed_space(spark, sf_dir, t), "doc_id", "sentences", P.dims(spark, sf_dir))
     return v.select("doc_id", F.col("n").alias("n_sentences"), F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.col("vec")[0], 6).alias("v0"))
 
 
@@ -160,7 +163,8 @@ def pair_similarity_stats(spark, sf_dir):
 
 def random_pair_stats(spark, sf_dir):
     p, s = _kept_pairs(spark, sf_dir)
-    return embedding.similarity_statistics(embedding.pair_similarity(embedding.shuffled_pairs(p), s, s))
+    sims = embedding.pair_similarity(embedding.shuffled_pairs(p), s, s)
+    return embedding.similarity_statistics(sims).select("n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "max", "min", "median")))
 
 
 def embedding_merge(spark, sf_dir):
@@ -182,7 +186,7 @@ def length_stats(spark, sf_dir):
 
 def phrase_vectors(spark, sf_dir):
     w = P.word_table(spark, sf_dir, "benchmark", "item_id")
-    v = vectors.phrase_vectors(w, P.hashed_space(spark, sf_dir, w.unionByName(w.select("item_id", "pos", F.explode(F.split("token", "")).alias("token")).where("token <> ''"))), ["item_id"])
+    v = vectors.phrase_vectors(w, P.hashed_space(spark, sf_dir, w.unionByName(w.select("item_id", "pos", F.explode(F.split("token", "")).alias("token")).where("token <> ''"))), ["item_id"], dims=P.dims(spark, sf_dir))
     return v.select("item_id", "n", F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.col("vec")[0], 6).alias("v0"))
 
 
@@ -192,13 +196,29 @@ def window_vectors(spark, sf_dir):
     return v.select("doc_id", "start", "n_known", F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.col("vec")[0], 6).alias("v0"))
 
 
-def passage_search_topk(spark, sf_dir, k: int = 10):
-    s = P.run(spark, sf_dir, top_n=k)
+def _topk(spark, sf_dir, k, config=P.CONFIG):
+    s = P.run(spark, sf_dir, config, top_n=k)
     return search.ranked(s.found, k).join(s.queries, "query_id").select("query_id", "rank", "start", (F.col("start") + F.col("search_len") - 1).alias("end"), "similarity")
 
 
+def passage_search_topk(spark, sf_dir, k: int = 10):
+    return _topk(spark, sf_dir, k)
+
+
+def passage_search_euclid(spark, sf_dir, k: int = 10):
+    return _topk(spark, sf_dir, k, replace(P.CONFIG, metric="euclidean"))
+
+
+def passage_search_chars(spark, sf_dir, k: int = 10):
+    return _topk(spark, sf_dir, k, replace(P.CONFIG, method="char"))
+
+
+def passage_search_terms(spark, sf_dir, k: int = 10):
+    return _topk(spark, sf_dir, k, replace(P.CONFIG, method="term"))
+
+
 def global_rank(spark, sf_dir):
-    return P.predicted_ranks(P.run(spark, sf_dir, ranks=True, top_n=0))
+    return P.predicted_ranks(P.run(spark, sf_dir, gold=True, top_n=0))
 
 
 def sim_stats(spark, sf_dir):
@@ -206,7 +226,7 @@ def sim_stats(spark, sf_dir):
 
 
 def locate_phrase(spark, sf_dir):
-    return search.located(P.run(spark, sf_dir, top_n=0).found).select("query_id", "gold_start")
+    return P.located(spark, sf_dir)
 
 
 def merge_islands(spark, sf_dir):
@@ -218,48 +238,52 @@ def cluster_rank(spark, sf_dir):
 
 
 def merge_greedy(spark, sf_dir):
-    return P.run(spark, sf_dir, SearchConfig(long_adjust=0.0, short_adjust=0.3, method="word", cluster_mode="greedy")).clusters()
+    return P.run(spark, sf_dir, replace(P.CONFIG, cluster_mode="greedy")).clusters()
 
 
 def overlap_pct(spark, sf_dir):
-    s = P.run(spark, sf_dir)
+    s = P.run(spark, sf_dir, gold=True)
     return cluster.overlaps(s.clusters(), s.gold()).select("query_id", "cluster_no", F.round("pct", 6).alias("pct"))
 
 
 def hit_flags(spark, sf_dir):
-    s = P.run(spark, sf_dir)
+    s = P.run(spark, sf_dir, gold=True)
     return cluster.flags(cluster.overlaps(s.clusters(), s.gold()), s.config)
 
 
-def _summary(spark, sf_dir, config=P.CONFIG):
-    s = P.run(spark, sf_dir, config, ranks=True)
+def _summary(s):
     marks = cluster.flags(cluster.overlaps(s.clusters(), s.gold()), s.config)
     return cluster.summary(s.queries, marks, P.predicted_ranks(s))
 
 
 def run_summary(spark, sf_dir):
-    x = _summary(spark, sf_dir)
+    x = _summary(P.run(spark, sf_dir, gold=True))
     return x.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
 
 
 def run_report(spark, sf_dir):
-    return report.run_report(_summary(spark, sf_dir), "benchmark")
+    s = P.run(spark, sf_dir, gold=True)
+    windows = search.statistics(s.found).agg(F.max("n_windows").alias("windows"))
+    return report.run_report(_summary(s).join(F.broadcast(windows), F.lit(True)), "benchmark", s.config, F.col("windows"))  # one row
 
 
 def phrase_report(spark, sf_dir):
-    s = P.run(spark, sf_dir, ranks=True)
+    s = P.run(spark, sf_dir, gold=True)
     c = s.clusters()
-    ranks = P.predicted_ranks(s).select("query_id", "gold_start", "predicted_rank")
-    q = P.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(N.latin_words(F.col("text")), " ").alias("query"))
-    q = q.withColumn("gold", F.col("query")).join(s.queries, "query_id").join(ranks, "query_id", "left")
-    q = q.withColumn("ratio", F.lit(1.0)).withColumn("used_ratio", F.when(F.col("n_tokens") > s.config.short_length, 1 + s.config.long_adjust).otherwise(1 + s.config.short_adjust))
+    ranks = P.predicted_ranks(s).select("query_id", "predicted_rank")
+    words, gold = P.tokens_of(F.col("text"), s.config.method), N.latin_words(F.col("text"))
+    q = P.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.array_join(gold, " ").alias("gold"), F.try_divide(F.size(gold), F.size(words)).alias("ratio"))
+    q = q.join(s.queries, "query_id").join(s.places.select("query_id", "gold_start"), "query_id", "left").join(ranks, "query_id", "left")
+    q = q.withColumn("used_ratio", F.when(F.col("n_tokens") > s.config.short_length, 1 + s.config.long_adjust).otherwise(1 + s.config.short_adjust))
     return report.query_report(c, q, cluster.overlaps(c, s.gold()), search.statistics(s.found))
 
 
 def param_grid(spark, sf_dir):
+    configs = grid(long_adjust=[0.0, 0.4], short_adjust=[0.3], top_n=[100, 500], method=["word"])
     out = None
-    for config in grid(long_adjust=[0.0, 0.4], short_adjust=[0.3], top_n=[100, 500], method=["word"]):
-        row = _summary(spark, sf_dir, config).select(F.lit(config.results_dir("benchmark")).alias("config"), "clustered_median", "clustered_mean", "rank_median", "rank_mean", "top_full_ratio", "any_full_ratio", "any_some_ratio")
+    for s in P.run_all(spark, sf_dir, configs, gold=True):
+        cols = ("clustered_median", "clustered_mean", "partial_median", "partial_mean", "rank_median", "rank_mean", "top_full_ratio", "any_full_ratio", "any_some_ratio")
+        row = _summary(s).select(F.lit(s.config.results_dir("benchmark")).alias("config"), *(F.round(c, 6).alias(c) for c in cols))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -285,24 +309,33 @@ def shared_seeds_vec(spark, sf_dir):
 
 
 def _gated(spark, sf_dir):
-    a, b = P.word_table(spark, sf_dir, "benchmark", "item_id"), P.word_table(spark, sf_dir)
-    s = P.hashed_space(spark, sf_dir, b.select("token").unionByName(a.select("token")))
-    va = vectors.window_means(a, s, 10, "item_id").select("item_id", F.col("start").alias("i"), F.col("vec").alias("va"))
-    vb = vectors.window_means(b, s, 10).select("doc_id", F.col("start").alias("j"), F.col("vec").alias("vb"))
-    return reuse.gate(match_locations(spark, sf_dir).join(va, ["item_id", "i"]).join(vb, ["doc_id", "j"])), a, b, s
+    """Places whose windows of 10 are similar, the words of both tables, the space, and the windows."""
+    a, b = stored(P.word_table(spark, sf_dir, "benchmark", "item_id"), "gate-a"), stored(P.word_table(spark, sf_dir), "gate-b")
+    s = stored(P.hashed_space(spark, sf_dir, b.select("token").unionByName(a.select("token"))), "gate-space")
+    seeds = reuse.word_seeds(a, "item_id", 5), reuse.word_seeds(b, "doc_id", 5)
+    places = stored(reuse.locations(seeds[0].withColumnRenamed("pos", "i"), seeds[1].withColumnRenamed("pos", "j")).select("item_id", "i", "doc_id", "j"), "gate-places")
+    near = b.join(places.select("doc_id").distinct(), "doc_id", "left_semi")  # only these documents' windows are asked for
+    wa, wb = stored(vectors.window_means(a, s, 10, "item_id"), "gate-windows"), stored(vectors.window_means(near, s, 10), "gate-windows")
+    va, vb = wa.select("item_id", F.col("start").alias("i"), F.col("vec").alias("va")), wb.select("doc_id", F.col("start").alias("j"), F.col("vec").alias("vb"))
+    return reuse.gate(places.join(va, ["item_id", "i"]).join(vb, ["doc_id", "j"])), a, b, s, wa, wb
 
 
 def chunk_gate(spark, sf_dir):
     return _gated(spark, sf_dir)[0].select("item_id", "i", "doc_id", "j", "similarity")
 
 
-def optimize_start(spark, sf_dir):
+def best_location(spark, sf_dir):
     rows = _gated(spark, sf_dir)[0]
     return reuse.best_start(rows, ["item_id", "doc_id"])
 
 
+def optimize_start(spark, sf_dir):
+    rows, _, _, _, wa, wb = _gated(spark, sf_dir)
+    return reuse.best_starts(rows, wa, wb, "item_id", "doc_id")
+
+
 def extend_match(spark, sf_dir):
-    rows, a, b, s = _gated(spark, sf_dir)
+    rows, a, b, s, _, _ = _gated(spark, sf_dir)
     places = rows.groupBy(F.col("item_id").alias("key_a"), F.col("doc_id").alias("key_b")).agg(F.collect_set(F.struct("i", "j")).alias("at"))
 
     def vecs(tokens, key, need, name):
@@ -317,7 +350,7 @@ def extend_match(spark, sf_dir):
 
 def align_sequences(spark, sf_dir):
     w = P.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.explode(N.latin_words(F.col("text"))).alias("token"))
-    v = vectors.mean_vectors(vectors.lookup(w, P.hashed_space(spark, sf_dir, w)), ["conv_id", "role", "turn"])
+    v = vectors.mean_vectors(vectors.lookup(w, P.hashed_space(spark, sf_dir, w)), ["conv_id", "role", "turn"], dims=P.dims(spark, sf_dir))
     side = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "vec")))), lambda x: x["vec"])
     return reuse.align_sequences(v.groupBy(F.col("conv_id").alias("key")).agg(side("user").alias("va"), side("assistant").alias("vb")))
 
@@ -331,20 +364,31 @@ def project_space(spark, sf_dir):
 
 def train_words(spark, sf_dir):
     s = P.table(spark, sf_dir, "benchmark").select(N.latin_words(F.col("text")).alias("words"))
-    return embedding.train_words(s, 16, (2, 3)).select("token", F.size("vec").alias("n_dims"))
+    return embedding.train_words(s, 16, (2, 3)).select("token", F.posexplode("vec").alias("dim", "v")).select("token", "dim", F.round("v", 5).alias("value"))
 
 
 def space_plane(spark, sf_dir):
-    return embedding.plane(_embeddings(spark, sf_dir).select("id", "vec")).select("id", F.size("plane").alias("n_dims"))
+    rows = embedding.plane(_embeddings(spark, sf_dir).select("id", "vec"))
+    return rows.select("id", F.round(F.col("plane")[0], 5).alias("x"), F.round(F.col("plane")[1], 5).alias("y"))
+
+
+def gloss_labels(spark, sf_dir):
+    one, two = T.gloss(F.col("first"), F.col("second"), {"the": "article", "and": "conjunction", "was": "verb"})
+    return pair_filter(spark, sf_dir).select("ord", one.alias("first_label"), two.alias("second_label"))
+
+
+def reparse_words(spark, sf_dir):
+    again = N.reparsed(N.latin_words(F.col("text")), TERMS)
+    return P.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(again, "|").alias("words"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
-        passage_search_topk, clean_text, strip_punct, sent_split, phrase_split, char_tokens, dict_tokens, dict_sentences, find_all, seed_index, term_category, group_rows,
+        passage_search_topk, passage_search_euclid, passage_search_chars, passage_search_terms, clean_text, strip_punct, sent_split, phrase_split, char_tokens, dict_tokens, dict_sentences, find_all, seed_index, term_category, group_rows,
         doc_vectors, sent_vectors, doc_sentence_means, vector_sum, center_space, vocab_coverage, pair_filter, pair_flip, pair_similarity, pair_similarity_stats, random_pair_stats,
         embedding_merge, search_length, length_stats, phrase_vectors, window_vectors, global_rank, sim_stats, locate_phrase, merge_islands, cluster_rank, merge_greedy, overlap_pct,
-        hit_flags, run_summary, run_report, phrase_report, param_grid, shared_seeds, match_locations, shared_seeds_vec, chunk_gate, optimize_start, extend_match, align_sequences,
-        project_space, train_words, space_plane,
+        hit_flags, run_summary, run_report, phrase_report, param_grid, shared_seeds, match_locations, shared_seeds_vec, chunk_gate, best_location, optimize_start, extend_match, align_sequences,
+        project_space, train_words, space_plane, gloss_labels, reparse_words,
     )
     out = {f.__name__: f for f in names}
     for name, method in (("cosine_matrix", "cosine similarity"), ("dot_matrix", "linear kernel"), ("euclid_matrix", "euclidean distance"), ("cosine_distance", "cosine distance")):

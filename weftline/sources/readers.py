@@ -30,10 +30,11 @@ def searched_phrases(alignment: DataFrame, leave_out: tuple[int, ...] = (), scor
     return rows.where(~F.col("query_id").isin(*leave_out)) if leave_out else rows
 
 
-def read_text(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
+def read_text(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, cleaned: bool = False) -> DataFrame:
     """(path, text): whole files."""
     df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return df.withColumn("text", simplify(F.col("text"), mapping)) if mapping else df
+    df = df.withColumn("text", simplify(F.col("text"), mapping)) if mapping else df
+    return df.withColumn("text", clean(F.col("text"))) if cleaned else df
 
 
 def read_dir(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, cleaned: bool = False) -> DataFrame:
