@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable, Iterable
 from itertools import filterfalse
 
+from weftline.llm.common import CACHES
+
 #: White space as Unicode's White_Space property has it; Python's own \s has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters up to U+00FF; a word of them that ends before a stop or white space is one match of the pattern.
@@ -25,6 +27,10 @@ class ChunkCache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, added: Iterable[str] = (), most: int = 1_200_000, longest: int = 64):
         self.encode, self.most, self.longest, self.known = encode, most, longest, {}
         self.whole, self.added = whole, [x for x in added if x]
+        CACHES.add(self)
+
+    def clear(self) -> None:
+        self.known.clear()
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         """The joined encoded chunks of each text."""

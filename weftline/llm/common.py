@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import discard, shared_folder, stored  # noqa: F401
+
 #: Bytes of Arrow data handed to Python at once. Rows longer than this travel alone.
 BATCH_BYTES = 8 << 20
 
@@ -34,32 +36,6 @@ def small_batches(spark: SparkSession, records: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-            spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    elif base.startswith("file:/") and not base.startswith("file://"):
-        base = f"file://{base[5:]}"
-    return f"{base.rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished, stored steps: it does so once the driver has collected
     the plans that made them, which may otherwise be long after the disk is full."""
@@ -85,8 +61,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: What this worker keeps between tasks of one operator.
+CACHES: weakref.WeakSet = weakref.WeakSet()
+
+
+def drop_caches() -> None:
+    """Empty what another operator's tasks have left in this worker."""
+    for cache in list(CACHES):
+        cache.clear()
+
+
 def release() -> None:
-    """Give memory that this worker has freed back to the system: the worker lives on beside others."""
+    """Give memory that this worker has freed, and other operators' caches, back to the system: the worker lives on
+    beside others."""
+    drop_caches()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, buffers, fresh, release, small_batches, stored
+from weftline.llm.common import bounded_broadcast, buffers, discard, fresh, release, small_batches, stored
 from weftline.llm.components import components
 from weftline.llm.nodes import SMALL_ROWS, digest_of, nodes_of
 
@@ -235,6 +235,7 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         block = Block(buckets)
         names = [x.split()[0] for x in PACKED.split(", ")]
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -415,7 +416,9 @@ def _rarest(sets: DataFrame, buckets: int) -> DataFrame:
     blocks = stored(sets.select("key", "hashes").mapInArrow(pack, "block string, keys binary, sizes binary, hashes binary"), "near-blocks", "snappy")
     counts = blocks.select("block", "hashes").mapInArrow(count, COUNTED).groupBy("bucket").applyInArrow(add, COUNTED)
     kind = "key long, size long, shared long, element long, place long"
-    return stored(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(choose, kind), "near-rarest")
+    out = stored(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(choose, kind), "near-rarest")
+    discard(blocks)
+    return out
 
 
 def _still_mixed(m: DataFrame, labels: DataFrame) -> DataFrame:
@@ -453,6 +456,7 @@ def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     found = stored(_met(packed).unionByName(_runs(packed)), "near-runs")
     sizes = stored(found.where("run is null").select("key", F.col("need").alias("size")).distinct(), "near-sizes")
     m = stored(_enough(_enough(found.where("run is not null"))), "near-members")
+    discard(packed, found)
 
     least = m.groupBy("run").agg(F.min("key").alias("a"))
     pairs = m.join(least, "run").where("key <> a").select("a", F.col("key").alias("b")).distinct()
@@ -463,6 +467,7 @@ def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
 
     # What only shingles of its own hold apart from its run can't link; copies meet at their centre.
     rest = stored(_enough(_enough(_still_mixed(m, labels))), "near-rest")
+    discard(m)
     left = stored(rest.select("key").distinct(), "near-left")
     n_elements = left.join(sizes, "key").agg(F.sum("size")).first()[0] or 0
     rarest = _rarest(sets.join(bounded_broadcast(left, 1_000_000), "key", "left_semi"), max(4, -(-int(n_elements) * 12 // BUCKET_BYTES)))
@@ -485,6 +490,7 @@ def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     early = lambda x: F.col(f"place_{x}") <= F.col(f"shared_{x}") - _least("a", "b")
     cross = side(rows.where("label <> major"), "a").join(side(rows, "b").withColumnRenamed("element", "e"), (F.col("element") == F.col("e")) & (F.col("label_a") != F.col("label_b")) & _possible() & early("a") & early("b"))
     last = _verified(cross.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct(), sets)
+    discard(sets)
     if not last.isEmpty():
         labels = _joined(labels, last)
     return sizes.withColumnRenamed("size", "n_shingles"), labels

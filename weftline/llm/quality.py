@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, small_batches, stored
+from weftline.llm.common import bounded_broadcast, drop_caches, small_batches, stored
 
 MIN_WORDS, MIN_ROWS, FENCE = 50, 200, 3
 SYMBOLS = "#*$%&|<>"
@@ -63,11 +63,13 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
 
     @F.arrow_udf(f"struct<{SIGNALS.replace(' bigint', ': bigint')}>")
     def signals(texts: pa.Array) -> pa.Array:
+        drop_caches()
         rows = [signals_of(x) for x in texts.to_pylist()]
         cols = list(zip(*rows)) if rows else [()] * len(_NAMES)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_NAMES)
 
-    return df.withColumn("_q_signals", signals(F.col(text)))
+    # Not to be moved into filters, where it would be evaluated again.
+    return df.withColumn("_q_signals", signals.asNondeterministic()(F.col(text)))
 
 
 def base_failed(s: str = "_q_signals") -> Column:

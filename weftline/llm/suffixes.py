@@ -39,17 +39,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, buffers, fresh, release, shared_folder, small_batches, stored
+from weftline.llm.common import bounded_broadcast, buffers, discard, fresh, release, shared_folder, small_batches, stored
 from weftline.llm.nodes import SMALL_ROWS, digest_of, nodes_of
 
 WIDTH, K = 50, 20
 #: Bytes of text hashed at once, anchors in a block, segments in a block, bytes a bucket of anchors should get, and
 #: segments that a bucket of segments should get.
-SLICE_BYTES, BLOCK_ANCHORS, BLOCK_SEGMENTS, ANCHOR_BUCKET, SEGMENT_BUCKET = 256 << 10, 500_000, 200_000, 4 << 20, 32_000
+SLICE_BYTES, BLOCK_ANCHORS, BLOCK_SEGMENTS, ANCHOR_BUCKET, SEGMENT_BUCKET = 256 << 10, 500_000, 200_000, 4 << 20, 16_000
 #: Holders of an anchor above which its windows are dealt one by one.
 HOT = 100_000
 #: Rows of the transform in a chunk.
-CHUNK_ROWS = 1 << 19
+CHUNK_ROWS = 1 << 18
+#: Rows up to which the places that last-to-first mapping leads to are held, when strings are found again; beyond it the
+#: files are passed over once a round.
+HELD_ROWS = 1 << 24
 
 U64 = np.uint64
 _C = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
@@ -151,6 +154,7 @@ def _send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     names, kinds = ["bucket", "anchors", "keys"], [pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches):
+        release()
         keys: list[int] = []
         packed: list[np.ndarray] = []
         held = 0
@@ -457,11 +461,14 @@ def suffix_places(rows: Rows, total: np.ndarray, length: np.ndarray) -> Iterator
     m = len(length)
     who, at = np.arange(m), np.arange(m)
     whole = None
-    if len(rows.parts) == 1:
-        (before, _), = rows
-        order = np.argsort(before, kind="stable")
-        whole = np.empty(len(before), np.int64)
-        whole[order] = np.arange(len(before))
+    if (n := int(total.sum())) <= HELD_ROWS:
+        whole, old, upto = np.empty(n, np.int32), 0, _base(total, m)
+        for before, _ in rows:
+            order = np.argsort(before, kind="stable")
+            sizes = np.bincount(before, minlength=256)
+            head = np.cumsum(sizes) - sizes
+            whole[old + order] = np.arange(len(order)) + np.repeat(upto - head, sizes)
+            upto, old = upto + sizes, old + len(before)
     for t in range(int(length.max(initial=0)) + 1):
         yield t, who, at
         if whole is not None:
@@ -581,13 +588,16 @@ def spans_to_remove(df: DataFrame, key: str = "doc_id", text: str = "text"):
     anchor_bytes = nodes.n_bytes * 8 // 12
     packed = stored(_send_anchors(nodes.docs, max(8, -(-anchor_bytes // ANCHOR_BUCKET))), "suffix-packed", "snappy")
     shared = stored(_shared_anchors(packed), "suffix-anchors")
-    occurrences = shared.count()
+    discard(packed)
+    held, occurrences = shared, shared.count()
     hot = stored(shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "suffix-hot")
     if not hot.isEmpty():
         shared = shared.join(bounded_broadcast(hot.withColumn("hot", F.lit(1))), "anchor", "left").select("key", (F.col("anchor").bitwiseOR(F.coalesce("hot", F.lit(0)))).alias("anchor"))
     per_doc = shared.groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     segments = stored(_send_segments(nodes.docs.join(per_doc, "key"), max(8, -(-int(occurrences) // SEGMENT_BUCKET))), "suffix-segments", "snappy")
+    discard(held)
     found = stored(_spans(segments, shared_folder(spark, "suffix-scratch")), "suffix-spans")
+    discard(segments)
     return found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans")), nodes
 
 
