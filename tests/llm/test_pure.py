@@ -183,6 +183,25 @@ def test_gru_gradient():
         at += math.prod(shape)
 
 
+@pytest.mark.parametrize("rows,cols", [(5, 7), (8, 9), (32, 32), (13, 64), (1, 64), (9000, 64)])
+def test_areas_against_plain_means(rows, cols):
+    """Fractional areas, by the overlap of each sample with each cell."""
+    rng = np.random.default_rng(rows)
+    gray = rng.integers(0, 256, (rows, cols)).astype(np.uint8)
+
+    def shares(n, parts):
+        edges = np.arange(parts + 1) * n / parts
+        low, high = np.maximum(np.arange(n), edges[:-1, None]), np.minimum(np.arange(n) + 1, edges[1:, None])
+        return np.maximum(high - low, 0)
+
+    for h, w in ((8, 9), (3, 2), (32, 32)):
+        want = shares(rows, h) @ gray.astype(float) @ shares(cols, w).T / (rows / h * cols / w)
+        assert np.allclose(media.area_resize(gray, h, w), want)
+    small = np.round(shares(rows, 8) @ gray.astype(float) @ shares(cols, 9).T / (rows / 8 * cols / 9), 6)
+    bits = "".join("1" if b > a else "0" for r in small for a, b in zip(r, r[1:]))
+    assert media.difference_hash(gray) == f"{int(bits, 2):016x}"
+
+
 def test_images():
     rng = np.random.default_rng(0)
     gray = rng.integers(0, 256, (7, 9)).astype(np.uint8)

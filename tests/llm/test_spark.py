@@ -353,6 +353,8 @@ def test_media(docs, none):
         want[key] = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(media.encode_pgm(payload)).hexdigest())
     for r in rows:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == want[r.key]
+    feats = common.stored(media.image_features(held, common.shared_folder(docs.sparkSession, "tiles")), "f")
+    assert feats.count() == feats.drop("tile_sha256").join(media.read_tiles(feats), ["tile_file", "tile_row"]).count() == feats.join(media.read_tiles(feats), ["tile_file", "tile_row", "tile_sha256"]).count()
     one = rows[0]
     with common.open_file(one.tile_file) as f:
         tiles = np.load(__import__("io").BytesIO(f.read()))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import attempt_name, small_batches, write_file
+from weftline.llm.common import attempt_name, open_file, small_batches, write_file
 
 #: Samples in a row of a stored payload.
 ROW = 64
@@ -119,25 +119,46 @@ def encode_bmp(gray: np.ndarray) -> bytes:
 
 
 def luminance(image: np.ndarray) -> np.ndarray:
+    """A gray image itself, whatever its type."""
     if image.ndim == 2:
-        return image.astype(np.float64)
+        return image
     return image[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
+#: Rows of the integral image that exist at once, besides those that a resize needs.
+STRIP = 4096
+
+
+def _integral_rows(gray: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The ``wanted`` (ascending) rows of the integral image, which is summed strip by strip."""
+    rows, cols = gray.shape
+    out, above = np.zeros((len(wanted), cols + 1)), np.zeros(cols + 1)
+    for lo in range(0, rows, STRIP):
+        strip = np.cumsum(gray[lo : lo + STRIP], axis=0, dtype=np.float64)
+        np.cumsum(strip, axis=1, out=strip)
+        strip += above[1:]
+        here = (wanted > lo) & (wanted <= lo + len(strip))
+        out[here, 1:] = strip[wanted[here] - lo - 1]
+        above[1:] = strip[-1]
+    return out
+
+
 def area_resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target cell's area. The integral image is linear inside a sample, so cutting it at
-    fractional places gives exact areas."""
+    fractional places gives exact areas. Of the integral image no more than a strip and two rows a target row is held."""
     rows, cols = gray.shape
-    whole = np.zeros((rows + 1, cols + 1))
-    np.cumsum(np.cumsum(gray, axis=0, dtype=np.float64), axis=1, out=whole[1:, 1:])
 
-    def cut(a: np.ndarray, n: int, parts: int) -> np.ndarray:
+    def places(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(parts + 1) * (n / parts)
         low = np.minimum(at.astype(np.int64), n - 1)
-        part = (at - low).reshape((-1,) + (1,) * (a.ndim - 1))
-        return a[low] * (1 - part) + a[low + 1] * part
-
-    corners = cut(cut(whole, rows, height).T, cols, width).T
+        return low, (at - low)[:, None]
+
+    low, part = places(rows, height)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    whole = _integral_rows(gray, wanted)
+    across = (whole[np.searchsorted(wanted, low)] * (1 - part) + whole[np.searchsorted(wanted, low + 1)] * part).T
+    low, part = places(cols, width)
+    corners = (across[low] * (1 - part) + across[low + 1] * part).T
     sums = np.diff(np.diff(corners, axis=0), axis=1)
     return sums / ((rows / height) * (cols / width))
 
@@ -221,6 +242,10 @@ def image_features(df: DataFrame, tiles_to: str | None = None) -> DataFrame:
                 samples, shape, mark, tile = got
                 at = (f"{name}-{count:05d}.npy", len(stack)) if tiles_to else (None, None)
                 rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{mark}:{tile.astype(np.uint8).tobytes()[::37].hex()}", shape[0], shape[1], hashlib.sha256(tile_bytes(tile)).hexdigest(), *at))
+                if stack and stack[0].dtype != tile.dtype:  # a file has one type
+                    flush()
+                    at = (f"{name}-{count:05d}.npy", 0) if tiles_to else (None, None)
+                    rows[-1] = (*rows[-1][:-2], *at)
                 stack.append(tile)
                 if len(stack) >= 8192:
                     flush()
@@ -230,3 +255,18 @@ def image_features(df: DataFrame, tiles_to: str | None = None) -> DataFrame:
         flush()
 
     return df.select("key", "n_bytes", "media").mapInArrow(run, f"key {kind}, n_bytes long, {FEATURES}")
+
+
+def read_tiles(features: DataFrame) -> DataFrame:
+    """(tile_file, tile_row, tile_sha256) of the tiles in the files that ``features``, a stored table, names."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as f:
+                    stack = np.load(io.BytesIO(f.read()))
+                marks = [hashlib.sha256(tile_bytes(np.ascontiguousarray(t))).hexdigest() for t in stack]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(marks)), pa.array(range(len(marks)), pa.int64()), pa.array(marks)], ["tile_file", "tile_row", "tile_sha256"])
+
+    files = features.where("tile_file is not null").select("tile_file").distinct()
+    return files.repartition(max(1, min(files.count(), 4096)), "tile_file").mapInArrow(run, "tile_file string, tile_row long, tile_sha256 string")

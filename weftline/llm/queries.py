@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, chat, jaccard, lm, media, mixing, quality, suffixes, warc, wavelet
-from weftline.llm.common import shared_folder, stored, table
+from weftline.llm.common import discard, shared_folder, stored, table
 
 
 def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = stored(media.texts_to_media(docs), "op8-media")
-    return media.image_features(held, shared_folder(spark, "op8-tiles")).withColumnRenamed("key", "doc_id").drop("tile_file", "tile_row")
+    rows = stored(media.image_features(held, shared_folder(spark, "op8-tiles")).withColumnRenamed("key", "doc_id").drop("tile_sha256"), "op8-features")
+    discard(held)
+    return rows.join(media.read_tiles(rows), ["tile_file", "tile_row"], "left").drop("tile_file", "tile_row")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
