@@ -28,7 +28,7 @@ def test_target_tokens(spark):
     assert one(spark, "བདག་ གིས་  ཐོས་", lambda S: T.target_tokens(S)) == ["བདག", "གིས", "ཐོས"]
 
 
-@pytest.mark.parametrize("term,text,want", [("aa", "aaaa", [0, 1, 2]), ("b", "aaaa", None), ("a.", "aaxa.", [3]), ("x", "", None), ("\\E", "a\\E\\E", [1, 3])])
+@pytest.mark.parametrize("term,text,want", [("aa", "aaaa", [0, 1, 2]), ("b", "aaaa", None), ("a.", "aaxa.", [3]), ("x", "", None), ("\\E", "a\\E\\E", [1, 3]), ("a", "ab" * 700, list(range(0, 1400, 2))), ("aa", "a" * 600, list(range(599)))])
 def test_find_all(spark, term, text, want):
     assert one(spark, text, lambda S: T.find_all(F.lit(term), S)) == want
 
@@ -41,6 +41,7 @@ def test_category_and_stars(spark):
 
 def test_remove_repeatedly(spark):
     assert one(spark, "a--b", lambda S: T.remove_repeatedly(S, "-")) == "a  b"
+    assert one(spark, "a  xxb", lambda S: T.remove_repeatedly(S, " x")) == "a  b"
     with pytest.raises(ValueError):
         T.remove_repeatedly(F.col("s"), " ")
 
@@ -64,3 +65,23 @@ def test_sentences_of_words(spark):
 
 def test_characters_are_code_points(spark):
     assert one(spark, "a\U00020000b", lambda S: N.characters(S)) == ["a", "\U00020000", "b"]
+
+
+def test_segmenter_takes_what_follows_the_last_word(spark):
+    pairs = lambda c: F.regexp_extract_all(c, F.lit("(?s)(..?)"), F.lit(1))
+    make = lambda S: N.sentences_of_words(S, ["如是"], pairs)
+    assert one(spark, "我聞如是佛言說，我", make) == [["我", "聞", "如是", "佛言", "說", "我"]]
+    assert one(spark, "如是。我", lambda S: N.as_string(N.sentences_of_words(S, ["如是"]), " / ")) == "如是 / 我"
+
+
+def test_reparsed_and_gloss(spark):
+    assert one(spark, "a,bc,d", lambda S: N.reparsed(F.split(S, ","), ["ab", "cd"])) == ["ab", "cd"]
+    both = lambda x, y: [one(spark, x, lambda S: T.gloss(S, F.lit(y), {"狗": "dog", "rta": "horse"})[k]) for k in (0, 1)]
+    assert both("狗", "khyi") == ["狗dog", "khyidog"] and both("狗", "rta") == ["狗dog", "rtahorse"] and both("佛", "rta") == ["", ""]
+
+
+def test_dictionaries_of_any_size(spark, monkeypatch):
+    df = spark.createDataFrame([("如是我聞佛言佛如",)], "s string")
+    want = N.with_words(df, "s", ["如是", "言佛"]).first()["tokens"]
+    monkeypatch.setattr(N, "REGEX_TERMS", 1)
+    assert N.with_words(df, "s", ["如是", "言佛"]).first()["tokens"] == want

@@ -97,3 +97,48 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.id, r.pos, r.known_pos) for r in spark.table("seeds_out").collect()] == [(1, 1, 3)]
+
+
+def test_recipe(spark, tmp_path):
+    from weftline.plans import recipes
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("ab c\nab d\n\nc d", encoding="utf8")
+    (tmp_path / "in" / "b.txt").write_text("d c", encoding="utf8")
+    out = str(tmp_path / "out")
+    extra = spark.createDataFrame([("cd",), ("zz",)], "token string")
+    made = {r.token: r.vec for r in recipes.create_space(spark, str(tmp_path / "in"), out, size=4, extra=extra).collect()}
+    assert set(made) == {"ab", "c", "d", "cd"} and np.allclose(made["cd"], (np.array(made["c"]) + made["d"]) / 2)
+    assert {r.token for r in readers.read_vec(spark, f"{out}/vec").collect()} == set(made)
+    assert {r.token: r.vec for r in embedding.load_words(f"{out}/model").collect()} == {k: v for k, v in made.items() if k != "cd"}
+    cut = recipes.corpus_words(spark, str(tmp_path / "in"), "term", ["bc"])
+    assert sorted(r.words for r in cut.where("label = 'a.txt'").collect()) == [[], ["a", "b", "d"], ["a", "bc"], ["c", "d"]]
+    s = space(spark, {"a": [1, 0], "b": [0, 1]})
+    t = space(spark, {"x": [0, 2], "y": [2, 0]})
+    glossary = spark.createDataFrame([(0, "x", "a"), (1, "y", "b"), (2, "y", "gone")], "ord long, src string, tgt string")
+    got = recipes.map_spaces(t, s, glossary, str(tmp_path / "map"))
+    assert got["n"] == 2 and np.isclose(got["mean"], 1)
+
+
+def test_blocked_comparison(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(30)] + [(30, [0.0] * 3), (31, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 3 * 8 * 2)  # several passes
+    q = df.where("id % 6 = 0 and id < 30")
+    for method, f in (("cosine similarity", lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b) if b.any() else 0.0), ("euclidean distance", lambda a, b: np.linalg.norm(a - b))):
+        got = {(r.a, r.b): r.value for r in vectors.compare_all(q, df, "id", method).collect()}
+        assert len(got) == 5 * 31
+        assert all(np.isclose(v, f(np.array(rows[a][1]), np.array(rows[b][1]))) for (a, b), v in got.items())
+    monkeypatch.setattr(vectors, "PASSES", 1)
+    with pytest.raises(ValueError):
+        vectors.compare_all(q, df, "id")
+    assert vectors.compare_all(q.where("id < 0"), df, "id").count() == 0
+
+
+def test_plane_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3)) * [5, 2, 0.1]
+    got = embedding.plane(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")).orderBy("id").collect()
+    _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs([r.plane for r in got]), np.abs(x @ v[:2].T), atol=1e-6)

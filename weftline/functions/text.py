@@ -74,7 +74,7 @@ def target_tokens(c: Column, drop_empty: bool = True) -> Column:
 FOLD = 256
 
 
-def _ends(lengths: Column) -> Column:
+def running_sums(lengths: Column) -> Column:
     """Running sums of an array of numbers: by folds of FOLD numbers, moved by the sums of the folds before."""
     none = F.expr("cast(array() as array<int>)")
 
@@ -93,7 +93,7 @@ def find_all(term: Column, text: Column) -> Column:
     occurrence; an occurrence stands where a piece ends, and at 0 if the text begins with the term."""
     pieces = F.split(text, F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
     none = F.expr("cast(array() as array<int>)")
-    ends = _ends(F.transform(pieces, lambda p: F.length(p)))
+    ends = running_sums(F.transform(pieces, lambda p: F.length(p)))
     found = F.concat(F.when(F.startswith(text, term), F.array(F.lit(0))).otherwise(none), F.filter(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda at: at > 0))
     return F.when(F.length(term) > 0, F.nullif(found, none))
 
