@@ -367,10 +367,10 @@ def test_media(docs, none):
 def test_trees(spark):
     #      1 -> 2 -> 4
     #        -> 3        5 is a root whose parent is missing; 8 and 9 are a cycle
-    rows = [(1, 1, None, "user", "q", 1.0), (1, 2, 1, "assistant", "low", 0.0), (1, 3, 1, "assistant", "high", 9.0), (1, 4, 2, "user", "x", 0.0), (2, 5, 77, "user", "<|im_end|>\\n\\", 1.0), (3, 8, 9, "a", "b", 0.0), (3, 9, 8, "a", "b", 0.0)]
+    rows = [(1, 1, None, "user", "q", 1.0), (1, 2, 1, "assistant", "low", 0.0), (1, 3, 1, "assistant", "high", 9.0), (1, 4, 2, "user", "x", 0.0), (2, 5, 77, "user", "<|im_end|>\\n\\", 1.0), (3, 8, 9, "a", "b", 0.0), (3, 9, 8, "a", "b", 0.0), (3, 10, 8, "a", "hangs on the cycle", 0.0), (3, 11, None, "a", "alone", 0.0), (3, 12, 10, "a", "b", 0.0)]
     nodes = spark.createDataFrame(rows, "conv long, node long, parent long, role string, text string, score double")
     got = chat.format_trees(nodes, keep=2).orderBy("conv", "branch").select("conv", "leaf", "branch", "n_turns", chat.parse(F.col("formatted")).alias("t"), chat.loss_spans(F.col("formatted")).alias("s"), "formatted").collect()
-    assert [(r.conv, r.leaf, r.branch, r.n_turns) for r in got] == [(1, 3, 1, 2), (1, 4, 2, 3), (2, 5, 1, 1)]
+    assert [(r.conv, r.leaf, r.branch, r.n_turns) for r in got] == [(1, 3, 1, 2), (1, 4, 2, 3), (2, 5, 1, 1), (3, 11, 1, 1)]
     assert [tuple(x) for x in got[2].t] == [("user", "<|im_end|>\\n\\")]
     assert [got[0].formatted[s.begin : s.begin + s.length] for s in got[0].s] == ["high"]
 

@@ -123,7 +123,8 @@ class Ranks:
         return np.split(flat, np.cumsum(alive.sum(axis=1))[:-1])
 
     def _tall(self, piece: bytes) -> list[int]:
-        """One piece of any length."""
+        """One piece of any length. Its tree and links are lists of about six entries a byte, some 100 bytes in all: a match of
+        10 MB, which only text without any break has, takes a gigabyte."""
         n = len(piece)
         size = 1 << (n - 1).bit_length()
         token = self.single[np.frombuffer(piece, np.uint8)].tolist()
@@ -182,7 +183,7 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks = Ranks(path)
         self.cut = regex.compile(pattern)
-        self.cache = ChunkCache(self._encode_chunks)
+        self.cache = ChunkCache(self._encode_chunks, most=600_000)
         self.decimal = [str(i) for i in range(len(self.ranks.tokens))]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
@@ -206,7 +207,7 @@ def coder(path: str, pattern: str) -> Coder:
 
 
 def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with a column ids: array<int>."""
+    """``df`` with a column ids: array<int>; a column of this name is replaced."""
     from pyspark.sql import functions as F
 
     small_batches(df.sparkSession)
@@ -222,7 +223,7 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
 
 def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """``df`` with a binary column decoded."""
+    """``df`` with a binary column decoded; a column of this name is replaced."""
     from pyspark.sql import functions as F
 
     @F.arrow_udf("binary")

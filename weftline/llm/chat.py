@@ -11,7 +11,8 @@ undoes this exactly.
 
 Defined results: null text or role is empty; a null conversation id is a conversation of its own; turns that
 tie are ordered by role and text, and repeated rows stay repeated; null turns come first; an empty table gives
-no rows. A node whose parent doesn't exist is a root. Nodes on a cycle have no leaf and give no path.
+no rows. A node whose parent doesn't exist is a root. Nodes on a cycle have no leaf and give no path, and neither does a
+leaf whose ancestors run into a cycle; rounds end when they reach further than the largest conversation has nodes.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import running_sums
 from weftline.llm.common import stored
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -40,7 +42,7 @@ def chain_of_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     return rows.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.length("text").cast("double").alias("score"))
 
 
-def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """(conv, leaf, node, up): each leaf's ancestors and their distance. ``nodes`` is a stored table."""
     links = nodes.select("conv", "node", "parent")
     known = links.select("conv", F.col("node").alias("parent"))
@@ -48,15 +50,19 @@ def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     inner = links.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
     reach = links.join(inner, _same(links, inner, "conv", "node"), "left_anti").select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     jump, reach, step = stored(jump, "chat-jump"), stored(reach, "chat-reach"), 1
-    for _ in range(max_rounds):
-        if jump.isEmpty():
-            return reach
+    sizes = nodes.groupBy(F.col("conv").alias("c")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    most = sizes.agg(F.max("n_nodes")).first()[0] or 0
+    while not jump.isEmpty() and step <= most:
         j = jump.select(F.col("conv").alias("c"), F.col("node").alias("n"), "to")
         more = reach.join(j, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
         far = jump.select("conv", "node", F.col("to").alias("via"))
         far = far.join(j, F.col("conv").eqNullSafe(F.col("c")) & (F.col("via") == F.col("n"))).select("conv", "node", F.col("to"))
         reach, jump, step = stored(reach.unionByName(more), "chat-reach"), stored(far, "chat-jump"), step * 2
-    return reach
+    if jump.isEmpty():
+        return reach
+    deep = reach.groupBy("conv", "leaf").agg(F.max("up").alias("up")).join(sizes, F.col("conv").eqNullSafe(F.col("c"))).where("up >= n_nodes")
+    deep = deep.select(F.col("conv").alias("c"), F.col("leaf").alias("l"))
+    return reach.join(deep, F.col("conv").eqNullSafe(F.col("c")) & (F.col("leaf") == F.col("l")), "left_anti")
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
@@ -106,13 +112,11 @@ def loss_spans(formatted: Column, role: str = "assistant") -> Column:
     """array<struct<begin, length>>: spans of ``formatted``, in characters, on which a model is trained."""
     pieces = F.split(formatted, r"<\|im_end\|>\n")
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    head = START + role + "\n"
-    state = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<begin:int,length:int>>)").alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p) + len(END) + 1).alias("at"),
-            F.when(F.startswith(p, F.lit(head)), F.concat(s["out"], F.array(F.struct((s["at"] + len(head)).alias("begin"), (F.length(p) - len(head)).alias("length"))))).otherwise(s["out"]).alias("out"),
-        ),
-    )
-    return state["out"]
+    head, tail = START + role + "\n", len(END) + 1
+    ends = running_sums(F.transform(pieces, lambda p: F.length(p) + tail))
+
+    def span(p: Column, i: Column) -> Column:
+        length = F.length(p) - len(head)
+        return F.when(F.startswith(p, F.lit(head)), F.struct((F.get(ends, i) - tail - length).alias("begin"), length.alias("length")))
+
+    return F.filter(F.transform(pieces, span), lambda x: x.isNotNull())
