@@ -45,11 +45,11 @@ from weftline.llm.nodes import SMALL_ROWS, digest_of, nodes_of
 WIDTH, K = 50, 20
 #: Bytes of text hashed at once, anchors in a block, segments in a block, bytes a bucket of anchors should get, and
 #: segments that a bucket of segments should get.
-SLICE_BYTES, BLOCK_ANCHORS, BLOCK_SEGMENTS, ANCHOR_BUCKET, SEGMENT_BUCKET = 256 << 10, 500_000, 200_000, 4 << 20, 16_000
+SLICE_BYTES, BLOCK_ANCHORS, BLOCK_SEGMENTS, ANCHOR_BUCKET, SEGMENT_BUCKET = 64 << 10, 500_000, 200_000, 4 << 20, 16_000
 #: Holders of an anchor above which its windows are dealt one by one.
 HOT = 100_000
-#: Rows of the transform in a chunk.
-CHUNK_ROWS = 1 << 18
+#: Rows of the transform in a chunk, which may grow to twice as many.
+CHUNK_ROWS = 1 << 17
 #: Rows up to which the places that last-to-first mapping leads to are held, when strings are found again; beyond it the
 #: files are passed over once a round.
 HELD_ROWS = 1 << 24
@@ -234,36 +234,42 @@ def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
     names, kinds = ["bucket", *SEGMENTS], [pa.int32(), *[pa.binary()] * 6]
 
     def run(batches):
-        held: dict[bytes, list[tuple[int, int, int]]] = {}
-        where: dict[bytes, int] = {}
-        count = 0
+        known: dict[bytes, int] = {}
+        which: list[int] = []
+        places: list[tuple[np.ndarray, ...]] = []  # node, id, start, bucket of each occurrence
 
         def flush():
-            nonlocal held, where, count
-            whole: list[tuple[int, int, int]] = []
-            rows: dict[int, tuple[list, list, list]] = {}
-            for segment, seen in held.items():
-                least = min(x[0] for x in seen)
-                n = len(segment) - 1
-                whole += [(key, start, start + n) for own, key, start in seen if own != least]
-                known, which, places = rows.setdefault(where[segment], ([], [], []))
-                places += (x for x in seen if x[0] == least)
-                which += [len(known)] * (len(places) - len(which))
-                known.append(segment)
-            held, where, count = {}, {}, 0
-            as_bytes = lambda x: np.array(x, np.int64).tobytes()
-            out = []
-            if whole:
-                key, begin, stop = zip(*whole)
-                out.append((-1, b"", b"", b"", as_bytes(key), as_bytes(begin), as_bytes(stop)))
-            for b, (known, which, places) in rows.items():
-                own, key, start = zip(*places)
-                out.append((b, b"".join(known), np.array([len(x) for x in known], np.uint8).tobytes(), np.array(which, np.int32).tobytes(), as_bytes(key), as_bytes(own), as_bytes(start)))
-            for row in out:
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+            nonlocal known, which, places
+            if not which:
+                return
+            segments, at = list(known), np.array(which)
+            node, own, start, bucket = (np.concatenate(x) for x in zip(*places))
+            known, which, places = {}, [], []
+            length = np.fromiter(map(len, segments), np.int64, len(segments))
+            least, where = np.full(len(segments), np.iinfo(np.int64).max), np.empty(len(segments), np.int64)
+            np.minimum.at(least, at, own)
+            where[at] = bucket
+            whole = own != least[at]
+            if whole.any():
+                yield row(-1, b"", b"", b"", node[whole].tobytes(), start[whole].tobytes(), (start + length[at] - 1)[whole].tobytes())
+            at, node, own, start = (x[~whole] for x in (at, node, own, start))
+            order = np.argsort(where, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            by = np.argsort(where[at], kind="stable")
+            cuts = np.flatnonzero(np.diff(where[order])) + 1
+            for part in np.split(order, cuts):
+                b = where[part[0]]
+                lo, hi = np.searchsorted(where[at], [b, b + 1], sorter=by)
+                mine = by[lo:hi]
+                yield row(int(b), b"".join([segments[k] for k in part.tolist()]), length[part].astype(np.uint8).tobytes(), (rank[at[mine]] - rank[part[0]]).astype(np.int32).tobytes(), node[mine].tobytes(), own[mine].tobytes(), start[mine].tobytes())
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            nodes, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2).to_pylist())
+            nodes, ids = (np.asarray(batch.column(i)) for i in (0, 1))
+            texts = _bytes_of(batch.column(2).to_pylist())
             wanted = [np.sort(x.values.to_numpy().view(U64)) for x in batch.column(3)]
             for group, text, starts, lengths, offsets in _slices(texts):
                 owner, first, windows, anchor, h = anchors(text, starts, lengths)
@@ -277,20 +283,23 @@ def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
                         near = wanted[i][np.minimum(np.searchsorted(wanted[i], mark[lo:hi]), len(wanted[i]) - 1)]
                         hit[lo:hi] = near & ~U64(0xFFFF) == mark[lo:hi]
                         hot[lo:hi] = near & U64(1) == U64(1)
-                at = np.flatnonzero(hit)
-                bucket = _bucket(mark[at], buckets).tolist()
-                place = (first[at] - starts[owner[at]] + offsets[owner[at]]).tolist()
-                for b, g, s, n, p, a, alone in zip(bucket, owner[at].tolist(), first[at].tolist(), windows[at].tolist(), place, (anchor[at] - first[at]).tolist(), hot[at].tolist()):
-                    i = group[g]
-                    for w in range(n) if alone else (0,):
-                        segment = text[s + w : s + w + WIDTH] + _ONE[a - w] if alone else text[s : s + n + WIDTH - 1] + _ONE[a]  # the anchor's offset is the last byte
-                        if segment in held:
-                            held[segment].append((ids[i], nodes[i], p + w))
-                        else:
-                            held[segment] = [(ids[i], nodes[i], p + w)]
-                            where[segment] = (xxhash.xxh3_64_intdigest(segment[:-1]) >> 16) * buckets >> 48 if alone else b
-                        count += 1
-                if count >= BLOCK_SEGMENTS:
+                members = np.array(group)
+                for alone in (False, True):
+                    at = np.flatnonzero(hit & (hot == alone))
+                    if not len(at):
+                        continue
+                    begin, end = first[at], first[at] + windows[at] + WIDTH - 1
+                    if alone:  # a segment a window
+                        n = windows[at]
+                        at = np.repeat(at, n)
+                        begin = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                        end = begin + WIDTH
+                    # the anchor's offset is a segment's last byte
+                    which += [known.setdefault(text[a:b] + _ONE[c], len(known)) for a, b, c in zip(begin.tolist(), end.tolist(), (anchor[at] - begin).tolist())]
+                    bucket = np.array([(xxhash.xxh3_64_intdigest(text[a : a + WIDTH]) >> 16) * buckets >> 48 for a in begin.tolist()]) if alone else _bucket(mark[at], buckets)
+                    k = members[owner[at]]
+                    places.append((nodes[k], ids[k], begin - starts[owner[at]] + offsets[owner[at]], bucket.astype(np.int64)))
+                if len(which) >= BLOCK_SEGMENTS:
                     yield from flush()
         yield from flush()
         release()
@@ -302,16 +311,22 @@ class Rows:
     """The transform's rows, in order, as chunks of (symbol before the suffix, common prefix with the row before). One
     chunk stays in memory; more are files below ``folder``, read and written front to back."""
 
-    def __init__(self, folder: str | None = None):
-        self.folder, self.parts = folder, []
+    def __init__(self, folder: str | None = None, before: "Rows | None" = None):
+        self.folder, self.parts, self.store = folder, [], before.store if before else None
+
+    def _open(self) -> tuple[fs.FileSystem, str]:
+        if self.store is None:
+            store, root = fs.FileSystem.from_uri(self.folder)
+            store.create_dir(root, recursive=True)
+            self.store = store, root
+        return self.store
 
     def append(self, before: np.ndarray, common: np.ndarray, last: bool) -> None:
         if self.folder is None or (last and not self.parts):
             self.parts.append((before, common))
             return
-        store, root = fs.FileSystem.from_uri(self.folder)
+        store, root = self._open()
         path = f"{root}/{uuid.uuid4().hex}"
-        store.create_dir(root, recursive=True)
         with store.open_output_stream(path, compression=None) as f:
             f.write(before.tobytes() + common.tobytes())
         self.parts.append((path, len(before)))
@@ -322,17 +337,29 @@ class Rows:
                 yield part
             else:
                 path, n = part
-                with fs.FileSystem.from_uri(self.folder)[0].open_input_file(path) as f:
+                with self._open()[0].open_input_file(path) as f:
                     raw = f.read()
                 yield np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, np.uint8, n, n)
 
     def drop(self) -> None:
         for part in self.parts:
             if isinstance(part[0], str):
-                fs.FileSystem.from_uri(self.folder)[0].delete_file(part[0])
+                self._open()[0].delete_file(part[0])
         self.parts = []
 
 
+def _least_up_to(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The least of x[: at + 1] for each place."""
+    order = np.argsort(at, kind="stable")
+    begins = np.concatenate([[0], at[order][:-1] + 1])
+    empty = begins > at[order]  # the same place again
+    parts = np.minimum.reduceat(x[: int(at.max()) + 1], np.minimum(begins, at[order])) if len(at) else np.empty(0, x.dtype)
+    parts = np.where(empty, np.uint8(255), parts)
+    out = np.empty(len(at), x.dtype)
+    out[order] = np.minimum.accumulate(parts)
+    return out
+
+
 def _mapped(rows: Rows, at: np.ndarray, base: np.ndarray, prefixes: bool = True) -> tuple[np.ndarray, ...]:
     """One pass over the rows. ``at`` are ascending places. Returns, for those of them that have a symbol before, their
     index in ``at``, the place that last-to-first mapping gives and the common prefix there; and for the rows that
@@ -371,20 +398,18 @@ def _mapped(rows: Rows, at: np.ndarray, base: np.ndarray, prefixes: bool = True)
                     x = asked[~first]
                     value[~first] = np.minimum.reduceat(np.append(common, np.uint8(255)), np.column_stack([order[x - 1] + 1, order[x] + 1]).reshape(-1))[::2].astype(np.int64) + 1
                 if seen.any() and first.any():
-                    run = np.minimum.accumulate(common)
                     k = c[first]
-                    value[first] = np.where(seen[k], np.minimum(carry[k], run[row[first]]).astype(np.int64) + 1, 0)
+                    value[first] = np.where(seen[k], np.minimum(carry[k], _least_up_to(common, row[first])).astype(np.int64) + 1, 0)
             value = np.minimum(value, 255).astype(np.uint8)
             if own:
                 put.append((np.searchsorted(inside, row) + lo, place, value))
             else:
                 fix.append((place, value))
         if part < chunks - 1:
-            rest = np.append(np.minimum.accumulate(common[::-1])[::-1], np.uint8(255))
             final = order[head[here] + sizes[here] - 1]
             missing = sizes == 0
-            carry[missing] = np.minimum(carry[missing], rest[0])
-            carry[here], seen[here], marked_last[here] = rest[final + 1], True, marks[final]
+            carry[missing] = np.minimum(carry[missing], common.min())
+            carry[here], seen[here], marked_last[here] = _least_up_to(np.append(np.uint8(255), common[::-1]), n - 1 - final), True, marks[final]
             seen[0] = marked_last[0] = False
             count += sizes
         old += n
@@ -427,7 +452,7 @@ def transform(strings: list[bytes], folder: str | None = None, chunk: int = CHUN
         total = total + np.bincount(own, minlength=256)
         order = np.argsort(fix_at)
         fix_at, fix_to = fix_at[order], fix_to[order]
-        out, old, done = Rows(folder), 0, 0
+        out, old, done = Rows(folder, rows), 0, 0
         older = at - np.arange(len(at))  # old rows before each new one
         parts = len(rows.parts)
         for i, (before, common) in enumerate(rows):
@@ -441,8 +466,9 @@ def transform(strings: list[bytes], folder: str | None = None, chunk: int = CHUN
             b[at[done:upto] - start], c[at[done:upto] - start] = own[done:upto], value[done:upto]
             x, z = np.searchsorted(fix_at, [start, start + size])
             c[fix_at[x:z] - start] = fix_to[x:z]
-            for lo in range(0, size, chunk):
-                out.append(b[lo : lo + chunk], c[lo : lo + chunk], i == parts - 1 and lo + chunk >= size)
+            step = size if size < 2 * chunk else -(-size // (size // chunk))  # chunks grow, and part when they are twice as large
+            for lo in range(0, size, step):
+                out.append(b[lo : lo + step], c[lo : lo + step], i == parts - 1 and lo + step >= size)
             old, done = hi, upto
         rows.drop()
         rows = out
@@ -503,19 +529,23 @@ def repeated(strings: list[bytes], smallest: np.ndarray, width: int = WIDTH, fol
     return out
 
 
+#: How finely ``sharing`` tells apart where in a window its anchor stands.
+STEP = 6
+
+
 def sharing(segments: list[bytes], smallest: np.ndarray, largest: np.ndarray) -> np.ndarray:
-    """Which segments can hold a window of another document's. A window has WIDTH - K bytes besides its anchor, so
-    equal windows agree in half of that on the anchor's left, or on its right; a segment of which neither side is met
-    in a second document stays out of the transform."""
-    half = (WIDTH - K) // 2
+    """Which segments can hold a window of another document's. A window has WIDTH - K bytes besides its anchor, from
+    left to WIDTH - K of them before it; so of equal windows with at least ``left`` and less than left + STEP before,
+    these bytes, the anchor and WIDTH - K - left - STEP bytes behind it are equal. A segment of which no such part is
+    met in a second document stays out of the transform."""
     out = np.zeros(len(segments), bool)
-    for side in (0, 1):
+    for left in range(0, WIDTH - K + 1, STEP):
+        right = max(0, WIDTH - K - left - STEP)
         known: dict[bytes, int] = {}
         owner = np.full(len(segments), -1)
         for i, s in enumerate(segments):
-            a, n = s[-1], len(s) - 1
-            lo, hi = (a - half, a + K) if side == 0 else (a, a + K + half)
-            if lo >= 0 and hi <= n:
+            lo, hi = s[-1] - left, s[-1] + K + right
+            if lo >= 0 and hi < len(s):
                 owner[i] = known.setdefault(s[lo:hi], len(known))
         has = owner >= 0
         low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
