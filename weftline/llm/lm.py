@@ -26,17 +26,16 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import buffers, free_shuffles, release, small_batches, stored
+from weftline.llm.common import buffers, discard, free_shuffles, release, small_batches, stored
 
-HEAD, CLASS, TAIL, ROWS, HIDDEN = 512, 32, 96, 1024, 16
-WINDOW, LANES, RATE = 16, 256, 0.005
+HEAD, CLASS, TAIL, ROWS, HIDDEN = 512, 64, 32, 512, 16
+WINDOW, LANES, RATE = 16, 256, 0.01
 PART_BYTES = 12 << 20
 #: Tokens that are trained on, or scored, at once, and weights that are summed in one task.
 CHUNK_TOKENS, FAN = 1 << 20, 32
@@ -56,6 +55,14 @@ def tail_row(word: bytes) -> int:
     return zlib.crc32(word) % ROWS
 
 
+class Numbers(dict):
+    """Words to numbers, in the order in which they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Vocabulary:
     """The head tokens with their counts, most frequent first; tokens and types of each tail class; all tokens and types."""
 
@@ -172,7 +179,8 @@ class Gru:
             kept.append(keep)
             state, tape = self.step(h, x[t])
             tapes.append(tape)
-        grad = Gru(self.v, np.zeros_like(self.flat))
+        grad = self.spare = getattr(self, "spare", None) or Gru(self.v, np.zeros_like(self.flat))
+        grad.flat.fill(0)
         out, dh_out = self.output(np.concatenate(before), codes.reshape(-1), grad)
         dh_out = dh_out.reshape(len(codes), -1, n)
         carry = np.zeros_like(state)
@@ -193,7 +201,7 @@ class Gru:
         by_row = flat[order]
         head = np.flatnonzero(np.concatenate([[True], by_row[1:] != by_row[:-1]]))
         grad.wx[by_row[head]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], head, axis=0)
-        return grad, state, float(out.sum())
+        return grad, state, float(out.sum())  # the gradients' arrays are used again by the next window
 
     def _windows(self, codes: np.ndarray, inputs: np.ndarray, begin: np.ndarray, memory: np.ndarray) -> None:
         state = np.zeros((codes.shape[1], HIDDEN), np.float32)
@@ -205,10 +213,18 @@ class Gru:
             np.clip(g, -1, 1, out=g)
             memory[0] += 1
             first, second = memory[1 : 1 + len(g)], memory[1 + len(g) :]
-            first += np.float32(0.1) * (g - first)
-            second += np.float32(0.02) * (g * g - second)
             rate = RATE * math.sqrt(1 - 0.98 ** float(memory[0])) / (1 - 0.9 ** float(memory[0]))
-            self.flat -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-6))
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.02)
+            second *= np.float32(0.98)
+            second += g
+            np.sqrt(second, out=g)
+            g += np.float32(1e-6)
+            np.divide(first, g, out=g)
+            g *= np.float32(rate)
+            self.flat -= g
 
     def log10_tokens(self, streams: list[np.ndarray], codes_of: np.ndarray, inputs_of: np.ndarray) -> list[np.ndarray]:
         """For each document's tokens, numbers with codes and input rows, the model's log10, without tail shares."""
@@ -285,16 +301,18 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         now: int | None = None
-        numbers: dict[bytes, int] = {}
-        counts: Counter[bytes] = Counter()
+        numbers, counts = Numbers(), np.zeros(0, np.int64)
         keys: list[int] = []
         helds: list[bool] = []
         docs: list[np.ndarray] = []
         size = 0
 
         def packed():
-            nonlocal keys, helds, docs, size
+            nonlocal keys, helds, docs, size, counts
             if keys:
+                own = np.bincount(np.concatenate([np.empty(0, np.int32), *(x for x, h in zip(docs, helds) if not h)]), minlength=len(numbers))
+                own[: len(counts)] += counts
+                counts = own
                 row = now, np.array(keys, np.int64).tobytes(), np.array(helds, bool).tobytes(), np.array([len(x) for x in docs], np.int64).tobytes(), np.concatenate(docs).tobytes(), None, None, None
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
             keys, helds, docs, size = [], [], [], 0
@@ -305,9 +323,9 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
             if numbers:
                 n = len(numbers)
                 none = [pa.nulls(n, k) for k in kinds[1:5]]
-                cols = [pa.array(np.full(n, now, np.int32)), *none, pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.binary()), pa.array([counts[w] for w in numbers], pa.int64())]
+                cols = [pa.array(np.full(n, now, np.int32)), *none, pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.binary()), pa.array(counts)]
                 yield pa.RecordBatch.from_arrays(cols, names)
-            numbers, counts = {}, Counter()
+            numbers, counts = Numbers(), np.zeros(0, np.int64)
 
         for batch in batches:
             for part, key, held, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -316,11 +334,6 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
                     now = part
                 own = words_of(text)
                 own.append(END)
-                if not held:
-                    counts.update(own)
-                for w in own:
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
                 docs.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
                 keys.append(NULL_KEY if key is None else key)
                 helds.append(held)
@@ -341,27 +354,33 @@ def _hash_of(word: Column, n: int) -> Column:
     return (F.crc32(word) % n).cast("int")
 
 
-def vocabulary_of(counts: DataFrame) -> Vocabulary:
-    """From (word, c): totals, the head, which is bounded by HEAD, and sums of the TAIL classes."""
-    seen = counts.where("c > 0")
-    tokens, types = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(bytes(r["word"]), r["c"]) for r in seen.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    sums = seen.groupBy(_hash_of(F.substring("word", -2, 2), TAIL).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
-    tail = {r["k"]: (r["c"], r["n"]) for r in sums}
+def counted(words: DataFrame) -> DataFrame:
+    """Stored (part, number, c, tail, row, mark, word): a part's words with their corpus counts c, the hashes that stand for
+    them, and, in one row of each word, the word. A word has at most a row a part, so no group is larger than that."""
+    every = Window.partitionBy("word")
+    one = F.row_number().over(every.orderBy("part")) == 1
+    rows = words.select("part", "number", "word", F.sum("n").over(every).alias("c"), one.alias("one"))
+    hashes = _hash_of(F.substring("word", -2, 2), TAIL).alias("tail"), _hash_of(F.col("word"), ROWS).alias("row"), F.xxhash64("word").alias("mark")
+    return stored(rows.select("part", "number", "c", *hashes, F.when(F.col("one"), F.col("word")).alias("word")), "lm-counted", "lz4")
+
+
+def vocabulary_of(rows: DataFrame) -> Vocabulary:
+    """From ``counted``: totals, the head, which is bounded by HEAD, and sums of the TAIL classes."""
+    seen = rows.where("word is not null and c > 0")
+    sums = seen.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+    head = [(bytes(r["word"]), r["c"]) for r in seen.select("word", "c").orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    tail = {r["tail"]: (r["c"], r["n"]) for r in sums}
+    tokens, types = (sum(x[i] for x in tail.values()) for i in (0, 1))
     for w, c in head:
         k = tail_class(w)
         tail[k] = tail[k][0] - c, tail[k][1] - 1
     return Vocabulary(head, tail, tokens, types)
 
 
-def coded(words: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Stored (part, counts, codes, inputs): a row a part, arrays by its words' numbers."""
-    v = vocabulary
-    spark = words.sparkSession
-    head = F.broadcast(spark.createDataFrame([(bytearray(w), i) for w, i in v.ids.items()], "word binary, code int"))
-    marked = counts.join(head, "word", "left").select(
-        "word", "c", F.coalesce("code", F.lit(v.n) + _hash_of(F.substring("word", -2, 2), TAIL)).alias("code"), F.coalesce("code", F.lit(v.n) + _hash_of(F.col("word"), ROWS)).alias("input")
-    )
+    v, spark = vocabulary, rows.sparkSession
+    head = spark.createDataFrame([(bytearray(w), i) for w, i in v.ids.items()], "word binary, code int").select(F.xxhash64("word").alias("mark"), "code")
 
     def pack(table: pa.Table) -> pa.Table:
         release()
@@ -369,7 +388,7 @@ def coded(words: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFr
         cols = [table.column(c).to_numpy()[order].astype(k).tobytes() for c, k in (("c", np.int64), ("code", np.int32), ("input", np.int32))]
         return pa.table([table.column("part").slice(0, 1), *(pa.array([x], pa.binary()) for x in cols)], names=["part", "counts", "codes", "inputs"])
 
-    own = words.select("part", "number", "word").join(marked, "word").select("part", "number", "c", "code", "input")
+    own = rows.join(F.broadcast(head), "mark", "left").select("part", "number", "c", F.coalesce("code", F.lit(v.n) + F.col("tail")).alias("code"), F.coalesce("code", F.lit(v.n) + F.col("row")).alias("input"))
     return stored(own.groupBy("part").applyInArrow(pack, "part int, counts binary, codes binary, inputs binary"), "lm-coded")
 
 
@@ -456,9 +475,11 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     free_shuffles(df.sparkSession)
     docs = rows.where("number is null").select("part", "keys", "held", "lengths", "tokens")
     words = rows.where("number is not null").select("part", "number", "word", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    counts = counted(words)
+    free_shuffles(df.sparkSession)
     vocabulary = vocabulary_of(counts)
-    codes = coded(words, counts, vocabulary)
+    codes = coded(counts, vocabulary)
+    discard(counts)
     free_shuffles(df.sparkSession)
     weights = trained(docs, codes, vocabulary)
     free_shuffles(df.sparkSession)
