@@ -64,20 +64,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _doubled(x: np.ndarray, n: int, join) -> np.ndarray:
-    """join over every n neighbours, by powers of two."""
-    size, out, done = 1, None, 0
-    while True:
+_BYTES = _mix(np.arange(1, 257, dtype=U64) * _C[0])
+_POWERS = [int(_C[0])]
+while len(_POWERS) < 8:
+    _POWERS.append(_POWERS[-1] ** 2 % (1 << 64))
+
+
+def _rolling(raw: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n neighbouring bytes: a polynomial over what the bytes are mapped to, by powers of two, mixed."""
+    x, out, done = _BYTES[raw], None, 0
+    for k, power in enumerate(_POWERS):
+        size = 1 << k
         if n & size:
             if out is None:
                 out, done = x, size
             else:
                 m = min(len(out), len(x) - done)
-                out, done = join(out[:m], x[done : done + m]), done + size
+                out, done = out[:m] * U64(power) + x[done : done + m], done + size
         if done == n:
-            return out
-        x = join(x[:-size], x[size:])
-        size *= 2
+            return _mix(out)
+        x = x[:-size] * U64(power) + x[size:]
 
 
 def anchors(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -87,7 +93,7 @@ def anchors(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     if len(text) < WIDTH:
         return none, none, none, none, np.empty(0, U64)
     with np.errstate(over="ignore"):
-        h = _doubled(_mix(np.frombuffer(text, np.uint8).astype(U64) + U64(1)), K, lambda a, b: _mix(a * _C[0] + b))
+        h = _rolling(np.frombuffer(text, np.uint8), K)
         placed = (h & ~U64(0xFFFFFF)) | np.arange(len(h), dtype=U64)
         span, size, least = WIDTH - K + 1, 1, placed
         while size * 2 <= span:
@@ -377,10 +383,10 @@ def _mapped(rows: Rows, at: np.ndarray, base: np.ndarray, prefixes: bool = True)
         order = np.argsort(before, kind="stable")
         marks = np.zeros(n + 1, bool)
         marks[inside] = True
-        q = np.flatnonzero(marks[order])  # marked rows, by symbol
         sizes = np.bincount(before, minlength=256)
         head = np.cumsum(sizes) - sizes
         here = np.flatnonzero(sizes)
+        q = np.flatnonzero(marks[order])  # marked rows, by symbol
         q = q[q >= sizes[0]]
         after = q + 1
         after = after[after < n]
