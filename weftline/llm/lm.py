@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import buffers, discard, free_shuffles, release, small_batches, stored
 
 HEAD, CLASS, TAIL, ROWS, HIDDEN = 512, 64, 32, 512, 16
-WINDOW, LANES, RATE = 16, 256, 0.01
+WINDOW, LANES, SCORE_LANES, RATE = 16, 384, 512, 0.015
 PART_BYTES = 12 << 20
 #: Tokens that are trained on, or scored, at once, and weights that are summed in one task.
 CHUNK_TOKENS, FAN = 1 << 20, 32
@@ -229,7 +229,7 @@ class Gru:
     def log10_tokens(self, streams: list[np.ndarray], codes_of: np.ndarray, inputs_of: np.ndarray) -> list[np.ndarray]:
         """For each document's tokens, numbers with codes and input rows, the model's log10, without tail shares."""
         out = [np.empty(len(s), np.float64) for s in streams]
-        lanes: list[tuple[int, int, list[int]]] = [(0, i, []) for i in range(max(1, min(2 * LANES, len(streams))))]
+        lanes: list[tuple[int, int, list[int]]] = [(0, i, []) for i in range(max(1, min(SCORE_LANES, len(streams))))]
         for i in sorted(range(len(streams)), key=lambda i: -len(streams[i])):
             n, k, own = heapq.heappop(lanes)
             own.append(i)
@@ -357,11 +357,11 @@ def _hash_of(word: Column, n: int) -> Column:
 def counted(words: DataFrame) -> DataFrame:
     """Stored (part, number, c, tail, row, mark, word): a part's words with their corpus counts c, the hashes that stand for
     them, and, in one row of each word, the word. A word has at most a row a part, so no group is larger than that."""
-    every = Window.partitionBy("word")
-    one = F.row_number().over(every.orderBy("part")) == 1
-    rows = words.select("part", "number", "word", F.sum("n").over(every).alias("c"), one.alias("one"))
-    hashes = _hash_of(F.substring("word", -2, 2), TAIL).alias("tail"), _hash_of(F.col("word"), ROWS).alias("row"), F.xxhash64("word").alias("mark")
-    return stored(rows.select("part", "number", "c", *hashes, F.when(F.col("one"), F.col("word")).alias("word")), "lm-counted", "lz4")
+    words = words.withColumn("mark", F.xxhash64("word"))
+    every = Window.partitionBy("mark", "word")  # numbers are sorted faster than words; equal ones are told apart by the word
+    rows = words.select("part", "number", "word", "mark", F.sum("n").over(every).alias("c"), (F.min("part").over(every) == F.col("part")).alias("one"))
+    hashes = _hash_of(F.substring("word", -2, 2), TAIL).alias("tail"), _hash_of(F.col("word"), ROWS).alias("row")
+    return stored(rows.select("part", "number", "c", *hashes, "mark", F.when(F.col("one"), F.col("word")).alias("word")), "lm-counted", "lz4")
 
 
 def vocabulary_of(rows: DataFrame) -> Vocabulary:
@@ -459,12 +459,10 @@ def scored(docs: DataFrame, codes: DataFrame, vocabulary: Vocabulary, weights: n
         base, inside, model = np.log10((c + 1) / (v.tokens + v.types + 1)), v.inside(codes_of, c), Gru(v, flat)
         out = []
         for keys, held, starts, tokens in _documents(table):
-            streams = np.split(tokens, starts[1:-1])
-            got = model.log10_tokens(streams, codes_of, inputs_of)
-            for key, h, own, values in zip(keys.tolist(), held.tolist(), streams, got):
-                out.append((None if key == NULL_KEY else key, h, len(own), int(np.count_nonzero(c[own])), math.fsum(base[own]), math.fsum(values) + math.fsum(inside[own])))
-        cols = list(zip(*out)) or [()] * 6
-        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
+            got = np.concatenate(model.log10_tokens(np.split(tokens, starts[1:-1]), codes_of, inputs_of))
+            of = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  each document has a token, its end
+            out.append((pa.array(keys, mask=keys == NULL_KEY), pa.array(held), np.diff(starts), of((c[tokens] > 0).astype(np.int64)), of(base[tokens]), of(got + inside[tokens])))
+        return pa.concat_tables([pa.table([pa.array([], k) for k in kinds], names=names), *(pa.table([pa.array(x, k) if isinstance(x, np.ndarray) else x for x, k in zip(cols, kinds)], names=names) for cols in out)])
 
     return docs.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(score, SCORES)
 
