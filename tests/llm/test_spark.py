@@ -111,6 +111,30 @@ def test_near_copies_without_a_common_member(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_copies_changed_apart_and_copies_of_these(spark):
+    """A star of copies around one text, some too far from it; children that link with such a copy only; the text has the
+    largest id. Labels against all pairs, and few pairs are looked at one by one."""
+    r = random.Random(5)
+    base = words(150, 12).split()
+
+    def changed(own, n):
+        own = list(own)
+        for k in r.sample(range(len(own)), n):
+            own[k] = "".join(r.choices("klmnop", k=6))
+        return own
+
+    copies = [changed(base, r.randint(1, 9)) for _ in range(70)]
+    texts = [" ".join(c) for c in [*copies, *(changed(c, 1) for c in copies[:25]), base]]
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [jaccard.shingle_set(t) for t in texts]
+    label = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard.linked(sets[i], sets[j])]
+    for _ in sets:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert 5 < len(set(label)) < 60 and {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_near_copies_of_which_one_has_many_empty_partitions(spark):
     """5 and 6 shingles: in some pairs only one set has need 0, in some both, in some none."""
     rows, kinds = [], set()

@@ -45,7 +45,7 @@ class Nodes:
 def nodes_of(df: DataFrame, key: str, text: str, name: str) -> Nodes:
     """The nodes of ``df``. ``name`` begins the names of stored tables."""
     digest = digest_of(text).alias("digest")
-    rows = df.select(F.col(key).cast("long").alias("key"), digest, F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"))
+    rows = stored(df.select(F.col(key).cast("long").alias("key"), digest, F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")), f"{name}-rows", "lz4")
     classes = stored(rows.groupBy("digest").agg(F.min("key").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), f"{name}-classes")
     n_bytes, lowest = classes.agg(F.sum("bytes"), F.min("rep")).first()
     twice = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("times")).where("times > 1 or rep is null").select(F.col("rep").alias("r"))

@@ -45,7 +45,7 @@ from weftline.llm.nodes import SMALL_ROWS, digest_of, nodes_of
 WIDTH, K = 50, 20
 #: Bytes of text hashed at once, anchors in a block, segments in a block, bytes a bucket of anchors should get, and
 #: segments that a bucket of segments should get.
-SLICE_BYTES, BLOCK_ANCHORS, BLOCK_SEGMENTS, ANCHOR_BUCKET, SEGMENT_BUCKET = 64 << 10, 500_000, 200_000, 4 << 20, 16_000
+SLICE_BYTES, BLOCK_ANCHORS, BLOCK_SEGMENTS, ANCHOR_BUCKET, SEGMENT_BUCKET = 64 << 10, 500_000, 200_000, 4 << 20, 32_000
 #: Holders of an anchor above which its windows are dealt one by one.
 HOT = 100_000
 #: Rows of the transform in a chunk, which may grow to twice as many.
