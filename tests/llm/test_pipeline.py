@@ -64,3 +64,26 @@ def test_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in seen[4]) == want
     assert all(r.round_trip and list(r.ids) == lib.encode_ordinary(cut[r.doc_id]) and r.n_tokens == len(r.ids) for r in seen[4])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_stages_with_odd_rows_and_none(spark, tmp_path):
+    """Null ids, texts, languages and sources, one id on two texts, rows twice, a long text; then an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, words(80, 41), "en", "a", 1), (1, words(80, 42), None, None, None), (None, words(80, 43), "en", None, 2), (None, None, None, None, None), (2, words(80, 44), "de", "b", 3), (2, words(80, 44), "de", "b", 3), (3, words(30_000, 45), None, "b", 4), (4, "", "", "", 0), (5, words(80, 41), "en", "a", 5)]
+    for name, table in (("some", rows), ("none", [])):
+        spark.createDataFrame(table, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        seen = []
+        for i, (step, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path / name)).write.parquet(str(tmp_path / name / step))
+            docs = spark.read.parquet(str(tmp_path / name / step))
+            assert i == 4 or docs.columns == list(corpus_pipeline.COLUMNS)
+            seen.append(docs.collect())
+        if not table:
+            assert not any(seen)
+            continue
+        kept = [r for r in rows if r[1]]
+        key = lambda r: (str(r[0]), r[1])
+        assert sorted(map(key, seen[0])) == sorted(map(key, kept))
+        assert sorted(map(key, seen[1])) == sorted(key(r) for r in kept if r[0] != 5) == sorted(map(key, seen[2]))
+        assert {r.doc_id for r in seen[3]} <= {r[0] for r in kept} and len(seen[3]) == len(seen[4]) and all(r.round_trip for r in seen[4])

@@ -131,6 +131,29 @@ def test_anchors_cover_every_window_once():
     assert ((place >= first + windows - 1) & (place <= first + suffixes.WIDTH - suffixes.K)).all()
 
 
+def test_a_bucket_of_the_intended_size_uses_files(tmp_path, monkeypatch):
+    """A quarter of a bucket already: two documents have the same segments, in two blocks; chunks are files, and all go again."""
+    import os
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, size = suffixes.SEGMENT_BUCKET // 4, 79
+    raw = rng.integers(97, 123, (n, size)).astype(np.uint8)
+    segments = [bytes(x) + bytes([25]) for x in raw]
+    which = np.arange(n, dtype=np.int32).tobytes()
+    rows = [(b"".join(segments), np.full(n, size + 1, np.uint8).tobytes(), which, np.full(n, k, np.int64).tobytes(), np.full(n, k, np.int64).tobytes(), (np.arange(n) * 100).astype(np.int64).tobytes()) for k in (3, 8)]
+    table = pa.table([pa.array(x, pa.binary()) for x in zip(*rows)], names=suffixes.SEGMENTS)
+    written = []
+    append = suffixes.Rows.append
+    monkeypatch.setattr(suffixes.Rows, "append", lambda self, *x: append(self, *x) or written.append(isinstance(self.parts[-1][0], str)))
+    got = suffixes.bucket_spans(table, f"file://{tmp_path}")
+    assert sum(written) > 100
+    assert got.column("key").to_pylist() == [8] * n and sorted(got.column("begin").to_pylist()) == [100 * i for i in range(n)]
+    assert all(b - a == size for a, b in zip(got.column("begin").to_pylist(), got.column("stop").to_pylist()))
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names]
+
+
 def small_vocabulary():
     return lm.Vocabulary([(str(i).encode(), 100 - i) for i in range(70)], {0: (40, 20), 5: (300, 110)}, 4955, 200)
 
