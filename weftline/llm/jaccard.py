@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, buffers, discard, fresh, release, small_batches, stored
+from weftline.llm.common import bounded_broadcast, buffers, discard, free_shuffles, fresh, release, small_batches, stored
 from weftline.llm.components import components
 from weftline.llm.nodes import SMALL_ROWS, digest_of, nodes_of
 
@@ -310,13 +310,23 @@ def _runs(packed: DataFrame) -> DataFrame:
     return packed.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, RUNS)
 
 
-def _enough(m: DataFrame) -> DataFrame:
+def _narrowed(m: DataFrame, by: DataFrame, on: str | list[str]) -> DataFrame:
+    """Stored rows of ``m``, a stored table that is deleted then, that ``by`` has. Steps are stored one by one, since plans
+    that nest them name their tables dozens of times, which the driver has to hold."""
+    out = stored(m.join(by, on, "left_semi"), "near-members")
+    discard(m)
+    return out
+
+
+def _enough(m: DataFrame, rounds: int = 2) -> DataFrame:
     """Memberships of keys that have as many as a link needs; then runs of two and more, one of which has a need: keys
-    without one meet by their prefixes."""
-    counts = m.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least"))
-    m = m.join(counts.where("n >= least").select("key", "name"), ["key", "name"], "left_semi")
-    alive = m.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("most")).where("n > 1 and most > 0").select("run")
-    return m.join(alive, "run", "left_semi")
+    without one meet by their prefixes. Takes and returns a stored table."""
+    for _ in range(rounds):
+        counts = m.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least"))
+        m = _narrowed(m, counts.where("n >= least").select("key", "name"), ["key", "name"])
+        alive = m.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("most")).where("n > 1 and most > 0").select("run")
+        m = _narrowed(m, alive, "run")
+    return m
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -422,10 +432,13 @@ def _rarest(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def _still_mixed(m: DataFrame, labels: DataFrame) -> DataFrame:
-    """Memberships with the label of their set, in runs of more than one label; only these can hold further links."""
+    """Memberships with the label of their set, in runs of more than one label; only these can hold further links. Takes
+    and returns a stored table."""
     named = m.drop("label").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+    named = stored(named, "near-named")
+    discard(m)
     mixed = named.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
-    return named.join(mixed, "run", "left_semi")
+    return _narrowed(named, mixed, "run")
 
 
 def _least(a: str, b: str) -> Column:
@@ -455,24 +468,28 @@ def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     packed = stored(_send(docs, max(8, -(-n_bytes * 3 // 4 // BUCKET_BYTES))), "near-packed", "snappy")
     found = stored(_met(packed).unionByName(_runs(packed)), "near-runs")
     sizes = stored(found.where("run is null").select("key", F.col("need").alias("size")).distinct(), "near-sizes")
-    m = stored(_enough(_enough(found.where("run is not null"))), "near-members")
-    discard(packed, found)
+    discard(packed)
+    m = _enough(stored(found.where("run is not null"), "near-members"))
+    discard(found)
+    free_shuffles(docs.sparkSession)
 
     least = m.groupBy("run").agg(F.min("key").alias("a"))
     pairs = m.join(least, "run").where("key <> a").select("a", F.col("key").alias("b")).distinct()
     wanted = stored(m.select("key").distinct(), "near-wanted")
     sets = stored(_sets(docs.join(bounded_broadcast(wanted, 1_000_000), "key", "left_semi")), "near-sets", "snappy")
     edges = _verified(pairs, sets)
-    labels = components(edges)
+    labels = stored(components(edges), "near-labels")
+    free_shuffles(docs.sparkSession)
 
     # What only shingles of its own hold apart from its run can't link; copies meet at their centre.
-    rest = stored(_enough(_enough(_still_mixed(m, labels))), "near-rest")
-    discard(m)
+    rest = _enough(_still_mixed(m, labels))
     left = stored(rest.select("key").distinct(), "near-left")
     n_elements = left.join(sizes, "key").agg(F.sum("size")).first()[0] or 0
     rarest = _rarest(sets.join(bounded_broadcast(left, 1_000_000), "key", "left_semi"), max(4, -(-int(n_elements) * 12 // BUCKET_BYTES)))
     support = rarest.where("place = 0").select("key", "size", "shared").distinct()
-    rest = stored(_still_mixed(_enough(_enough(rest.join(support, "key"))), labels), "near-rest")
+    known = stored(rest.join(support, "key"), "near-members")
+    discard(rest)
+    rest = _still_mixed(_enough(known), labels)
     center = rest.groupBy("run").agg(F.max(F.struct((F.col("shared") / F.col("size")).alias("part"), (-F.col("key")).alias("minus"), "key", "label", "size", "shared")).alias("c"))
     center = center.select("run", F.col("c.key").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("size_a"), F.col("c.shared").alias("shared_a"))
     near = rest.select("run", F.col("key").alias("b"), "label", F.col("size").alias("size_b"), F.col("shared").alias("shared_b"))
@@ -480,7 +497,7 @@ def _links(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     more = _verified(near, sets)
     if not more.isEmpty():
         labels = _joined(labels, more)
-        rest = _still_mixed(_enough(_enough(_still_mixed(rest, labels))), labels)
+        rest = _still_mixed(_enough(_still_mixed(rest, labels)), labels)
 
     rows = stored(rarest.drop("size", "shared").join(rest.select("key", "label", "size", "shared").distinct(), "key"), "near-rows")
     by_label = rows.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
