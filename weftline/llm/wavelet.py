@@ -4,7 +4,7 @@ A file holds bit-planes from the highest bit down; at each plane the sequence is
 rank on the planes leads from a position to its symbol (access), from a symbol to its count before a position
 (rank), and back from the k-th occurrence to its position (select). Planes are cut into blocks of BLOCK bits, each
 compressed by itself unless that doesn't shorten it. The directory has two levels: ones before each block, and inside
-it before each STEP bits; so a rank unpacks one block of 4 KB and counts less than STEP bits of it.
+it before each STEP bits; so a rank unpacks one block of 8 KB and counts less than STEP bits of it.
 
 Layout, all little-endian: magic, length of the head, head (JSON), doc ids (int64), ends (int64, ids up to and with
 each document), then per plane ones before each block (int64), block places (int64), ones in a block before each of its
@@ -39,7 +39,7 @@ from weftline.llm.chunks import ChunkCache
 from weftline.llm.common import attempt_name, open_file, shared_folder, small_batches, stored, write_file
 
 MAGIC = b"WFWAVE01"
-BLOCK, STEP = 1 << 15, 512
+BLOCK, STEP = 1 << 16, 512
 SHARD_TOKENS = 1_500_000
 END_ID = 0
 
