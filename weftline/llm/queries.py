@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, jaccard, lm, media, mixing, quality, suffixes, warc, wavelet
+from weftline.llm import bpe, chat, codebooks, jaccard, lm, media, mixing, quality, suffixes, warc, wavelet
 from weftline.llm.common import discard, shared_folder, stored, table
 
 
@@ -83,6 +83,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wavelet": op1_wavelet,
@@ -95,4 +99,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
+        "op13_codes": op13_codes,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.quality import FENCE, METRICS, MIN_ROWS, MIN_WORDS
+from weftline.llm.sql_codes import codes_sql
 
 
 def _quality() -> str:
@@ -116,4 +117,4 @@ from w left join n on n.doc_id = w.doc_id join (select d, min(c) as component_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": JACCARD, "op3_quality": _quality(), "op6_mixing": MIXING, "op7_warc": WARC, "op10_chat": CHAT}
+    return {"op2_jaccard": JACCARD, "op3_quality": _quality(), "op6_mixing": MIXING, "op7_warc": WARC, "op10_chat": CHAT, "op13_codes": codes_sql()}
