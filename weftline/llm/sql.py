@@ -101,20 +101,26 @@ from e group by conv_id
 """
 
 
-JACCARD = """
+def _near(size: int, similar: int, last: str) -> str:
+    """Components of documents whose sets of shingles of ``size`` words are similar, with a last column."""
+    return f"""
 with recursive w as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w,
         count(*) over (partition by coalesce(text, '')) as copies from documents),
-s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, case when len(w) >= 5 then len(w) - 3 else least(len(w), 1) + 1 end)) as i from w)),
+s as (select distinct doc_id, array_to_string(w[i : i + {size - 1}], ' ') as g from (select doc_id, w, unnest(range(1, case when len(w) >= {size} then len(w) - {size - 2} else least(len(w), 1) + 1 end)) as i from w)),
 n as (select doc_id, count(*) as n from s group by 1),
 k as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
-l as (select x, y from k join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * k >= 80 * (nx.n + ny.n - k)),
+l as (select x, y from k join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * k >= {similar} * (nx.n + ny.n - k)),
 e as (select x, y from l union all select y, x from l),
 r as (select doc_id as d, doc_id as c from documents union select e.y, r.c from r join e on e.x = r.d)
-select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, case when n is null then 1 else copies end as n_equal_texts
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, {last}
 from w left join n on n.doc_id = w.doc_id join (select d, min(c) as component_id from r group by 1) on d = w.doc_id
 """
 
 
+JACCARD = _near(5, 80, "case when n is null then 1 else copies end as n_equal_texts")
+SKETCH = _near(3, 85, "w.doc_id = component_id as kept")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": JACCARD, "op3_quality": _quality(), "op6_mixing": MIXING, "op7_warc": WARC, "op10_chat": CHAT, "op13_codes": codes_sql()}
+    return {"op2_jaccard": JACCARD, "op3_quality": _quality(), "op6_mixing": MIXING, "op7_warc": WARC, "op10_chat": CHAT, "op12_sketch": SKETCH, "op13_codes": codes_sql()}
