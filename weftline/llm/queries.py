@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, codebooks, jaccard, lm, media, mixing, quality, sketch, suffixes, warc, wavelet
+from weftline.llm import bpe, chat, codebooks, jaccard, lm, media, mixing, quality, sketch, spelling, suffixes, warc, wavelet
 from weftline.llm.common import discard, shared_folder, stored, table
 
 
@@ -83,6 +83,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
+        "op11_spelling": op11_spelling,
         "op12_sketch": op12_sketch,
         "op13_codes": op13_codes,
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.quality import FENCE, METRICS, MIN_ROWS, MIN_WORDS
 from weftline.llm.sql_codes import codes_sql
+from weftline.llm.sql_spelling import spelling_sql
 
 
 def _quality() -> str:
@@ -123,4 +124,4 @@ SKETCH = _near(3, 85, "w.doc_id = component_id as kept")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": JACCARD, "op3_quality": _quality(), "op6_mixing": MIXING, "op7_warc": WARC, "op10_chat": CHAT, "op12_sketch": SKETCH, "op13_codes": codes_sql()}
+    return {"op2_jaccard": JACCARD, "op3_quality": _quality(), "op6_mixing": MIXING, "op7_warc": WARC, "op10_chat": CHAT, "op11_spelling": spelling_sql(), "op12_sketch": SKETCH, "op13_codes": codes_sql()}
