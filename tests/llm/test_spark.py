@@ -62,9 +62,33 @@ def test_sketch_quantiles_are_close(spark):
     values = sorted(random.Random(0).randint(0, 100_000) for _ in range(3000))
     df = spark.createDataFrame([(v,) for v in values], "v long")
     s = df.selectExpr(f"{quality.bucket('v')} as bucket").groupBy("bucket").agg(F.count("*").alias("n")).withColumn("metric", F.lit("m"))
-    q = quality.quartiles(s).first()
-    for got, want in ((q.q1, values[749]), (q.q3, values[2249])):
+    q = quality.quantiles(s).first()
+    for got, want in ((q.q25, values[749]), (q.q75, values[2249]), (q.q95, values[2849]), (q.q99, values[2969])):
         assert got <= want <= got * 33 / 32 + 1
+    assert q.gap is None
+
+
+def _limits(spark, metric, *groups):
+    """(lo, hi) of a metric's rule over values, one list a group."""
+    df = spark.createDataFrame([(i, v) for i, g in enumerate(groups) for v in g], "grp int, v long")
+    s = df.selectExpr("grp", f"{quality.bucket('v')} as bucket").groupBy("grp", "bucket").agg(F.count("*").alias("n")).withColumn("metric", F.lit(metric))
+    return [(r.lo, r.hi) for r in quality.fences(quality.quantiles(s, "grp"), 0).orderBy("grp").collect()]
+
+
+def test_limits_follow_their_sketches(spark):
+    zero = [0] * 900
+    # an empty stretch below a tenth of all rows; the same with more of them; none; too many above it; nothing but zeros
+    got = _limits(spark, "symbols", zero + [320] * 100, zero + [2048] * 200, list(range(64)) * 20, zero + [400] * 400, zero)
+    assert [hi for _, hi in got] == [int((336 * 16) ** 0.5) - 16, int((2064 * 16) ** 0.5) - 16, 63 + quality.TAIL * (63 - 60), None, None]
+    assert _limits(spark, "repeats", [0] * 940 + [10] * 40 + [40] * 20, zero) == [(None, 40 + quality.TAIL * 40 - quality.TAIL * 0 - quality.TAIL * 10), (None, None)]
+    assert _limits(spark, "word_length", [40] * 300 + [50] * 400 + [60] * 300, [50] * 1000) == [(40 - quality.FENCE * 20, 60 + quality.FENCE * 20), (None, None)]
+
+
+def test_quality_beside_clashing_names(spark):
+    rows = [(i, words(60, i), "en", "a", "note", 1, 2) for i in range(5)] + [(9, "short", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _q_note string, _q_signals int, __Q_kept int")
+    kept = quality.quality_filter(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(rows[:5])
 
 
 def test_near_duplicates(docs, none):
@@ -366,6 +390,10 @@ def test_warc(spark):
     long = warc.read_bundles(warc.archive(pages, min_bytes=5)).collect()
     assert {r.record_type for r in long} == {"response"}
     assert warc.read_bundles(warc.archive(pages.limit(0))).count() == 0
+    urls = [None, "", "urn:none", "http://a/b c%0Dd", "http://a\r\nInjected: yes", "\n", " x ", "http://ü/é"]
+    odd = spark.createDataFrame([(i, u, "x", 7, "d", "f") for i, u in enumerate(urls)], "page_id long, url string, html string, _refers_to int, digest string, first string")
+    got = warc.read_bundles(warc.archive(odd)).collect()
+    assert {r.page_id: r.url for r in got} == dict(enumerate(urls)) and {r.refers_to for r in got} == {None, 7}
 
 
 def test_media(docs, none):

@@ -2,14 +2,21 @@
 
 Signals are counted per text. Each becomes an integer metric, and each (lang, source, metric) a sketch: a
 histogram over buckets of which 32 make an octave, so a value is known to 1/32. Sketches merge by adding counts,
-in any order with the same result; a (lang, source) with fewer than MIN_ROWS rows uses the merged sketch of its
-language, or of everything. A metric's limits are its quartiles moved outwards by FENCE times their distance
-(at least the metric's least spread, so a metric that is nearly constant rejects nothing for being a little off).
-Rows are then joined with their group's limits.
+in any order with the same result. A metric's limits come from its group's sketch alone:
+
+* quartiles: the quartiles, moved outwards on both sides by FENCE times their distance;
+* tail: the 99th percentile, moved up by TAIL times its distance from the 95th;
+* gap: where the sketch has an empty stretch of GAP times or more (values plus NOISE) with no more than a quarter of the rows
+  above it, the geometric middle of the widest; otherwise as tail. So a share of junk above 5 % doesn't move the limit.
+
+A group with fewer than MIN_ROWS rows, or whose quantiles leave the rule no distance, has no limit of its own and uses that of
+its language's merged sketch, then that of everything; if none has one, nothing is rejected. There are no fixed cutoffs. Rows are
+then joined with their group's limits.
 
 Only rows that pass the base rule enter the sketches, so junk doesn't move the limits. Defined results: a null
 text has no words and fails the base rule; null lang and source are groups of their own, ''; an empty table gives
-no rows; repeated rows count as often as they occur; columns whose names start with ``_q_`` are replaced.
+no rows; repeated rows count as often as they occur; columns that are added begin with a prefix that no column of the
+table has, whatever its names.
 """
 
 from __future__ import annotations
@@ -22,16 +29,17 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_broadcast, drop_caches, small_batches, stored
 
-MIN_WORDS, MIN_ROWS, FENCE = 50, 200, 3
-SYMBOLS = "#*$%&|<>"
+MIN_WORDS, MIN_ROWS = 50, 200
+FENCE, TAIL, GAP, NOISE = 5, 2, 4, 16
 SPACES = " \t\n\x0b\x0c\r"
+SYMBOLS = "#*$%&|<>"
 
-#: name: (metric over the signals in SQL, least spread, is a low value bad too)
+#: name: (metric over the signals in SQL, rule of its limits)
 METRICS = {
-    "symbols": ("1000 * n_symbols div n_words", 100, False),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 150, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 150, False),
-    "word_length": ("100 * word_chars div n_words", 200, True),
+    "symbols": ("1000 * n_symbols div n_words", "gap"),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", "tail"),
+    "repeats": ("1000 * n_repeat_words div n_words", "tail"),
+    "word_length": ("100 * word_chars div n_words", "quartiles"),
 }
 
 SIGNALS = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint"
@@ -57,8 +65,16 @@ def signals_of(text: str | None) -> tuple[int, ...]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeats
 
 
-def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with a struct column _q_signals."""
+def prefix_for(df: DataFrame) -> str:
+    """What no column of ``df`` begins with."""
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def with_signals(df: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
+    """``df`` with a struct column <prefix>signals."""
     small_batches(df.sparkSession)
 
     @F.arrow_udf(f"struct<{SIGNALS.replace(' bigint', ': bigint')}>")
@@ -69,7 +85,7 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_NAMES)
 
     # Not to be moved into filters, where it would be evaluated again.
-    return df.withColumn("_q_signals", signals.asNondeterministic()(F.col(text)))
+    return df.withColumn(f"{prefix}signals", signals.asNondeterministic()(F.col(text)))
 
 
 def base_failed(s: str = "_q_signals") -> Column:
@@ -88,10 +104,14 @@ def bucket_low(c: str) -> str:
     return f"shiftleft({c} - {shift} * 32, cast({shift} as int))"
 
 
-def sketches(df: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n) of the rows that pass the base rule. ``df`` has _q_signals."""
-    rows = df.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "_q_signals.*")
-    pairs = ", ".join(f"'{k}', cast({m} as bigint)" for k, (m, _, _) in METRICS.items())
+def _group(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def sketches(df: DataFrame, prefix: str = "_q_") -> DataFrame:
+    """(lang, source, metric, bucket, n) of the rows that pass the base rule. ``df`` has <prefix>signals."""
+    rows = df.where(~base_failed(f"{prefix}signals")).select(_group("lang").alias("lang"), _group("source").alias("source"), f"{prefix}signals.*")
+    pairs = ", ".join(f"'{k}', cast({m} as bigint)" for k, (m, _) in METRICS.items())
     long = rows.selectExpr("lang", "source", f"stack({len(METRICS)}, {pairs}) as (metric, v)")
     return long.groupBy("lang", "source", "metric", F.expr(bucket("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -101,56 +121,71 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """(by, metric, rows, q1, q3)"""
+#: Quantiles in hundredths.
+QUANTILES = (25, 75, 95, 99)
+
+
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by, metric, rows, q25, q75, q95, q99, gap): gap is the middle of the widest empty stretch, null where there is none. A
+    sketch has some 32 buckets for each octave of its values, so a window over one is small whatever its rows."""
     keys = [*by, "metric"]
     run = Window.partitionBy(*keys).orderBy("bucket")
-    total = Window.partitionBy(*keys)
-    x = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("rows", F.sum("n").over(total))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * q, F.expr(bucket_low("bucket"))))
-    return x.groupBy(*keys).agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
-
-
-def limits(df: DataFrame, min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
-    """(lang, source, lo_<metric>, hi_<metric>) for every group of ``df``, which has _q_signals."""
-    fine = stored(sketches(df), "quality-sketch")
-    groups = df.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    spread = F.lit(0)
-    for k, (_, least, _) in METRICS.items():
-        spread = F.when(F.col("metric") == k, F.lit(least)).otherwise(spread)
-
-    def fences(q: DataFrame, by: list[str], tag: str) -> DataFrame:
-        step = fence * F.greatest(F.col("q3") - F.col("q1"), spread)
-        q = q.where(F.col("rows") >= (min_rows if by else 0)).withColumn("lo", F.col("q1") - step).withColumn("hi", F.col("q3") + step)
+    x = sketch.withColumn("low", F.expr(bucket_low("bucket"))).withColumn("upto", F.sum("n").over(run)).withColumn("rows", F.sum("n").over(Window.partitionBy(*keys)))
+    x = x.withColumn("wide", (F.lead("low").over(run) + NOISE).cast("double") / (F.col("low") + NOISE))
+    gap = (F.col("wide") >= GAP) & (F.col("upto") * 4 >= F.col("rows") * 3)
+    middle = F.floor(F.sqrt(F.col("wide")) * (F.col("low") + NOISE)).cast("long") - NOISE
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * q, F.col("low"))).alias(f"q{q}")
+    widest = F.max(F.when(gap, F.struct("wide", middle.alias("middle"))))
+    return x.groupBy(*keys).agg(F.max("rows").alias("rows"), *(at(q) for q in QUANTILES), widest["middle"].alias("gap"))
+
+
+def fences(q: DataFrame, min_rows: int, fence: int = FENCE, tail: int = TAIL) -> DataFrame:
+    """Rows of ``quantiles`` with lo and hi by their metric's rule; null where they leave it no distance."""
+    rule = F.lit(None).cast("string")
+    for k, (_, name) in METRICS.items():
+        rule = F.when(F.col("metric") == k, F.lit(name)).otherwise(rule)
+    far = F.when(F.col("q99") > F.col("q95"), F.col("q99") + tail * (F.col("q99") - F.col("q95")))
+    spread = F.when(F.col("q75") > F.col("q25"), fence * (F.col("q75") - F.col("q25")))
+    hi = F.when(rule == "quartiles", F.col("q75") + spread).when(rule == "gap", F.coalesce("gap", far)).otherwise(far)
+    return q.where(F.col("rows") >= min_rows).withColumn("hi", hi).withColumn("lo", F.when(rule == "quartiles", F.col("q25") - spread))
+
+
+def limits(df: DataFrame, min_rows: int = MIN_ROWS, prefix: str = "_q_") -> DataFrame:
+    """(<prefix>lang, <prefix>source, <prefix>lo_<metric>, <prefix>hi_<metric>), stored, for every group of ``df``, which has
+    <prefix>signals."""
+    fine = stored(sketches(df, prefix), "quality-sketch")
+    groups = df.select(_group("lang").alias("lang"), _group("source").alias("source")).distinct()
+
+    def wide(q: DataFrame, by: list[str], tag: str) -> DataFrame:
         one = lambda c, k: F.max(F.when(F.col("metric") == k, F.col(c))).alias(f"{c}_{k}_{tag}")
-        return q.groupBy(*by).agg(*(one(c, k) for k in METRICS for c in ("lo", "hi")))
+        return fences(q, min_rows if by else 0).groupBy(*by).agg(*(one(c, k) for k in METRICS for c in ("lo", "hi")))
 
-    a = fences(quartiles(fine, "lang", "source"), ["lang", "source"], "a")
-    b = fences(quartiles(merged(fine, "lang"), "lang"), ["lang"], "b")
-    c = fences(quartiles(merged(fine)), [], "c").first()  # one row
+    a = wide(quantiles(fine, "lang", "source"), ["lang", "source"], "a")
+    b = wide(quantiles(merged(fine, "lang"), "lang"), ["lang"], "b")
+    c = wide(quantiles(merged(fine)), [], "c").first()  # one row
     out = groups.join(a, ["lang", "source"], "left").join(b, ["lang"], "left")
-    pick = [F.coalesce(f"{x}_{k}_a", f"{x}_{k}_b", F.lit(c[f"{x}_{k}_c"] if c else None).cast("bigint")).alias(f"_q_{x}_{k}") for k in METRICS for x in ("lo", "hi")]
-    return stored(out.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), *pick), "quality-limits")
+    pick = [F.coalesce(f"{x}_{k}_a", f"{x}_{k}_b", F.lit(c[f"{x}_{k}_c"] if c else None).cast("bigint")).alias(f"{prefix}{x}_{k}") for k in METRICS for x in ("lo", "hi")]
+    return stored(out.select(F.col("lang").alias(f"{prefix}lang"), F.col("source").alias(f"{prefix}source"), *pick), "quality-limits")
 
 
-def judged(df: DataFrame, lim: DataFrame) -> DataFrame:
-    """``df`` with boolean columns _q_base_failed and _q_kept."""
-    own = [c for c in df.columns if c.startswith("_q_") and c != "_q_signals"]
-    both = df.drop(*own).join(bounded_broadcast(lim), (F.coalesce(df["lang"], F.lit("")) == F.col("_q_lang")) & (F.coalesce(df["source"], F.lit("")) == F.col("_q_source")), "left")
-    fine = F.lit(True)
-    for k, (metric, _, two_sided) in METRICS.items():
+def judged(df: DataFrame, lim: DataFrame, prefix: str = "_q_") -> DataFrame:
+    """``df``, which has <prefix>signals, with boolean columns <prefix>base_failed and <prefix>kept, and for each metric
+    <prefix>fits_<metric>."""
+    both = df.join(bounded_broadcast(lim), (_group("lang") == F.col(f"{prefix}lang")) & (_group("source") == F.col(f"{prefix}source")), "left")
+    out, kept = both.withColumn(f"{prefix}base_failed", base_failed(f"{prefix}signals")), F.lit(True)
+    for k, (metric, _) in METRICS.items():
         for name in _NAMES:
-            metric = metric.replace(name, f"_q_signals.{name}")
-        v = F.expr(f"if(_q_signals.n_words = 0, null, {metric.replace('div _q_signals.n_words', 'div nullif(_q_signals.n_words, 0)')})")
-        fine = fine & F.coalesce(v <= F.col(f"_q_hi_{k}"), F.lit(True))
-        if two_sided:
-            fine = fine & F.coalesce(v >= F.col(f"_q_lo_{k}"), F.lit(True))
-    out = both.withColumn("_q_base_failed", base_failed())
-    out = out.withColumn("_q_kept", ~F.col("_q_base_failed") & fine)
-    return out.drop(*[c for c in lim.columns])
+            metric = metric.replace(name, f"{prefix}signals.{name}")
+        words = f"{prefix}signals.n_words"
+        v = F.expr(f"if({words} = 0, null, {metric.replace(f'div {words}', f'div nullif({words}, 0)')})")
+        fits = F.coalesce(v <= F.col(f"{prefix}hi_{k}"), F.lit(True)) & F.coalesce(v >= F.col(f"{prefix}lo_{k}"), F.lit(True))
+        out = out.withColumn(f"{prefix}fits_{k}", fits)
+        kept = kept & F.col(f"{prefix}fits_{k}")
+    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & kept).drop(*lim.columns)
 
 
 def quality_filter(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that pass, with its columns."""
-    marked = with_signals(df)
-    return judged(marked, limits(marked)).where("_q_kept").select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of ``df`` that pass, with its columns. Signals are counted once and stored beside the rows."""
+    prefix = prefix_for(df)
+    marked = stored(with_signals(df, prefix=prefix), "quality-marked")
+    return judged(marked, limits(marked, prefix=prefix), prefix).where(f"{prefix}kept").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-from weftline.llm.quality import FENCE, METRICS, MIN_ROWS, MIN_WORDS
+from weftline.llm.quality import FENCE, GAP, METRICS, MIN_ROWS, MIN_WORDS, NOISE, QUANTILES, TAIL
 from weftline.llm.sql_codes import codes_sql
 from weftline.llm.sql_spelling import spelling_sql
 
 
 def _quality() -> str:
-    metric = " union all ".join(f"select doc_id, lang, source, '{k}' as metric, ({m.replace(' div ', ' // ')})::bigint as v from base where not base_failed" for k, (m, _, _) in METRICS.items())
+    metric = " union all ".join(f"select doc_id, lang, source, '{k}' as metric, ({m.replace(' div ', ' // ')})::bigint as v from base where not base_failed" for k, (m, _) in METRICS.items())
     shift = "greatest(length(bin(v)) - 6, 0)"
     low = "((bucket - greatest(bucket // 32 - 1, 0) * 32) << greatest(bucket // 32 - 1, 0)::int)"
-    spread = "case metric " + " ".join(f"when '{k}' then {s}" for k, (_, s, _) in METRICS.items()) + " end"
+    rule = "case metric " + " ".join(f"when '{k}' then '{r}'" for k, (_, r) in METRICS.items()) + " end"
+    far = f"case when q99 > q95 then q99 + {TAIL} * (q99 - q95) end"
+    spread = f"case when q75 > q25 then {FENCE} * (q75 - q25) end"
 
     def level(name: str, *by: str) -> str:
         keys = ", ".join([*by, "metric"])
-        same = " and ".join(f"{k} = s.{k}" for k in [*by, "metric"])
+        at = ", ".join(f"min(low) filter (where upto * 100 >= total * {q}) as q{q}" for q in QUANTILES)
         return f"""
-        {name}_m as (select {keys}, bucket, sum(n) as n from fine group by {keys}, bucket),
-        {name}_c as (select *, sum(n) over (partition by {keys} order by bucket) as upto, sum(n) over (partition by {keys}) as total from {name}_m),
-        {name} as (select {keys}, max(total) as total, min({low}) filter (where upto * 4 >= total) as q1, min({low}) filter (where upto * 4 >= total * 3) as q3 from {name}_c group by {keys}),"""
+        {name}_m as (select {keys}, bucket, {low} as low, sum(n) as n from fine group by {keys}, bucket),
+        {name}_c as (
+            select *, sum(n) over (partition by {keys} order by bucket) as upto, sum(n) over (partition by {keys}) as total,
+                (lead(low) over (partition by {keys} order by bucket) + {NOISE})::double / (low + {NOISE}) as wide from {name}_m),
+        {name}_q as (
+            select {keys}, max(total) as total, {at},
+                max_by(floor(sqrt(wide) * (low + {NOISE}))::bigint - {NOISE}, wide) filter (where wide >= {GAP} and upto * 4 >= total * 3) as gap
+            from {name}_c group by {keys}),
+        {name} as (
+            select *, case {rule} when 'quartiles' then q75 + {spread} when 'gap' then coalesce(gap, {far}) else {far} end as hi,
+                case {rule} when 'quartiles' then q25 - {spread} end as lo from {name}_q),"""
 
     tests = []
-    for k, (m, _, both) in METRICS.items():
+    for k, (m, _) in METRICS.items():
         v = f"({m.replace(' div n_words', ' // nullif(n_words, 0)').replace(' div ', ' // ')})"
-        tests.append(f"coalesce({v} <= (select hi from lim where lim.lang = b.lang and lim.source = b.source and metric = '{k}'), true)")
-        if both:
-            tests.append(f"coalesce({v} >= (select lo from lim where lim.lang = b.lang and lim.source = b.source and metric = '{k}'), true)")
+        for x, sign in (("hi", "<="), ("lo", ">=")):
+            tests.append(f"coalesce({v} {sign} (select {x} from lim where lim.lang = b.lang and lim.source = b.source and metric = '{k}'), true)")
     return f"""
     with words as (
         select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text,
@@ -47,12 +56,11 @@ def _quality() -> str:
     fine as (select lang, source, metric, {shift} * 32 + (v >> {shift}::int) as bucket, count(*) as n from long group by all),
     {level('a', 'lang', 'source')}{level('b', 'lang')}{level('c')}
     groups as (select distinct lang, source, metric from (select lang, source from base), (select unnest([{', '.join(f"'{k}'" for k in METRICS)}]) as metric)),
-    picked as (
-        select g.lang, g.source, g.metric, coalesce(a.q1, b.q1, c.q1) as q1, coalesce(a.q3, b.q3, c.q3) as q3 from groups g
+    lim as (
+        select g.lang, g.source, g.metric, coalesce(a.lo, b.lo, c.lo) as lo, coalesce(a.hi, b.hi, c.hi) as hi from groups g
         left join a on a.lang = g.lang and a.source = g.source and a.metric = g.metric and a.total >= {MIN_ROWS}
         left join b on b.lang = g.lang and b.metric = g.metric and b.total >= {MIN_ROWS}
-        left join c on c.metric = g.metric),
-    lim as (select *, q1 - {FENCE} * greatest(q3 - q1, {spread}) as lo, q3 + {FENCE} * greatest(q3 - q1, {spread}) as hi from picked)
+        left join c on c.metric = g.metric)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and {' and '.join(tests)}) as kept from base b
     """
 

@@ -9,8 +9,10 @@ largest id is a response and the others are revisits that name it. Groups are fo
 before any shuffle; only the (id, digest) rows are joined with them.
 
 Defined results: null html is the empty payload; rows that share the largest id of their group are all responses;
-a null id is below every other, writes no id header and never is referred to while another row has an id; line
-ends in URLs are percent-encoded, a null URL is written as urn:none; an empty table gives no bundles.
+a null id is below every other, writes no id header and never is referred to while another row has an id; a null URL
+writes no target header, an empty one an empty header; a URL with line ends is percent-encoded there and also written
+whole, in base64, in a header of its own, so all URLs are read back as they were; no columns of ``pages`` but page_id, url and
+html are read, whatever the others' names; an empty table gives no bundles.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from weftline.llm.common import attempt_name, open_file, shared_folder, small_ba
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The header that has the base64 of a URL with line ends.
+WHOLE_URL = "X-Target-URI-Base64"
 #: Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -51,22 +55,30 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    target = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {record_uuid(page_id) if page_id is not None else f'<urn:uuid:{uuid.UUID(int=0)}>'}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}")
+        if "\r" in url or "\n" in url:
+            head.append(f"{WHOLE_URL}: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {record_uuid(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def url_of(head: dict[str, str]) -> str | None:
+    if WHOLE_URL in head:
+        return base64.b64decode(head[WHOLE_URL]).decode("utf-8", "surrogatepass")
+    return head.get("WARC-Target-URI")
+
+
 def parse_record(raw: memoryview | bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and the offset behind the record."""
     raw = bytes(raw) if not isinstance(raw, bytes) else raw
@@ -120,10 +132,11 @@ def read_record(bundle: str, frame: int, record_at: int) -> tuple[dict[str, str]
 
 
 def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with _refers_to: null for responses.
+    """(page_id, url, html, _refers_to) of ``pages``; _refers_to is null for responses.
 
     Digests are found without moving html; the join deals out (id, digest) rows, and html once, by id.
     """
+    pages = pages.select("page_id", "url", "html")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     marks = pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("size"))
     first = marks.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -213,8 +226,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
                             digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                             if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                                 raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't match its digest")
-                            own, to, url = head["WARC-Record-ID"], head.get("WARC-Refers-To"), head["WARC-Target-URI"]
-                            rows.append((None if uuid.UUID(own[10:-1]).int == 0 else page_of(own), size, digest, kind, page_of(to) if to else None, None if url == "urn:none" else url))
+                            own, to = head["WARC-Record-ID"], head.get("WARC-Refers-To")
+                            rows.append((None if uuid.UUID(own[10:-1]).int == 0 else page_of(own), size, digest, kind, page_of(to) if to else None, url_of(head)))
                         cols = list(zip(*rows))
                         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in RECORDS.split(", ")])
