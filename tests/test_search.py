@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.config import SearchConfig, grid
-from weftline.operators import cluster, reuse, search
+from weftline.operators import cluster, passages, reuse, search
+from weftline.sources.shared import stored
 
 
 @pytest.mark.parametrize("n,long,short,want", [(20, 1.0, 1.3, 46), (21, 1.0, 1.3, 42), (13, 0.4, 1.4, 31), (26, 0.4, 1.4, 36), (18, 1.0, 1.6, 46)])
@@ -57,47 +58,106 @@ def test_overlap_and_flags(spark):
     assert odd[1].any_full and odd[1].near_full and odd[1].best_overlap_rank == 10
 
 
+@pytest.mark.parametrize("matrix_bytes", [search.MATRIX_BYTES, 0])
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
-def test_scan_against_direct_sums(spark, metric):
+def test_scan_against_direct_sums(spark, metric, matrix_bytes):
+    """By one matrix for all blocks, and by each block's own vectors."""
     rng = np.random.default_rng(0)
     vectors = np.vstack([np.zeros(4), rng.normal(size=(9, 4))])
-    docs = [(0, rng.integers(0, 10, 37)), (1, np.array([], int)), (2, rng.integers(0, 10, 5)), (3, rng.integers(0, 10, 60))]
-    flat = np.concatenate([d for _, d in docs])
-    df = spark.createDataFrame([(k, [int(x) for x in d], len(d)) for k, d in docs], "doc_id long, tokens array<int>, size int")
-    q = pd.DataFrame({"variant": [0, 0, 1], "query_id": [5, 6, 5], "vector": [rng.normal(size=4) for _ in range(3)], "search_len": [7, 3, 5], "top_n": [4, 4, 2], "gold_start": [-1, -1, 30], "gold_similarity": [np.nan, np.nan, 0.1]})
-    placed = search.global_offsets(df, "doc_id", "size")
-    pieces = search.blocks(placed, 6, 16)
-    found = search.scan(pieces, vectors, q, len(flat), block=16, metric=metric).collect()
+    flat = rng.integers(0, 10, 102)
+    q = pd.DataFrame({"variant": [0, 0, 1, 1], "query_id": [5, 6, 5, 9], "vector": [rng.normal(size=4) for _ in range(3)] + [np.zeros(4)], "search_len": [7, 3, 5, 5], "top_n": [4, 4, 2, 2], "gold_start": [-1, -1, 30, -1], "gold_similarity": [np.nan, np.nan, 0.1, np.nan]})
+    coded = spark.createDataFrame([(i, int(x) or None) for i, x in enumerate(flat)], "g long, code long").repartition(3)
+    codes = stored(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors) if i], "code long, vec array<double>"), "codes")
+    pieces = search.blocks(coded, 6, 16)
+    found = search.scan(pieces, codes, q, len(flat), block=16, metric=metric, matrix_bytes=matrix_bytes).collect()
     for r in q.itertuples():
         sims = []
         for s in range(len(flat) - r.search_len + 1):
             own = flat[s : s + r.search_len]
-            if np.count_nonzero(own):
+            if np.count_nonzero(own) and (r.vector.any() or metric == "euclidean"):
                 w = vectors[own].sum(axis=0) / np.count_nonzero(own)
                 v = w @ r.vector / np.linalg.norm(w) / np.linalg.norm(r.vector) if metric == "cosine" else 1 - np.linalg.norm(w - r.vector)
                 sims.append((-round(float(v), 6), s))
         own = [x for x in found if (x.variant, x.query_id) == (r.variant, r.query_id)]
         hits = sorted((-x.similarity, x.start) for x in own if x.kind == "hit")[: r.top_n]
-        assert np.allclose(hits, sorted(sims)[: r.top_n], atol=2e-6)
+        assert np.allclose(hits, sorted(sims)[: r.top_n], atol=2e-6) if sims else not hits
         assert sum(x.n for x in own if x.kind == "stat") == len(sims)
-        if r.variant:
+        assert abs(sum(x.total for x in own if x.kind == "stat") + sum(v for v, _ in sims)) < 1e-4
+        if r.gold_start >= 0:
             assert sum(x.n for x in own if x.kind == "before") == sum((v, s) < (-0.1, 30) for v, s in sims)
-            there = search.scan(pieces, vectors, q[q.variant == 1], len(flat), block=16, metric=metric, only_gold=True).collect()
+            there = search.scan(pieces, codes, q[q.gold_start >= 0], len(flat), block=16, metric=metric, only_gold=True, matrix_bytes=matrix_bytes).collect()
             assert [x.start for x in there] == [30] and abs(there[0].similarity + dict((s, v) for v, s in sims)[30]) < 2e-6
 
 
+def test_tasks_send_their_best_alone(spark):
+    """However many blocks a task has, it sends top_n hits a query; ties go to the smaller start."""
+    q = pd.DataFrame({"variant": [0], "query_id": [1], "vector": [np.array([1.0, 0.0])], "search_len": [1], "top_n": [3], "gold_start": [-1], "gold_similarity": [np.nan]})
+    coded = spark.range(500).selectExpr("id as g", "1 + id % 2 as code")
+    codes = stored(spark.createDataFrame([(1, [1.0, 1.0]), (2, [2.0, 2.0])], "code long, vec array<double>"), "codes")
+    found = search.scan(search.blocks(coded, 0, 16), codes, q, 500, block=16, stats=False)
+    assert found.count() <= 3 * spark.sparkContext.defaultParallelism
+    assert [r.start for r in search.ranked(found, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_dense_codes(spark):
+    space = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0]), ("c", [0.5, 0.0]), ("d", None)], "token string, vec array<double>")
+    codes, names = search.dense_codes(space)
+    by = {r.code: tuple(r.vec) for r in codes.collect()}
+    assert sorted(by) == [1, 2] and {r.token: by[r.code] for r in names.collect()} == {"a": (1.0, 2.0), "b": (1.0, 2.0), "c": (0.5, 0.0)}
+
+
 def test_located(spark):
     """Phrases within a document, across documents and empty ones, of one word, at both ends, and in part only."""
-    docs = [(1, "a b c a b d".split()), (2, []), (3, "e f g".split()), (4, ["h"]), (5, "a b d a b c x".split())]
-    flat = [w for _, ws in docs for w in ws]
-    df = spark.createDataFrame([(k, w) for k, w in docs], "doc_id long, words array<string>")
-    phrases = {0: "a b d".split(), 1: "d e f".split(), 2: "g h a".split(), 3: ["x"], 4: ["a"], 5: "b c x y".split(), 6: "b c x".split(), 7: "f h".split(), 8: [], 9: "b d e f g h a b d".split()}
+    docs = [(1, "a b c a b d".split()), (2, []), (3, "e f g".split()), (4, ["h"]), (5, "a b d a b c x".split()), (6, None)]
+    flat = [w for _, ws in docs for w in ws or []]
+    df = spark.createDataFrame(docs, "doc_id long, words array<string>")
+    phrases = {0: "a b d".split(), 1: "d e f".split(), 2: "g h a".split(), 3: ["x"], 4: ["a"], 5: "b c x y".split(), 6: "b c x".split(), 7: "f h".split(), 8: [], 9: "b d e f g h a b d".split(), 10: ["zz"], 11: "h h".split()}
     want = {}
     for k, p in phrases.items():
         at = [i for i in range(len(flat) - len(p) + 1) if flat[i : i + len(p)] == p] if p else []
         if at:
             want[k] = at[0]
-    assert {r.query_id: r.gold_start for r in search.located(df, "doc_id", "words", phrases).collect()} == want
+    queries = spark.createDataFrame(list(phrases.items()), "query_id long, words array<string>")
+    for at_once in (3, 2000):
+        assert {r.query_id: r.gold_start for r in passages.locate(df, queries, "doc_id", at_once).collect()} == want
+
+
+def test_search_across_spaces(spark):
+    """Query and gold differ in words and length; the set goes through in parts; what has no vector or place is no failure."""
+    rng = np.random.default_rng(4)
+    vec = {w: rng.normal(size=3) for w in "abcdefg"}  # x and y have none
+    docs = [(1, list("abxcdefg")), (2, None), (3, list("gfedcbay")), (4, [])]
+    flat = [w for _, ws in docs for w in ws or []]
+    queries = [(1, ["A", "C"], list("bxc")), (2, ["E"], list("aa")), (3, ["Q"], list("ab")), (4, [], list("ab")), (5, ["B", "Z"], None), (6, ["G", "F", "E", "D"], list("gfed"))]
+    target = spark.createDataFrame(docs, "key long, words array<string>")
+    space = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "token string, vec array<double>")
+    own = spark.createDataFrame([(w.upper(), (3 * v).tolist()) for w, v in vec.items()], "token string, vec array<double>")
+    q = spark.createDataFrame(queries, "query_id long, words array<string>, gold array<string>")
+    configs = [SearchConfig(long_adjust=0.0, short_adjust=0.5, top_n=4, method="word"), SearchConfig(long_adjust=0.0, short_adjust=1.0, top_n=2, method="word")]
+    for at_once, matrix_bytes in ((2, search.MATRIX_BYTES), (100, 0)):
+        for c, s in zip(configs, passages.search_passages(target, space, q, own, configs, at_once=at_once, matrix_bytes=matrix_bytes)):
+            hits = {}
+            for r in s.hits().collect():
+                hits.setdefault(r.query_id, []).append((r["rank"], r.start, r.similarity))
+            ranks = {r.query_id: (r.gold_start, r.predicted_rank, r.n_windows) for r in s.predicted_ranks().collect()}
+            for k, words, gold in queries:
+                known = [vec[w.lower()] for w in words if w.lower() in vec]
+                n = c.search_length(len(words))
+                sims = []
+                for i in range(len(flat) - n + 1) if known else ():
+                    window = [vec[w] for w in flat[i : i + n] if w in vec]
+                    if window:
+                        a, b = np.mean(window, axis=0), np.mean(known, axis=0)
+                        sims.append((-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6), i))
+                assert [x[1] for x in sorted(hits.get(k, []))] == [i for _, i in sorted(sims)[: c.top_n]]
+                at = "".join(flat).find("".join(gold)) if gold and words else -1
+                if known and at >= 0:
+                    assert ranks[k] == (at, [i for _, i in sorted(sims)].index(at), len(sims))
+                else:
+                    assert k not in ranks
+            lines = {r.query_id: r.report for r in s.report().collect()}
+            assert set(lines) == {1, 2, 6} | ({5} if 5 in hits else set()) and "Gold is 1.50 times longer" in lines[1] and "***" in lines[1] and "Correct passage unknown" in lines[2]
+            assert s.summary().first().total_phrases == 5
 
 
 @pytest.mark.parametrize("method", ["char", "term"])

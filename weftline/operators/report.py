@@ -20,8 +20,10 @@ def cluster_lines(words: Column | None = None) -> Column:
 
 
 def query_report(clusters: DataFrame, queries: DataFrame, found: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, report). ``queries``: query_id, query, gold, gold_start, predicted_rank, ratio, used_ratio, search_len."""
-    parts = clusters.join(queries.select("query_id", "search_len"), "query_id").withColumn("lines", cluster_lines())
+    """(query_id, report). ``queries``: query_id, query, gold, gold_start, predicted_rank, ratio, used_ratio, search_len.
+    ``clusters`` with the words of their ranges show them, stars around the best window."""
+    words = F.col("words") if "words" in clusters.columns else None
+    parts = clusters.join(queries.select("query_id", "search_len"), "query_id").withColumn("lines", cluster_lines(words))
     body = parts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster_no", "lines"))), lambda x: x["lines"]), "\n").alias("body"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("pct")).alias("p"), "cluster_no")))
     hits = found.groupBy("query_id").agg(F.array_join(F.transform(order, lambda x: F.format_string("%.2f%% of gold in Result #%d", -x["p"], x["cluster_no"])), "\n").alias("overlap"))

@@ -1,15 +1,24 @@
 """Passage search: every window of a target sequence is ranked against query vectors.
 
-The target is one global sequence of tokens, in blocks that overlap by the longest window less one, so any block can be
-searched alone. A block sums its vectors once; a window's mean for any length is a difference of two prefix sums.
-Each block keeps its own best N per query, so only these are shuffled for the global ranking, and counts, sums and
-squares of all similarities. Tokens without a vector count as zero in sums and not at all in the divisor.
+The target is one global sequence of tokens, coded by a join with its space, in blocks that overlap by the longest window
+less one, so any block can be searched alone. A block multiplies the prefix sums of its vectors with all queries at once; a
+window's product with a query, for any length, is then a difference of two numbers, and its norm comes from one pass a length.
+A task goes through its blocks in order and keeps the best N of each query so far: a later window must beat the N-th, so few
+are ever sorted, and only N a query and three sums leave a task. Tokens without a vector count as zero in sums and not at
+all in the divisor.
+
+Vectors reach the tasks as a stored table, which each Python worker reads once, if their bytes are at most MATRIX_BYTES; beyond
+that each block gets the vectors of its own tokens by a join, of any number. The driver holds neither.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +28,8 @@ from weftline.sources.shared import stored
 BLOCK = 16_384
 #: Similarities are ranked at this many decimals, ties by start.
 DIGITS = 6
+#: Bytes of vectors that every Python worker may hold, and blocks that a task searches one after the other.
+MATRIX_BYTES, BLOCKS_A_TASK = 256 << 20, 16
 
 
 def search_length(n: Column, long_adjust: float, short_adjust: float, short_length: int) -> Column:
@@ -35,128 +46,252 @@ def global_offsets(rows: DataFrame, key: str, size: str) -> DataFrame:
     for part in sorted(sums):
         before[part] = total
         total += sums[part] or 0
-    inside = F.sum(size).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum(F.col(size).cast("long")).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
     base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_part")] if before else F.lit(0)
     return ranged.withColumn("offset", (base + F.coalesce(inside, F.lit(0))).cast("long")).drop("_part")
 
 
-def blocks(docs: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
-    """(block, start, tokens) pieces from documents (offset, tokens): each piece lies in one block or in the ``halo``
-    positions behind it."""
-    n = F.size("tokens")
-    first = F.floor(F.greatest(F.col("offset") - halo, F.lit(0)) / block).cast("long")
-    last = F.floor((F.col("offset") + n - 1) / block).cast("long")
-    rows = docs.where(n > 0).withColumn("block", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("block") * block - F.col("offset"), F.lit(0)).cast("int")
-    hi = F.least((F.col("block") + 1) * block + halo - F.col("offset"), n.cast("long")).cast("int")
-    return rows.where(hi > lo).select("block", (F.col("offset") + lo).alias("start"), F.slice("tokens", lo + 1, hi - lo).alias("tokens"))
+def tokens_of(placed: DataFrame, words: str = "words") -> DataFrame:
+    """(g, token): the global sequence of documents (offset, words)."""
+    return placed.select("offset", F.posexplode(words).alias("pos", "token")).select((F.col("offset") + F.col("pos")).alias("g"), "token")
+
+
+def dense_codes(space: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (code, vec) of the distinct vectors of a space, numbered from 1 without gaps, and (token, code)."""
+    marked = space.where("vec is not null").select("token", F.transform("vec", lambda x: x.cast("double")).alias("vec")).withColumn("_h", F.xxhash64("vec"))
+    distinct = marked.select("_h", "vec").distinct().withColumn("_one", F.lit(1))
+    vectors = stored(global_offsets(distinct, "_h", "_one").select((F.col("offset") + 1).alias("code"), "vec", "_h"), "search-vectors")
+    names = marked.join(vectors.withColumnRenamed("vec", "_v"), "_h").where(F.col("vec") == F.col("_v")).select("token", "code")
+    out = vectors.select("code", "vec")
+    out.stored_at = vectors.stored_at
+    return out, names
 
 
-def located(docs: DataFrame, key: str, words: str, phrases: dict[int, list[str]]) -> DataFrame:
-    """(query_id, gold_start): the first place in the whole sequence where a phrase's words follow one another. ``phrases``
-    is the query set.
+def blocks(coded: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
+    """(block, g, code): positions (g, code) dealt to the block they lie in and to those whose ``halo`` behind them they are in."""
+    first, last = F.floor(F.greatest(F.col("g") - halo, F.lit(0)) / block), F.floor(F.col("g") / block)
+    return coded.select(F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"), "g", F.coalesce("code", F.lit(0)).cast("long").alias("code"))
 
-    Words are met in pairs of neighbours, which are far rarer than words; what a document's end or beginning cuts is
-    met alone. A phrase's rarest word gives its candidates, and these are checked word by word, by joins on positions.
+
+def located(placed: DataFrame, phrases: dict[int, list[str]], words: str = "words") -> DataFrame:
+    """(query_id, gold_start): the first place in the whole sequence where a phrase's words follow one another. ``placed``
+    has documents (offset, size, words); ``phrases`` is the query set.
+
+    Documents are gone through once, in pairs of neighbours, also across documents; only those that a phrase has stay. A phrase's
+    rarest pair gives its candidates, and these are checked pair by pair, by a join on positions.
     """
-    spark = docs.sparkSession
-    schema = "query_id long, gold_start long"
+    spark = placed.sparkSession
     phrases = {k: w for k, w in phrases.items() if w}
-    if not phrases:
-        return spark.createDataFrame([], schema)
-    whole = spark.createDataFrame([(k, i, w, len(ws)) for k, ws in phrases.items() for i, w in enumerate(ws)], "query_id long, at int, word string, n int")
-    pairs = spark.createDataFrame(sorted({(a, b) for ws in phrases.values() for a, b in zip(ws, ws[1:])} or {("", "")}), "word string, next string").withColumn("pair", F.lit(True))
-    alone = spark.createDataFrame(sorted({(w,) for ws in phrases.values() for w in ws}), "word string").withColumn("met", F.lit(True))
-    single = spark.createDataFrame(sorted({(ws[0],) for ws in phrases.values() if len(ws) == 1} or {("",)}), "word string").withColumn("single", F.lit(True))
-    placed = global_offsets(docs.select(key, F.size(words).alias("size")), key, "size").select(key, "offset")
-    rows = docs.select(key, F.size(words).alias("size"), F.posexplode(F.transform(F.col(words), lambda w, i: F.struct(w.alias("word"), F.get(F.col(words), i + 1).alias("next")))).alias("pos", "w"))
-    rows = rows.select(key, "size", "pos", "w.word", "w.next").join(F.broadcast(alone), "word").join(F.broadcast(pairs), ["word", "next"], "left").join(F.broadcast(single), "word", "left")
-    rows = rows.where("pair or single or pos = 0 or pos = size - 1").join(placed, key)
-    mine = F.struct((F.col("offset") + F.col("pos")).alias("g"), F.col("word").alias("word"))
-    other = F.struct((F.col("offset") + F.col("pos") + 1).alias("g"), F.col("next").alias("word"))
-    seen = stored(rows.select(F.explode(F.when(F.col("pair"), F.array(mine, other)).otherwise(F.array(mine))).alias("x")).select("x.g", "x.word").distinct(), "search-seen")
-    counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-    rare = whole.join(counts, "word").groupBy("query_id").agg(F.min_by(F.struct("at", "word", "n"), F.struct("c", "at")).alias("r")).select("query_id", "r.*")
-    cand = seen.join(F.broadcast(rare), "word").select("query_id", "n", (F.col("g") - F.col("at")).alias("start")).where("start >= 0")
-    steps = cand.join(F.broadcast(whole.select("query_id", "at", "word")), "query_id").select("query_id", "n", "start", (F.col("start") + F.col("at")).alias("g"), "word")
-    full = steps.join(seen, ["g", "word"]).groupBy("query_id", "start", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n")
-    return full.groupBy("query_id").agg(F.min("start").alias("gold_start"))
+    rows = placed.where("size > 0").select("offset", "size", F.col(words).alias("words"))
+    out = spark.createDataFrame([], "query_id long, gold_start long")
+    if single := [(k, w[0]) for k, w in phrases.items() if len(w) == 1]:
+        own = F.broadcast(spark.createDataFrame(single, "query_id long, token string"))
+        out = tokens_of(rows).join(own, "token").groupBy("query_id").agg(F.min("g").alias("gold_start"))
+    steps = [(k, i, a, b, len(w) - 1) for k, w in phrases.items() for i, (a, b) in enumerate(zip(w, w[1:]))]
+    if not steps:
+        return out
+    number = {p: i for i, p in enumerate(sorted({(a, b) for _, _, a, b, _ in steps}))}
+    pairs = F.broadcast(spark.createDataFrame([(a, b, i) for (a, b), i in number.items()], "word string, next string, pair int"))
+    whole = F.broadcast(spark.createDataFrame([(k, i, number[a, b], n) for k, i, a, b, n in steps], "query_id long, at int, pair int, n int"))
+    n = F.col("size") - 1
+    both = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.struct(a.alias("word"), b.alias("next")))
+    inside = rows.select("offset", F.posexplode(both).alias("pos", "w")).select((F.col("offset") + F.col("pos")).alias("g"), "w.word", "w.next")
+    heads = rows.select(F.col("offset").alias("end"), F.col("words")[0].alias("next"))
+    across = rows.select((F.col("offset") + F.col("size")).alias("end"), F.element_at("words", -1).alias("word")).join(heads, "end").select((F.col("end") - 1).alias("g"), "word", "next")
+    seen = stored(inside.unionByName(across).join(pairs, ["word", "next"]).select("g", "pair"), "search-seen")
+    counts = seen.groupBy("pair").agg(F.count(F.lit(1)).alias("c"))
+    rare = whole.join(counts, "pair").groupBy("query_id").agg(F.min_by(F.struct("at", "pair"), F.struct("c", "at")).alias("r"), F.count(F.lit(1)).alias("have"), F.first("n").alias("n"))
+    rare = rare.where("have = n").select("query_id", "r.*")  # one row a query; without one of its pairs a phrase is nowhere
+    starts = seen.join(F.broadcast(rare), "pair").select("query_id", (F.col("g") - F.col("at")).alias("start")).where("start >= 0")
+    asked = starts.join(whole, "query_id").select("query_id", "start", (F.col("start") + F.col("at")).alias("g"), "pair", "n")
+    full = asked.join(seen, ["g", "pair"]).groupBy("query_id", "start", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n")
+    return out.unionByName(full.groupBy("query_id").agg(F.min("start").alias("gold_start")))
 
 
 SCAN = "variant int, query_id long, kind string, start long, similarity double, n long, total double, squares double"
 
 
-def _best(similarity: np.ndarray, ok: np.ndarray, top_n: int) -> np.ndarray:
-    """The places of the ``top_n`` largest among ``ok``, ties by place."""
-    s = similarity[ok]
-    if top_n < len(s):
-        floor = np.partition(s, len(s) - top_n)[len(s) - top_n]
-        ok, s = ok[s >= floor], s[s >= floor]
-    return ok[np.lexsort((ok, -s))[:top_n]]
+def _best(similarity: np.ndarray, start: np.ndarray, top_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``top_n`` largest with their starts, ties by start."""
+    if top_n < len(similarity):
+        floor = np.partition(similarity, len(similarity) - top_n)[len(similarity) - top_n]
+        keep = similarity >= floor
+        similarity, start = similarity[keep], start[keep]
+    order = np.lexsort((start, -similarity))[:top_n]
+    return similarity[order], start[order]
+
+
+class Finder:
+    """What a task finds in its blocks, which come in order."""
+
+    def __init__(self, queries: pd.DataFrame, length: int, block: int, metric: str, only_gold: bool, stats: bool):
+        self.rows, self.length, self.block, self.metric, self.only_gold, self.stats = list(queries.itertuples()), length, block, metric, only_gold, stats
+        distinct = {r.vector.tobytes(): r.vector for r in self.rows}  # variants share vectors
+        self.place = {k: i for i, k in enumerate(distinct)}
+        self.vectors = np.stack(list(distinct.values())) if distinct else np.zeros((0, 1))
+        self.norms = np.linalg.norm(self.vectors, axis=1)
+        self.best = {i: (np.empty(0), np.empty(0, np.int64)) for i, r in enumerate(self.rows) if r.top_n}
+        self.sums = {i: [0, 0.0, 0.0] for i in range(len(self.rows))}
+        self.before = {i: 0 for i, r in enumerate(self.rows) if r.gold_start >= 0 and np.isfinite(r.gold_similarity)}
+        self.gold: list[tuple] = []
+
+    def add(self, block: int, begin: int, vectors: np.ndarray, known: np.ndarray) -> None:
+        """A block's tokens from position ``begin`` on: their vectors, zeros where they have none, and which have one."""
+        prefix = np.zeros((len(vectors) + 1, vectors.shape[1]))
+        np.cumsum(vectors, axis=0, out=prefix[1:])
+        counts = np.concatenate([[0], np.cumsum(known)])
+        squares = np.einsum("ij,ij->i", prefix, prefix)
+        products = self.vectors @ prefix.T
+        own = int(block) * self.block
+        sizes: dict[int, list[int]] = {}
+        for i, r in enumerate(self.rows):
+            sizes.setdefault(int(r.search_len), []).append(i)
+        for size, members in sizes.items():
+            n = min(own + self.block - begin, len(vectors) - size + 1, self.length - size + 1 - begin)
+            if size < 1 or n < 1:
+                continue
+            many = counts[size : size + n] - counts[:n]
+            norm = np.sqrt(np.maximum(squares[size : size + n] + squares[:n] - 2 * np.einsum("ij,ij->i", prefix[size : size + n], prefix[:n]), 0))
+            ok = many > 0
+            if self.metric == "cosine":
+                ok &= norm > 1e-9 * np.sqrt(squares[size : size + n] + 1e-30)
+            whole = ok.all()
+            at = None if whole else np.flatnonzero(ok)
+            many, norm = (many, norm) if whole else (many[at], norm[at])
+            for i in members:
+                q = self.place[self.rows[i].vector.tobytes()]
+                if self.metric == "cosine" and not self.norms[q]:
+                    continue
+                s = products[q, size : size + n] - products[q, :n]
+                s = s if whole else s[at]
+                if self.metric == "cosine":
+                    s /= norm * self.norms[q]
+                else:
+                    s = 1 - np.sqrt(np.maximum((norm / many) ** 2 - 2 * s / many + self.norms[q] ** 2, 0))
+                self._row(i, np.round(s, DIGITS), begin, at)
+
+    def _row(self, i: int, s: np.ndarray, begin: int, at: np.ndarray | None) -> None:
+        """``s``: the similarities of a query's windows; ``at``: their places after ``begin``, all of them if None."""
+        r = self.rows[i]
+        start = lambda k: begin + (k if at is None else at[k])
+        if self.only_gold:
+            k = int(r.gold_start) - begin if at is None else int(np.searchsorted(at, r.gold_start - begin))
+            if 0 <= k < len(s) and start(k) == r.gold_start:
+                self.gold.append((int(r.variant), int(r.query_id), "gold", int(r.gold_start), float(s[k]), 1, None, None))
+            return
+        if self.stats:
+            total = self.sums[i]
+            total[0] += len(s)
+            total[1] += float(s.sum())
+            total[2] += float(s @ s)
+        if i in self.best:
+            similarity, places = self.best[i]
+            full = len(similarity) >= r.top_n  # later windows lose ties
+            new = np.flatnonzero(s > similarity[-1]) if full else np.arange(len(s))
+            if len(new):
+                self.best[i] = _best(np.concatenate([similarity, s[new]]), np.concatenate([places, start(new)]), int(r.top_n))
+        if i in self.before:
+            equal = np.flatnonzero(s == r.gold_similarity)
+            self.before[i] += int(np.count_nonzero(s > r.gold_similarity)) + int(np.count_nonzero(start(equal) < r.gold_start))
+
+    def found(self) -> list[tuple]:
+        """Rows of SCAN."""
+        out = list(self.gold)
+        if self.only_gold:
+            return out
+        for i, r in enumerate(self.rows):
+            ids = int(r.variant), int(r.query_id)
+            if i in self.best:
+                out += [(*ids, "hit", k, x, 1, None, None) for x, k in zip(*(v.tolist() for v in self.best[i]))]
+            if self.stats:
+                out.append((*ids, "stat", -1, None, *self.sums[i]))
+            if i in self.before:
+                out.append((*ids, "before", -1, None, self.before[i], None, None))
+        return out
+
 
+def _found(rows: list[tuple]) -> pa.Table:
+    kinds = pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SCAN.split(", ")])
 
-def scan(pieces: DataFrame, vectors: np.ndarray, queries: pd.DataFrame, length: int, block: int = BLOCK, metric: str = "cosine", only_gold: bool = False) -> DataFrame:
-    """Per block, variant and query: its best ``top_n`` hits (kind hit), sums over all windows (stat), and, where a query has
+
+#: The matrix that this worker read last, by its path.
+_HELD: dict[str, np.ndarray] = {}
+
+
+def _matrix(path: str, n: int, dims: int) -> np.ndarray:
+    """A stored table (code, vec) as a matrix whose row 0 is zeros."""
+    if path not in _HELD:
+        _HELD.clear()
+        store, at = fs.FileSystem.from_uri(path)
+        matrix = np.zeros((n + 1, dims))
+        for batch in dataset.dataset(at, filesystem=store, format="parquet").to_batches(columns=["code", "vec"]):
+            matrix[batch.column("code").to_numpy()] = np.asarray(batch.column("vec").flatten(), np.float64).reshape(batch.num_rows, dims)
+        _HELD[path] = matrix
+    return _HELD[path]
+
+
+def _by_block(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, g, code) of rows that are sorted by block and g."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        own = tuple(c.to_numpy() for c in batch.columns)
+        cuts = [0, *(np.flatnonzero(np.diff(own[0])) + 1).tolist(), len(own[0])]
+        for a, b in zip(cuts, cuts[1:]):
+            if kept and a < b and kept[-1][0][-1] != own[0][a]:
+                yield int(kept[0][0][0]), *(np.concatenate([k[c] for k in kept]) for c in (1, 2))
+                kept = []
+            if a < b:
+                kept.append(tuple(c[a:b] for c in own))
+    if kept:
+        yield int(kept[0][0][0]), *(np.concatenate([k[c] for k in kept]) for c in (1, 2))
+
+
+def scan(pieces: DataFrame, vectors: DataFrame, queries: pd.DataFrame, length: int, block: int = BLOCK, metric: str = "cosine", only_gold: bool = False, stats: bool = True, matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
+    """Per task, variant and query: the best ``top_n`` hits (kind hit), sums over all windows (stat), and, where a query has
     gold_similarity and gold_start, how many windows rank before that place (before). With ``only_gold`` nothing but
     the similarity of the windows at gold_start (gold).
 
-    ``vectors``: row 0 is zeros and means no vector; ``tokens`` are rows. ``queries``: variant, query_id, vector, search_len,
-    top_n, gold_start, gold_similarity; variants are runs with other parameters, which share the pass. Both are
-    small: a dictionary of vectors and a query set. ``length`` is the length of the whole sequence. Similarity is one
-    less the distance, cosine or euclidean, between a query's vector and a window's mean.
+    ``pieces``: rows of ``blocks``. ``vectors``: stored (code, vec) of ``dense_codes``; code 0 has no vector. ``queries``: variant,
+    query_id, vector, search_len, top_n, gold_start, gold_similarity; variants are runs with other parameters, which share the
+    pass. It travels with the tasks, so it is a part of a query set of checked size. ``length`` is the length of the whole
+    sequence. Similarity is one less the distance, cosine or euclidean, between a query's vector and a window's mean.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"{metric} not known")
-    has = (np.arange(len(vectors)) > 0).astype(np.float64)
-    names = [x.split()[0] for x in SCAN.split(", ")]
-
-    def similar(window: np.ndarray, counts: np.ndarray, q: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            if metric == "cosine":
-                norms = np.sqrt(np.einsum("ij,ij->i", window, window))
-                return np.round((window @ q.T) / (norms[:, None] * np.linalg.norm(q, axis=1)), DIGITS)
-            mean = window / counts[:, None]
-            squares = np.einsum("ij,ij->i", mean, mean)[:, None] + np.einsum("ij,ij->i", q, q) - 2 * (mean @ q.T)
-            return np.round(1 - np.sqrt(np.maximum(squares, 0)), DIGITS)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        token = np.concatenate([np.asarray(x, np.int64) for x in pdf["tokens"]])
-        begin, own = int(pdf["start"].iloc[0]), int(key[0]) * block
-        sums = np.zeros((len(token) + 1, vectors.shape[1]))
-        np.cumsum(vectors[token], axis=0, out=sums[1:])
-        counts = np.concatenate([[0.0], np.cumsum(has[token])])
-        out = []
-        for size, group in queries.groupby("search_len"):
-            size = int(size)
-            n = min(own + block - begin, len(token) - size + 1, length - size + 1 - begin)
-            if size < 1 or n < 1:
-                continue
-            if only_gold:
-                for row in group.itertuples():
-                    i = int(row.gold_start) - begin
-                    if 0 <= i < n and counts[i + size] > counts[i]:
-                        s = similar(sums[i + size : i + size + 1] - sums[i : i + 1], counts[i + size : i + size + 1] - counts[i : i + 1], np.stack([row.vector]))[0, 0]
-                        out.append((int(row.variant), int(row.query_id), "gold", begin + i, float(s) if np.isfinite(s) else None, 1, None, None))
-                continue
-            window, many = sums[size : size + n] - sums[:n], counts[size : size + n] - counts[:n]
-            distinct = {v.tobytes(): v for v in group["vector"]}  # variants share vectors
-            place = {k: i for i, k in enumerate(distinct)}
-            sims = similar(window, many, np.stack(list(distinct.values())))
-            for row in group.itertuples():
-                s = sims[:, place[row.vector.tobytes()]]
-                ok = np.flatnonzero((many > 0) & np.isfinite(s))
-                ids = int(row.variant), int(row.query_id)
-                best = _best(s, ok, int(row.top_n)) if row.top_n else ok[:0]
-                out += [(*ids, "hit", begin + int(i), float(s[i]), 1, None, None) for i in best]
-                v = s[ok]
-                out.append((*ids, "stat", -1, None, len(v), float(v.sum()), float((v * v).sum())))
-                if row.gold_start >= 0 and np.isfinite(row.gold_similarity):
-                    before = np.count_nonzero((v > row.gold_similarity) | ((v == row.gold_similarity) & (begin + ok < row.gold_start)))
-                    out.append((*ids, "before", -1, None, int(before), None, None))
-        return pd.DataFrame(out, columns=names)
-
-    return pieces.groupBy("block").applyInPandas(run, SCAN)
+    dims = len(queries["vector"].iloc[0]) if len(queries) else 1
+    n = vectors.count()
+    last = -(-length // block)
+    parts = max(1, min(-(-last // BLOCKS_A_TASK), 20_000), min(last, pieces.sparkSession.sparkContext.defaultParallelism))
+    rows = pieces.select("block", "g", "code")
+    if (n + 1) * dims * 8 <= matrix_bytes:
+        path = vectors.stored_at
+
+        def run(batches):
+            finder, matrix = Finder(queries, length, block, metric, only_gold, stats), _matrix(path, n, dims)
+            for own, g, code in _by_block(batches):
+                finder.add(own, int(g[0]), matrix[code], code > 0)
+            yield from _found(finder.found()).to_batches()
+
+        return rows.repartition(parts, "block").sortWithinPartitions("block", "g").mapInArrow(run, SCAN)
+
+    def alone(left: pa.Table, right: pa.Table) -> pa.Table:
+        finder = Finder(queries, length, block, metric, only_gold, stats)
+        left = left.sort_by([("g", "ascending")])
+        if left.num_rows:
+            codes, code = right.column("of").to_numpy(), left.column("code").to_numpy()
+            matrix = np.zeros((len(codes) + 1, dims))
+            matrix[1:] = np.asarray(right.column("vec").combine_chunks().flatten(), np.float64).reshape(len(codes), dims)
+            order = np.argsort(codes)
+            near = np.searchsorted(codes, code, sorter=order)
+            at = np.where(code > 0, order[np.minimum(near, len(codes) - 1)] + 1 if len(codes) else 0, 0)
+            finder.add(int(left.column("block")[0].as_py()), int(left.column("g")[0].as_py()), matrix[at], code > 0)
+        return _found(finder.found())
+
+    own = rows.where("code > 0").select(F.col("block").alias("at"), F.col("code").alias("of")).distinct()
+    own = own.join(vectors.select(F.col("code").alias("of"), "vec"), "of")
+    return rows.groupBy("block").cogroup(own.groupBy("at")).applyInArrow(alone, SCAN)
 
 
 def ranked(found: DataFrame, top_n: int) -> DataFrame:
@@ -167,7 +302,8 @@ def ranked(found: DataFrame, top_n: int) -> DataFrame:
 
 
 def statistics(found: DataFrame) -> DataFrame:
-    """(query_id, n_windows, mean_sim, std_sim): population deviation over all windows."""
+    """(query_id, n_windows, mean_sim, std_sim): population deviation over all windows; no row without windows."""
     s = found.where("kind = 'stat'").groupBy("query_id").agg(F.sum("n").alias("n_windows"), F.sum("total").alias("t"), F.sum("squares").alias("q"))
-    mean = F.col("t") / F.col("n_windows")
-    return s.select("query_id", "n_windows", mean.alias("mean_sim"), F.sqrt(F.greatest(F.col("q") / F.col("n_windows") - mean * mean, F.lit(0.0))).alias("std_sim"))
+    s = s.where("n_windows > 0")
+    mean, square = F.try_divide("t", "n_windows"), F.try_divide("q", "n_windows")
+    return s.select("query_id", "n_windows", mean.alias("mean_sim"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_sim"))

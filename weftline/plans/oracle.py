@@ -6,8 +6,8 @@ from dataclasses import replace
 
 from weftline.config import grid
 from weftline.functions import text as T
-from weftline.plans.passage_search import CONFIG
-from weftline.plans.queries import TERMS
+from weftline.plans.passage_search import CONFIG, MISSING
+from weftline.plans.queries import ACROSS, TERMS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z]+')"
@@ -73,8 +73,11 @@ def _similarity(metric: str) -> str:
     return f"1 - sqrt({' + '.join(f'pow(d{d} / known - q{d} / qknown, 2)' for d in range(DIMS))})"
 
 
-def _search(config=CONFIG) -> str:
-    """The common tables of a search, of which a query takes what it needs."""
+def _search(config=CONFIG, missing: int = 0) -> str:
+    """The common tables of a search, of which a query takes what it needs. ``missing``: every so manieth word of a passage has no
+    equivalent in its query."""
+    asked = f"(select * from bt where pos % {missing} <> {missing - 1})" if missing else "bt"
+    shown = "reverse(token)" if missing else "token"
     short, s_adj, l_adj, top_n = config.short_length, 1.0 + config.short_adjust, 1.0 + config.long_adjust, config.top_n
     qlen = f"(case when n > {short} then trunc(n * {l_adj}::double) else trunc(n * {s_adj}::double) end)::int"
     return f"""
@@ -82,22 +85,23 @@ with recursive emb as (select vec_id, {', '.join(f'embedding[{d + 1}]::double as
 seq as materialized (select row_number() over (order by doc_id, pos) - 1 as g, token, {HID} as hid from {words('documents', 'doc_id')}),
 pre as materialized (select g, sum(case when vec_id is null then 0 else 1 end) over w as k, {', '.join(f'sum(coalesce(v{d}, 0)) over w as p{d}' for d in range(DIMS))} from seq left join emb on vec_id = hid window w as (order by g)),
 bt as (select item_id, pos, token, {HID} as hid from {words('benchmark', 'item_id')}),
-qn as (select item_id as query_id, count(*) as n, list(token order by pos) as toks from bt group by 1),
-qv as (select item_id as query_id, count(vec_id) as qknown, {', '.join(f'coalesce(sum(v{d}), 0) as q{d}' for d in range(DIMS))} from bt left join emb on vec_id = hid group by 1),
-q as (select qn.query_id, n, toks, qknown, {qlen} as len, {', '.join(f'q{d}' for d in range(DIMS))}, sqrt({' + '.join(f'q{d} * q{d}' for d in range(DIMS))}) as qnorm from qn join qv on qn.query_id = qv.query_id),
+qn as (select item_id as query_id, count(*) as n, list({shown} order by pos) as asked from {asked} group by 1),
+gn as (select item_id as query_id, count(*) as gold_n, list(token order by pos) as toks from bt group by 1),
+qv as (select item_id as query_id, count(vec_id) as qknown, {', '.join(f'coalesce(sum(v{d}), 0) as q{d}' for d in range(DIMS))} from {asked} left join emb on vec_id = hid group by 1),
+q as (select qn.query_id, n, asked, gold_n, toks, qknown, {qlen} as len, {', '.join(f'q{d}' for d in range(DIMS))}, sqrt({' + '.join(f'q{d} * q{d}' for d in range(DIMS))}) as qnorm from qn join qv on qn.query_id = qv.query_id join gn on gn.query_id = qn.query_id),
 diff as (select q.query_id, a.g - len + 1 as start, a.k - coalesce(b.k, 0) as known, qnorm, qknown, {', '.join(f'a.p{d} - coalesce(b.p{d}, 0) as d{d}, q{d}' for d in range(DIMS))} from q join pre a on a.g >= len - 1 left join pre b on b.g = a.g - len),
 sims as materialized (select query_id, start, round({_similarity(config.metric)}, 6) as similarity from diff where known > 0),
 hits as materialized (select query_id, start, similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, start) as rank from sims) where rank <= {top_n}),
 firsts as (select query_id, g as start from q join seq on token = toks[1]),
 cand as (select f.query_id, f.start, count(*) as n from firsts f join q on q.query_id = f.query_id join bt on bt.item_id = f.query_id join seq on seq.g = f.start + bt.pos and seq.token = bt.token group by 1, 2),
-gold as (select c.query_id, min(c.start) as gold_start from cand c join q on q.query_id = c.query_id and q.n = c.n group by 1),
+gold as (select c.query_id, min(c.start) as gold_start from cand c join q on q.query_id = c.query_id and q.gold_n = c.n group by 1),
 ranks as (select g.query_id, g.gold_start, (select count(*) from sims s where s.query_id = g.query_id and (s.similarity > o.similarity or (s.similarity = o.similarity and s.start < o.start)))::bigint as predicted_rank,
     (select count(*) from sims s where s.query_id = g.query_id)::bigint as n_windows from gold g join sims o on o.query_id = g.query_id and o.start = g.gold_start),
 steps as (select h.*, len, case when start - lag(start) over (partition by h.query_id order by start) <= 2 * len then 0 else 1 end as fresh from hits h join q on q.query_id = h.query_id),
 parts as (select *, sum(fresh) over (partition by query_id order by start) as c from steps),
 cl0 as (select query_id, c, min(start) as "begin", max(start + len - 1) as "end", min(rank) as best_rank, arg_min(start, rank) as optimal_start, arg_min(similarity, rank) as similarity, count(*) as n_hits from parts group by 1, 2),
 clusters as (select *, row_number() over (partition by query_id order by best_rank) as cluster_no from cl0),
-over as (select * from (select c.query_id, cluster_no, greatest(least(gold_start + n - 1, "end") - greatest(gold_start, "begin") + 1, 0)::double / n * 100 as pct from clusters c join gold g on g.query_id = c.query_id join q on q.query_id = c.query_id) where pct > 0),
+over as (select * from (select c.query_id, cluster_no, greatest(least(gold_start + gold_n - 1, "end") - greatest(gold_start, "begin") + 1, 0)::double / gold_n * 100 as pct from clusters c join gold g on g.query_id = c.query_id join q on q.query_id = c.query_id) where pct > 0),
 flags as (select query_id, bool_or(cluster_no = 1 and pct >= 90) as top_full, bool_or(cluster_no <= 5 and pct >= 90) as near_full, bool_or(pct >= 90) as any_full,
     bool_or(cluster_no = 1 and pct >= 50) as top_some, bool_or(cluster_no <= 5 and pct >= 50) as near_some, true as any_some,
     (list(cluster_no order by pct desc, cluster_no) filter (where pct >= 90))[1] as best_overlap_rank, min(cluster_no) filter (where pct >= 90) as first_hit_rank,
@@ -135,19 +139,24 @@ SUMMARY = """, t as (select count(*) as total_phrases from q), f as (select coun
             round(top_full / total_phrases, 6) as top_full_ratio, round(any_full / total_phrases, 6) as any_full_ratio, round(any_some / total_phrases, 6) as any_some_ratio from t, f, r)
 """
 
-REPORT = """, lines as (select c.query_id, c.cluster_no, printf('%d: Optimal at %d, scored %.5f, globally ranked at %d. Displaying %d to %d', c.cluster_no, c.optimal_start, round(c.similarity::decimal(18, 6), 5)::double, c.best_rank, c."begin", c."end") || chr(10)
+def _report(config=CONFIG) -> str:
+    return f""", spans as (select query_id, cluster_no, list(token order by g) as w from (select query_id, cluster_no, unnest(range("begin", "end" + 1)) as g from clusters) join seq using (g) group by 1, 2),
+lines as (select c.query_id, c.cluster_no, printf('%d: Optimal at %d, scored %.5f, globally ranked at %d. Displaying %d to %d', c.cluster_no, c.optimal_start, round(c.similarity::decimal(18, 6), 5)::double, c.best_rank, c."begin", c."end") || chr(10)
+        || array_to_string(w[1 : c.optimal_start - c."begin"] || ['***'] || w[c.optimal_start - c."begin" + 1 : c.optimal_start - c."begin" + len] || ['***'] || w[c.optimal_start - c."begin" + len + 1 :], ' ') || chr(10)
         || 'All subsumed results scores: ' || string_agg(printf('%d:%.5f', p.start, round(p.similarity::decimal(18, 6), 5)::double), '; ' order by p.start) || chr(10) || chr(10) as t
-    from clusters c join parts p on p.query_id = c.query_id and p.c = c.c group by c.query_id, c.cluster_no, c.optimal_start, c.similarity, c.best_rank, c."begin", c."end"),
+    from clusters c join parts p on p.query_id = c.query_id and p.c = c.c join spans s on s.query_id = c.query_id and s.cluster_no = c.cluster_no
+    group by c.query_id, c.cluster_no, c.optimal_start, c.similarity, c.best_rank, c."begin", c."end", len, w),
 body as (select query_id, string_agg(t, chr(10) order by cluster_no) as body from lines group by 1),
 ov as (select query_id, string_agg(printf('%.2f%% of gold in Result #%d', pct, cluster_no), chr(10) order by pct desc, cluster_no) as t from over group by 1),
 st as (select query_id, count(*) as n_windows, avg(similarity) as mean_sim, stddev_pop(similarity) as std_sim from sims group by 1)
-select q.query_id, concat_ws(chr(10), array_to_string(toks, ' '), array_to_string(toks, ' ') || chr(10),
+select q.query_id, concat_ws(chr(10), array_to_string(asked, ' '), array_to_string(toks, ' ') || chr(10),
     'Actual location: ' || coalesce(g.gold_start::varchar, 'None') || ', predicted rank: ' || coalesce(predicted_rank::varchar, 'None') || ' out of ' || st.n_windows || ';' || chr(10),
     coalesce(ov.t, case when g.gold_start is null then 'Correct passage unknown' else 'Correct match not represented in these results' end) || chr(10),
-    printf('Gold is %.2f times longer, actual adjustment ratio was ', 1.0) || (case when n > USED_SHORT then USED_LONG else USED_ADJ end)::double::varchar,
+    printf('Gold is %.2f times longer, actual adjustment ratio was ', gold_n / n) || (case when n > {config.short_length} then {1.0 + config.long_adjust} else {1.0 + config.short_adjust} end)::double::varchar,
     printf('avg similarity score: %.2f', mean_sim) || chr(10) || printf('std of similarity score: %.2f', std_sim) || chr(10), body) as report
 from q join st on st.query_id = q.query_id join body on body.query_id = q.query_id left join gold g on g.query_id = q.query_id left join ranks r on r.query_id = q.query_id left join ov on ov.query_id = q.query_id
-""".replace("USED_SHORT", str(SHORT)).replace("USED_LONG", str(L_ADJ)).replace("USED_ADJ", str(S_ADJ))
+"""
+
 
 GREEDY = """, ordered as (select h.query_id, len, list({'start': start, 'similarity': similarity, 'rank': rank} order by rank) as rest from hits h join q on q.query_id = h.query_id group by 1, 2),
 taken as (select query_id, len, 0 as cluster_no, rest, rest as own, rest[1] as head from ordered
@@ -269,7 +278,9 @@ def oracle_sql() -> dict[str, str]:
         "passage_search_euclid": _search(replace(CONFIG, metric="euclidean")) + 'select h.query_id, rank::int as rank, start, start + len - 1 as "end", similarity from hits h join q on q.query_id = h.query_id where rank <= 10',
         "merge_greedy": SEARCH + GREEDY,
         "run_report": SEARCH + SUMMARY + _run_report(CONFIG),
-        "phrase_report": SEARCH + REPORT,
+        "phrase_report": SEARCH + _report(),
+        "across_report": _search(ACROSS, MISSING) + _report(ACROSS),
+        "across_summary": _search(ACROSS, MISSING) + SUMMARY + "select * from summary",
         "param_grid": _grid(),
         "phrase_vectors": PHRASES,
         "shared_seeds_vec": SEED_VECTORS,

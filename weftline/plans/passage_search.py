@@ -6,11 +6,6 @@ left out, as a word without a vector.
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +13,9 @@ from weftline.config import SearchConfig
 from weftline.functions import text as T
 from weftline.functions import tokenize as N
 from weftline.functions.tokenize import latin_words
-from weftline.operators import cluster, search
+from weftline.operators import passages
+from weftline.operators.passages import PassageSearch
 from weftline.operators.vectors import dims_of
-from weftline.sources.shared import collected, stored
 
 #: Queries and target are of one language here: as long, short ones a third longer.
 CONFIG = SearchConfig(long_adjust=0.0, short_adjust=0.3, method="word")
@@ -53,8 +48,6 @@ def word_table(spark: SparkSession, sf_dir: str, name: str = "documents", key: s
 
 #: Terms of the dictionary tokenizer.
 TERMS = ["tion", "ther", "the", "th", "ing", "er", "ouble"]
-#: Rows of the query set and of the dictionary of vectors that the driver holds.
-MOST_QUERIES, MOST_VECTORS = 20_000, 1_000_000
 
 
 def tokens_of(text: Column, method: str) -> Column:
@@ -72,105 +65,49 @@ def dims(spark: SparkSession, sf_dir: str) -> int:
     return dims_of(table(spark, sf_dir, "embeddings"), "embedding")
 
 
-@dataclass
-class Search:
-    found: DataFrame
-    queries: DataFrame
-    config: SearchConfig
-    length: int
-    places: DataFrame | None
-
-    def hits(self) -> DataFrame:
-        own = self.queries.select("query_id", "search_len")
-        return search.ranked(self.found, self.config.top_n).join(own, "query_id")
+def _target(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), tokens_of(F.col("text"), method).alias("words"))
 
-    def clusters(self) -> DataFrame:
-        window = F.lit(self.config.window) if self.config.window is not None else None
-        return cluster.islands(self.hits(), window) if self.config.cluster_mode == "islands" else cluster.greedy(self.hits())
 
-    def gold(self) -> DataFrame:
-        """(query_id, gold_start, gold_similarity, gold_len)"""
-        return self.queries.join(self.places, "query_id").select("query_id", "gold_start", "gold_similarity", F.col("n_tokens").alias("gold_len"))
+def _queries(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """(query_id, words): a phrase is its own gold passage."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokens_of(F.col("text"), method).alias("words"))
 
 
-def _queries(spark: SparkSession, sf_dir: str, method: str, leave_out: tuple[int, ...] = ()) -> pd.DataFrame:
-    """(query_id, words) of the query set."""
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokens_of(F.col("text"), method).alias("words"))
-    q = collected(rows.where(F.size("words") > 0), MOST_QUERIES, "the query set")
-    return q[~q["query_id"].isin(leave_out)].sort_values("query_id")
+def _space(spark: SparkSession, sf_dir: str, *words: DataFrame) -> DataFrame:
+    """The vectors of all words, and of all characters of longer ones."""
+    tokens = [w.select(F.explode("words").alias("token")) for w in words]
+    return hashed_space(spark, sf_dir, tokens[0] if len(tokens) == 1 else tokens[0].unionByName(tokens[1]))
 
 
 def located(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG) -> DataFrame:
     """(query_id, gold_start): where each query itself stands in the documents, without a search."""
-    q = _queries(spark, sf_dir, config.method, config.leave_out)
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens_of(F.col("text"), config.method).alias("words"))
-    return search.located(docs, "doc_id", "words", {int(k): list(w) for k, w in zip(q["query_id"], q["words"])})
-
-
-def run(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG, gold: bool = False, top_n: int | None = None) -> Search:
-    return run_all(spark, sf_dir, [config], gold, top_n)[0]
-
-
-def run_all(spark: SparkSession, sf_dir: str, configs: list[SearchConfig], gold: bool = False, top_n: int | None = None) -> list[Search]:
-    """Scan all blocks once for all queries of all ``configs``, which share tokenizer and metric. With ``gold`` the queries'
-    own places are found first, and the scan also counts what ranks before each."""
-    if len({(c.method, c.metric, c.leave_out) for c in configs}) != 1:
-        raise ValueError("one scan has one tokenizer, one metric and one query set")
-    config = configs[0]
-    held = collected(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), MOST_VECTORS, "the dictionary of vectors").sort_values("vec_id")
-    matrix = np.stack(held["embedding"].to_numpy()).astype(np.float64)
-    n = len(matrix)
-    matrix[np.arange(n) % 10 == 0] = 0
-    matrix = np.vstack([np.zeros(matrix.shape[1]), matrix])
-
-    def row_of(token: str) -> int:
-        k = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % n
-        return k + 1 if k % 10 else 0
-
-    def mean(tokens: list[str]) -> np.ndarray | None:
-        """Of the tokens' vectors; a term without one stands for the mean of its characters'."""
-        parts = []
-        for t in tokens:
-            if r := row_of(t):
-                parts.append(matrix[r])
-            elif config.method in ("term", "term2") and len(t) > 1 and (own := [matrix[r] for c in t if (r := row_of(c))]):
-                parts.append(np.mean(own, axis=0))
-        return np.mean(parts, axis=0) if parts else None
-
-    q = _queries(spark, sf_dir, config.method, config.leave_out)
-    zero = np.zeros(matrix.shape[1])
-    q["vector"] = [zero if (v := mean(list(w))) is None else v for w in q["words"]]
-    q["size"] = [len(w) for w in q["words"]]
-    phrases = {int(k): list(w) for k, w in zip(q["query_id"], q["words"])}
-    q = pd.concat([q.drop(columns="words").assign(variant=i, search_len=[c.search_length(k) for k in q["size"]], top_n=c.top_n if top_n is None else top_n) for i, c in enumerate(configs)])
-    q["gold_start"], q["gold_similarity"] = -1, np.nan
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens_of(F.col("text"), config.method).alias("words"))
-    coded = docs.select("doc_id", F.transform(F.transform("words", lambda t: hashed_id(t, n)), lambda k: F.when(known(k), k + 1).otherwise(F.lit(0))).alias("tokens"), F.size("words").alias("size"))
-    placed = search.global_offsets(coded, "doc_id", "size")
-    length = int(placed.agg(F.sum("size")).first()[0] or 0)
-    halo = int(max(q["search_len"].max() - 1, 0)) if len(q) else 0
-    pieces = search.blocks(placed, halo)
-    own, places = None, None
-    if gold:
-        pieces = stored(pieces, "search-blocks")
-        starts = {r["query_id"]: r["gold_start"] for r in search.located(docs, "doc_id", "words", phrases).collect()}  # a number a query
-        q["gold_start"] = [starts.get(k, -1) for k in q["query_id"]]
-        wanted = sorted({s // search.BLOCK for s in starts.values()})
-        there = search.scan(pieces.where(F.col("block").isin(wanted)), matrix, q[q["gold_start"] >= 0], length, metric=config.metric, only_gold=True).collect() if wanted else []
-        sims = {(r["variant"], r["query_id"]): r["similarity"] for r in there if r["similarity"] is not None}
-        q["gold_similarity"] = [sims.get((v, k), np.nan) for v, k in zip(q["variant"], q["query_id"])]
-        places = [(int(v), int(k), int(s), None if np.isnan(x) else float(x)) for v, k, s, x in zip(q["variant"], q["query_id"], q["gold_start"], q["gold_similarity"]) if s >= 0]
-        places = spark.createDataFrame(places, "variant int, query_id long, gold_start long, gold_similarity double")
-    found = search.scan(pieces, matrix, q, length, metric=config.metric)
-    if gold or len(configs) > 1:
-        found = stored(found, "search-found")
-    own = spark.createDataFrame([(int(v), int(a), int(b), int(c)) for v, a, b, c in zip(q["variant"], q["query_id"], q["size"], q["search_len"])], "variant int, query_id long, n_tokens int, search_len int")
-    pick = lambda df, i: df.where(F.col("variant") == i).drop("variant") if df is not None else None
-    return [Search(pick(found, i), pick(own, i), c, length, pick(places, i)) for i, c in enumerate(configs)]
-
-
-def predicted_ranks(s: Search) -> DataFrame:
-    """(query_id, gold_start, predicted_rank, n_windows): rank from 0 of the gold passage among all windows."""
-    before = s.found.where("kind = 'before'").groupBy("query_id").agg(F.sum("n").alias("predicted_rank"))
-    return s.places.select("query_id", "gold_start").join(before, "query_id").join(search.statistics(s.found), "query_id").select("query_id", "gold_start", "predicted_rank", "n_windows")
+    return passages.locate(_target(spark, sf_dir, config.method), _queries(spark, sf_dir, config.method))
+
+
+def run(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG, gold: bool = False, top_n: int | None = None, stats: bool = True) -> PassageSearch:
+    return run_all(spark, sf_dir, [config], gold, top_n, stats)[0]
+
+
+def run_all(spark: SparkSession, sf_dir: str, configs: list[SearchConfig], gold: bool = False, top_n: int | None = None, stats: bool = True) -> list[PassageSearch]:
+    method = configs[0].method
+    target, queries = _target(spark, sf_dir, method), _queries(spark, sf_dir, method)
+    chars = queries.select(F.explode("words").alias("w")).where(F.length("w") > 1).select(N.characters(F.col("w")).alias("words"))
+    space = _space(spark, sf_dir, target)
+    own = _space(spark, sf_dir, queries, chars) if method in ("term", "term2") else _space(spark, sf_dir, queries)
+    return passages.search_passages(target, space, queries, own, configs, gold=gold, stats=stats, top_n=top_n, dims=dims(spark, sf_dir))
+
+
+#: The other language of ``run_across``: its words are the target's read backwards, and every third of a phrase has no equivalent.
+MISSING = 3
+
+
+def run_across(spark: SparkSession, sf_dir: str, config: SearchConfig) -> PassageSearch:
+    """Phrases of another language against the documents: query words and gold passage differ, and so do their spaces. The query
+    space has the same directions at half the length, under words read backwards."""
+    target, phrases = _target(spark, sf_dir, "word"), _queries(spark, sf_dir, "word")
+    other = F.transform(F.filter("words", lambda w, i: i % MISSING != MISSING - 1), F.reverse)
+    queries = phrases.select("query_id", other.alias("words"), F.col("words").alias("gold"))
+    space = _space(spark, sf_dir, phrases)
+    own = space.select(F.reverse("token").alias("token"), F.transform("vec", lambda x: x / 2).alias("vec"))
+    return passages.search_passages(target, _space(spark, sf_dir, target), queries, own, [config], dims=dims(spark, sf_dir))[0]

@@ -197,7 +197,7 @@ def window_vectors(spark, sf_dir):
 
 
 def _topk(spark, sf_dir, k, config=P.CONFIG):
-    s = P.run(spark, sf_dir, config, top_n=k)
+    s = P.run(spark, sf_dir, config, top_n=k, stats=False)
     return search.ranked(s.found, k).join(s.queries, "query_id").select("query_id", "rank", "start", (F.col("start") + F.col("search_len") - 1).alias("end"), "similarity")
 
 
@@ -218,7 +218,7 @@ def passage_search_terms(spark, sf_dir, k: int = 10):
 
 
 def global_rank(spark, sf_dir):
-    return P.predicted_ranks(P.run(spark, sf_dir, gold=True, top_n=0))
+    return P.run(spark, sf_dir, gold=True, top_n=0).predicted_ranks()
 
 
 def sim_stats(spark, sf_dir):
@@ -230,15 +230,15 @@ def locate_phrase(spark, sf_dir):
 
 
 def merge_islands(spark, sf_dir):
-    return P.run(spark, sf_dir).clusters().select("query_id", "cluster_no", "begin", "end", "best_rank", "optimal_start", "n_hits")
+    return P.run(spark, sf_dir, stats=False).clusters().select("query_id", "cluster_no", "begin", "end", "best_rank", "optimal_start", "n_hits")
 
 
 def cluster_rank(spark, sf_dir):
-    return P.run(spark, sf_dir).clusters().select("query_id", "cluster_no", "best_rank", F.round("optimal_similarity", 6).alias("similarity"))
+    return P.run(spark, sf_dir, stats=False).clusters().select("query_id", "cluster_no", "best_rank", F.round("optimal_similarity", 6).alias("similarity"))
 
 
 def merge_greedy(spark, sf_dir):
-    return P.run(spark, sf_dir, replace(P.CONFIG, cluster_mode="greedy")).clusters()
+    return P.run(spark, sf_dir, replace(P.CONFIG, cluster_mode="greedy"), stats=False).clusters()
 
 
 def overlap_pct(spark, sf_dir):
@@ -247,35 +247,37 @@ def overlap_pct(spark, sf_dir):
 
 
 def hit_flags(spark, sf_dir):
-    s = P.run(spark, sf_dir, gold=True)
-    return cluster.flags(cluster.overlaps(s.clusters(), s.gold()), s.config)
+    return P.run(spark, sf_dir, gold=True).flags()
 
 
-def _summary(s):
-    marks = cluster.flags(cluster.overlaps(s.clusters(), s.gold()), s.config)
-    return cluster.summary(s.queries, marks, P.predicted_ranks(s))
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def run_summary(spark, sf_dir):
-    x = _summary(P.run(spark, sf_dir, gold=True))
-    return x.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
+    return _rounded(P.run(spark, sf_dir, gold=True).summary())
 
 
 def run_report(spark, sf_dir):
     s = P.run(spark, sf_dir, gold=True)
     windows = search.statistics(s.found).agg(F.max("n_windows").alias("windows"))
-    return report.run_report(_summary(s).join(F.broadcast(windows), F.lit(True)), "benchmark", s.config, F.col("windows"))  # one row
+    return report.run_report(s.summary().join(F.broadcast(windows), F.lit(True)), "benchmark", s.config, F.col("windows"))  # one row
 
 
 def phrase_report(spark, sf_dir):
-    s = P.run(spark, sf_dir, gold=True)
-    c = s.clusters()
-    ranks = P.predicted_ranks(s).select("query_id", "predicted_rank")
-    words, gold = P.tokens_of(F.col("text"), s.config.method), N.latin_words(F.col("text"))
-    q = P.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.array_join(gold, " ").alias("gold"), F.try_divide(F.size(gold), F.size(words)).alias("ratio"))
-    q = q.join(s.queries, "query_id").join(s.places.select("query_id", "gold_start"), "query_id", "left").join(ranks, "query_id", "left")
-    q = q.withColumn("used_ratio", F.when(F.col("n_tokens") > s.config.short_length, 1 + s.config.long_adjust).otherwise(1 + s.config.short_adjust))
-    return report.query_report(c, q, cluster.overlaps(c, s.gold()), search.statistics(s.found))
+    return P.run(spark, sf_dir, gold=True).report()
+
+
+#: Of a search across languages: query words are fewer than those of their passages.
+ACROSS = replace(P.CONFIG, long_adjust=0.4, short_adjust=0.6, top_n=50)
+
+
+def across_report(spark, sf_dir):
+    return P.run_across(spark, sf_dir, ACROSS).report()
+
+
+def across_summary(spark, sf_dir):
+    return _rounded(P.run_across(spark, sf_dir, ACROSS).summary())
 
 
 def param_grid(spark, sf_dir):
@@ -283,7 +285,7 @@ def param_grid(spark, sf_dir):
     out = None
     for s in P.run_all(spark, sf_dir, configs, gold=True):
         cols = ("clustered_median", "clustered_mean", "partial_median", "partial_mean", "rank_median", "rank_mean", "top_full_ratio", "any_full_ratio", "any_some_ratio")
-        row = _summary(s).select(F.lit(s.config.results_dir("benchmark")).alias("config"), *(F.round(c, 6).alias(c) for c in cols))
+        row = s.summary().select(F.lit(s.config.results_dir("benchmark")).alias("config"), *(F.round(c, 6).alias(c) for c in cols))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -387,7 +389,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         passage_search_topk, passage_search_euclid, passage_search_chars, passage_search_terms, clean_text, strip_punct, sent_split, phrase_split, char_tokens, dict_tokens, dict_sentences, find_all, seed_index, term_category, group_rows,
         doc_vectors, sent_vectors, doc_sentence_means, vector_sum, center_space, vocab_coverage, pair_filter, pair_flip, pair_similarity, pair_similarity_stats, random_pair_stats,
         embedding_merge, search_length, length_stats, phrase_vectors, window_vectors, global_rank, sim_stats, locate_phrase, merge_islands, cluster_rank, merge_greedy, overlap_pct,
-        hit_flags, run_summary, run_report, phrase_report, param_grid, shared_seeds, match_locations, shared_seeds_vec, chunk_gate, best_location, optimize_start, extend_match, align_sequences,
+        hit_flags, run_summary, run_report, phrase_report, across_report, across_summary, param_grid, shared_seeds, match_locations, shared_seeds_vec, chunk_gate, best_location, optimize_start, extend_match, align_sequences,
         project_space, train_words, space_plane, gloss_labels, reparse_words,
     )
     out = {f.__name__: f for f in names}
