@@ -108,9 +108,10 @@ def test_recipe(spark, tmp_path):
     out = str(tmp_path / "out")
     extra = spark.createDataFrame([("cd",), ("zz",)], "token string")
     made = {r.token: r.vec for r in recipes.create_space(spark, str(tmp_path / "in"), out, size=4, extra=extra).collect()}
-    assert set(made) == {"ab", "c", "d", "cd"} and np.allclose(made["cd"], (np.array(made["c"]) + made["d"]) / 2)
+    assert set(made) == {"ab", "c", "d", "cd", "zz"}
     assert {r.token for r in readers.read_vec(spark, f"{out}/vec").collect()} == set(made)
-    assert {r.token: r.vec for r in embedding.load_words(f"{out}/model").collect()} == {k: v for k, v in made.items() if k != "cd"}
+    again = embedding.load_words(spark, f"{out}/model").vectors(spark.createDataFrame([(k,) for k in made], "token string"))
+    assert {r.token: r.vec for r in again.collect()} == made
     cut = recipes.corpus_words(spark, str(tmp_path / "in"), "term", ["bc"])
     assert sorted(r.words for r in cut.where("label = 'a.txt'").collect()) == [[], ["a", "b", "d"], ["a", "bc"], ["c", "d"]]
     s = space(spark, {"a": [1, 0], "b": [0, 1]})

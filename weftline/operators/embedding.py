@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import vector as V
+from weftline.operators import subwords
 
 
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -90,35 +91,24 @@ def project(space: DataFrame, w: np.ndarray) -> DataFrame:
     return space.withColumn("vec", times(F.transform("vec", lambda x: x.cast("double"))))
 
 
-def fit_words(sentences: DataFrame, size: int = 64, ngrams: tuple[int, int] | None = None, seed: int = 7, window: int = 5):
-    """A Word2Vec model of (words: array<string>); with ``ngrams`` a word also stands for its character n-grams. The model has
-    save(path)."""
-    from pyspark.ml.feature import Word2Vec
+def fit_words(sentences: DataFrame, size: int = 64, ngrams: tuple[int, int] | None = None, seed: int = 7, window: int = 5, **how) -> subwords.SubwordModel:
+    """A model of (words: array<string>); with ``ngrams`` a word also stands for its character n-grams of these lengths. The
+    model has vectors(words) and save(path)."""
+    return subwords.fit(sentences, size, ngrams or (1, 0), seed, window, **how)
 
-    if ngrams:
-        lo, hi = ngrams
-        grams = lambda w: F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda n: F.when(F.length(w) > n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.expr("cast(array() as array<string>)"))))
-        sentences = sentences.select(F.flatten(F.transform("words", lambda w: F.concat(F.array(w), grams(w)))).alias("words"))
-    return Word2Vec(vectorSize=size, minCount=1, inputCol="words", outputCol="v", seed=seed, windowSize=window, maxIter=1).fit(sentences)
 
+def words_of(sentences: DataFrame) -> DataFrame:
+    return sentences.select(F.explode("words").alias("token")).distinct()
 
-def words_of(model) -> DataFrame:
-    """(token, vec) of a fitted or loaded model."""
-    from pyspark.ml.functions import vector_to_array
 
-    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
+def train_words(sentences: DataFrame, size: int = 64, ngrams: tuple[int, int] | None = None, seed: int = 7, window: int = 5, **how) -> DataFrame:
+    """(token, vec) of the sentences' own words by ``fit_words``."""
+    return fit_words(sentences, size, ngrams, seed, window, **how).vectors(words_of(sentences))
 
 
-def train_words(sentences: DataFrame, size: int = 64, ngrams: tuple[int, int] | None = None, seed: int = 7, window: int = 5) -> DataFrame:
-    """(token, vec) of ``fit_words``."""
-    return words_of(fit_words(sentences, size, ngrams, seed, window))
-
-
-def load_words(path: str) -> DataFrame:
-    """(token, vec) of a saved model."""
-    from pyspark.ml.feature import Word2VecModel
-
-    return words_of(Word2VecModel.load(path))
+def load_words(spark: SparkSession, path: str) -> subwords.SubwordModel:
+    """A saved model."""
+    return subwords.load(spark, path)
 
 
 def plane(space: DataFrame, k: int = 2) -> DataFrame:

@@ -50,11 +50,10 @@ def seed_vectors(tokens: DataFrame, space: DataFrame, key: str, size: int) -> Da
 
 
 def similar_seeds(queries: DataFrame, rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of seeds with cosine above the threshold: a stated query set against all rows, in blocks."""
-    from weftline.operators.vectors import compare_all
+    """(a, b, similarity) of seeds with cosine above the threshold, all of the one text's against all of the other's."""
+    from weftline.operators.similar import similar_pairs
 
-    every = compare_all(queries, rows, "seed", above=threshold, digits=6)
-    return every.select("a", "b", F.col("value").alias("similarity"))
+    return similar_pairs(queries, rows, "seed", threshold)
 
 
 def locations(a: DataFrame, b: DataFrame, shared: DataFrame | None = None) -> DataFrame:

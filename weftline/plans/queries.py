@@ -306,8 +306,7 @@ def match_locations(spark, sf_dir):
 def shared_seeds_vec(spark, sf_dir):
     w = P.word_table(spark, sf_dir, "benchmark", "item_id")
     v = reuse.seed_vectors(w, P.hashed_space(spark, sf_dir, w), "item_id", 4)
-    own = reuse.word_seeds(w.where("item_id % 50 = 0"), "item_id", 4).select("seed").distinct()
-    return reuse.similar_seeds(v.join(own, "seed", "left_semi"), v)
+    return reuse.similar_seeds(v, v)
 
 
 def _gated(spark, sf_dir):
@@ -366,7 +365,7 @@ def project_space(spark, sf_dir):
 
 def train_words(spark, sf_dir):
     s = P.table(spark, sf_dir, "benchmark").select(N.latin_words(F.col("text")).alias("words"))
-    return embedding.train_words(s, 16, (2, 3)).select("token", F.posexplode("vec").alias("dim", "v")).select("token", "dim", F.round("v", 5).alias("value"))
+    return embedding.train_words(s, 16, (2, 3), part_words=500).select("token", F.posexplode("vec").alias("dim", "v")).select("token", "dim", F.round("v", 5).alias("value"))
 
 
 def space_plane(spark, sf_dir):

@@ -23,19 +23,14 @@ def corpus_words(spark: SparkSession, folder: str, method: str = "word", terms:
 
 def create_space(spark: SparkSession, folder: str, out: str, method: str = "word", terms: list[str] | None = None, size: int = 64, ngrams: tuple[int, int] | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Train on the texts of ``folder``; write the corpus, the model and the .vec text below ``out``; returns (token, vec).
-    ``extra`` (token): terms that the space shall have too; those of several characters that it lacks get the mean of
-    their characters' vectors."""
-    from weftline.operators.vectors import phrase_vectors
-
+    ``extra`` (token): terms that the space shall have too; those that the texts lack get their vectors from their subwords."""
     words = corpus_words(spark, folder, method, terms)
     writers.compile_text(words.select(F.array_join("words", " ").alias("text")), f"{out}/corpus")
-    model = embedding.fit_words(words.where(F.size("words") > 0), size, ngrams)
-    model.write().overwrite().save(f"{out}/model")
-    space = embedding.words_of(model)
-    if extra is not None:
-        missing = extra.select("token").distinct().where(F.length("token") > 1).join(space.select("token"), "token", "left_anti")
-        made = phrase_vectors(missing.select(F.col("token").alias("term"), F.lit(0).alias("pos"), "token"), space, ["term"], dims=size)
-        space = space.unionByName(made.select(F.col("term").alias("token"), "vec"))
+    words = words.where(F.size("words") > 0)
+    model = embedding.fit_words(words, size, ngrams)
+    model.save(f"{out}/model")
+    tokens = embedding.words_of(words)
+    space = model.vectors(tokens if extra is None else tokens.unionByName(extra.select("token")))
     writers.write_vec(space, f"{out}/vec")
     return space
 
