@@ -130,3 +130,12 @@ def test_group_around_a_text_that_is_not_the_smallest(spark):
         rows.append((800 + i, " ".join(chain)))
         chain = changed(chain, 2, 5000 + i)
     run(spark, rows)
+
+
+def test_copies_that_miss_their_text(spark):
+    """A group in which half the copies are changed too often to link with the text, and some of these have copies themselves."""
+    base = words(150, 21)
+    rows = [(i, " ".join(changed(base, 2 + i % 9, i))) for i in range(120)] + [(999, " ".join(base))]
+    far = changed(base, 11, 777)
+    rows += [(2000 + i, " ".join(changed(far, 2, 3000 + i))) for i in range(10)]
+    run(spark, rows)

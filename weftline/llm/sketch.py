@@ -14,11 +14,15 @@ pairs that share a bucket and aren't known to be in one component are verified o
 
 1. each bucket has a centre, the member whose bands have most members in all: of a text and its copies, that is the text.
    Each set is compared with the most similar of its buckets' centres; components of the links label the sets;
-2. in buckets with several labels, each set is compared with the centre if their labels differ;
-3. of each two labels that still share a bucket, the most similar pair is compared; then, if labels remain that share one,
-   every pair of theirs that passes the sketches.
+2. of the sets that are in buckets with several labels, shingles are counted by how many of these sets have them: one, below 8,
+   64, 512, or more. Two sets have no more of a class in common than the poorer one has, and none of the first: a pair whose
+   classes can't add up to a link isn't compared. Of copies changed apart, each change costs shingles of the text, the most
+   frequent class, and gives rare ones; so one that misses its text by its changes misses nearly all other copies too;
+3. each set is compared with the centres of its buckets if their labels differ;
+4. of each two labels that still share a bucket, the most similar pair is compared; then, if labels remain that share one,
+   every pair of theirs that passes sketches and counts.
 
-So groups of copies become stars, not pairs, and only labels that share buckets but no link are compared in full.
+So groups of copies become stars, not pairs, and only labels that share buckets but no link are compared further.
 
 Defined results: null or empty texts, and texts of white space, have no shingles and are linked with nothing; fewer than
 three words are one shingle; rows that share an id but not a text are nodes of their own; a null id belongs to its text's group,
@@ -196,12 +200,15 @@ def _apart() -> Column:
 
 
 def _possible() -> Column:
-    return (100 * F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b")) & (_apart() <= APART)
+    """Sizes, counts by class and sketches of a and b let them link: of each class the intersection has what the poorer one has."""
+    common = reduce(lambda x, y: x + y, (F.least(f"{c}_a", f"{c}_b") for c in CLASSES))
+    enough = (100 + SIMILAR) * common >= SIMILAR * (F.col("size_a") + F.col("size_b"))
+    return (100 * F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b")) & enough & (_apart() <= APART)
 
 
 def _side(rows: DataFrame, x: str, *more: str | Column) -> DataFrame:
-    """A set's size and planes under the names of side ``x``."""
-    return rows.select(*more, F.col("key").alias(x), F.col("size").alias(f"size_{x}"), *(F.col(f"p{i}").alias(f"{x}{i}") for i in range(LONGS)))
+    """A set's sizes and planes under the names of side ``x``."""
+    return rows.select(*more, F.col("key").alias(x), F.col("size").alias(f"size_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in CLASSES), *(F.col(f"p{i}").alias(f"{x}{i}") for i in range(LONGS)))
 
 
 def _candidates(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -210,6 +217,31 @@ def _candidates(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return every.where(_possible()).select("a", "b", _apart().alias("apart"))
 
 
+#: Columns of how many of a set's shingles 2 to 7, 8 to 63, 64 to 511, and more sets have.
+CLASSES = ("shared0", "shared1", "shared2", "shared3")
+
+
+def _with_classes(rows: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """Stored ``rows`` of ``keys``, with how many shingles of each class a set has, counted among ``keys``."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            flat = np.concatenate(own) if own else owner
+            for at in range(0, len(owner), MOST_ELEMENTS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + MOST_ELEMENTS]) for x in (owner, flat)], ["key", "element"])
+
+    own = bounded_broadcast(keys, KEYS)
+    elements = sets.join(own, "key", "left_semi").select("key", "hashes").mapInArrow(run, "key long, element long")
+    counts = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    level = F.least(F.floor(F.log2("n") / 3), F.lit(len(CLASSES) - 1)).cast("int")
+    counts = bounded_broadcast(stored(counts.select("element", level.alias("level")), "sketch-counts"), KEYS)
+    classes = elements.join(counts, "element").groupBy("key").agg(*(F.count_if(F.col("level") == k).alias(c) for k, c in enumerate(CLASSES)))
+    rows = rows.drop(*CLASSES).join(own, "key", "left_semi").join(classes, "key", "left")
+    return stored(rows.fillna(0, list(CLASSES)), "sketch-classes")
+
+
 def _centred(members: DataFrame) -> DataFrame:
     """(band, a): each bucket's centre, that with the highest score, then the smallest key."""
     return members.groupBy("band").agg(F.max(F.struct("score", (-F.col("key")).alias("minus"), "key")).alias("c")).select("band", F.col("c.key").alias("a"))
@@ -238,8 +270,7 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     free_shuffles(spark)
 
     own = bounded_broadcast(stored(members.select("key").distinct(), "sketch-wanted"), KEYS)
-    sketched = sketched.drop("bands")
-    some = stored(sketched.join(own, "key", "left_semi"), "sketch-some")
+    some = stored(sketched.join(own, "key", "left_semi").select("*", F.col("size").alias(CLASSES[0]), *(F.lit(0).cast("long").alias(c) for c in CLASSES[1:])), "sketch-some")
     sets = stored(_sets(docs.join(own, "key", "left_semi")), "sketch-sets", "lz4")
 
     def compared(pairs: DataFrame, best: list[str] | None = None) -> DataFrame:
@@ -256,6 +287,7 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = stored(components(links), "sketch-labels")
     members = _labelled(members, labels)
     free_shuffles(spark)
+    some = _with_classes(some, sets, stored(members.select("key").distinct(), "sketch-left"))
 
     def merged(more: DataFrame) -> None:
         nonlocal links, labels, members
@@ -268,8 +300,9 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     merged(compared(_candidates(members.join(centre, "band").where("label <> la").select("a", F.col("key").alias("b")).distinct(), some)))
     for best in (["la", "lb"], None):
         rows = members.select("band", "key", "label").join(some, "key")
-        a, b = (_side(rows, x, "band", F.col("label").alias(f"l{x}")) for x in "ab")
-        cross = a.join(b, "band").where((F.col("la") < F.col("lb")) & _possible()).select("la", "lb", "a", "b", _apart().alias("apart")).distinct()
+        a, b = (_side(rows, x, "band", F.col("label").alias(f"l{x}"), F.col("bands").alias(f"bands_{x}")) for x in "ab")
+        first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")  # a pair counts in its first common bucket
+        cross = a.join(b, "band").where((F.col("la") < F.col("lb")) & _possible() & first).select("la", "lb", "a", "b", _apart().alias("apart"))
         merged(compared(cross, best))
     discard(sets, some)
     return sketched.select("key", "size"), labels
