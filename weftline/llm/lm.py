@@ -288,7 +288,7 @@ NUMBERED = "part int, keys binary, held binary, lengths binary, tokens binary, n
 def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
     """Stored rows of two kinds: a part's documents, packed (keys, held, lengths, tokens: int32 numbers of the part's
     words); and a part's words (number, word, n), where n counts training tokens. Parts and their order depend on ids and
-    texts only. A row without an id has no mark in keys, which holds its place with the least long."""
+    texts only. Ids in keys are followed by a bit each, set where the id is null, if there is any such."""
     small_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     n_bytes = df.agg(F.sum(F.octet_length(body))).first()[0] or 0
@@ -302,7 +302,7 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         now: int | None = None
         numbers, counts = Numbers(), np.zeros(0, np.int64)
-        keys: list[int] = []
+        keys: list[int | None] = []
         helds: list[bool] = []
         docs: list[np.ndarray] = []
         size = 0
@@ -313,7 +313,7 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
                 own = np.bincount(np.concatenate([np.empty(0, np.int32), *(x for x, h in zip(docs, helds) if not h)]), minlength=len(numbers))
                 own[: len(counts)] += counts
                 counts = own
-                row = now, np.array(keys, np.int64).tobytes(), np.array(helds, bool).tobytes(), np.array([len(x) for x in docs], np.int64).tobytes(), np.concatenate(docs).tobytes(), None, None, None
+                row = now, packed_keys(keys), np.array(helds, bool).tobytes(), np.array([len(x) for x in docs], np.int64).tobytes(), np.concatenate(docs).tobytes(), None, None, None
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
             keys, helds, docs, size = [], [], [], 0
 
@@ -335,7 +335,7 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
                 own = words_of(text)
                 own.append(END)
                 docs.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
-                keys.append(NULL_KEY if key is None else key)
+                keys.append(key)
                 helds.append(held)
                 size += len(own)
                 if size >= CHUNK_TOKENS:
@@ -346,8 +346,16 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
     return stored(rows.mapInArrow(run, NUMBERED), "lm-numbered")
 
 
-#: How packed keys hold a null id.
-NULL_KEY = -(1 << 63)
+def packed_keys(keys: list[int | None]) -> bytes:
+    none = np.array([k is None for k in keys])
+    own = np.array([0 if k is None else k for k in keys], np.int64).tobytes()
+    return own + np.packbits(none).tobytes() if none.any() else own
+
+
+def keys_of(raw: bytes | memoryview, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, which of them are null) of ``packed_keys``."""
+    own, bits = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8)[8 * n :]
+    return own, np.unpackbits(bits, count=n).astype(bool) if len(bits) else np.zeros(n, bool)
 
 
 def _hash_of(word: Column, n: int) -> Column:
@@ -393,13 +401,14 @@ def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _documents(table: pa.Table):
-    """(keys, held, starts, tokens) of each packed row, in order of the rows' first keys, so that any order of rows
+    """((ids, which are null), held, starts, tokens) of each packed row, in order of the rows' first keys, so that any order of rows
     gives one result."""
     rows = []
     for keys, held, lengths, tokens in zip(*(buffers(table, c) for c in ("keys", "held", "lengths", "tokens"))):
         n = np.frombuffer(lengths, np.int64)
-        rows.append((np.frombuffer(keys, np.int64), np.frombuffer(held, bool), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(tokens, np.int32)))
-    return sorted(rows, key=lambda r: (r[0][0], r[0][-1], zlib.crc32(r[3])))
+        rows.append((keys_of(keys, len(n)), np.frombuffer(held, bool), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(tokens, np.int32)))
+    end = lambda r, i: (not r[0][1][i], r[0][0][i])  # noqa: E731  null ids come first, as they were sorted
+    return sorted(rows, key=lambda r: (end(r, 0), end(r, -1), zlib.crc32(r[3])))
 
 
 def _add(tables: DataFrame) -> DataFrame:
@@ -461,7 +470,7 @@ def scored(docs: DataFrame, codes: DataFrame, vocabulary: Vocabulary, weights: n
         for keys, held, starts, tokens in _documents(table):
             got = np.concatenate(model.log10_tokens(np.split(tokens, starts[1:-1]), codes_of, inputs_of))
             of = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  each document has a token, its end
-            out.append((pa.array(keys, mask=keys == NULL_KEY), pa.array(held), np.diff(starts), of((c[tokens] > 0).astype(np.int64)), of(base[tokens]), of(got + inside[tokens])))
+            out.append((pa.array(keys[0], mask=keys[1]), pa.array(held), np.diff(starts), of((c[tokens] > 0).astype(np.int64)), of(base[tokens]), of(got + inside[tokens])))
         return pa.concat_tables([pa.table([pa.array([], k) for k in kinds], names=names), *(pa.table([pa.array(x, k) if isinstance(x, np.ndarray) else x for x, k in zip(cols, kinds)], names=names) for cols in out)])
 
     return docs.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(score, SCORES)

@@ -44,8 +44,8 @@ SHARD_TOKENS = 1_500_000
 END_ID = 0
 
 
-def build(ids: np.ndarray, keys: np.ndarray, ends: np.ndarray, level: int = 1) -> bytes:
-    """The file of one sequence with its documents' keys and ends."""
+def build(ids: np.ndarray, keys: np.ndarray, ends: np.ndarray, level: int = 1, null_keys: int = 0) -> bytes:
+    """The file of one sequence with its documents' keys and ends. The first ``null_keys`` of the keys are null."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
     seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     packer = zstandard.ZstdCompressor(level=level)
@@ -68,7 +68,7 @@ def build(ids: np.ndarray, keys: np.ndarray, ends: np.ndarray, level: int = 1) -
         before = np.concatenate([[0], np.cumsum(steps.sum(axis=1))])
         inner = (np.cumsum(steps, axis=1) - steps).astype("<u2")
         sections.append((before.astype("<i8").tobytes(), places.astype("<i8").tobytes(), inner.tobytes(), b"".join(blocks)))
-    head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "block": BLOCK, "docs": len(keys), "null_keys": 0, "body": [len(s[3]) for s in sections]}).encode()
+    head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "block": BLOCK, "docs": len(keys), "null_keys": null_keys, "body": [len(s[3]) for s in sections]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, keys.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), *(x for s in sections for x in s)])
 
 
@@ -83,7 +83,7 @@ class WaveletFile:
         head = json.loads(self._at(12, size))
         self.n, self.bits, self.zeros, self.block, docs = head["n"], head["bits"], head["zeros"], head["block"], head["docs"]
         at = 12 + size
-        self.keys = np.frombuffer(self._at(at, 8 * docs), "<i8")
+        self.keys, self.null_keys = np.frombuffer(self._at(at, 8 * docs), "<i8"), head["null_keys"]
         self.ends = np.frombuffer(self._at(at + 8 * docs, 8 * docs), "<i8")
         at += 16 * docs
         blocks = -(-self.n // self.block)
@@ -275,14 +275,14 @@ def write_shards(df: DataFrame, path: str, folder: str, key: str = "doc_id", tex
         part, number = TaskContext.get().partitionId(), 0
         end = np.array([END_ID], np.uint32).tobytes()
         ids: list[bytes] = []
-        keys: list[int] = []
+        keys: list[int | None] = []  # nulls come first, as Spark sorts them
         sizes: list[int] = []
 
         def close():
             nonlocal ids, keys, sizes, number
             whole = np.frombuffer(b"".join(ids), np.uint32)
             uri = f"{folder}/{name}-{number:05d}.wave"
-            write_file(uri, build(whole, np.array(keys, np.int64), np.cumsum(sizes)))
+            write_file(uri, build(whole, np.array([k or 0 for k in keys], np.int64), np.cumsum(sizes), null_keys=keys.count(None)))
             row = pa.RecordBatch.from_pydict({"partition": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "path": [uri], "docs": [len(keys)], "tokens": [len(whole)]})
             ids, keys, sizes, number = [], [], [], number + 1
             return row
@@ -291,7 +291,7 @@ def write_shards(df: DataFrame, path: str, folder: str, key: str = "doc_id", tex
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), own(batch.column(1).to_pylist())):
                 ids += (raw, end)
-                keys.append(NULL_KEY if k is None else k)
+                keys.append(k)
                 sizes.append(len(raw) // 4 + 1)
                 total += sizes[-1]
                 if total >= shard_tokens:
@@ -303,10 +303,6 @@ def write_shards(df: DataFrame, path: str, folder: str, key: str = "doc_id", tex
     return stored(rows.mapInArrow(run, MANIFEST), "wavelet-manifest")
 
 
-#: How a null key is written; it sorts first, as Spark sorts nulls.
-NULL_KEY = -(1 << 63)
-
-
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_end_ids) of every document, from the files; n_end_ids by rank: the end id,
     and the text's own tokens of this id."""
@@ -325,7 +321,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     ids, ends = w.decode().astype("<u4"), w.ends
                     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                     crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                    keys = pa.array(w.keys, pa.int64(), mask=w.keys == NULL_KEY)
+                    keys = pa.array(w.keys, pa.int64(), mask=np.arange(len(w.keys)) < w.null_keys)
                     upto = w.ranks(END_ID, ends.astype(np.int64))
                     cols = [keys, pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(np.diff(upto, prepend=0))]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids"])
