@@ -236,6 +236,90 @@ def align(scores: np.ndarray, gap: float = 0.7, mode: str = "needleman_wunsch")
     return out[::-1]
 
 
+#: Cells up to which an alignment is held whole; beyond it rows are kept now and then and computed again.
+CELLS, KEPT_ROWS = 1 << 22, 128
+#: Similarities are whole numbers of 1 / UNIT there, so that sums along any path are exact.
+UNIT = 1 << 30
+
+
+def _unit_rows(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v, dtype=np.float64), where=n > 0)
+
+
+def align_long(first: np.ndarray, second: np.ndarray, gap: float = 0.7, rows: int = KEPT_ROWS) -> list[tuple[int, int]]:
+    """The alignment of two sequences of vectors by their cosines as ``align`` has it by needleman_wunsch, in memory that grows
+    with their lengths and not with the product.
+
+    A row of cells follows from the row before by one pass: what comes from above or aslant, then the running maximum of these
+    less the gaps between. Every ``rows``-th row is kept. The way back computes the rows between two kept ones again, only up to
+    the column it has reached, this time with the step each cell takes.
+    """
+    a, b = _unit_rows(first), _unit_rows(second)
+    n, m, cost = len(a), len(b), round(gap * UNIT)
+    ramp = cost * np.arange(m + 1)
+    similar = lambda lo, hi, width: np.rint(a[lo:hi] @ b[:width].T * UNIT).astype(np.int64)
+
+    def following(before: np.ndarray, own: np.ndarray, i: int) -> np.ndarray:
+        cells = np.empty(len(before), np.int64)
+        cells[0] = -cost * i
+        np.maximum(before[:-1] + own, before[1:] - cost, out=cells[1:])
+        cells += ramp[: len(cells)]
+        np.maximum.accumulate(cells, out=cells)
+        cells -= ramp[: len(cells)]
+        return cells
+
+    kept = [-ramp]
+    for lo in range(0, n, rows):
+        cells = kept[-1]
+        for k, own in enumerate(similar(lo, min(lo + rows, n), m)):
+            cells = following(cells, own, lo + k + 1)
+        kept.append(cells)
+    out: list[tuple[int, int]] = []
+    i, j = n, m
+    for lo in range((n - 1) // rows * rows if n else 0, -1, -rows):
+        if not i:
+            break
+        cells, steps = kept[lo // rows][: j + 1], []
+        for k, own in enumerate(similar(lo, i, j)):
+            before, cells = cells, following(cells, own, lo + k + 1)
+            aslant, aside = cells[1:] == before[:-1] + own, cells[1:] == cells[:-1] - cost
+            steps.append(np.concatenate([[ALONG_FIRST], np.where(aslant, BOTH, np.where(aside, ALONG_SECOND, ALONG_FIRST))]).astype(np.uint8))
+        while i > lo:
+            step = steps[i - lo - 1][j]
+            i, j = i - (step != ALONG_SECOND), j - (step != ALONG_FIRST)
+            out.append((-1 if step == ALONG_SECOND else int(i), -1 if step == ALONG_FIRST else int(j)))
+    out += [(-1, k) for k in range(j - 1, -1, -1)]
+    return out[::-1]
+
+
+def align_vectors(first: np.ndarray, second: np.ndarray, gap: float, mode: str = "needleman_wunsch") -> list[tuple[int, int]]:
+    """By ``align``; by ``align_long`` where the cells would be many."""
+    if mode == "needleman_wunsch" and len(first) * len(second) > CELLS:
+        return align_long(first, second, gap)
+    return align(_unit_rows(first) @ _unit_rows(second).T, gap, mode)
+
+
+def sequences(tokens: DataFrame, space: DataFrame, key: str, level: str = "sentences", dims: int | None = None) -> DataFrame:
+    """(key, vecs): the vectors of a text's sentences, or of its words, that have one, in their order. ``tokens``: key, sent, pos,
+    token."""
+    from weftline.operators.vectors import lookup, sentence_vectors
+
+    if level == "sentences":
+        rows = sentence_vectors(tokens, space, key, dims).select(key, F.struct("sent", "vec").alias("x"))
+    elif level == "words":
+        rows = lookup(tokens, space).select(key, F.struct("sent", "pos", "vec").alias("x"))
+    else:
+        raise ValueError(f"{level} not known")
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["vec"]).alias("vecs"))
+
+
+def align_texts(one: DataFrame, two: DataFrame, pairs: DataFrame, gap: float = 0.2, mode: str = "needleman_wunsch") -> DataFrame:
+    """(key, step, i, j) for ``pairs`` (key, a, b) of texts whose ``sequences`` are in ``one`` (a, vecs) and ``two`` (b, vecs)."""
+    both = pairs.join(one.withColumnRenamed("vecs", "va"), "a").join(two.withColumnRenamed("vecs", "vb"), "b")
+    return align_sequences(both.select("key", "va", "vb"), gap, mode)
+
+
 def align_sequences(pairs: DataFrame, gap: float = 0.2, mode: str = "needleman_wunsch") -> DataFrame:
     """(key, step, i, j) from rows (key, va, vb: array<array<double>>); a pair's sequences lie in one row."""
 
@@ -245,10 +329,7 @@ def align_sequences(pairs: DataFrame, gap: float = 0.2, mode: str = "needleman_w
             for key, va, vb in zip(pdf["key"], pdf["va"], pdf["vb"]):
                 if va is None or vb is None or not len(va) or not len(vb):
                     continue
-                a, b = np.stack(va), np.stack(vb)
-                norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
-                scores = np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0)
-                rows += [(key, k, i, j) for k, (i, j) in enumerate(align(scores, gap, mode))]
+                rows += [(key, k, i, j) for k, (i, j) in enumerate(align_vectors(np.stack(va), np.stack(vb), gap, mode))]
             yield pd.DataFrame(rows, columns=["key", "step", "i", "j"])
 
     return pairs.mapInPandas(run, "key long, step int, i int, j int")

@@ -356,6 +356,15 @@ def align_sequences(spark, sf_dir):
     return reuse.align_sequences(v.groupBy(F.col("conv_id").alias("key")).agg(side("user").alias("va"), side("assistant").alias("vb")))
 
 
+def align_documents(spark, sf_dir):
+    """Each two documents of neighbouring ids, sentence by sentence."""
+    tokens = _sentences(spark, sf_dir)
+    s = reuse.sequences(tokens, P.hashed_space(spark, sf_dir, tokens), "doc_id", "sentences", P.dims(spark, sf_dir))
+    ids = P.table(spark, sf_dir, "documents").select("doc_id")
+    pairs = ids.where("doc_id % 2 = 0").select(F.expr("doc_id div 2").alias("key"), F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return reuse.align_texts(s.withColumnRenamed("doc_id", "a"), s.withColumnRenamed("doc_id", "b"), pairs)
+
+
 def project_space(spark, sf_dir):
     e = _embeddings(spark, sf_dir).select(F.col("id").cast("string").alias("token"), "vec")
     target = e.select("token", F.transform(F.slice("vec", 1, 16), lambda x: 2 * x).alias("vec"))
@@ -388,7 +397,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         passage_search_topk, passage_search_euclid, passage_search_chars, passage_search_terms, clean_text, strip_punct, sent_split, phrase_split, char_tokens, dict_tokens, dict_sentences, find_all, seed_index, term_category, group_rows,
         doc_vectors, sent_vectors, doc_sentence_means, vector_sum, center_space, vocab_coverage, pair_filter, pair_flip, pair_similarity, pair_similarity_stats, random_pair_stats,
         embedding_merge, search_length, length_stats, phrase_vectors, window_vectors, global_rank, sim_stats, locate_phrase, merge_islands, cluster_rank, merge_greedy, overlap_pct,
-        hit_flags, run_summary, run_report, phrase_report, across_report, across_summary, param_grid, shared_seeds, match_locations, shared_seeds_vec, chunk_gate, best_location, optimize_start, extend_match, align_sequences,
+        hit_flags, run_summary, run_report, phrase_report, across_report, across_summary, param_grid, shared_seeds, match_locations, shared_seeds_vec, chunk_gate, best_location, optimize_start, extend_match, align_sequences, align_documents,
         project_space, train_words, space_plane, gloss_labels, reparse_words,
     )
     out = {f.__name__: f for f in names}
