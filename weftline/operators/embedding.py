@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import vector as V
 from weftline.operators import subwords
+from weftline.operators.search import global_offsets
 
 
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -49,31 +50,36 @@ def similarity_statistics(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.max(s).alias("max"), F.min(s).alias("min"), F.median(s).alias("median"))
 
 
-#: Groups among which ``shuffled_pairs`` deals out firsts.
-SHUFFLE_GROUPS = 64
-
-
 def shuffled_pairs(pairs: DataFrame, seed: int = 0) -> DataFrame:
-    """A random partner for each first: seconds dealt out in the order of a seeded md5, by rank, within groups of firsts."""
-    order = Window.partitionBy("_b").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "second")), "second")
-    own = Window.partitionBy("_b").orderBy("first", "second")
-    rows = pairs.select("first", "second").withColumn("_b", F.conv(F.substring(F.md5("first"), 1, 4), 16, 10).cast("int") % SHUFFLE_GROUPS)
-    left = rows.select("first", "_b", F.row_number().over(own).alias("_n"))
-    right = rows.select("second", "_b", F.row_number().over(order).alias("_n"))
-    return left.join(right, ["_b", "_n"]).select("first", "second")
+    """A random partner for each first: all firsts in their order meet all seconds in the order of a seeded md5, rank by rank.
+    Ranks come from ranges that are counted apart, so no task has them all."""
+    rows = pairs.select("first", "second").withColumn("_one", F.lit(1))
+    order = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), "second")).alias("m"), "second")
+    left = global_offsets(rows.select(F.struct("first", "second").alias("_k"), "_one"), "_k", "_one").select(F.col("_k.first").alias("first"), "offset")
+    right = global_offsets(rows.select(order.alias("_k"), "_one"), "_k", "_one").select(F.col("_k.second").alias("second"), "offset")
+    return left.join(right, "offset").select("first", "second")
 
 
 def translation_matrix(pairs: DataFrame, source: DataFrame, target: DataFrame) -> np.ndarray:
-    """W that minimizes |XW - Y|: X'X and X'Y are sums over pairs; a d x d system is solved on the driver."""
-    x = source.select(F.col("token").alias("first"), F.col("vec").alias("x"))
-    y = target.select(F.col("token").alias("second"), F.col("vec").alias("y"))
-    both = pairs.join(x, "first").join(y, "second").select(F.posexplode("x").alias("i", "xi"), "x", "y")
-    both = both.select("i", F.transform(F.concat("x", "y"), lambda v: v.cast("double") * F.col("xi")).alias("row"))
-    cells = both.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # d x 2d numbers
-    d = max(r["i"] for r in cells) + 1
-    m = np.zeros((d, max(r["j"] for r in cells) + 1))
-    for r in cells:
-        m[r["i"], r["j"]] = r["v"]
+    """W that minimizes |XW - Y|: X'X and X'Y are added up batch by batch in each task, which sends them once, a row for each
+    of a vector's components; a d x d system is solved on the driver."""
+    x = source.select(F.col("token").alias("first"), F.transform("vec", lambda v: v.cast("double")).alias("x"))
+    y = target.select(F.col("token").alias("second"), F.transform("vec", lambda v: v.cast("double")).alias("y"))
+    both = pairs.join(x, "first").join(y, "second").select("x", "y")
+    one = both.first()
+    if one is None:
+        raise ValueError("no pair has vectors in both spaces")
+    d, wide = len(one["x"]), len(one["x"]) + len(one["y"])
+
+    def products(batches):
+        total = np.zeros((d, wide))
+        for batch in batches:
+            x, y = (np.asarray(c.flatten(), np.float64).reshape(batch.num_rows, -1) for c in batch.columns)
+            total += x.T @ np.hstack([x, y])
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(total.tolist())], ["i", "row"])
+
+    sums = both.mapInArrow(products, "i int, row array<double>").groupBy("i").agg(*(F.sum(F.get("row", F.lit(j))).alias(f"s{j}") for j in range(wide)))
+    m = np.array([r[1:] for r in sorted(sums.collect())])  # d x 2d numbers
     return np.linalg.lstsq(m[:, :d], m[:, d:], rcond=None)[0]
 
 

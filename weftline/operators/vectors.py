@@ -66,12 +66,65 @@ def phrase_vectors(phrases: DataFrame, space: DataFrame, by: list[str], whole: C
     return out
 
 
+#: Positions of a block of ``window_means``.
+WINDOW_BLOCK = 4096
+
+
 def window_means(tokens: DataFrame, space: DataFrame, length: int, by: str = "doc_id") -> DataFrame:
-    """(by, start, n_known, vec) of every complete window of ``length`` tokens of (by, pos, token), in the JVM."""
-    rows = lookup(tokens, space, keep=True)
-    w = Window.partitionBy(by).orderBy("pos").rowsBetween(0, length - 1)
-    full = rows.select(by, F.col("pos").alias("start"), F.collect_list("vec").over(w).alias("v"), F.count(F.lit(1)).over(w).alias("n"))
-    return full.where(F.col("n") == length).select(by, "start", F.size("v").alias("n_known"), V.mean_of(F.col("v")).alias("vec"))
+    """(by, start, n_known, vec) of every complete window of ``length`` tokens of (by, pos, token); vec is null where no token
+    has a vector. Positions go from 0 on without gaps.
+
+    Texts are cut into blocks that the length less one overlaps; a window is a difference of two prefix sums of its block. So a
+    task holds a block, whatever the texts' and the windows' lengths.
+    """
+    if length < 1:
+        raise ValueError("a window has a token at least")
+    rows = lookup(tokens.select(by, "pos", "token"), space.select("token", F.transform("vec", lambda x: x.cast("double")).alias("vec")), keep=True)
+    first = F.floor(F.greatest(F.col("pos") - (length - 1), F.lit(0)) / WINDOW_BLOCK).cast("long")
+    dealt = rows.select(F.col(by).alias("by"), "pos", "vec", F.explode(F.sequence(first, F.floor(F.col("pos") / WINDOW_BLOCK).cast("long"))).alias("block"))
+    kind = {f.name: f.dataType.simpleString() for f in tokens.schema}[by]
+
+    def windows(key: pa.Array, block: int, begin: int, vec: pa.Array) -> pa.RecordBatch | None:
+        n = min(len(vec) - length + 1, (block + 1) * WINDOW_BLOCK - begin)
+        if n < 1:
+            return None
+        known = np.asarray(vec.is_valid())
+        own = np.asarray(vec.drop_null().flatten(), np.float64)
+        dims = len(own) // max(1, int(known.sum()))
+        whole = np.zeros((len(vec) + 1, dims))
+        whole[1:][known] = own.reshape(-1, dims) if dims else whole[1:][known]
+        np.cumsum(whole, axis=0, out=whole)
+        counts = np.concatenate([[0], np.cumsum(known)])
+        many = counts[length : length + n] - counts[:n]
+        mean = (whole[length : length + n] - whole[:n])[many > 0] / many[many > 0, None]
+        ends = np.concatenate([[0], np.cumsum(np.where(many > 0, dims, 0))]).astype(np.int32)
+        vecs = pa.ListArray.from_arrays(pa.array(ends), pa.array(mean.ravel()), mask=pa.array(many == 0))
+        return pa.RecordBatch.from_arrays([key.take(pa.array(np.zeros(n, np.int64))), pa.array(np.arange(begin, begin + n, dtype=np.int32)), pa.array(many.astype(np.int32)), vecs], ["by", "start", "n_known", "vec"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def closed():
+            table = pa.Table.from_batches(held).combine_chunks()
+            out = windows(table.column("by").combine_chunks(), table.column("block")[0].as_py(), table.column("pos")[0].as_py(), table.column("vec").combine_chunks())
+            held.clear()
+            if out is not None:
+                yield out
+
+        for batch in batches:
+            key, block = batch.column("by"), np.asarray(batch.column("block"))
+            code = np.asarray(key.dictionary_encode().indices.fill_null(-1))
+            cuts = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if held and (held[-1].column("by")[-1] != key[a] or held[-1].column("block")[-1].as_py() != block[a]):
+                        yield from closed()
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from closed()
+
+    sorted_ = dealt.select("by", "block", "pos", "vec").repartition("by", "block").sortWithinPartitions("by", "block", "pos")
+    return sorted_.mapInArrow(run, f"by {kind}, start int, n_known int, vec array<double>").withColumnRenamed("by", by)
 
 
 def document_tokens(df: DataFrame, key: str, text: str, remove: str | None = None) -> DataFrame:

@@ -206,10 +206,10 @@ select * from (select a.seed as a, b.seed as b, round(({' + '.join(f'a.s{d} * b.
 
 RANDOM = (
     GLOSSARY
-    + """, z as (select src as first, tgt as second, hs, ht, ('0x' || substr(md5(src), 1, 4))::bigint % 64 as g from p),
-l as (select first, hs, g, row_number() over (partition by g order by first, second) as n from z),
-r as (select second, ht, g, row_number() over (partition by g order by md5('0:' || second), second) as n from z),
-sim as (select list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as similarity from l join r on l.g = r.g and l.n = r.n join embeddings x on x.vec_id = hs join embeddings y on y.vec_id = ht)
+    + """, z as (select src as first, tgt as second, hs, ht from p),
+l as (select first, hs, row_number() over (order by first, second) as n from z),
+r as (select second, ht, row_number() over (order by md5('0:' || second), second) as n from z),
+sim as (select list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as similarity from l join r on l.n = r.n join embeddings x on x.vec_id = hs join embeddings y on y.vec_id = ht)
 select count(similarity) as n, round(avg(similarity), 6) as mean, round(stddev_samp(similarity), 6) as std, round(max(similarity), 6) as max, round(min(similarity), 6) as min, round(median(similarity), 6) as median from sim
 """
 )
