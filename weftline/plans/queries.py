@@ -12,7 +12,7 @@ from weftline.config import grid
 from weftline.functions import text as T
 from weftline.functions import tokenize as N
 from weftline.functions import vector as V
-from weftline.operators import cluster, embedding, report, reuse, search, vectors
+from weftline.operators import cluster, embedding, extension, report, reuse, search, vectors
 from weftline.plans import passage_search as P
 from weftline.sources.shared import stored
 
@@ -337,16 +337,10 @@ def optimize_start(spark, sf_dir):
 
 def extend_match(spark, sf_dir):
     rows, a, b, s, _, _ = _gated(spark, sf_dir)
-    places = rows.groupBy(F.col("item_id").alias("key_a"), F.col("doc_id").alias("key_b")).agg(F.collect_set(F.struct("i", "j")).alias("at"))
-
-    def vecs(tokens, key, need, name):
-        t = vectors.lookup(tokens.join(need, key, "left_semi"), s, keep=True)
-        zero = F.array_repeat(F.lit(0.0), 64)
-        return t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("vec", zero).alias("v")))).alias("x")).select(key, F.transform("x", lambda y: y["v"]).alias(name))
-
-    va = vecs(a, "item_id", places.select(F.col("key_a").alias("item_id")), "va").withColumnRenamed("item_id", "key_a")
-    vb = vecs(b, "doc_id", places.select(F.col("key_b").alias("doc_id")), "vb").withColumnRenamed("doc_id", "key_b")
-    return reuse.extend_all(places.join(va, "key_a").join(vb, "key_b"))
+    places = rows.select(F.col("item_id").alias("key_a"), F.col("doc_id").alias("key_b"), "i", "j")
+    n = P.dims(spark, sf_dir)
+    near = b.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    return extension.extend_places(places, extension.text_blocks(a, s, "item_id", n), extension.text_blocks(near, s, "doc_id", n))
 
 
 def align_sequences(spark, sf_dir):
