@@ -1,8 +1,12 @@
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import tokenize as N
+from weftline.functions.dictionary import Terms, dictionary_of, read_dictionary, tokenize_with
 
 
 def one(spark, value, make):
@@ -52,10 +56,30 @@ def test_dictionary(spark):
     assert one(spark, "", lambda S: cut(S)) == []
 
 
-def test_trie_agrees_with_pattern(spark):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abé佛", min_size=1, max_size=4), min_size=1, max_size=12), st.text("abé佛x", max_size=14))
+def test_terms_cut_as_the_longest_first(terms, text):
+    want, at = [], 0
+    while at < len(text):
+        n = max([len(t) for t in terms if text.startswith(t, at)], default=1)
+        want.append(text[at : at + n])
+        at += n
+    assert list(Terms(pa.array(sorted(set(terms)))).cut(text)) == want
+
+
+def test_large_dictionary_does_not_pass_the_driver(spark, tmp_path):
+    spark.range(60_000).selectExpr("concat('t', lpad(conv(id, 10, 36), 5, '0')) as value").write.text(str(tmp_path / "terms"))
+    held = read_dictionary(spark, str(tmp_path / "terms"))
+    df = spark.createDataFrame([("t00000t0000Zx[t00010",), ("",), (None,)], "s string")
+    assert [r.tokens for r in tokenize_with(df, "s", held).collect()] == [["t00000", "t0000Z", "x", "[", "t00010"], [], None]
+    assert held.count() == 60_000 and dictionary_of(held.where("false")).count() == 0
+    assert tokenize_with(df, "s", dictionary_of(held.where("false"))).first().tokens == list("t00000t0000Zx[t00010")
+
+
+def test_dictionary_agrees_with_pattern(spark):
     terms = ["如是", "如是我", "佛", "言佛"]
     df = spark.createDataFrame([("如是我聞佛言佛如",), ("",), (None,)], "s string")
-    got = N.tokenize_with_trie(df, "s", terms).select("tokens", N.dictionary(terms)(F.col("s")).alias("want")).collect()
+    got = tokenize_with(df, "s", dictionary_of(spark.createDataFrame([(t,) for t in terms], "term string"))).select("tokens", N.dictionary(terms)(F.col("s")).alias("want")).collect()
     assert [r[0] for r in got] == [r[1] for r in got]
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from weftline.sources.shared import collected
 
 SENTENCE_END = r"[\n。？！．]"
 PHRASE_END = r"[。？！；：、，「」『』《》 *()○]"
+BRACKETS = "[]()"
 #: Terms up to which one alternation is compiled; beyond it ``with_words`` takes a trie.
 REGEX_TERMS = 10_000
 #: Terms that the driver holds.
@@ -49,7 +49,7 @@ def latin_words(c: Column) -> Column:
 
 def clean_terms(terms: list[str]) -> list[str]:
     """Distinct terms without brackets and blanks, longest first; ties in order of text."""
-    found = {t.translate(str.maketrans("", "", "[]()")) for t in terms if t}
+    found = {t.translate(str.maketrans("", "", BRACKETS)) for t in terms if t}
     return sorted(found - {""}, key=lambda t: (-len(t), t))
 
 
@@ -91,42 +91,13 @@ def reparsed(words: Column, terms: list[str]) -> Column:
 
 
 def with_words(df: DataFrame, text: str, terms: list[str], out: str = "tokens") -> DataFrame:
-    """``df`` with dictionary words: by one pattern, or by a trie where that would be too large. Results are the same."""
-    if len(clean_terms(terms)) > REGEX_TERMS:
-        return tokenize_with_trie(df, text, terms, out)
-    return df.withColumn(out, dictionary(terms)(F.col(text)))
-
-
-def tokenize_with_trie(df: DataFrame, text: str, terms: list[str], out: str = "tokens") -> DataFrame:
-    """``df`` with an array of words by a trie, for dictionaries that are too large for one pattern."""
-    trie: dict = {}
-    for t in clean_terms(terms):
-        node = trie
-        for ch in t:
-            node = node.setdefault(ch, {})
-        node[""] = True
-
-    @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array) -> pa.Array:
-        rows = []
-        for s in texts.to_pylist():
-            if s is None:
-                rows.append(None)
-                continue
-            at, found = 0, []
-            while at < len(s):
-                node, end, i = trie, at + 1, at
-                while i < len(s) and s[i] in node:
-                    node = node[s[i]]
-                    i += 1
-                    if "" in node:
-                        end = i
-                found.append(s[at:end])
-                at = end
-            rows.append(found)
-        return pa.array(rows, pa.list_(pa.string()))
-
-    return df.withColumn(out, cut(F.col(text)))
+    """``df`` with dictionary words: by one pattern, or by a stored dictionary where that would be too large. Results are the
+    same. Terms that are a table needn't pass the driver: see ``dictionary.tokenize_with``."""
+    if len(own := clean_terms(terms)) > REGEX_TERMS:
+        from weftline.functions.dictionary import dictionary_of, tokenize_with
+
+        return tokenize_with(df, text, dictionary_of(df.sparkSession.createDataFrame([(t,) for t in own], "term string")), out)
+    return df.withColumn(out, dictionary(own)(F.col(text)))
 
 
 def read_terms(spark: SparkSession, path: str) -> list[str]:

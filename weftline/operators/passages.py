@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import SearchConfig
 from weftline.operators import cluster, report, search, vectors
-from weftline.sources.shared import stored
+from weftline.sources.shared import discard, stored
 
 #: Queries that travel with one scan.
 QUERIES_AT_ONCE = 2_000
@@ -127,6 +127,7 @@ def search_passages(
         f, p = _part(own.where(F.col("part") == part), placed, pieces, codes, length, configs, gold, stats, top_n, matrix_bytes)
         found.append(f)
         places.append(p)
+    discard(pieces, codes)
     none = spark.createDataFrame([], search.SCAN), spark.createDataFrame([], PLACES)
     found, places = (reduce(DataFrame.unionByName, x) if x else y for x, y in zip((found, places), none))
     pick = lambda df, i: df.where(F.col("variant") == i).drop("variant")

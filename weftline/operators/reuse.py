@@ -149,41 +149,6 @@ def compare_chunks(source: np.ndarray, target: np.ndarray, i: int, j: int, thres
     return a, b, n, m, s
 
 
-def extend_matches(pairs: DataFrame, threshold: float = 0.9, min_length: int = 10) -> DataFrame:
-    """Rows (key_a, key_b, i, j, va, vb: array<array<double>>) to extended matches."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                got = compare_chunks(np.stack(r.va), np.stack(r.vb), int(r.i), int(r.j), threshold, min_length)
-                if got:
-                    rows.append((r.key_a, r.key_b, int(r.i), int(r.j), *got))
-            yield pd.DataFrame(rows, columns=["key_a", "key_b", "i", "j", "start_a", "start_b", "length_a", "length_b", "similarity"])
-
-    return pairs.mapInPandas(run, "key_a long, key_b long, i long, j long, start_a long, start_b long, length_a long, length_b long, similarity double")
-
-
-def extend_all(pairs: DataFrame, threshold: float = 0.9, min_length: int = 10) -> DataFrame:
-    """Rows (key_a, key_b, at: array<struct<i, j>>, va, vb) to the matches of all places, in their order; a place that
-    an earlier match of its texts covers on its diagonal is passed over."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                a, b, spans = np.stack(r.va), np.stack(r.vb), {}
-                for i, j in sorted((int(p["i"]), int(p["j"])) for p in r.at):
-                    if any(lo <= i < hi for lo, hi in spans.get(i - j, ())):
-                        continue
-                    if got := compare_chunks(a, b, i, j, threshold, min_length):
-                        spans.setdefault(got[0] - got[1], []).append((got[0], got[0] + got[2]))
-                        rows.append((r.key_a, r.key_b, i, j, *got))
-            yield pd.DataFrame(rows, columns=["key_a", "key_b", "i", "j", "start_a", "start_b", "length_a", "length_b", "similarity"])
-
-    return pairs.mapInPandas(run, "key_a long, key_b long, i long, j long, start_a long, start_b long, length_a long, length_b long, similarity double")
-
-
 @dataclass(frozen=True)
 class Scoring:
     """What an alignment's cells gain: a step along both sequences gains the pair's score; a step along one loses ``gap``, or

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import dictionary as D
 from weftline.functions import text as T
 from weftline.functions import tokenize as N
 from weftline.functions import vector as V
@@ -98,6 +99,16 @@ def term_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(terms)), "place long, term string")
 
 
+def dictionary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary that goes from a file to the workers: all words of the documents that have four letters or more, or are
+    a phrase's own."""
+    path = shared_folder(spark, "dictionary")
+    words = P.word_table(spark, sf_dir).where(F.length("token") >= 4).select("token").unionByName(P.word_table(spark, sf_dir, "benchmark", "item_id").select("token"))
+    words.select(F.col("token").alias("value")).write.text(path)
+    rows = D.tokenize_with(P.table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", D.read_dictionary(spark, path))
+    return rows.select("item_id", F.size("tokens").alias("n"), F.array_join("tokens", "|").alias("tokens"))
+
+
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most frequent words, as the first lines of a file."""
     path = shared_folder(spark, "frequent")
@@ -170,7 +181,7 @@ def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        csv_rows, alignment_phrases, text_files, clean_files, folder_texts, vec_file, utterances, pair_file, similarity_file, term_list, first_lines,
+        csv_rows, alignment_phrases, text_files, clean_files, folder_texts, vec_file, utterances, pair_file, similarity_file, term_list, dictionary_tokens, first_lines,
         report_files, compiled_lines, target_words, gold_words, removed_words, space_words, clean_kept, whole_phrases, first_labels,
     )
     return {f.__name__: f for f in found}

@@ -30,6 +30,13 @@ def oracle_sql() -> dict[str, str]:
         "pair_file": pairs,
         "similarity_file": O.PAIR + "select * from sim",
         "term_list": f"select row_number() over (order by length(token) desc, token) - 1 as place, token as term from (select distinct token from {O.words('benchmark', 'item_id')})",
+        # at a place all prefixes of the text that are terms meet it; the longest counts, and the walk goes on behind it
+        "dictionary_tokens": f"""with recursive d as (select token from {O.words('documents', 'doc_id')} where length(token) >= 4 union select token from {O.words('benchmark', 'item_id')}),
+            l as (select distinct length(token) as k from d),
+            m as (select item_id, i, max(k) as k from (select item_id, text, unnest(range(1, length(text) + 1)) as i from benchmark) b, l where i + k - 1 <= length(text) and substr(text, i, k) in (select token from d) group by 1, 2),
+            s as (select b.item_id, i, coalesce(m.k, 1) as k from (select item_id, unnest(range(1, length(text) + 1)) as i from benchmark) b left join m using (item_id, i)),
+            w as (select item_id, 1::bigint as i from benchmark where length(text) > 0 union all select w.item_id, w.i + s.k from w join s on s.item_id = w.item_id and s.i = w.i where w.i + s.k <= (select length(text) from benchmark b where b.item_id = w.item_id))
+            select b.item_id, count(w.i)::int as n, coalesce(string_agg(substr(text, w.i, s.k), '|' order by w.i), '') as tokens from benchmark b left join w on w.item_id = b.item_id left join s on s.item_id = w.item_id and s.i = w.i group by b.item_id""",
         "first_lines": f"select token as term from (select token, count(*) as n from {O.words('documents', 'doc_id')} group by 1) order by n desc, token limit 100",
         "report_files": f"select query_id, md5(report || chr(10)) as report_md5 from ({O.SEARCH + O._report()})",
         "compiled_lines": "select md5(line) as line_md5, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents where text is not null) group by 1",
