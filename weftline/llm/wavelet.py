@@ -27,7 +27,7 @@ import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.chunks import ChunkCache
-from weftline.llm.common import attempt_name, open_file, shared_folder, small_batches, stored, write_file
+from weftline.llm.chunks import CHUNK
+from weftline.llm.common import CACHES, attempt_name, open_file, shared_folder, small_batches, stored, write_file
 
 MAGIC = b"WFWAVE01"
 BLOCK, STEP = 1 << 16, 512
@@ -76,7 +76,7 @@ class WaveletFile:
     """Reads a file by ranges; blocks that were read are kept, at most ``keep`` of them."""
 
     def __init__(self, file, keep: int = 256):
-        self.file, self.keep, self.held = file, keep, {}
+        self.file, self.keep, self.held, self.whole = file, keep, {}, {}
         if self._at(0, 8) != MAGIC:
             raise ValueError("not a wavelet file")
         size = struct.unpack("<I", self._at(8, 4))[0]
@@ -101,7 +101,10 @@ class WaveletFile:
         return self.file.read(n)
 
     def _bits(self, plane: int, k: int) -> np.ndarray:
-        """The bits of a block."""
+        """The bits of a block; of a plane that was decoded they needn't be unpacked again."""
+        if plane in self.whole:
+            n = min(self.block, self.n - k * self.block)
+            return np.unpackbits(np.frombuffer(self.whole[plane], np.uint8, -(-n // 8), k * self.block // 8), count=n)
         if (plane, k) not in self.held:
             if len(self.held) >= self.keep:
                 self.held.pop(next(iter(self.held)))
@@ -165,8 +168,7 @@ class WaveletFile:
             for part in np.split(order, np.flatnonzero(np.diff(k[order])) + 1) if len(order) else ():
                 bits = self._bits(p, int(k[part[0]]))
                 low = rest[part] // STEP * STEP
-                sums = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
-                ones[part] += sums[rest[part]] - sums[low]
+                ones[part] += [np.count_nonzero(bits[a:b]) for a, b in zip(low.tolist(), rest[part].tolist())]
             at = self.zeros[p] + ones if symbol >> (self.bits - 1 - p) & 1 else at - ones
         return at[1:] - at[0]
 
@@ -200,7 +202,8 @@ class WaveletFile:
             raw = whole[int(self.places[plane][k]) : int(self.places[plane][k + 1])]
             size = min(self.block, self.n - k * self.block)
             out.append(raw if len(raw) == -(-size // 8) else zstandard.ZstdDecompressor().decompressobj().decompress(raw))
-        return np.unpackbits(np.frombuffer(b"".join(out), np.uint8), count=self.n).astype(bool)
+        self.whole[plane] = b"".join(out)
+        return np.unpackbits(np.frombuffer(self.whole[plane], np.uint8), count=self.n).view(bool)
 
     def decode(self) -> np.ndarray:
         """The whole sequence: partitions undone from the lowest plane up."""
@@ -218,44 +221,75 @@ class WaveletFile:
         return np.array([self.access(i) for i in range(lo, int(self.ends[k]))], np.uint32)
 
 
-_TOKENIZERS: dict[str, ChunkCache] = {}
+class Known(dict):
+    """Encoded chunks; what is missing is encoded when it is asked for. A full one starts anew; long chunks aren't kept."""
 
+    def __init__(self, encode: Callable[[str], bytes], most: int = 1_200_000, longest: int = 64):
+        super().__init__()
+        self.encode, self.most, self.longest = encode, most, longest
 
-def library_ids(path: str) -> ChunkCache:
-    """The tokenizers library's ids as uint32 bytes, by chunks; texts with an added token's string are encoded whole."""
-    if path not in _TOKENIZERS:
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+class LibraryIds:
+    """The tokenizers library's ids of texts as uint32 bytes, by chunks; texts with an added token's string are encoded whole. A
+    chunk that is a word, which a byte-level tokenizer takes as one piece, goes to the library's model at once, in the
+    characters that stand for its bytes there; any other chunk is a text of its own."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         own = Tokenizer.from_file(path)
-        added = [t.content for t in own.get_added_tokens_decoder().values()]
-        many = getattr(own, "encode_batch_fast", own.encode_batch)
-
-        width = np.array([len(own.id_to_token(i) or "") for i in range(own.get_vocab_size())])  # a character a byte
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            """Words with a space before them are encoded side by side, as one text, which the library would cut into
-            just these; ids are parted where their bytes are. Other chunks are texts of their own."""
-            out: list[bytes] = [b""] * len(chunks)
-            words = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace()]
-            for lo in range(0, len(words), 1024):
-                part = words[lo : lo + 1024]
-                ids = np.array(many(["".join(chunks[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(chunks[i].encode("utf-8", "surrogatepass")) for i in part])) + 1
-                raw = ids.tobytes()
-                for i, x, y in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
-                    out[i] = raw[4 * x : 4 * y]
-            rest = sorted(set(range(len(chunks))).difference(words))
-            for lo in range(0, len(rest), 4096):
-                part = rest[lo : lo + 4096]
-                for i, x in zip(part, many([chunks[i] for i in part], add_special_tokens=False)):
-                    out[i] = array("I", x.ids).tobytes()
-            return out
+        self.added = [t.content for t in own.get_added_tokens_decoder().values() if t.content]
+        model, plain = own.model, own.normalizer is None and isinstance(own.pre_tokenizer, ByteLevel) and not own.pre_tokenizer.add_prefix_space
+        letters, tokenize = dict(enumerate(_byte_letters())), model.tokenize
+        space = letters[32]
+
+        def encode(chunk: str) -> bytes:
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if not plain or not word.isalpha():
+                return self.whole(chunk)
+            if not chunk.isascii():
+                chunk = chunk.encode().decode("latin-1").translate(letters)
+            elif len(word) < len(chunk):
+                chunk = space + word
+            return array("I", [t.id for t in tokenize(chunk)]).tobytes()
+
+        self.own, self.known = own, Known(encode)
+        CACHES.add(self)
 
-        def whole(text: str) -> bytes:
-            return array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
+    def whole(self, text: str) -> bytes:
+        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
 
-        _TOKENIZERS[path] = ChunkCache(encode, whole, added)
+    def clear(self) -> None:
+        self.known.clear()
+
+    def __call__(self, texts: Iterable[str]) -> list[bytes]:
+        get = self.known.__getitem__
+        return [self.whole(t) if any(x in t for x in self.added) else b"".join(map(get, CHUNK.findall(t))) for t in texts]
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: a printable one for itself, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+_TOKENIZERS: dict[str, LibraryIds] = {}
+
+
+def library_ids(path: str) -> LibraryIds:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = LibraryIds(path)
     return _TOKENIZERS[path]
 
 
