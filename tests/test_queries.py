@@ -8,9 +8,10 @@ import random
 import pytest
 
 from tests.conftest import SF
-from weftline.plans import oracle, queries
+from weftline.plans import files, oracle, oracle_files, queries
 
-NAMES = ["passage_search_topk", "hit_flags", "clean_text", "dict_tokens", "find_all", "doc_vectors", "pair_similarity_stats", "chunk_gate", "cosine_matrix"]
+NAMES = ["passage_search_topk", "hit_flags", "clean_text", "dict_tokens", "find_all", "doc_vectors", "pair_similarity_stats", "chunk_gate", "cosine_matrix", "across_report", "across_summary", "shared_seeds_vec", "window_vectors", "random_pair_stats"]
+FILES = ["csv_rows", "alignment_phrases", "clean_files", "vec_file", "dictionary_tokens", "removed_words", "whole_phrases"]
 
 
 def norm(rows):
@@ -23,16 +24,17 @@ def norm(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", [*NAMES, *FILES])
 def test_query(spark, name):
     import duckdb
 
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
-    df = queries.queries()[name](spark, SF)
+    made, sql = (files.queries(), oracle_files.oracle_sql()) if name in FILES else (queries.queries(), oracle.oracle_sql())
+    df = made[name](spark, SF)
     cols = sorted(df.columns)
-    want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({oracle.oracle_sql()[name]})").fetchall()
+    want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({sql[name]})").fetchall()
     assert norm(map(tuple, df.select(*cols).collect())) == norm(want)
 
 
