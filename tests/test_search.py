@@ -285,3 +285,34 @@ def test_seeds(spark):
     df = spark.createDataFrame([(1, "一二天天天"), (2, "x"), (3, None)], "id int, t string")
     got = reuse.seed_index(reuse.seeds(df, "id", "t")).collect()
     assert {r.seed: r.positions for r in got} == {"二天": [1], "天天": [2, 3]}
+
+
+def test_a_copy_has_no_distance_far_from_the_beginning():
+    """Sums over a whole block are large, and a copy's distance is the root of their difference."""
+    r = np.random.default_rng(5)
+    flat = r.normal(size=(6000, 8)) + 3
+    q = pd.DataFrame([(0, 1, flat[5900:5912].mean(axis=0), 12, 3, -1, np.nan)], columns=["variant", "query_id", "vector", "search_len", "top_n", "gold_start", "gold_similarity"])
+    finder = search.Finder(q, len(flat), 8192, "euclidean", False, False)
+    finder.add(0, 0, flat, np.ones(len(flat), bool))
+    means = np.stack([flat[i : i + 12].mean(axis=0) for i in range(len(flat) - 11)])
+    want = np.round(1 - np.linalg.norm(means - q["vector"][0], axis=1), 6)
+    assert [x[4] for x in finder.found()] == sorted(want, reverse=True)[:3]
+    assert finder.found()[0][3:5] == (5900, 1.0)
+
+
+def test_lagged_products():
+    rows = np.random.default_rng(6).normal(size=(4500, 5))
+    for k, got in search._lagged(rows, [1, 63, 64, 200, 513, 5000]).items():
+        want = np.einsum("ij,ij->i", rows[k:], rows[: max(len(rows) - k, 0)])
+        assert np.allclose(got, want)
+
+
+def test_packed_deals_as_blocks(spark):
+    words = [["a", "b", "x"], [], ["a"] * 40, ["b", "c"]]
+    placed = search.global_offsets(spark.createDataFrame([(i, w, len(w)) for i, w in enumerate(words)], "key long, words array<string>, size int"), "key", "size")
+    names = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "token string, code long")
+    runs = search.packed(placed, search.hashed_names(names), 6, 16)
+    got = sorted((r.block, r.g + i, c) for r in runs.collect() for i, c in enumerate(r.codes))
+    want = search.blocks(search.tokens_of(placed).join(names, "token", "left"), 6, 16)
+    assert got == sorted(tuple(r) for r in want.collect())
+    assert search.hashed_names(names, 12) is None

@@ -143,3 +143,20 @@ def test_plane_against_numpy(spark):
     got = embedding.plane(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")).orderBy("id").collect()
     _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     assert np.allclose(np.abs([r.plane for r in got]), np.abs(x @ v[:2].T), atol=1e-6)
+
+
+def test_token_means_shuffle_no_vectors(spark):
+    t = spark.createDataFrame([(k, s, w) for k in range(40) for s in range(3) for w in "aab" + "cxd"[s] * (k % 3)], "id long, sent int, token string")
+    t = t.unionByName(spark.createDataFrame([(None, 0, "a"), (None, 0, None), (7, 9, "x")], t.schema))
+    space = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [4.0, 0.5]), ("c", [1.0, 2.0]), ("d", [-3.0, 0.0])], "token string, vec array<double>")
+    rows = vectors.sentence_vectors(t, space, "id", 2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    exact = lambda df: {(r.id, r.sent): (r.n, [round(x, 12) for x in r.vec]) for r in df.collect()}
+    assert exact(rows) == exact(vectors.token_means(t, space, ["id", "sent"], 2, limit=0))
+    assert exact(rows)[None, 0] == (1, [1.0, 2.0]) and (7, 9) not in exact(rows)
+
+
+def test_distinct_tokens(spark, monkeypatch):
+    rows = spark.createDataFrame([(["a", "b", None, "a"],), (None,), ([],), (["b", "c"],)], "words array<string>")
+    assert sorted(r.token for r in vectors.distinct_tokens(rows, "words").collect()) == ["a", "b", "c"]
