@@ -50,3 +50,18 @@ def test_rounds_are_whole_growth(spark, monkeypatch, block, first):
 def test_no_places(spark):
     blocks = extension.text_blocks(spark.createDataFrame([(1, 0, "a")], "id long, pos int, token string"), spark.createDataFrame([("a", [1.0])], "token string, vec array<double>"), "id", 1)
     assert extension.extend_places(spark.createDataFrame([], "key_a long, i int, key_b long, j int"), blocks, blocks).count() == 0
+
+
+def test_blocks_hold_codes(spark):
+    """With the vectors read by workers and with vectors in the blocks the matches are the same; the former have no vectors."""
+    r = np.random.default_rng(8)
+    space = spark.createDataFrame([(f"t{i}", r.normal(size=4).tolist()) for i in range(50)], "token string, vec array<double>")
+    shared = [f"t{i}" for i in r.integers(0, 55, 90)]
+    texts = {1: [f"t{i}" for i in r.integers(0, 55, 30)] + shared, 2: shared + [f"t{i}" for i in r.integers(0, 55, 100)]}
+    tokens = spark.createDataFrame([(k, p, w) for k, v in texts.items() for p, w in enumerate(v)], "id long, pos int, token string")
+    places = spark.createDataFrame([(1, 35, 2, 5), (1, 60, 2, 30)], "key_a long, i int, key_b long, j int")
+    coded, plain = extension.text_blocks(tokens, space, "id", 4), extension.text_blocks(tokens, space, "id", 4, limit=0)
+    assert dict(coded.dtypes)["vecs"] == "array<int>" and plain.book is None
+    exact = lambda b, c: sorted(tuple(round(x, 9) for x in r) for r in extension.extend_places(places, b, c).collect())
+    assert exact(coded, coded) == exact(plain, plain) == exact(coded, plain)
+    assert exact(coded, coded)

@@ -42,3 +42,15 @@ def test_translation_matrix(spark):
     assert np.allclose(embedding.translation_matrix(pairs, frame(x), frame(x @ w)), w)
     with pytest.raises(ValueError):
         embedding.translation_matrix(pairs.limit(0), frame(x), frame(x))
+
+
+def test_window_means_of_some_starts(spark):
+    tokens = spark.createDataFrame([(1, p, "abx"[p % 3]) for p in range(9000)] + [(None, p, "a") for p in range(5)], "doc_id long, pos int, token string")
+    space = spark.createDataFrame([("a", [1.0]), ("b", [3.0])], "token string, vec array<double>")
+    starts = spark.createDataFrame([(1, 4095), (1, 4096), (1, 8990), (1, 8998), (2, 0)], "doc_id long, start int")
+    rows = vectors.window_means(tokens, space, 4, starts=starts)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the starts, none with vectors
+    whole = {(r.doc_id, r.start): (r.n_known, r.vec) for r in vectors.window_means(tokens, space, 4, limit=0).collect()}
+    got = {(r.doc_id, r.start): (r.n_known, r.vec) for r in rows.collect()}
+    assert got == {k: whole[k] for k in ((1, 4095), (1, 4096), (1, 8990))}
+    assert {(r.doc_id, r.start): (r.n_known, r.vec) for r in vectors.window_means(tokens, space, 4).collect()} == whole
