@@ -366,3 +366,27 @@ def test_a_part_is_searched_first(spark, monkeypatch):
     assert [r.start for r in search.ranked(found.where("variant = 1"), 40).orderBy("rank").collect()] == [5 + 7 * k for k in range(40)]
     assert search.floors(found, q) == [1.0, found.where("variant = 1").selectExpr("max(similarity)").first()[0]]
     assert search.floors(found, q.assign(top_n=10_000)) == [-np.inf, -np.inf]
+
+
+def test_keyed_space_repeats_no_vector(spark):
+    names = spark.createDataFrame([("a", 7), ("b", 7), ("c", 3), ("d", 9), ("e", None), ("f", 4)], "token string, key long")
+    rows = spark.createDataFrame([(7, [1.0, 2.0]), (3, [0.5, 0.0]), (5, [9.0, 9.0]), (4, None)], "key long, vec array<float>")
+    codes, named = search.dense_codes(search.KeyedSpace(names, rows))
+    by = {r.code: tuple(r.vec) for r in codes.collect()}
+    assert sorted(by) == [1, 2] and {r.token: by[r.code] for r in named.collect()} == {"a": (1.0, 2.0), "b": (1.0, 2.0), "c": (0.5, 0.0)}
+
+
+@pytest.mark.parametrize("value,dtype", [(0.25, np.float32), (0.1, np.float64)])
+def test_matrix_takes_no_more_than_its_numbers_need(spark, value, dtype):
+    made = stored(spark.createDataFrame([(1, [1.0, 2.0]), (2, [value, 3.0])], "code long, vec array<double>"), "codes")
+    small = search._matrix(made.stored_at, 2, 2, small=True)
+    assert small.dtype == dtype and small.tolist() == [[0.0, 0.0], [1.0, 2.0], [value, 3.0]]
+    assert search._matrix(made.stored_at, 2, 2).dtype == np.float64
+
+
+def test_names_are_read_in_order_of_their_hashes(spark):
+    names = spark.createDataFrame([(f"w{k}", k + 1) for k in range(500)], "token string, code long")
+    made = search.hashed_names(names)
+    hashes = spark.createDataFrame([(f"w{k}",) for k in range(501)], "token string").select(F.xxhash64("token").alias("h")).toPandas()["h"].to_numpy()
+    assert search.codes_of(hashes, made.stored_at).tolist() == [*range(1, 501), 0]
+    assert [r.hash for r in spark.read.parquet(made.stored_at).selectExpr("hash", "input_file_name() as f").orderBy("f").collect()] == sorted(hashes[:-1].tolist())
