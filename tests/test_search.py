@@ -390,3 +390,42 @@ def test_names_are_read_in_order_of_their_hashes(spark):
     hashes = spark.createDataFrame([(f"w{k}",) for k in range(501)], "token string").select(F.xxhash64("token").alias("h")).toPandas()["h"].to_numpy()
     assert search.codes_of(hashes, made.stored_at).tolist() == [*range(1, 501), 0]
     assert [r.hash for r in spark.read.parquet(made.stored_at).selectExpr("hash", "input_file_name() as f").orderBy("f").collect()] == sorted(hashes[:-1].tolist())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e20])
+def test_single_precision_leaves_out_no_window(scale):
+    """Counts, ranks and hits with "count" are those of direct sums, also where windows have no direction, and few are looked at;
+    variants that differ in top_n are looked at once."""
+    rng = np.random.default_rng(9)
+    vectors, known = rng.normal(size=(3000, 16)) * scale, rng.random(3000) > 0.1
+    known[700:760] = False
+    vectors[~known] = 0
+    vectors[1500:1520:2] = [1.0] + [0.0] * 15
+    vectors[1501:1520:2] = [-1.0] + [0.0] * 15  # these cancel
+    known[1500:1520] = True
+    sizes, gold = [6, 20, 33], [1234, 40, 2047]
+    prefix = np.concatenate([np.zeros((1, 16)), np.cumsum(vectors, axis=0)])
+    rows, want = [], {}
+    for i, (s, g) in enumerate(zip(sizes, gold)):
+        v = vectors[g : g + s].mean(axis=0) + scale * rng.normal(size=16) * 0.02
+        sums = np.array([vectors[k : k + s].sum(axis=0) for k in range(3000 - s + 1)])
+        norm, many = np.linalg.norm(sums, axis=1), np.convolve(known, np.ones(s), "valid")
+        at = np.flatnonzero((many > 0.5) & (norm > 1e-9 * np.linalg.norm(prefix[s:], axis=1)))
+        x = np.round(sums[at] @ v / np.linalg.norm(v) / norm[at], 6)
+        order = np.lexsort((at, -x))
+        want[i] = len(at), int(np.flatnonzero(at[order] == g)[0]), at[order][:5].tolist()
+        rows += [(variant, i, v, s, top, g, float(x[at == g][0]), float(x[order[4]])) for variant, top in ((0, 3), (1, 5))]
+    q = pd.DataFrame(rows, columns=["variant", "query_id", "vector", "search_len", "top_n", "gold_start", "gold_similarity", "floor"])
+    finder = search.Finder(q, 3000, 1024, "cosine", False, "count")
+    looked, row = [], finder._row
+    finder._row = lambda i, s, begin, at: (looked.append(len(s)), row(i, s, begin, at))
+    for block in range(3):
+        piece = slice(block * 1024, block * 1024 + 1024 + 32)
+        finder.add(block, block * 1024, vectors[piece], known[piece])
+    assert sum(looked) < 300 or scale > 1e15  # beyond what single precision holds every window is looked at
+    for variant, top in ((0, 3), (1, 5)):
+        for i, (n, before, starts) in want.items():
+            own = [r for r in finder.found() if r[:2] == (variant, i)]
+            assert [r[5:] for r in own if r[2] == "stat"] == [(n, None, None)]
+            assert [r[5] for r in own if r[2] == "before"] == [before]
+            assert [r[3] for r in sorted(own, key=lambda r: (-(r[4] or 0), r[3])) if r[2] == "hit"] == starts[:top]
