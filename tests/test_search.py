@@ -429,3 +429,17 @@ def test_single_precision_leaves_out_no_window(scale):
             assert [r[5:] for r in own if r[2] == "stat"] == [(n, None, None)]
             assert [r[5] for r in own if r[2] == "before"] == [before]
             assert [r[3] for r in sorted(own, key=lambda r: (-(r[4] or 0), r[3])) if r[2] == "hit"] == starts[:top]
+
+
+def test_place_cuts_after_dealing_and_marks_new_tokens(spark):
+    """Words are cut from the dealt text; head, tail and fresh are theirs, and a place made of them finds phrases across documents."""
+    from weftline.functions.tokenize import latin_words
+    from weftline.operators import passages
+
+    rows = spark.createDataFrame([(3, "d e"), (1, "a b a"), (2, None), (4, ""), (5, "b c d")], "id long, text string").repartition(3)
+    placed = passages.place(rows, "id", latin_words(F.col("text")))
+    got = {r.key: (r.offset, r.size, r.head, r.tail) for r in placed.collect()}
+    assert got == {1: (0, 3, "a", "a"), 2: (3, 0, None, None), 3: (3, 2, "d", "e"), 4: (5, 0, None, None), 5: (5, 3, "b", "d")}
+    assert {r.t for r in placed.select(F.explode("fresh").alias("t")).collect()} == {"a", "b", "c", "d", "e"}
+    found = search.located(placed, {1: ["a", "d", "e", "b"], 2: ["c", "d"], 3: ["e"], 4: ["d", "a"], 5: ["b", "c", "d", "e"]})
+    assert {r.query_id: r.gold_start for r in found.collect()} == {1: 2, 2: 6, 3: 4}
