@@ -65,3 +65,28 @@ def test_blocks_hold_codes(spark):
     exact = lambda b, c: sorted(tuple(round(x, 9) for x in r) for r in extension.extend_places(places, b, c).collect())
     assert exact(coded, coded) == exact(plain, plain) == exact(coded, plain)
     assert exact(coded, coded)
+
+
+def test_seeds_of_arrays(spark):
+    """Seeds come from each row's own words, without sorts or windows, and meet few seeds where they are read."""
+    texts = [(1, "a b c d e f"), (2, "b c d e f g"), (2, "x y z"), (3, None), (4, "a b"), (5, "c d e"), (5, "f a b c d")]
+    df = spark.createDataFrame(texts, "id long, text string").selectExpr("id", "split(text, ' ') as words")
+    got = sorted(tuple(r) for r in reuse.text_seeds(df, "id", "words", 3).collect())
+    want = sorted((k, " ".join(t.split()[i : i + 3]), i) for k, t in texts if t for i in range(len(t.split()) - 2))
+    assert got == want  # rows 2 and 5 stay apart
+    one, two = (reuse.text_seeds(df.where(x), "id", "words", 3) for x in ("id <= 1", "id > 1"))
+    shared = {s for k, s, _ in want if k == 1} & {s for k, s, _ in want if k > 1}
+    for few in (reuse.FEW, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(reuse, "FEW", few)
+            rows = reuse.shared_seeds(one, two)
+            assert sorted(r[0] for r in rows.collect()) == sorted(shared)
+            places = reuse.locations(one.withColumnRenamed("pos", "i"), two.withColumnRenamed("id", "other").withColumnRenamed("pos", "j"))
+            assert sorted((r["id"], r["seed"], r["i"], r["other"], r["j"]) for r in places.collect()) == sorted((a, s, i, b, j) for a, s, i in want if a == 1 for b, t, j in want if b > 1 and s == t)
+
+
+def test_shared_seeds_neither_sort_nor_shuffle_words(spark):
+    from weftline.plans import queries
+
+    plan = queries.shared_seeds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "LeftSemi" in plan and "strategy=broadcast" in plan
