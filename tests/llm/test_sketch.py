@@ -139,3 +139,24 @@ def test_copies_that_miss_their_text(spark):
     far = changed(base, 11, 777)
     rows += [(2000 + i, " ".join(changed(far, 2, 3000 + i))) for i in range(10)]
     run(spark, rows)
+
+
+def test_components_join_what_is_known(spark, monkeypatch):
+    """Labels that get more links are those of all links together; what is settled costs no round, and no link is compared anew."""
+    from weftline.llm import components as C
+
+    r = random.Random(3)
+    first = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(k, k + 1) for k in range(100, 130)]
+    more = [(r.randrange(140), r.randrange(140)) for _ in range(40)] + [(200, 201)]
+    frame = lambda rows: spark.createDataFrame([(int(a), int(b)) for a, b in rows], "a long, b long")
+    found = lambda df: sorted(map(tuple, df.collect()))
+    assert found(C.joined(C.components(frame(first)), frame(more))) == [x for x in found(C.components(frame(first + more)))]
+    seen = []
+    real = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name, *x: seen.append(name) or real(df, name, *x))
+    assert found(C.components(frame([(5, 1), (7, 1), (9, 8)]))) == [(1, 1), (5, 1), (7, 1), (8, 8), (9, 8)]
+    assert seen == ["star"]
+    seen.clear()
+    labels = C.components(frame([(k, 1) for k in range(2, 60)]))
+    seen.clear()
+    assert found(C.joined(labels, frame([(40, 0)])))[:3] == [(0, 0), (1, 0), (2, 0)] and seen == ["star"]

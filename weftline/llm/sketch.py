@@ -41,8 +41,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_broadcast, discard, free_shuffles, release, small_batches, stored
-from weftline.llm.components import components
+from weftline.llm.common import bounded_broadcast, discard, free_shuffles, gathered, release, small_batches, stored
+from weftline.llm.components import components, joined
 from weftline.llm.jaccard import mix
 from weftline.llm.nodes import nodes_of
 
@@ -261,15 +261,16 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, size) of each node and (id, component) of those that have links; both stored."""
     spark = docs.sparkSession
     sketched = stored(_sketched(docs), "sketches", "lz4")
+    n_docs = sketched.count()
     entries = sketched.select("key", F.explode("bands").alias("band"))
-    counts = stored(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sketch-buckets")
+    counts = stored(gathered(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), n_docs), "sketch-buckets")
     met = stored(entries.join(counts, "band"), "sketch-met")
     discard(counts)
     members = stored(met.join(met.groupBy("key").agg(F.sum("n").alias("score")), "key").select("band", "key", "score"), "sketch-members")
     discard(met)
     free_shuffles(spark)
 
-    own = bounded_broadcast(stored(members.select("key").distinct(), "sketch-wanted"), KEYS)
+    own = bounded_broadcast(stored(gathered(members.select("key").distinct(), n_docs), "sketch-wanted"), KEYS)
     some = stored(sketched.join(own, "key", "left_semi").select("*", F.col("size").alias(CLASSES[0]), *(F.lit(0).cast("long").alias(c) for c in CLASSES[1:])), "sketch-some")
     sets = stored(_sets(docs.join(own, "key", "left_semi")), "sketch-sets", "lz4")
 
@@ -277,28 +278,32 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links among distinct (a, b) that the sketches let pass; with ``best`` only the most similar pair by these columns."""
         if best:
             pairs = pairs.groupBy(*best).agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+            pairs = gathered(pairs, n_docs)
         pairs = stored(pairs.select("a", "b"), "sketch-pairs")
+        if not pairs.count():
+            return pairs
         out = _verified(pairs, sets)
         discard(pairs)
         return out
 
     stars = members.join(_centred(members), "band").where("key <> a").select("a", F.col("key").alias("b")).distinct()
     links = compared(_candidates(stars, some), ["b"])
-    labels = stored(components(links), "sketch-labels")
+    labels = stored(gathered(components(links), n_docs), "sketch-labels")
     members = _labelled(members, labels)
     free_shuffles(spark)
-    some = _with_classes(some, sets, stored(members.select("key").distinct(), "sketch-left"))
+    some = _with_classes(some, sets, stored(gathered(members.select("key").distinct(), n_docs), "sketch-left"))
 
     def merged(more: DataFrame) -> None:
-        nonlocal links, labels, members
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = stored(components(links), "sketch-labels")
+        nonlocal labels, members
+        if more.count():
+            labels = stored(gathered(joined(labels, more), n_docs), "sketch-labels")
             members = _labelled(members, labels)
 
     centre = _centred(members).join(members.select("band", F.col("key").alias("a"), F.col("label").alias("la")), ["band", "a"])
     merged(compared(_candidates(members.join(centre, "band").where("label <> la").select("a", F.col("key").alias("b")).distinct(), some)))
     for best in (["la", "lb"], None):
+        if not members.count():
+            break
         rows = members.select("band", "key", "label").join(some, "key")
         a, b = (_side(rows, x, "band", F.col("label").alias(f"l{x}"), F.col("bands").alias(f"bands_{x}")) for x in "ab")
         first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")  # a pair counts in its first common bucket
