@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import vector as V
-from weftline.operators import embedding, vectors
+from weftline.operators import embedding, search, vectors
 from weftline.sources import readers, writers
 
 
@@ -160,3 +160,16 @@ def test_token_means_shuffle_no_vectors(spark):
 def test_distinct_tokens(spark, monkeypatch):
     rows = spark.createDataFrame([(["a", "b", None, "a"],), (None,), ([],), (["b", "c"],)], "words array<string>")
     assert sorted(r.token for r in vectors.distinct_tokens(rows, "words").collect()) == ["a", "b", "c"]
+
+
+def test_text_means_shuffle_no_words(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_WORDS", 3)
+    texts = spark.createDataFrame([(1, list("aab")), (2, []), (3, None), (4, ["x"]), (None, ["a", None]), (5, list("c" * 9 + "d")), (1, ["c", "x"])], "id long, words array<string>")
+    keyed = search.KeyedSpace(spark.createDataFrame([("a", 1), ("b", 2), ("c", 1), ("d", 3)], "token string, key long"), spark.createDataFrame([(1, [1.0, 2.0]), (2, [4.0, 0.5]), (3, [-3.0, 0.0])], "key long, vec array<double>"))
+    rows = vectors.text_means(texts, keyed, "id", dims=2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    exact = lambda df: {r.id: (r.n, [round(x, 12) for x in r.vec]) for r in df.collect()}
+    assert exact(rows) == {1: (4, [1.75, 1.625]), None: (1, [1.0, 2.0]), 5: (10, [0.6, 1.8])}
+    assert exact(vectors.text_means(texts, keyed, "id", dims=2, limit=0)) == exact(rows)
+    assert exact(vectors.token_means(texts.select("id", F.explode("words").alias("token")), keyed, ["id"], 2)) == exact(rows)
