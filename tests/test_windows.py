@@ -54,3 +54,19 @@ def test_window_means_of_some_starts(spark):
     got = {(r.doc_id, r.start): (r.n_known, r.vec) for r in rows.collect()}
     assert got == {k: whole[k] for k in ((1, 4095), (1, 4096), (1, 8990))}
     assert {(r.doc_id, r.start): (r.n_known, r.vec) for r in vectors.window_means(tokens, space, 4).collect()} == whole
+
+
+@pytest.mark.parametrize("length", [1, 3, 10, 23])
+def test_text_windows(spark, monkeypatch, length):
+    """From rows of words: as by positions, without a shuffle; pieces are shorter than windows and texts."""
+    monkeypatch.setattr(vectors, "WINDOW_BLOCK", 7)
+    rng = np.random.default_rng(length)
+    texts = [(k, [str(x) for x in rng.choice(list("abcxy"), n)]) for k, n in enumerate([0, 1, 7, 8, 22, 23, 50])] + [(90, ["x"] * 30), (None, list("abcab")), (91, None)]
+    table = spark.createDataFrame([(w, rng.normal(size=3).tolist()) for w in "abc"], "token string, vec array<double>")
+    frame = spark.createDataFrame(texts, "doc_id long, words array<string>").coalesce(2)
+    rows = vectors.text_windows(frame, table, length)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Sort" not in plan
+    exact = lambda df: sorted(((r.doc_id if r.doc_id is not None else -1, r.start, r.n_known, r.vec and [round(x, 9) for x in r.vec]) for r in df.collect()), key=repr)
+    want = exact(vectors.text_windows(frame, table, length, limit=0))
+    assert len(want) == sum(max(0, len(t or []) - length + 1) for _, t in texts) and exact(rows) == want
