@@ -90,3 +90,20 @@ def test_shared_seeds_neither_sort_nor_shuffle_words(spark):
 
     plan = queries.shared_seeds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan and "LeftSemi" in plan and "strategy=broadcast" in plan
+
+
+def test_word_blocks_are_text_blocks(spark):
+    texts = {1: list("ab" * 70), 2: list("c" * 64), 3: [], 4: ["x"], None: list("ba")}
+    frame = spark.createDataFrame(list(texts.items()), "id long, words array<string>").coalesce(1)
+    space = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", [1.0])], "token string, vec array<double>")
+    tokens = frame.selectExpr("id", "posexplode(words) as (pos, token)")
+    one = extension.text_blocks(tokens, space, "id", 1)
+    two = extension.word_blocks(frame, space, "id", 1, one.book)
+    read = lambda b: sorted(map(repr, b.collect()))
+    assert read(one) == read(two) and len(read(two)) == 6
+
+
+def test_matches_that_end_keep_no_sums():
+    ended, going = {"grows": False, "sum_a": np.ones(2), "sum_b": np.ones(2)}, {"grows": True, "sum_a": np.ones(2), "sum_b": np.ones(2)}
+    frame = extension._frame([ended, going])
+    assert frame["sum_a"][0] is None and frame["sum_b"][0] is None and frame["sum_a"][1] is not None
