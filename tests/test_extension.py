@@ -92,6 +92,26 @@ def test_shared_seeds_neither_sort_nor_shuffle_words(spark):
     assert "Window" not in plan and "Sort" not in plan and "LeftSemi" in plan and "strategy=broadcast" in plan
 
 
+def test_gated_without_vectors(spark, monkeypatch):
+    """Places at texts' beginnings and ends, with unknown words: as by joined windows; what is shuffled holds no vector."""
+    from weftline.operators import reuse
+
+    monkeypatch.setattr(reuse, "PLACES_AT_ONCE", 3)
+    rng = np.random.default_rng(5)
+    space = spark.createDataFrame([(w, rng.normal(size=4).tolist()) for w in "abcde"], "token string, vec array<double>")
+    shared = [str(x) for x in rng.choice(list("abcdex"), 14)]
+    texts = {k: [*(str(x) for x in rng.choice(list("abcdexy"), n)), *shared, *(str(x) for x in rng.choice(list("abxy"), m))] for k, (n, m) in enumerate([(0, 0), (3, 9), (20, 1), (9, 30)])} | {8: ["x"] * 15, 9: list("abc")}
+    frame = spark.createDataFrame(list(texts.items()), "id long, words array<string>").coalesce(2)
+    one, two = frame.withColumnRenamed("id", "a"), frame.withColumnRenamed("id", "b")
+    rows = [(x, i, y, j) for x in texts for y in texts for i in range(len(texts[x])) for j in range(len(texts[y])) if texts[x][i : i + 3] == texts[y][j : j + 3]]
+    places = spark.createDataFrame(rows, "a long, i int, b long, j int")
+    got, book = reuse.gated(places, one, two, "a", "b", space, 0.7)
+    assert book and "array<double>" not in got._jdf.queryExecution().optimizedPlan().toString()
+    exact = lambda df: sorted((r.a, r.i, r.b, r.j, r.similarity, r.start_a, r.start_b, r.best) for r in df.collect())
+    want = exact(reuse.gated(places, one, two, "a", "b", space, 0.7, limit=0)[0])
+    assert len(want) > 50 and exact(got) == want
+
+
 def test_word_blocks_are_text_blocks(spark):
     texts = {1: list("ab" * 70), 2: list("c" * 64), 3: [], 4: ["x"], None: list("ba")}
     frame = spark.createDataFrame(list(texts.items()), "id long, words array<string>").coalesce(1)
