@@ -1,3 +1,4 @@
+import os
 import numpy as np
 import pandas as pd
 import pytest
@@ -443,3 +444,18 @@ def test_place_cuts_after_dealing_and_marks_new_tokens(spark):
     assert {r.t for r in placed.select(F.explode("fresh").alias("t")).collect()} == {"a", "b", "c", "d", "e"}
     found = search.located(placed, {1: ["a", "d", "e", "b"], 2: ["c", "d"], 3: ["e"], 4: ["d", "a"], 5: ["b", "c", "d", "e"]})
     assert {r.query_id: r.gold_start for r in found.collect()} == {1: 2, 2: 6, 3: 4}
+
+
+@pytest.mark.parametrize("gold", [False, True])
+def test_words_go_before_the_scan(spark, gold):
+    """Where no passages are asked for, stored words and the shuffles that dealt them don't outlast the last scan."""
+    texts = spark.createDataFrame([(k, [w for w in "abcde" * (k + 2)]) for k in range(6)], "doc long, words array<string>")
+    space = spark.createDataFrame([(w, [float(k), 1.0]) for k, w in enumerate("abcd")], "token string, vec array<double>")
+    queries = spark.createDataFrame([(1, list("bcd")), (2, list("eab"))], "query_id long, words array<string>")
+    found = []
+    for kept in (True, False):
+        placed = passages.place(texts, "doc")
+        s, = passages.search_passages(placed, space, queries, space, [SearchConfig(top_n=5)], gold=gold, texts=kept)
+        assert os.path.isdir(placed.stored_at.removeprefix("file://")) == kept
+        found.append(sorted(map(repr, (s.flags() if gold else s.clusters()).collect())))
+    assert found[0] == found[1] and found[0]
